@@ -42,7 +42,7 @@ def present(df: DataFrame, ratio_cols: tuple = ()) -> DataFrame:
             c = F.round(c, 2).cast("double")
         elif isinstance(t, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(t, T.TimestampType):
+        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(t, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
@@ -54,4 +54,4 @@ def present(df: DataFrame, ratio_cols: tuple = ()) -> DataFrame:
 
 def load_all() -> None:
     """Import the query modules (they register on import)."""
-    from .plans import queries_core, queries_cuf, queries_register, queries_upsert  # noqa: F401
+    from .plans import queries_core, queries_cuf, queries_register, queries_upsert, queries_ledger  # noqa: F401

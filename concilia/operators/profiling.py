@@ -92,7 +92,7 @@ def profile_nulls(df: DataFrame) -> DataFrame:
 
 def profile_dates(df: DataFrame) -> DataFrame:
     """Min and max of every date/timestamp column."""
-    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType))]
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.min(F.col(f"`{c}`")).cast("string").alias(f"__mn{i}"),
