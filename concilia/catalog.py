@@ -54,4 +54,4 @@ def present(df: DataFrame, ratio_cols: tuple = ()) -> DataFrame:
 
 def load_all() -> None:
     """Import the query modules (they register on import)."""
-    from .plans import queries_core, queries_cuf, queries_register, queries_upsert, queries_ledger  # noqa: F401
+    from .plans import queries_core, queries_cuf, queries_register, queries_upsert, queries_ledger, queries_misc  # noqa: F401

@@ -73,3 +73,17 @@ def in_period(df: DataFrame, date_col: str, start: str, end: str) -> DataFrame:
     """Inclusive date range filter written as literals so it reaches the
     parquet scan (and prunes ``period`` partitions)."""
     return df.filter(F.col(date_col).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def period_bounds_of(df: DataFrame, date_col: str) -> DataFrame:
+    """F6/X17 over data: every (year, month) present in ``date_col`` with
+    its Spanish month name, first and last day, and row count. The bounds
+    are resolved back from the name (case-insensitive), as a caller would."""
+    names_arr = F.array(*[F.lit(n) for n in MONTH_NAMES])
+    by_month = (df.groupBy(F.year(date_col).cast("bigint").alias("year"), F.month(date_col).alias("__m"))
+                  .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
+    named = by_month.withColumn("month_name", F.lower(F.element_at(names_arr, F.col("__m"))))
+    lookup = F.create_map(*[x for i, n in enumerate(MONTH_NAMES, 1) for x in (F.lit(n), F.lit(i))])
+    start = F.make_date(F.col("year").cast("int"), F.element_at(lookup, F.upper(F.btrim("month_name"))), F.lit(1))
+    return named.select("year", "month_name", start.alias("period_start"),
+                        F.last_day(start).alias("period_end"), "n")

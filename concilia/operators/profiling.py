@@ -113,3 +113,35 @@ def blank_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     stack = ", ".join(f"'{c}', `__b{i}`" for i, c in enumerate(cols))
     return df.agg(*aggs).selectExpr(f"stack({len(cols)}, {stack}) AS (field, blank_rows)") \
              .withColumn("blank_rows", F.col("blank_rows").cast("bigint"))
+
+
+def numeric_profile(df: DataFrame, cols: list[str], quartiles: bool = True,
+                    accuracy: int = 100000) -> DataFrame:
+    """A10: count, mean, sample std, min, max per column (exact, one pass)
+    and, optionally, quartiles from Spark's bounded-memory quantile sketch
+    (rank error at most rows/accuracy). Exact quartiles would need every
+    distinct value of a column in one task, which does not scale."""
+    parts = []
+    for c in cols:
+        x = F.col(f"`{c}`").cast("double")
+        aggs = [F.count(x).cast("bigint").alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                F.min(x).alias("min"), F.max(x).alias("max")]
+        if quartiles:
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias("__q"))
+        parts.append((c, aggs))
+    # one pass over the table: all columns' aggregates together, then unpivot
+    flat = []
+    for i, (_, aggs) in enumerate(parts):
+        flat.extend(a.alias(f"__{i}_{j}") for j, a in enumerate(aggs))
+    one = df.agg(*flat)
+    rows = []
+    for i, (c, aggs) in enumerate(parts):
+        sel = [F.lit(c).alias("column"), F.col(f"__{i}_0").alias("count"), F.col(f"__{i}_1").alias("mean"),
+               F.col(f"__{i}_2").alias("std"), F.col(f"__{i}_3").alias("min"), F.col(f"__{i}_4").alias("max")]
+        if quartiles:
+            sel += [F.col(f"__{i}_5")[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))]
+        rows.append(one.select(*sel))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
