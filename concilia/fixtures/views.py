@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import LedgerColumns, ReconConfig, TaxColumns
+from ..session import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
@@ -19,17 +20,24 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 
 class Tables(dict):
     """Lazy parquet readers keyed by table name (a scan happens only for
-    the tables and columns a plan actually touches)."""
+    the tables and columns a plan actually touches). The supplied tables
+    are immutable, so readers are shared per session and directory: file
+    listing and footer reads happen once, not once per query."""
+
+    _shared: dict = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._key = (id(spark), self.sf_dir)
 
     def __missing__(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        self[name] = df
-        return df
+        cache = Tables._shared.setdefault(self._key, {})
+        if name not in cache:
+            cache[name] = spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+        self[name] = cache[name]
+        return cache[name]
 
 
 # Column roles of the derived views.
@@ -93,7 +101,10 @@ def v_tax(t: Tables) -> DataFrame:
                    .when(k % 59 == 0, F.lit("n/a"))
                    .when(k % 61 == 0, F.lit(" 12.345 "))
                    .otherwise(F.col("o_totalprice").cast("decimal(14,2)").cast("string")))
-    base = _order_star(t).select(
+    # rows with k % 501 = 0 appear twice: one pass, copies by explode
+    copies = F.explode(F.when(k % 501 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    star = _order_star(t).select("*", copies.alias("__copy"))
+    return star.select(
         k.alias("nro"),
         F.when(k % 97 == 0, F.lit(None).cast("string")).otherwise(auth_code(k)).alias("cuf"),
         fecha.alias("fecha"),
@@ -120,7 +131,6 @@ def v_tax(t: Tables) -> DataFrame:
         F.lit("1").alias("tipo_emision"),
         F.lit("1").alias("tipo_factura"),
     )
-    return base.unionByName(base.filter(F.col("nro") % 501 == 0))
 
 
 def _ledger_rows(star: DataFrame, cuf: Column, id_factura: Column) -> DataFrame:
@@ -149,11 +159,13 @@ def _ledger_rows(star: DataFrame, cuf: Column, id_factura: Column) -> DataFrame:
 def v_ledger(t: Tables) -> DataFrame:
     """Inventory ledger: orders minus k % 17 = 0, with field defects, plus
     ledger-only rows (code 'X' || k) for k % 31 = 0."""
-    star = _order_star(t)
     k = F.col("o_orderkey")
-    main = _ledger_rows(star.filter(k % 17 != 0), auth_code(k), k * 2)
-    extra = _ledger_rows(star.filter(k % 31 == 0), F.concat(F.lit("X"), k.cast("string")), k * 2 + 1)
-    return main.unionByName(extra)
+    # one pass: variant 0 = the order itself, variant 1 = a ledger-only copy
+    variants = F.array_compact(F.array(F.when(k % 17 != 0, F.lit(0)), F.when(k % 31 == 0, F.lit(1))))
+    star = _order_star(t).select("*", F.explode(variants).alias("__v"))
+    extra = F.col("__v") == 1
+    return _ledger_rows(star, F.when(extra, F.concat(F.lit("X"), k.cast("string"))).otherwise(auth_code(k)),
+                        k * 2 + F.col("__v"))
 
 
 def v_accounting(t: Tables) -> DataFrame:

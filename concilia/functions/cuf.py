@@ -52,47 +52,52 @@ def decode_codes(df: DataFrame, code_col: str, prefix: str = "", names: str = "r
     code = F.col(code_col).cast("string")
     hexpart = F.substring(code, 1, CODE_HEX_CHARS)
     valid_hex = hexpart.rlike(f"^[0-9A-Fa-f]{{{CODE_HEX_CHARS}}}$")
-    out = df.withColumn(f"{tmp}_ok", F.coalesce(F.length(code) >= CODE_HEX_CHARS, F.lit(False)) & valid_hex)
-
-    # limbs l0 (least significant) .. l5; start from the head chunk
-    chunks = _chunks()
+    ok = F.coalesce(F.length(code) >= CODE_HEX_CHARS, F.lit(False)) & valid_hex
+    out = df.select("*", ok.alias(f"{tmp}_ok"))
     hex_ok = F.col(f"{tmp}_ok")
+    if "`" in code_col:
+        raise ValueError("code column name may not contain a backtick")
 
-    def chunk_val(start: int, length: int) -> Column:
-        return F.when(hex_ok, F.conv(F.substring(code, start, length), 16, 10).cast("bigint")).otherwise(F.lit(0))
+    def chunk_sql(start: int, length: int) -> str:
+        return (f"CASE WHEN `{tmp}_ok` THEN CAST(conv(substring(CAST(`{code_col}` AS STRING), {start}, {length}),"
+                f" 16, 10) AS BIGINT) ELSE 0 END")
 
-    out = out.withColumn(f"{tmp}_l0", chunk_val(*chunks[0]))
-    for i in range(1, LIMBS):
-        out = out.withColumn(f"{tmp}_l{i}", F.lit(0).cast("bigint"))
+    # limbs l0 (least significant) .. l5, seeded with the head chunk
+    chunks = _chunks()
+    limb = [f"{tmp}_l{i}" for i in range(LIMBS)]
+    keep = [f"`{c}`" for c in out.columns]
+    out = out.selectExpr(*keep, f"{chunk_sql(*chunks[0])} AS {limb[0]}",
+                         *[f"CAST(0 AS BIGINT) AS {limb[i]}" for i in range(1, LIMBS)])
+    # one projection per Horner step: value = value * 2^32 + chunk, the
+    # carry running from the low limb to the high one (``div`` is exact
+    # integral division; nothing goes through a double)
     for start, length in chunks[1:]:
-        carry = chunk_val(start, length)
+        carry = chunk_sql(start, length)
+        new_limbs = []
         for i in range(LIMBS):
-            v = F.col(f"{tmp}_l{i}") * F.lit(TWO32) + carry
-            out = out.withColumn(f"{tmp}_v", v)
-            out = out.withColumn(f"{tmp}_l{i}", F.col(f"{tmp}_v") % F.lit(BASE))
-            carry = F.col(f"{tmp}_c{i}")
-            out = out.withColumn(f"{tmp}_c{i}", F.expr(f"`{tmp}_v` div {BASE}"))
-        out = out.drop(f"{tmp}_v", *[f"{tmp}_c{i}" for i in range(LIMBS)])
-
-    padded = F.concat(*[F.lpad(F.col(f"{tmp}_l{i}").cast("string"), 9, "0") for i in reversed(range(LIMBS))])
-    digits = F.when(F.regexp_replace(padded, "^0+", "") == "", F.lit("0")) \
-              .otherwise(F.regexp_replace(padded, "^0+", ""))
-    out = out.withColumn(f"{tmp}_digits", digits)
-    n = F.length(F.col(f"{tmp}_digits"))
+            v = f"({limb[i]} * {TWO32} + {carry})"
+            new_limbs.append(f"{v} % {BASE} AS {limb[i]}")
+            carry = f"({v} div {BASE})"
+        out = out.selectExpr(*keep, *new_limbs)
+    keep = [k.strip("`") for k in keep]
+
+    padded = F.concat(*[F.lpad(F.col(limb[i]).cast("string"), 9, "0") for i in reversed(range(LIMBS))])
+    stripped = F.regexp_replace(padded, "^0+", "")
+    out = out.select(*[F.col(f"`{c}`") for c in keep],
+                     F.when(stripped == "", F.lit("0")).otherwise(stripped).alias(f"{tmp}_digits"))
+    digits = F.col(f"{tmp}_digits")
+    n = F.length(digits)
     status = (F.when(~F.coalesce(F.length(code) >= CODE_HEX_CHARS, F.lit(False)), F.lit(STATUS_SHORT))
                .when(~valid_hex, F.lit(STATUS_NOT_HEX))
                .when(n <= CODE_DROP_DIGITS, F.lit(STATUS_SHORT_DECIMAL))
                .when(n - CODE_DROP_DIGITS < CODE_MIN_TAIL, F.lit(STATUS_SHORT_TAIL))
                .otherwise(F.lit(STATUS_OK)))
-    out = out.withColumn(status_col, status)
-    tail = F.substring(F.col(f"{tmp}_digits"), CODE_DROP_DIGITS + 1, 1 << 20)
-    for name, start, end in CODE_FIELDS:
-        field = prefix + (snake(name) if names == "snake" else name)
-        out = out.withColumn(field, F.when(F.col(status_col) == STATUS_OK,
-                                           F.substring(tail, start + 1, end - start)).otherwise(F.lit("")))
-    if keep_digits:
-        out = out.withColumn(prefix + "code_digits", F.when(hex_ok, F.col(f"{tmp}_digits")))
-    return out.drop(f"{tmp}_ok", f"{tmp}_digits", *[f"{tmp}_l{i}" for i in range(LIMBS)])
+    tail = F.substring(digits, CODE_DROP_DIGITS + 1, 1 << 20)
+    decoded_ok = status == F.lit(STATUS_OK)
+    fields = [F.when(decoded_ok, F.substring(tail, start + 1, end - start)).otherwise(F.lit(""))
+               .alias(prefix + (snake(name) if names == "snake" else name)) for name, start, end in CODE_FIELDS]
+    extra = [F.when(hex_ok, digits).alias(prefix + "code_digits")] if keep_digits else []
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], status.alias(status_col), *fields, *extra)
 
 
 def field_names(prefix: str = "", names: str = "reference") -> list[str]:

@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from .predicates import WHITESPACE, strip
 
-# Date layouts tried in order before the lenient timestamp cast.
-DATE_PATTERNS = ("yyyy-M-d", "d/M/yyyy", "yyyy/M/d", "d-M-yyyy")
+# Date layouts tried in order before the lenient timestamp cast, each
+# with the text shape it can parse (a layout is only tried on its shape,
+# so non-matching layouts cost a regex test, not a parse failure).
+DATE_PATTERNS = (
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+)
 
 
 def _blank(c: Column) -> Column:
@@ -39,7 +46,7 @@ def to_date_multi(c: Column, patterns: tuple = DATE_PATTERNS) -> tuple[Column, C
     """First layout that parses wins, then a lenient timestamp cast.
     Blank -> NULL without warning; unparsable -> NULL with warning."""
     s = c.cast("string")
-    tries = [F.try_to_date(s, p) for p in patterns]
+    tries = [F.when(s.rlike(shape), F.try_to_date(s, p)) for p, shape in patterns]
     value = F.when(_blank(c), F.lit(None).cast("date")).otherwise(
         F.coalesce(*tries, F.to_date(s.try_cast("timestamp"))))
     return value, ~_blank(c) & value.isNull()

@@ -124,7 +124,10 @@ def numeric_profile(df: DataFrame, cols: list[str], quartiles: bool = True,
     parts = []
     for c in cols:
         x = F.col(f"`{c}`").cast("double")
-        aggs = [F.count(x).cast("bigint").alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        # mean from an exact decimal sum: the same value whatever the
+        # partitioning (a floating sum depends on the order of addition)
+        mean = F.sum(x.cast("decimal(38,8)")).cast("double") / F.count(x)
+        aggs = [F.count(x).cast("bigint").alias("count"), mean.alias("mean"), F.stddev_samp(x).alias("std"),
                 F.min(x).alias("min"), F.max(x).alias("max")]
         if quartiles:
             aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias("__q"))

@@ -56,3 +56,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     loss of the executors that computed it)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin an input that arrives in fewer splits than the session's
+    parallelism (e.g. one Parquet row group), so per-row work uses every
+    core. Inputs with enough splits - any large table - are returned as is,
+    so at scale this adds no shuffle. Filters and column pruning still reach
+    the scan below the repartition."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
