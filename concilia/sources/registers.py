@@ -25,7 +25,7 @@ from ..functions.predicates import strip
 # A delimiter that never occurs in text: read whole lines with the CSV
 # reader (which, unlike the text reader, honours ``encoding``).
 _NO_SEP = "\u0001"
-ENCODINGS = ("utf-8", "latin-1")
+ENCODINGS = ("utf-8", "iso-8859-1")  # JVM and Python names alike
 EXCLUDED_PREFIXES = ("inventory_", "processed_")
 
 
@@ -58,7 +58,7 @@ def repair_counts(repaired: DataFrame) -> DataFrame:
 
 def detect_encodings(spark: SparkSession, path: str, encodings: tuple = ENCODINGS) -> DataFrame:
     """Per file, the first encoding of ``encodings`` that decodes it
-    (utf-8 checked with ``is_valid_utf8``; latin-1 decodes any byte)."""
+    (utf-8 checked with ``is_valid_utf8``; iso-8859-1 decodes any byte)."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     enc = F.lit(encodings[-1])
     for e in reversed(encodings[:-1]):
