@@ -7,10 +7,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sql as S
-from .views import Tables, auth_code
+from .views import Tables, auth_code, materialized
 
 
 def star(t: Tables) -> dict[str, DataFrame]:
+    """The source relations, each materialized once per application (they
+    are stored source tables in production)."""
+    plans: dict = {}
+
+    def build(tt, n):
+        if not plans:
+            plans.update(build_star(tt))
+        return plans[n]
+
+    return {name: materialized(t, f"star_{name}", lambda tt, n=name: build(tt, n)) for name in STAR_NAMES}
+
+
+STAR_NAMES = ("factura", "factura_egresos", "egresos", "pago_factura", "pago", "tmovimiento", "datosfactura",
+              "users", "tipoPago", "factura_siat", "clientes", "siat_sincro_tipo_metodo_pago", "siat_cuis",
+              "almacenes")
+
+
+def build_star(t: Tables) -> dict[str, DataFrame]:
     o, li, p, c = t["orders"], t["lineitem"], t["part"], t["customer"]
     k = F.col("o_orderkey")
     factura = o.select(

@@ -51,20 +51,41 @@ def ledger_filter(factura: DataFrame, start: str, end: str, lot_floor: int = LOT
                           & ((F.col("lote") == 0) | (F.col("lote") >= lot_floor)))
 
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """A relation reduced to one row per key (smallest value of every other
+    column), so that joining it to a picked id cannot multiply rows."""
+    return df.groupBy(key).agg(*[F.min(c).alias(c) for c in df.columns if c != key])
+
+
+def pick_keys(keys: DataFrame) -> DataFrame:
+    """Per invoice, the smallest (detail id, payment id) with NULL payment
+    ids first, using two fixed-width hash aggregations (a ``min`` over a
+    struct would force a sort-based aggregate)."""
+    d = keys.groupBy("idFactura").agg(F.min("idegresos").alias("idegresos"))
+    at_d = keys.join(d, ["idFactura", "idegresos"])
+    p = (at_d.groupBy("idFactura", "idegresos")
+             .agg(F.max(F.when(F.col("idPago").isNull(), 1).otherwise(0)).alias("__null"),
+                  F.min("idPago").alias("__min")))
+    return p.select("idFactura", "idegresos",
+                    F.when(F.col("__null") == 1, F.lit(None).cast("bigint"))
+                     .otherwise(F.col("__min")).alias("idPago"))
+
+
 def extract_ledger(t: dict, start: str, end: str, lot_floor: int = LOT_FLOOR,
                    order: bool = True) -> DataFrame:
-    """One ledger row per invoice of the period (32 columns)."""
+    """One ledger row per invoice of the period (32 columns).
+
+    Key-first plan: invoice-level joins give one row per invoice; the
+    detail x payment multiplication involves only three id columns; the
+    (detail, payment) pick is a hash aggregation over those ids; the wide
+    row is then assembled once per invoice.
+    """
     missing = [r for r in ROLES if r not in t]
     if missing:
         raise ValueError(f"missing source relations: {missing}")
+    col = F.col
     f = ledger_filter(t["factura"], start, end, lot_floor).alias("f")
-    fe = t["factura_egresos"].alias("fe")
-    e = t["egresos"].alias("e")
-    pf = t["pago_factura"].alias("pf")
-    p = t["pago"].alias("p")
-    tm = t["tmovimiento"].alias("t")
     dfa = t["datosfactura"].alias("df")
-    u = t["users"].alias("u")
     ua = t["users"].alias("ua")
     tp = t["tipoPago"].alias("tp")
     fs = t["factura_siat"].alias("fs")
@@ -72,81 +93,87 @@ def extract_ledger(t: dict, start: str, end: str, lot_floor: int = LOT_FLOOR,
     sp = t["siat_sincro_tipo_metodo_pago"].alias("sp")
     cuis = t["siat_cuis"].alias("cuis")
     a = t["almacenes"].alias("a")
-    col = F.col
-    j = (fe.join(e, col("e.idegresos") == col("fe.idegresos"))
-           .join(f, col("f.idFactura") == col("fe.idFactura"))
-           .join(pf, col("f.idFactura") == col("pf.idFactura"), "left")
-           .join(p, col("p.idPago") == col("pf.idPago"), "left")
-           .join(tm, col("e.tipomov") == col("t.id"))
-           .join(dfa, col("df.idDatosFactura") == col("f.lote"))
-           .join(u, col("u.id") == col("e.vendedor"))
-           .join(ua, col("ua.id") == col("f.autor"))
-           .join(tp, col("tp.id") == col("f.tipoPago"))
-           .join(fs, col("fs.factura_id") == col("f.idFactura"))
-           .join(c, col("c.idCliente") == col("f.cliente"))
-           .join(sp, col("sp.codigoClasificador") == col("fs.codigoMetodoPago"))
-           .join(cuis, (col("cuis.sucursal") == col("fs.codigoSucursal"))
-                 & (col("cuis.codigoPuntoVenta") == col("fs.codigoPuntoVenta"))
-                 & (col("cuis.active") == 1))
-           .join(a, col("a.idalmacen") == col("f.almacen")))
-    fields = [
-        ("codigoSucursal", col("fs.codigoSucursal")),
-        ("codigoPuntoVenta", col("fs.codigoPuntoVenta")),
-        ("lote", col("f.lote")),
-        ("manual", col("df.manual")),
-        ("numeroFactura", col("f.nFactura")),
-        ("fechaFac", col("f.fechaFac")),
-        ("ClienteNit", col("f.ClienteNit")),
-        ("emailCliente", col("c.email")),
-        ("ClienteFactura", col("f.ClienteFactura")),
-        ("sigla", col("t.sigla")),
-        ("total", col("f.total")),
-        ("vendedor", full_name(col("u.first_name"), col("u.last_name"))),
-        ("estado", col("f.anulada")),
-        ("fecha", col("f.fecha")),
-        ("glosa", col("f.glosa")),
-        ("idPago", col("p.idPago")),
-        ("numPago", col("p.numPago")),
-        ("pagada", col("f.pagada")),
-        ("idAlmacen", col("f.almacen")),
-        ("pedido_cliente", col("e.clientePedido")),
-        ("moneda", currency_label(col("f.moneda"))),
-        ("pagadaF", payment_label(col("f.anulada"), col("f.pagada"))),
-        ("emisor", full_name(col("ua.first_name"), col("ua.last_name"))),
-        ("tipoPago", col("tp.tipoPago")),
-        ("codigoRecepcion", col("fs.codigoRecepcion")),
-        ("cuf", col("fs.cuf")),
-        ("cafc", col("fs.cafc")),
-        ("pedido_siat", col("fs.pedido")),
-        ("metodoPago", col("sp.descripcion")),
-        ("leyenda", col("fs.leyenda")),
-        ("fechaEmisionSiat", col("fs.fechaEmision")),
-        ("almacen", col("a.almacen")),
-    ]
-    rows = j.select(col("fe.idFactura").alias("idFactura"),
-                    F.struct(col("e.idegresos").alias("d"), col("p.idPago").alias("p")).alias("__pick"),
-                    F.struct(*[e_.alias(n) for n, e_ in fields]).alias("__row"))
-    names = [n for n, _ in fields]
-    one = (rows.groupBy("idFactura")
-               .agg(F.min_by("__row", "__pick").alias("__row"))
-               .select(*[F.col(f"__row.{n}").alias(n) for n in names[:2]], "idFactura",
-                       *[F.col(f"__row.{n}").alias(n) for n in names[2:]]))
+    inv = (f.join(dfa, col("df.idDatosFactura") == col("f.lote"))
+             .join(ua, col("ua.id") == col("f.autor"))
+             .join(tp, col("tp.id") == col("f.tipoPago"))
+             .join(fs, col("fs.factura_id") == col("f.idFactura"))
+             .join(c, col("c.idCliente") == col("f.cliente"))
+             .join(sp, col("sp.codigoClasificador") == col("fs.codigoMetodoPago"))
+             .join(cuis, (col("cuis.sucursal") == col("fs.codigoSucursal"))
+                   & (col("cuis.codigoPuntoVenta") == col("fs.codigoPuntoVenta"))
+                   & (col("cuis.active") == 1))
+             .join(a, col("a.idalmacen") == col("f.almacen")))
+
+    # detail rows that survive the detail-level inner joins
+    fe = t["factura_egresos"].alias("fe")
+    e = t["egresos"].alias("e")
+    tm = t["tmovimiento"].alias("t")
+    u = t["users"].alias("u")
+    det = (fe.join(e, col("e.idegresos") == col("fe.idegresos"))
+             .join(tm, col("e.tipomov") == col("t.id"))
+             .join(u, col("u.id") == col("e.vendedor"))
+             .select(col("fe.idFactura").alias("idFactura"), col("e.idegresos").alias("idegresos")))
+    det = det.join(inv.select(col("f.idFactura").alias("idFactura")), "idFactura", "left_semi")
+    pay = (t["pago_factura"].alias("pf").join(t["pago"].alias("p"), col("p.idPago") == col("pf.idPago"), "left")
+           .select(col("pf.idFactura").alias("idFactura"), col("p.idPago").alias("idPago")))
+    keys = det.join(pay, "idFactura", "left")
+    pick = pick_keys(keys).alias("k")
+
+    e2, tm2, u2 = t["egresos"].alias("e"), t["tmovimiento"].alias("t"), t["users"].alias("u")
+    p2 = one_per_key(t["pago"], "idPago").alias("p")
+    j = (inv.join(pick, col("k.idFactura") == col("f.idFactura"))
+            .join(e2, col("e.idegresos") == col("k.idegresos"))
+            .join(tm2, col("e.tipomov") == col("t.id"))
+            .join(u2, col("u.id") == col("e.vendedor"))
+            .join(p2, col("p.idPago") == col("k.idPago"), "left"))
+    out = j.select(
+        col("fs.codigoSucursal").alias("codigoSucursal"),
+        col("fs.codigoPuntoVenta").alias("codigoPuntoVenta"),
+        col("f.idFactura").alias("idFactura"),
+        col("f.lote").alias("lote"),
+        col("df.manual").alias("manual"),
+        col("f.nFactura").alias("numeroFactura"),
+        col("f.fechaFac").alias("fechaFac"),
+        col("f.ClienteNit").alias("ClienteNit"),
+        col("c.email").alias("emailCliente"),
+        col("f.ClienteFactura").alias("ClienteFactura"),
+        col("t.sigla").alias("sigla"),
+        col("f.total").alias("total"),
+        full_name(col("u.first_name"), col("u.last_name")).alias("vendedor"),
+        col("f.anulada").alias("estado"),
+        col("f.fecha").alias("fecha"),
+        col("f.glosa").alias("glosa"),
+        col("p.idPago").alias("idPago"),
+        col("p.numPago").alias("numPago"),
+        col("f.pagada").alias("pagada"),
+        col("f.almacen").alias("idAlmacen"),
+        col("e.clientePedido").alias("pedido_cliente"),
+        currency_label(col("f.moneda")).alias("moneda"),
+        payment_label(col("f.anulada"), col("f.pagada")).alias("pagadaF"),
+        full_name(col("ua.first_name"), col("ua.last_name")).alias("emisor"),
+        col("tp.tipoPago").alias("tipoPago"),
+        col("fs.codigoRecepcion").alias("codigoRecepcion"),
+        col("fs.cuf").alias("cuf"),
+        col("fs.cafc").alias("cafc"),
+        col("fs.pedido").alias("pedido_siat"),
+        col("sp.descripcion").alias("metodoPago"),
+        col("fs.leyenda").alias("leyenda"),
+        col("fs.fechaEmision").alias("fechaEmisionSiat"),
+        col("a.almacen").alias("almacen"),
+    )
     if order:
-        one = one.orderBy(F.col("fechaFac").desc(), F.col("numeroFactura").desc(), F.col("idFactura").desc())
-    return one
+        out = out.orderBy(F.col("fechaFac").desc(), F.col("numeroFactura").desc(), F.col("idFactura").desc())
+    return out
 
 
 def pick_one_per_invoice(t: dict) -> DataFrame:
     """A6 on its own: per invoice, how many detail x payment rows the joins
     produce and which (detail, payment) the extract keeps (the smallest)."""
-    fe, e = t["factura_egresos"].alias("fe"), t["egresos"].alias("e")
-    pf, p = t["pago_factura"].alias("pf"), t["pago"].alias("p")
     col = F.col
-    j = (fe.join(e, col("e.idegresos") == col("fe.idegresos"))
-           .join(pf, col("fe.idFactura") == col("pf.idFactura"), "left")
-           .join(p, col("p.idPago") == col("pf.idPago"), "left"))
-    pick = F.min_by(F.struct(col("e.idegresos").alias("idegresos"), col("p.idPago").alias("idPago")),
-                    F.struct(col("e.idegresos"), col("p.idPago")))
-    return (j.groupBy(col("fe.idFactura").alias("idFactura"))
-             .agg(F.count(F.lit(1)).cast("bigint").alias("joined_rows"), pick.alias("__p"))
-             .select("idFactura", "joined_rows", "__p.idegresos", "__p.idPago"))
+    det = (t["factura_egresos"].alias("fe").join(t["egresos"].alias("e"), col("e.idegresos") == col("fe.idegresos"))
+           .select(col("fe.idFactura").alias("idFactura"), col("e.idegresos").alias("idegresos")))
+    pay = (t["pago_factura"].alias("pf").join(t["pago"].alias("p"), col("p.idPago") == col("pf.idPago"), "left")
+           .select(col("pf.idFactura").alias("idFactura"), col("p.idPago").alias("idPago")))
+    keys = det.join(pay, "idFactura", "left")
+    counts = keys.groupBy("idFactura").agg(F.count(F.lit(1)).cast("bigint").alias("joined_rows"))
+    return counts.join(pick_keys(keys), "idFactura").select("idFactura", "joined_rows", "idegresos", "idPago")
