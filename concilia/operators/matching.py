@@ -126,12 +126,14 @@ def compare_flags(tax_amount: Column, ledger_amount: Column, tax_nit: Column, le
     }
 
 
-def compare_pairs(tax_tagged: DataFrame, ledger_tagged: DataFrame, cfg: ReconConfig) -> DataFrame:
-    """J4 + C2-C5: every (tax row, ledger row) pair sharing a key, with the
-    comparison flags. Tax columns are prefixed ``tax_``, ledger ones
-    ``inv_`` (the two registers share case-insensitive names)."""
-    t = _prefixed(tax_tagged.filter(F.col("n_ledger") > 0), "tax_")
-    lg = _prefixed(ledger_tagged.filter(F.col("n_tax") > 0), "inv_")
+def compare_pairs(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> DataFrame:
+    """J4 + C2-C5: every (tax row, ledger row) pair sharing a non-null key,
+    with the comparison flags: an inner equi-join (one shuffle of each
+    side; AQE splits a skewed key's partition). Tax columns are prefixed
+    ``tax_``, ledger ones ``inv_`` (the two registers share
+    case-insensitive names)."""
+    t = _prefixed(_with_key(tax, cfg.tax.key).filter(F.col(KEY).isNotNull()), "tax_")
+    lg = _prefixed(_with_key(ledger, cfg.ledger.key).filter(F.col(KEY).isNotNull()), "inv_")
     pairs = t.join(lg, KEY, "inner")
     tc, lc = cfg.tax, cfg.ledger
     flags = compare_flags(

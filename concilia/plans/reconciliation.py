@@ -1,9 +1,8 @@
 """Whole reconciliation of a tax register against a ledger.
 
-``reconcile`` returns lazy DataFrames only; nothing is collected. Every
-statistic is one pass of a single global aggregate over the tagged rows
-(partial aggregation per task, one tiny final merge), so the driver sees
-one row.
+``reconcile`` returns lazy DataFrames only; nothing is collected. The
+statistics are two global aggregates - over per-key summaries of both
+registers and over the comparison pairs - each ending in one row.
 """
 
 from __future__ import annotations
@@ -108,70 +107,81 @@ def reconcile(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig | None = None)
     ledger_tagged = (ledger_tagged.join(F.broadcast(scope))
                      .withColumn("in_scope", (F.col("n_tax_valid") > 0) | F.col("_tax_empty"))
                      .drop("_tax_empty"))
-    pairs = M.compare_pairs(tax_tagged, ledger_tagged, cfg)
+    pairs = M.compare_pairs(tax_f, ledger, cfg)
     return Reconciliation(cfg, tax_f, ledger, tax_tagged, ledger_tagged, pairs)
 
 
-def reconcile_stats(r: Reconciliation) -> DataFrame:
-    """One row of counts, totals, differences, match rate.
+def key_summaries(r: Reconciliation) -> DataFrame:
+    """One row per key (NULL keys form their own rows on each side) with
+    both sides' counts and exact amounts: the tax side (rows, valid rows,
+    valid amount) full-outer-joined with the ledger side (rows, amount).
 
-    Built as one global aggregate over the union of tax, ledger and pair
-    rows, each narrowed to the columns the counters need.
+    Both sides are partially aggregated before their shuffle, so a hot key
+    costs one row per map task; the join is one-to-one on the key.
     """
     cfg = r.cfg
     tc, lc = cfg.tax, cfg.ledger
     t_cancel = (is_canceled(F.col(tc.status), cfg.valid_status)
                 if tc.status in r.tax.columns else F.lit(False))
-    null_d = F.lit(None).cast("decimal(24,4)")
-    null_l = F.lit(None).cast("bigint")
-    tax_keyed = r.tax_tagged.select(
-        F.lit("tax").alias("part"), t_cancel.alias("canceled"),
-        money(numeric(r.tax_tagged, tc.amount)).alias("amt"),
-        F.col("n_ledger").cast("bigint").alias("n_ledger"))
-    tax_nokey = r.tax.filter(F.col(tc.key).isNull()).select(
-        F.lit("tax").alias("part"), t_cancel.alias("canceled"),
-        money(numeric(r.tax, tc.amount)).alias("amt"), null_l.alias("n_ledger"))
-    led_keyed = r.ledger_tagged.select(
-        F.lit("ledger").alias("part"), money(numeric(r.ledger_tagged, lc.amount)).alias("amt"),
-        F.col("n_tax").cast("bigint").alias("n_tax"), F.col("in_scope"))
-    led_nokey = r.ledger.filter(F.col(lc.key).isNull()).select(
-        F.lit("ledger").alias("part"), money(numeric(r.ledger, lc.amount)).alias("amt"),
-        null_l.alias("n_tax"), F.lit(False).alias("in_scope"))
-    pair_rows = r.pairs.select(F.lit("pair").alias("part"), "perfect_match", "amount_mismatch",
-                               "customer_mismatch", "other_mismatch")
-    u = (tax_keyed.unionByName(tax_nokey)
-         .unionByName(led_keyed, allowMissingColumns=True)
-         .unionByName(led_nokey, allowMissingColumns=True)
-         .unionByName(pair_rows, allowMissingColumns=True))
-
-    part = F.col("part")
-    is_tax, is_led, is_pair = part == "tax", part == "ledger", part == "pair"
-    only_tax = is_tax & (F.col("n_ledger") == 0)
-
-    def cnt(cond):
-        return F.count(F.when(cond, 1)).cast("bigint")
-
-    def total(cond):
-        return F.coalesce(F.sum(F.when(cond, F.col("amt"))), F.lit(0).cast("decimal(24,4)"))
-
-    agg = u.agg(
-        cnt(is_tax).alias("total_tax"),
-        cnt(is_led).alias("total_ledger"),
-        cnt(is_pair).alias("merged_count"),
-        cnt(is_pair & F.col("perfect_match")).alias("matched_count"),
-        cnt(only_tax).alias("only_tax_count"),
-        cnt(is_led & (F.col("n_tax") == 0)).alias("only_ledger_count"),
-        cnt(is_pair & F.col("amount_mismatch")).alias("amount_mismatch_count"),
-        cnt(is_pair & F.col("customer_mismatch")).alias("customer_mismatch_count"),
-        cnt(is_pair & F.col("other_mismatch")).alias("other_mismatch_count"),
-        cnt(only_tax & ~F.col("canceled")).alias("only_tax_valid_count"),
-        cnt(only_tax & F.col("canceled")).alias("only_tax_canceled_count"),
-        total(only_tax & ~F.col("canceled")).alias("only_tax_valid_amount"),
-        total(is_tax & ~F.col("canceled")).alias("total_tax_amount"),
-        total(is_led & F.col("in_scope")).alias("_inv_scoped"),
-        total(is_led).alias("_inv_all"),
-    )
-    inv = F.when(F.col("total_ledger") == 0, F.col("_inv_all")).otherwise(F.col("_inv_scoped"))
+    t_amt = money(numeric(r.tax, tc.amount))
+    tk = (r.tax.select(F.col(tc.key).alias(M.KEY), t_cancel.alias("_c"), t_amt.alias("_a"))
+              .groupBy(M.KEY)
+              .agg(F.count(F.lit(1)).alias("n_tax"),
+                   F.count(F.when(~F.col("_c"), 1)).alias("n_tax_valid"),
+                   F.sum(F.when(~F.col("_c"), F.col("_a"))).alias("tax_valid_amount")))
+    lk = (r.ledger.select(F.col(lc.key).alias(M.KEY), money(numeric(r.ledger, lc.amount)).alias("_a"))
+                 .groupBy(M.KEY)
+                 .agg(F.count(F.lit(1)).alias("n_ledger"), F.sum("_a").alias("ledger_amount")))
+    return (tk.withColumn("_tk", F.col(M.KEY)).join(lk.withColumn("_lk", F.col(M.KEY)), M.KEY, "full_outer")
+              .select(F.coalesce("_tk", "_lk").alias(M.KEY),
+                      *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+                        for c in ("n_tax", "n_tax_valid", "n_ledger")],
+                      "tax_valid_amount", "ledger_amount"))
+
+
+def reconcile_stats(r: Reconciliation) -> DataFrame:
+    """One row of counts, totals, differences, match rate.
+
+    Presence counters and totals come from the per-key summaries (no row
+    of either register is shuffled for them); mismatch counters come from
+    one global aggregate over the comparison pairs. Each part ends in a
+    single row; the two rows are combined at the end.
+    """
+    k = key_summaries(r)
+    has_key = F.col(M.KEY).isNotNull()
+    only_tax = has_key & (F.col("n_tax") > 0) & (F.col("n_ledger") == 0)
+    zero = F.lit(0).cast("decimal(24,4)")
+
+    def total(c, cond=None):
+        v = F.col(c) if cond is None else F.when(cond, F.col(c))
+        return F.coalesce(F.sum(v), zero)
+
+    def count_sum(v):
+        return F.coalesce(F.sum(v), F.lit(0)).cast("bigint")
+
+    keys = k.agg(
+        count_sum(F.col("n_tax")).alias("total_tax"),
+        count_sum(F.col("n_ledger")).alias("total_ledger"),
+        count_sum(F.when(has_key, F.col("n_tax") * F.col("n_ledger"))).alias("merged_count"),
+        count_sum(F.when(only_tax, F.col("n_tax"))).alias("only_tax_count"),
+        count_sum(F.when(has_key & (F.col("n_ledger") > 0) & (F.col("n_tax") == 0), F.col("n_ledger")))
+         .alias("only_ledger_count"),
+        count_sum(F.when(only_tax, F.col("n_tax_valid"))).alias("only_tax_valid_count"),
+        count_sum(F.when(only_tax, F.col("n_tax") - F.col("n_tax_valid"))).alias("only_tax_canceled_count"),
+        total("tax_valid_amount", only_tax).alias("only_tax_valid_amount"),
+        total("tax_valid_amount").alias("total_tax_amount"),
+        total("ledger_amount", has_key & (F.col("n_tax_valid") > 0)).alias("_inv_scoped"),
+        total("ledger_amount").alias("_inv_all"))
+    pairs = r.pairs.agg(
+        F.count(F.when(F.col("perfect_match"), 1)).cast("bigint").alias("matched_count"),
+        F.count(F.when(F.col("amount_mismatch"), 1)).cast("bigint").alias("amount_mismatch_count"),
+        F.count(F.when(F.col("customer_mismatch"), 1)).cast("bigint").alias("customer_mismatch_count"),
+        F.count(F.when(F.col("other_mismatch"), 1)).cast("bigint").alias("other_mismatch_count"))
+    agg = keys.join(F.broadcast(pairs))  # one row each
+    # With an empty side the ledger total is not restricted to keys
+    # valid in the tax register
+    inv = F.when((F.col("total_tax") == 0) | (F.col("total_ledger") == 0), F.col("_inv_all")) \
+           .otherwise(F.col("_inv_scoped"))
     diff = F.abs(F.col("total_tax_amount") - F.col("total_ledger_amount"))
     return (agg.withColumn("total_ledger_amount", inv)
                .withColumn("amount_difference", diff)
