@@ -12,5 +12,4 @@ def test_every_query_has_a_callable_and_oracle_keys_match(spark):
     qs, oracle = E.queries(), E.oracle_sql()
     assert set(oracle) <= set(qs)
     assert len(qs) >= 60
-    missing = set(qs) - set(oracle)
-    assert missing == {"profile_numeric"}
+    assert set(qs) == set(oracle)
