@@ -57,18 +57,22 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(*[F.min(c).alias(c) for c in df.columns if c != key])
 
 
-def pick_keys(keys: DataFrame) -> DataFrame:
-    """Per invoice, the smallest (detail id, payment id) with NULL payment
-    ids first, using two fixed-width hash aggregations (a ``min`` over a
-    struct would force a sort-based aggregate)."""
-    d = keys.groupBy("idFactura").agg(F.min("idegresos").alias("idegresos"))
-    at_d = keys.join(d, ["idFactura", "idegresos"])
-    p = (at_d.groupBy("idFactura", "idegresos")
-             .agg(F.max(F.when(F.col("idPago").isNull(), 1).otherwise(0)).alias("__null"),
-                  F.min("idPago").alias("__min")))
-    return p.select("idFactura", "idegresos",
-                    F.when(F.col("__null") == 1, F.lit(None).cast("bigint"))
-                     .otherwise(F.col("__min")).alias("idPago"))
+def pick_keys(det: DataFrame, pay: DataFrame) -> DataFrame:
+    """Per invoice, the (detail id, payment id) the grouped source query
+    keeps: the smallest detail id and, for the left-joined payments, the
+    smallest payment id with NULL first (NULL when the invoice has no
+    payment link or a link without payment). The two sides are reduced
+    separately with fixed-width hash aggregations, so the detail x payment
+    product of an invoice is never formed. Also returns how many rows that
+    product would have had (``joined_rows``)."""
+    d = det.groupBy("idFactura").agg(F.min("idegresos").alias("idegresos"),
+                                     F.count(F.lit(1)).alias("__nd"))
+    p = pay.groupBy("idFactura").agg(F.max(F.when(F.col("idPago").isNull(), 1).otherwise(0)).alias("__null"),
+                                     F.min("idPago").alias("__min"), F.count(F.lit(1)).alias("__np"))
+    j = d.join(p, "idFactura", "left")
+    pid = F.when(F.coalesce(F.col("__null"), F.lit(1)) == 1, F.lit(None).cast("bigint")).otherwise(F.col("__min"))
+    return j.select("idFactura", "idegresos", pid.alias("idPago"),
+                    (F.col("__nd") * F.coalesce(F.col("__np"), F.lit(1))).cast("bigint").alias("joined_rows"))
 
 
 def extract_ledger(t: dict, start: str, end: str, lot_floor: int = LOT_FLOOR,
@@ -116,8 +120,7 @@ def extract_ledger(t: dict, start: str, end: str, lot_floor: int = LOT_FLOOR,
     det = det.join(inv.select(col("f.idFactura").alias("idFactura")), "idFactura", "left_semi")
     pay = (t["pago_factura"].alias("pf").join(t["pago"].alias("p"), col("p.idPago") == col("pf.idPago"), "left")
            .select(col("pf.idFactura").alias("idFactura"), col("p.idPago").alias("idPago")))
-    keys = det.join(pay, "idFactura", "left")
-    pick = pick_keys(keys).alias("k")
+    pick = pick_keys(det, pay).drop("joined_rows").alias("k")
 
     e2, tm2, u2 = t["egresos"].alias("e"), t["tmovimiento"].alias("t"), t["users"].alias("u")
     p2 = one_per_key(t["pago"], "idPago").alias("p")
@@ -174,6 +177,4 @@ def pick_one_per_invoice(t: dict) -> DataFrame:
            .select(col("fe.idFactura").alias("idFactura"), col("e.idegresos").alias("idegresos")))
     pay = (t["pago_factura"].alias("pf").join(t["pago"].alias("p"), col("p.idPago") == col("pf.idPago"), "left")
            .select(col("pf.idFactura").alias("idFactura"), col("p.idPago").alias("idPago")))
-    keys = det.join(pay, "idFactura", "left")
-    counts = keys.groupBy("idFactura").agg(F.count(F.lit(1)).cast("bigint").alias("joined_rows"))
-    return counts.join(pick_keys(keys), "idFactura").select("idFactura", "joined_rows", "idegresos", "idPago")
+    return pick_keys(det, pay).select("idFactura", "joined_rows", "idegresos", "idPago")

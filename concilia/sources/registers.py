@@ -57,17 +57,22 @@ def repair_counts(repaired: DataFrame) -> DataFrame:
 
 
 def detect_encodings(spark: SparkSession, path: str, encodings: tuple = ENCODINGS) -> DataFrame:
-    """Per file, the first encoding of ``encodings`` that decodes it
-    (utf-8 checked with ``is_valid_utf8``; iso-8859-1 decodes any byte)."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    enc = F.lit(encodings[-1])
-    for e in reversed(encodings[:-1]):
-        if e.replace("-", "").lower() == "utf8":
-            enc = F.when(F.expr("is_valid_utf8(content)"), F.lit(e)).otherwise(enc)
-    return files.select("path", enc.alias("encoding"))
+    """Per file, the first encoding of ``encodings`` that decodes it.
+
+    Files are read as UTF-8 lines; Spark replaces invalid byte sequences
+    with U+FFFD, so one aggregate per file (no whole-file rows, no driver
+    work beyond the file list) tells which files need the fallback
+    (ISO-8859-1 decodes any byte). A file with a genuine U+FFFD character
+    is read with the fallback too.
+    """
+    lines = _read_lines(spark, path, encodings[0])
+    bad = F.max(F.col("line").contains("\ufffd").cast("int"))
+    return (lines.groupBy("path").agg(bad.alias("__bad"))
+                 .select("path", F.when(F.col("__bad") == 1, F.lit(encodings[-1]))
+                                  .otherwise(F.lit(encodings[0])).alias("encoding")))
 
 
-def _read_lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+def _read_lines(spark: SparkSession, paths, encoding: str) -> DataFrame:
     return (spark.read.option("sep", _NO_SEP).option("quote", "\u0000").option("header", False)
             .option("encoding", encoding).schema("line string").csv(paths)
             .withColumn("path", F.col("_metadata.file_path")))
