@@ -30,7 +30,7 @@ class Tables(dict):
         super().__init__()
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._key = (id(spark), self.sf_dir)
+        self._key = (spark.sparkContext.applicationId, self.sf_dir)
 
     def __missing__(self, name: str) -> DataFrame:
         cache = Tables._shared.setdefault(self._key, {})
