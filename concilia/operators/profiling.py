@@ -51,7 +51,7 @@ def value_topk(df: DataFrame, cols: list[str], k: int = 3) -> DataFrame:
     """Per column, number of distinct non-null values and the k most
     frequent values with their count and share of all rows (ties broken by
     value)."""
-    total = df.agg(F.count(F.lit(1)).alias("__rows"))
+    total = df.agg(F.count(F.lit(1)).alias("__rows")).scalar()
     stack = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
     long = df.selectExpr(f"stack({len(cols)}, {stack}) AS (field, value)").filter(F.col("value").isNotNull())
     counts = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -59,9 +59,8 @@ def value_topk(df: DataFrame, cols: list[str], k: int = 3) -> DataFrame:
     w = Window.partitionBy("field").orderBy(F.col("n").desc(), F.col("value").asc())
     top = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return (top.join(distinct, "field")
-               .join(F.broadcast(total))  # one row
                .select("field", F.col("n_distinct").cast("bigint"), F.col("rank").cast("bigint"), "value",
-                       F.col("n").cast("bigint"), (F.col("n") / F.col("__rows") * 100).alias("share_pct")))
+                       F.col("n").cast("bigint"), (F.col("n") / total * 100).alias("share_pct")))
 
 
 def group_summary(df: DataFrame, by: list[str], amount: str) -> DataFrame:

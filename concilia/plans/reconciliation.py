@@ -102,11 +102,9 @@ def reconcile(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig | None = None)
     tax_tagged = M.tag_tax(tax_f, ledger, cfg)
     ledger_tagged = M.tag_ledger(ledger, tax_f, cfg)
     # With an empty side the ledger total is not restricted to keys
-    # valid in tax. The flag is a one-row aggregate (size bound: 1 row).
-    scope = tax_f.agg((F.count(F.lit(1)) == 0).alias("_tax_empty"))
-    ledger_tagged = (ledger_tagged.join(F.broadcast(scope))
-                     .withColumn("in_scope", (F.col("n_tax_valid") > 0) | F.col("_tax_empty"))
-                     .drop("_tax_empty"))
+    # valid in tax; the emptiness test is a scalar subquery (run once)
+    tax_empty = tax_f.agg((F.count(F.lit(1)) == 0).alias("_tax_empty")).scalar()
+    ledger_tagged = ledger_tagged.withColumn("in_scope", (F.col("n_tax_valid") > 0) | tax_empty)
     pairs = M.compare_pairs(tax_f, ledger, cfg)
     return Reconciliation(cfg, tax_f, ledger, tax_tagged, ledger_tagged, pairs)
 
@@ -172,12 +170,15 @@ def reconcile_stats(r: Reconciliation) -> DataFrame:
         total("tax_valid_amount").alias("total_tax_amount"),
         total("ledger_amount", has_key & (F.col("n_tax_valid") > 0)).alias("_inv_scoped"),
         total("ledger_amount").alias("_inv_all"))
-    pairs = r.pairs.agg(
+    pair_counts = r.pairs.agg(F.struct(
         F.count(F.when(F.col("perfect_match"), 1)).cast("bigint").alias("matched_count"),
         F.count(F.when(F.col("amount_mismatch"), 1)).cast("bigint").alias("amount_mismatch_count"),
         F.count(F.when(F.col("customer_mismatch"), 1)).cast("bigint").alias("customer_mismatch_count"),
-        F.count(F.when(F.col("other_mismatch"), 1)).cast("bigint").alias("other_mismatch_count"))
-    agg = keys.join(F.broadcast(pairs))  # one row each
+        F.count(F.when(F.col("other_mismatch"), 1)).cast("bigint").alias("other_mismatch_count"),
+    ).alias("c")).scalar()  # one scalar subquery, evaluated once
+    agg = keys.select("*", *[pair_counts.getField(c).alias(c) for c in
+                             ("matched_count", "amount_mismatch_count", "customer_mismatch_count",
+                              "other_mismatch_count")])
     # With an empty side the ledger total is not restricted to keys
     # valid in the tax register
     inv = F.when((F.col("total_tax") == 0) | (F.col("total_ledger") == 0), F.col("_inv_all")) \
@@ -208,7 +209,7 @@ def gate(stats: DataFrame, cfg: ReconConfig, force: bool = False) -> DataFrame:
 
 def status(stats: DataFrame, branch_issues: DataFrame, cfg: ReconConfig) -> DataFrame:
     """The displayed status ladder (first rule that fires wins)."""
-    s = stats.join(F.broadcast(branch_issues))  # both sides are one row
+    s = stats.withColumn("branches_with_issues", branch_issues.select("branches_with_issues").scalar())
     thr = cfg.threshold_pct
     other = F.col("only_ledger_count") + F.col("customer_mismatch_count") + F.col("other_mismatch_count")
     all_canceled = ((F.col("only_tax_count") > 0) & (F.col("only_tax_valid_count") == 0)
