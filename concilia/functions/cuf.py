@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import CODE_DROP_DIGITS, CODE_FIELDS, CODE_HEX_CHARS, CODE_MIN_TAIL
 
 BASE = 1_000_000_000
+CODE_HEX_DIGITS_MAX = 51  # decimal digits of 16^42 - 1
 LIMBS = 6
 TWO32 = 1 << 32
 
@@ -49,55 +50,63 @@ def decode_codes(df: DataFrame, code_col: str, prefix: str = "", names: str = "r
     ``TIPO EMISION`` ...); ``names='snake'`` lower-cases them.
     """
     tmp = "__cuf"
-    code = F.col(code_col).cast("string")
-    hexpart = F.substring(code, 1, CODE_HEX_CHARS)
-    valid_hex = hexpart.rlike(f"^[0-9A-Fa-f]{{{CODE_HEX_CHARS}}}$")
-    ok = F.coalesce(F.length(code) >= CODE_HEX_CHARS, F.lit(False)) & valid_hex
-    out = df.select("*", ok.alias(f"{tmp}_ok"))
-    hex_ok = F.col(f"{tmp}_ok")
     if "`" in code_col:
         raise ValueError("code column name may not contain a backtick")
-
-    def chunk_sql(start: int, length: int) -> str:
-        return (f"CASE WHEN `{tmp}_ok` THEN CAST(conv(substring(CAST(`{code_col}` AS STRING), {start}, {length}),"
-                f" 16, 10) AS BIGINT) ELSE 0 END")
-
-    # limbs l0 (least significant) .. l5, seeded with the head chunk
+    code = F.col(code_col).cast("string")
+    long_enough = F.coalesce(F.length(code) >= CODE_HEX_CHARS, F.lit(False))
+    ok = long_enough & F.substring(code, 1, CODE_HEX_CHARS).rlike(f"^[0-9A-Fa-f]{{{CODE_HEX_CHARS}}}$")
     chunks = _chunks()
+    chunk = [f"{tmp}_h{i}" for i in range(len(chunks))]
     limb = [f"{tmp}_l{i}" for i in range(LIMBS)]
-    keep = [f"`{c}`" for c in out.columns]
-    out = out.selectExpr(*keep, f"{chunk_sql(*chunks[0])} AS {limb[0]}",
+    # each hex chunk is converted once; every later expression reads the
+    # column (the optimizer keeps a non-trivial projection that is read
+    # several times instead of inlining it)
+    out = df.select("*", ok.alias(f"{tmp}_ok"), long_enough.alias(f"{tmp}_len"))
+    out = out.select("*", *[F.when(F.col(f"{tmp}_ok"), F.conv(F.substring(code, st, ln), 16, 10).cast("bigint"))
+                             .otherwise(F.lit(0)).alias(chunk[i]) for i, (st, ln) in enumerate(chunks)])
+    keep = [f"`{c}`" for c in out.columns if c not in chunk]
+    out = out.selectExpr(*keep, *[f"`{c}`" for c in chunk[1:]], f"{chunk[0]} AS {limb[0]}",
                          *[f"CAST(0 AS BIGINT) AS {limb[i]}" for i in range(1, LIMBS)])
     # one projection per Horner step: value = value * 2^32 + chunk, the
     # carry running from the low limb to the high one (``div`` is exact
     # integral division; nothing goes through a double)
-    for start, length in chunks[1:]:
-        carry = chunk_sql(start, length)
+    for step in range(1, len(chunks)):
+        carry = chunk[step]
         new_limbs = []
         for i in range(LIMBS):
             v = f"({limb[i]} * {TWO32} + {carry})"
             new_limbs.append(f"{v} % {BASE} AS {limb[i]}")
             carry = f"({v} div {BASE})"
-        out = out.selectExpr(*keep, *new_limbs)
-    keep = [k.strip("`") for k in keep]
-
-    padded = F.concat(*[F.lpad(F.col(limb[i]).cast("string"), 9, "0") for i in reversed(range(LIMBS))])
-    stripped = F.regexp_replace(padded, "^0+", "")
-    out = out.select(*[F.col(f"`{c}`") for c in keep],
-                     F.when(stripped == "", F.lit("0")).otherwise(stripped).alias(f"{tmp}_digits"))
-    digits = F.col(f"{tmp}_digits")
-    n = F.length(digits)
-    status = (F.when(~F.coalesce(F.length(code) >= CODE_HEX_CHARS, F.lit(False)), F.lit(STATUS_SHORT))
-               .when(~valid_hex, F.lit(STATUS_NOT_HEX))
-               .when(n <= CODE_DROP_DIGITS, F.lit(STATUS_SHORT_DECIMAL))
-               .when(n - CODE_DROP_DIGITS < CODE_MIN_TAIL, F.lit(STATUS_SHORT_TAIL))
+        out = out.selectExpr(*keep, *[f"`{c}`" for c in chunk[step + 1:]], *new_limbs)
+
+    # The decimal form has at most 51 digits (16^42 < 10^51). Its length
+    # only matters through two thresholds, both visible on the limbs:
+    # <= 27 digits <=> the top three limbs are 0; 51 digits <=> the top
+    # limb is >= 10^5. The 24 digits after the first 27 are then the low
+    # 24 digits: the low 6 of limb 2, then limbs 1 and 0.
+    tail_digits = CODE_HEX_DIGITS_MAX - CODE_DROP_DIGITS
+    low6 = F.lpad((F.col(limb[2]) % F.lit(10 ** 6)).cast("string"), 6, "0")
+    tail = F.concat(low6, F.lpad(F.col(limb[1]).cast("string"), 9, "0"), F.lpad(F.col(limb[0]).cast("string"), 9, "0"))
+    top_zero = (F.col(limb[3]) == 0) & (F.col(limb[4]) == 0) & (F.col(limb[5]) == 0)
+    status = (F.when(~F.col(f"{tmp}_len"), F.lit(STATUS_SHORT))
+               .when(~F.col(f"{tmp}_ok"), F.lit(STATUS_NOT_HEX))
+               .when(top_zero, F.lit(STATUS_SHORT_DECIMAL))
+               .when(F.col(limb[5]) < F.lit(10 ** (CODE_HEX_DIGITS_MAX - 1 - 9 * (LIMBS - 1))),
+                     F.lit(STATUS_SHORT_TAIL))
                .otherwise(F.lit(STATUS_OK)))
-    tail = F.substring(digits, CODE_DROP_DIGITS + 1, 1 << 20)
-    decoded_ok = status == F.lit(STATUS_OK)
-    fields = [F.when(decoded_ok, F.substring(tail, start + 1, end - start)).otherwise(F.lit(""))
+    extra = []
+    if keep_digits:
+        padded = F.concat(*[F.lpad(F.col(limb[i]).cast("string"), 9, "0") for i in reversed(range(LIMBS))])
+        stripped = F.ltrim(padded, F.lit("0"))
+        extra = [F.when(F.col(f"{tmp}_ok"), F.when(stripped == "", F.lit("0")).otherwise(stripped))
+                 .alias(prefix + "code_digits")]
+    out = out.select(*[F.col(c) for c in keep], status.alias(status_col), tail.alias(f"{tmp}_tail"), *extra)
+    decoded_ok = F.col(status_col) == F.lit(STATUS_OK)
+    assert tail_digits == CODE_MIN_TAIL
+    fields = [F.when(decoded_ok, F.substring(F.col(f"{tmp}_tail"), start + 1, end - start)).otherwise(F.lit(""))
                .alias(prefix + (snake(name) if names == "snake" else name)) for name, start, end in CODE_FIELDS]
-    extra = [F.when(hex_ok, digits).alias(prefix + "code_digits")] if keep_digits else []
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], status.alias(status_col), *fields, *extra)
+    digits_col = [F.col(prefix + "code_digits")] if keep_digits else []
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col(status_col), *fields, *digits_col)
 
 
 def field_names(prefix: str = "", names: str = "reference") -> list[str]:
