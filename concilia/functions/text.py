@@ -20,11 +20,14 @@ DATE_PATTERNS = (
 )
 
 
-def _blank(c: Column) -> Column:
+def is_null_or_empty(c: Column) -> Column:
     """NULL or the empty string (before trimming)."""
     return c.isNull() | (c.cast("string") == F.lit(""))
 
 
+_blank = is_null_or_empty
+
+
 def to_decimal(c: Column, precision: int = 14, scale: int = 2) -> tuple[Column, Column]:
     """Text or number to decimal(p, s), rounding half to even.
 

@@ -59,6 +59,54 @@ def map_column(target: str, c: Column) -> tuple[Column, Column | None]:
     return c.cast("string"), None
 
 
+def _prepare(target: str, c: Column, h: str) -> list[Column]:
+    """Phase 1 of the mapping: the trimmed / parsed form of a source column
+    that both the value and its warning read (named ``h`` + suffix)."""
+    raw = c.cast("string")
+    out = [X.is_null_or_empty(c).alias(f"{h}_b")]
+    kind = "decimal" if target in DECIMAL_TARGETS else _RULES.get(target, ("plain", None))[0]
+    if kind == "decimal":
+        out.append(strip(raw).try_cast("decimal(38,10)").alias(f"{h}_p"))
+    elif kind == "date":
+        out.append(X.to_date_multi(c)[0].alias(f"{h}_d"))
+    elif kind in ("trunc", "control", "code", "invoice"):
+        out.append(strip(raw).alias(f"{h}_s"))
+    elif kind == "nit":
+        out.append(F.translate(F.upper(strip(raw)), " -.", "").alias(f"{h}_s"))
+    return out
+
+
+def _finish(target: str, c: Column, h: str) -> tuple[Column, Column | None]:
+    """Phase 2: value and warning from the phase-1 columns (same rules as
+    ``functions.text``)."""
+    blank = F.col(f"{h}_b")
+    kind, arg = ("decimal", None) if target in DECIMAL_TARGETS else _RULES.get(target, ("plain", None))
+    if kind == "decimal":
+        parsed = F.col(f"{h}_p")
+        rounded = F.bround(parsed, 2).try_cast("decimal(14,2)")
+        zero = F.lit(0).cast("decimal(14,2)")
+        return (F.when(blank | parsed.isNull(), zero).otherwise(rounded),
+                ~blank & (parsed.isNull() | rounded.isNull()))
+    if kind == "date":
+        d = F.col(f"{h}_d")
+        return d, ~blank & d.isNull()
+    if kind in ("trunc", "nit", "invoice", "control", "code"):
+        st = F.col(f"{h}_s")
+        if kind == "trunc":
+            return (F.when(blank, F.lit(None).cast("string")).otherwise(F.nullif(F.left(st, F.lit(arg)), F.lit(""))),
+                    ~blank & (F.length(st) > arg))
+        if kind == "nit":
+            return F.when(blank, F.lit("")).otherwise(F.left(st, F.lit(arg))), ~blank & (F.length(st) > arg)
+        if kind == "control":
+            return F.when(blank, F.lit("0")).otherwise(st), None
+        z = F.regexp_replace(st, "^0+", "")
+        if kind == "code":
+            return F.when(blank, F.lit("")).when(z == "", F.lit("0")).otherwise(z), None
+        return (F.when(blank, F.lit("")).when(z == "", st).otherwise(F.left(z, F.lit(arg))),
+                ~blank & (z != "") & (F.length(z) > arg))
+    return map_column(target, c)
+
+
 def glosa_lookup(ledger: DataFrame, key: str = "cuf", glosa: str = "glosa",
                  order: tuple = ("fechaFac", "numeroFactura", "idFactura")) -> DataFrame:
     """One note per code. Among ledger rows with a non-null note, the
@@ -87,18 +135,24 @@ def map_register(tax: DataFrame, column_map: tuple = REGISTER_COLUMN_MAP,
         raise ValueError("tax register has no authorization code column")
     code_src = sources["authorization_code"]
     sector_src = sources.get("sector")
+    # two projections: parse/trim each source once, then values and flags
+    # (phase-1 columns are read twice, so the optimizer keeps them apart)
+    helpers = {t: f"__m{i}" for i, t in enumerate(sources)}
+    staged = tax.select(
+        *[F.col(f"`{k}`") for k in keep],
+        *[F.col(f"`{src}`").alias(f"{helpers[t]}_raw") for t, src in sources.items()],
+        *[x for t, src in sources.items() for x in _prepare(t, F.col(f"`{src}`"), helpers[t])],
+        F.col(f"`{code_src}`").cast("string").alias("__code"),
+        (strip(F.col(f"`{sector_src}`").cast("string")) if sector_src else F.lit(None).cast("string"))
+        .alias("__sector"))
     cols, warns = [], []
-    for target, src in sources.items():
-        v, w = map_column(target, F.col(f"`{src}`"))
+    for target in sources:
+        v, w = _finish(target, F.col(f"{helpers[target]}_raw"), helpers[target])
         cols.append(v.alias(target))
         if w is not None:
             warns.append(F.when(w, 1).otherwise(0))
-    base = tax.select(
-        *[F.col(f"`{k}`") for k in keep],
-        *cols,
-        F.col(f"`{code_src}`").cast("string").alias("__code"),
-        (strip(F.col(f"`{sector_src}`").cast("string")) if sector_src else F.lit(None).cast("string"))
-        .alias("__sector"),
+    base = staged.select(
+        *[F.col(f"`{k}`") for k in keep], *cols, "__code", "__sector",
         (sum(warns[1:], warns[0]) if warns else F.lit(0)).alias("warnings"))
 
     if only_tax is not None:

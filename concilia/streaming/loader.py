@@ -18,7 +18,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import REGISTER_COLUMN_MAP
 from ..operators.register import map_register
 from ..operators.upsert import merge_plan
-from ..session import ensure_checkpoint_dir
 from ..sinks.snapshot import commit_snapshot, read_current
 from ..sources.registers import _NO_SEP, repair_lines
 
@@ -31,9 +30,12 @@ def _lines_stream(spark: SparkSession, source_dir: str, encoding: str = "utf-8")
 
 def load_stream(spark: SparkSession, source_dir: str, target_root: str, header: list[str],
                 column_map: tuple = REGISTER_COLUMN_MAP, key: str = "authorization_code",
-                merge_at: int = 6, name: str = "register-loader", available_now: bool = True) -> StreamingQuery:
+                merge_at: int = 6, name: str = "register-loader", available_now: bool = True,
+                checkpoint_location: str | None = None) -> StreamingQuery:
     """Start a stream that loads every new export file under ``source_dir``
-    into the versioned register at ``target_root``."""
+    into the versioned register at ``target_root``. The stream's progress
+    (files consumed) is kept with the target, under ``_checkpoints/``, on
+    the same shared storage."""
     head_text = ",".join(header)
     lines = _lines_stream(spark, source_dir).filter(F.btrim("line") != F.lit(head_text))
     rows = repair_lines(lines, "line", header, merge_at).filter(F.col("repair_status") != "skipped")
@@ -49,7 +51,7 @@ def load_stream(spark: SparkSession, source_dir: str, target_root: str, header:
         plan = merge_plan(current, mapped, key).drop("action")
         commit_snapshot(plan, target_root)
 
-    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    ckpt = checkpoint_location or f"{target_root.rstrip('/')}/_checkpoints/{name}"
     writer = rows.writeStream.foreachBatch(apply_batch).option("checkpointLocation", ckpt).queryName(name)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
