@@ -202,6 +202,11 @@ def build_v_ledger(t: Tables) -> DataFrame:
 
 
 def v_accounting(t: Tables) -> DataFrame:
+    """Existing accounting register (materialized once per application)."""
+    return materialized(t, "v_accounting", build_v_accounting)
+
+
+def build_v_accounting(t: Tables) -> DataFrame:
     """Existing accounting register rows (for upsert): mapped tax rows of
     k % 3 = 0 with author 'manual' and older amounts."""
     from ..operators.register import map_register
@@ -223,4 +228,5 @@ def warm(spark: SparkSession, sf_dir: str) -> None:
     t = Tables(spark, sf_dir)
     v_tax(t)
     v_ledger(t)
+    v_accounting(t)
     star(t)
