@@ -98,14 +98,16 @@ def dry_run(target: DataFrame, source: DataFrame, key: str = "authorization_code
     rows = source.agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
     exact = upsert_counts(target, source, key).select(
         F.struct(F.col("inserted").alias("i"), F.col("updated").alias("u")).alias("c")).scalar()
-    res = rows.select("rows", exact.getField("i").alias("exact_inserts"), exact.getField("u").alias("exact_updates"))
+    res = (rows.select("rows", exact.alias("__x"))
+               .select("rows", F.col("__x.i").alias("exact_inserts"), F.col("__x.u").alias("exact_updates")))
     if sample:
         order = sample_order or key
         head = source.orderBy(F.col(order).asc_nulls_last(), F.col(key).asc_nulls_last()).limit(sample)
         probe = head.join(target.select(key).distinct().withColumn("__e", F.lit(1)), key, "left")
         ratio = probe.agg(F.struct((F.count("__e") / F.count(F.lit(1))).alias("r"),
                                    F.count(F.lit(1)).alias("n")).alias("c")).scalar()
-        res = res.select("*", ratio.getField("r").alias("existing_ratio"), ratio.getField("n").alias("sampled"))
+        res = (res.select("*", ratio.alias("__r"))
+                  .select("*", F.col("__r.r").alias("existing_ratio"), F.col("__r.n").alias("sampled")).drop("__r"))
         est_upd = F.when(F.col("sampled") > 0, F.floor(F.col("rows") * F.col("existing_ratio"))).otherwise(0)
         res = (res.withColumn("estimated_updates", est_upd.cast("bigint"))
                   .withColumn("estimated_inserts", (F.col("rows") - F.col("estimated_updates")).cast("bigint"))

@@ -176,9 +176,11 @@ def reconcile_stats(r: Reconciliation) -> DataFrame:
         F.count(F.when(F.col("customer_mismatch"), 1)).cast("bigint").alias("customer_mismatch_count"),
         F.count(F.when(F.col("other_mismatch"), 1)).cast("bigint").alias("other_mismatch_count"),
     ).alias("c")).scalar()  # one scalar subquery, evaluated once
-    agg = keys.select("*", *[pair_counts.getField(c).alias(c) for c in
-                             ("matched_count", "amount_mismatch_count", "customer_mismatch_count",
-                              "other_mismatch_count")])
+    agg = (keys.select("*", pair_counts.alias("__pc"))
+               .select("*", *[F.col(f"__pc.{c}").alias(c) for c in
+                              ("matched_count", "amount_mismatch_count", "customer_mismatch_count",
+                               "other_mismatch_count")])
+               .drop("__pc"))
     # With an empty side the ledger total is not restricted to keys
     # valid in the tax register
     inv = F.when((F.col("total_tax") == 0) | (F.col("total_ledger") == 0), F.col("_inv_all")) \
