@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..catalog import present, register
 from ..config import CODE_FIELDS
 from ..fixtures import sql as S
@@ -115,5 +113,3 @@ def q_sales_by_branch(spark, sf_dir):
 def q_fill_blank(spark, sf_dir):
     return P.blank_counts(v_tax(Tables(spark, sf_dir)), ["importe_txt", "control", "fecha_txt"])
 
-
-__all__ = ["F"]

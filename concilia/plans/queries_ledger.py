@@ -92,5 +92,3 @@ def q_ledger_summary(spark, sf_dir):
     led = extract_ledger(star(Tables(spark, sf_dir)), *ALL, order=False)
     return present(ledger_summary(led, "numeroFactura", "total", "cuf"))
 
-
-__all__ = ["F"]

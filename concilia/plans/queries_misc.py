@@ -17,9 +17,6 @@ from ..sinks.report import SUMMARY_ROWS, ROUNDING, summary_table
 from ..sources.registers import repair_lines
 from .queries_core import STATS_SQL, run
 
-ORDER_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-
-
 @register("profile_nulls", S.with_views(
     " UNION ALL ".join(
         f"SELECT '{c}' AS column, '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) AS null_count, "
