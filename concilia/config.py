@@ -44,8 +44,8 @@ OBS_RENTAL = "Factura de alquiler"
 OBS_DOLLAR = "Factura en dólares - SIAT desktop"
 OBS_NOT_IN_LEDGER = "No existe en inventarios"
 
-# Author stamped on rows loaded by this engine.
-DEFAULT_AUTHOR = "TaxSalesValidator"
+# Author stamped on rows loaded by this engine (its own name).
+DEFAULT_AUTHOR = "concilia"
 
 # Tax-register header -> accounting-register column (source names as
 # published by the tax authority export; target names of the register).

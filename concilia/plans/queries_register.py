@@ -140,7 +140,7 @@ def _present_sql(cols):
 
 @register("register_map", S.with_views(
     f"""SELECT nro, {_present_sql(TARGETS)},
-      CASE WHEN debit_tax > 0 THEN 1 ELSE 0 END AS right_to_tax_credit, 'TaxSalesValidator' AS author, warnings
+      CASE WHEN debit_tax > 0 THEN 1 ELSE 0 END AS right_to_tax_credit, 'concilia' AS author, warnings
     FROM mapped""", "v_tax", ctes=(MAPPED_SQL,)))
 def q_register_map(spark, sf_dir):
     m = mapped(spark, sf_dir, with_lookups=False)

@@ -47,7 +47,7 @@ def source(spark, sf_dir):
                '%Y-%m-%d %H:%M:%S') AS created_at,
       strftime(CASE WHEN s.authorization_code IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE t.updated_at END,
                '%Y-%m-%d %H:%M:%S') AS updated_at
-    FROM tgt t FULL OUTER JOIN (SELECT *, 'TaxSalesValidator' AS author FROM src) s
+    FROM tgt t FULL OUTER JOIN (SELECT *, 'concilia' AS author FROM src) s
       ON t.authorization_code = s.authorization_code""",
     "v_tax", ctes=(MAPPED_SQL, TARGET_SQL)))
 def q_upsert_result(spark, sf_dir):
