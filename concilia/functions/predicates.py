@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 WHITESPACE = " \t\r\n\x0b\x0c"
 
 
+def col(name: str) -> Column:
+    """A column by its exact name: register headers may contain dots or
+    spaces ("NRO."), which ``F.col`` would read as a struct path."""
+    return F.col(name if name.startswith("`") else f"`{name}`")
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
@@ -50,9 +56,9 @@ def numeric(df, name: str) -> Column:
 
     dtype = df.schema[name].dataType
     if isinstance(dtype, NumericType):
-        d = F.col(name).cast("double")
+        d = col(name).cast("double")
         return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
-    return as_double(F.col(name))
+    return as_double(col(name))
 
 
 def money(c: Column) -> Column:

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import money, numeric
+from ..functions.predicates import col, money, numeric
 
 
 def key_uniqueness(df: DataFrame, key: str) -> DataFrame:
@@ -27,7 +27,7 @@ def table_schema(df: DataFrame) -> DataFrame:
 def observation_audit(df: DataFrame, date_col: str, note_col: str, contains: str,
                       year: int | None = None, month: int | None = None) -> DataFrame:
     """Rows whose note contains a text, optionally in one year/month."""
-    out = df.filter(F.col(note_col).contains(contains))
+    out = df.filter(col(note_col).contains(contains))
     if year is not None:
         out = out.filter(F.year(date_col) == year)
     if month is not None:
@@ -37,8 +37,8 @@ def observation_audit(df: DataFrame, date_col: str, note_col: str, contains: str
 
 def observation_counts(df: DataFrame, date_col: str, note_col: str, note: str, by: str = "month") -> DataFrame:
     """Rows with one note per day or per month."""
-    d = F.col(date_col)
-    rows = df.filter(F.col(note_col) == note)
+    d = col(date_col)
+    rows = df.filter(col(note_col) == note)
     if by == "day":
         keys = [F.to_date(d).alias("day"), F.month(d).alias("month"), F.year(d).alias("year")]
     else:
@@ -48,20 +48,20 @@ def observation_counts(df: DataFrame, date_col: str, note_col: str, note: str, b
 
 def latest(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """L2: the n last rows by a total order (descending, NULLs last)."""
-    return df.orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(n)
+    return df.orderBy(*[col(c).desc_nulls_last() for c in order]).limit(n)
 
 
 def top_by_amount(df: DataFrame, amount: str, key: str, n: int = 10) -> DataFrame:
     """L3: n largest amounts, ties broken by key."""
     return (df.withColumn("__amt", numeric(df, amount))
-              .orderBy(F.col("__amt").desc_nulls_last(), F.col(key).asc())
+              .orderBy(F.col("__amt").desc_nulls_last(), col(key).asc())
               .limit(n).drop("__amt"))
 
 
 def preview(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     """First and last n rows by a key, tagged 'head' / 'tail'."""
-    head = df.orderBy(F.col(key).asc_nulls_last()).limit(n).withColumn("part", F.lit("head"))
-    tail = df.orderBy(F.col(key).desc_nulls_last()).limit(n).withColumn("part", F.lit("tail"))
+    head = df.orderBy(col(key).asc_nulls_last()).limit(n).withColumn("part", F.lit("head"))
+    tail = df.orderBy(col(key).desc_nulls_last()).limit(n).withColumn("part", F.lit("tail"))
     return head.unionByName(tail)
 
 

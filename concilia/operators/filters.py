@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MONTH_NAMES, ReconConfig
-from ..functions.predicates import is_canceled
+from ..functions.predicates import col, is_canceled
 
 
 def modality_filter(df: DataFrame, column: str, modality: str | None = "2") -> DataFrame:
@@ -14,14 +14,14 @@ def modality_filter(df: DataFrame, column: str, modality: str | None = "2") -> D
     ``None`` modality passes every row."""
     if modality is None or column not in df.columns:
         return df
-    return df.filter(F.col(column) == F.lit(modality))
+    return df.filter(col(column) == F.lit(modality))
 
 
 def sector_exclude(df: DataFrame, column: str, sector: str | None = "02") -> DataFrame:
     """Drop rows of one sector; NULL sectors stay (null-safe inequality)."""
     if sector is None or column not in df.columns:
         return df
-    return df.filter(~F.col(column).eqNullSafe(F.lit(sector)))
+    return df.filter(~col(column).eqNullSafe(F.lit(sector)))
 
 
 def reconcilable(tax: DataFrame, cfg: ReconConfig) -> DataFrame:
@@ -35,11 +35,11 @@ def canceled_flag(df: DataFrame, status_col: str | None, valid_word: str = "VALI
     looking a name up (the ledger has a status column of another meaning)."""
     if status_col is None:
         return F.lit(False)
-    return is_canceled(F.col(status_col), valid_word)
+    return is_canceled(col(status_col), valid_word)
 
 
 def non_null_key(df: DataFrame, key: str) -> DataFrame:
-    return df.filter(F.col(key).isNotNull())
+    return df.filter(col(key).isNotNull())
 
 
 def period_bounds(spark: SparkSession, year: int | Column, month_name: str | Column) -> DataFrame:
@@ -72,7 +72,7 @@ def resolve_period(year: int, month_name: str) -> tuple[str, str]:
 def in_period(df: DataFrame, date_col: str, start: str, end: str) -> DataFrame:
     """Inclusive date range filter written as literals so it reaches the
     parquet scan (and prunes ``period`` partitions)."""
-    return df.filter(F.col(date_col).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return df.filter(col(date_col).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
 def period_bounds_of(df: DataFrame, date_col: str) -> DataFrame:

@@ -20,20 +20,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ReconConfig
-from ..functions.predicates import clean_nit, is_canceled, numeric
+from ..functions.predicates import clean_nit, col, is_canceled, numeric
 
 KEY = "match_key"
 
 
 def _with_key(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn(KEY, F.col(key))
+    return df.withColumn(KEY, col(key))
 
 
 def tax_key_counts(tax: DataFrame, cfg: ReconConfig) -> DataFrame:
     """(match_key, n_tax, n_tax_valid) over non-null keys."""
-    canceled = is_canceled(F.col(cfg.tax.status), cfg.valid_status) \
+    canceled = is_canceled(col(cfg.tax.status), cfg.valid_status) \
         if cfg.tax.status in tax.columns else F.lit(False)
-    return (tax.select(F.col(cfg.tax.key).alias(KEY), canceled.alias("_c"))
+    return (tax.select(col(cfg.tax.key).alias(KEY), canceled.alias("_c"))
                .filter(F.col(KEY).isNotNull())
                .groupBy(KEY)
                .agg(F.count(F.lit(1)).alias("n_tax"),
@@ -42,7 +42,7 @@ def tax_key_counts(tax: DataFrame, cfg: ReconConfig) -> DataFrame:
 
 def ledger_key_counts(ledger: DataFrame, cfg: ReconConfig) -> DataFrame:
     """(match_key, n_ledger) over non-null keys."""
-    return (ledger.select(F.col(cfg.ledger.key).alias(KEY))
+    return (ledger.select(col(cfg.ledger.key).alias(KEY))
                   .filter(F.col(KEY).isNotNull())
                   .groupBy(KEY).agg(F.count(F.lit(1)).alias("n_ledger")))
 
@@ -66,27 +66,27 @@ def tag_ledger(ledger: DataFrame, tax: DataFrame, cfg: ReconConfig) -> DataFrame
 
 def matched(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> DataFrame:
     """Tax rows whose key is in the ledger (duplicates kept)."""
-    return tax.filter(F.col(cfg.tax.key).isNotNull()).join(
-        ledger.select(F.col(cfg.ledger.key).alias(cfg.tax.key)), cfg.tax.key, "left_semi")
+    return tax.filter(col(cfg.tax.key).isNotNull()).join(
+        ledger.select(col(cfg.ledger.key).alias(cfg.tax.key)), cfg.tax.key, "left_semi")
 
 
 def only_in_tax(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> DataFrame:
     """Tax rows whose (non-null) key is absent from the ledger."""
-    return tax.filter(F.col(cfg.tax.key).isNotNull()).join(
-        ledger.select(F.col(cfg.ledger.key).alias(cfg.tax.key)), cfg.tax.key, "left_anti")
+    return tax.filter(col(cfg.tax.key).isNotNull()).join(
+        ledger.select(col(cfg.ledger.key).alias(cfg.tax.key)), cfg.tax.key, "left_anti")
 
 
 def only_in_ledger(ledger: DataFrame, tax: DataFrame, cfg: ReconConfig) -> DataFrame:
     """Ledger rows whose (non-null) key is absent from the tax register."""
-    return ledger.filter(F.col(cfg.ledger.key).isNotNull()).join(
-        tax.select(F.col(cfg.tax.key).alias(cfg.ledger.key)), cfg.ledger.key, "left_anti")
+    return ledger.filter(col(cfg.ledger.key).isNotNull()).join(
+        tax.select(col(cfg.tax.key).alias(cfg.ledger.key)), cfg.ledger.key, "left_anti")
 
 
 def ledger_valid_in_tax(ledger: DataFrame, tax: DataFrame, cfg: ReconConfig) -> DataFrame:
     """Ledger rows whose key belongs to a VALIDA tax row."""
-    valid_keys = (tax.filter(~is_canceled(F.col(cfg.tax.status), cfg.valid_status))
-                     .select(F.col(cfg.tax.key).alias(cfg.ledger.key))
-                     .filter(F.col(cfg.ledger.key).isNotNull()))
+    valid_keys = (tax.filter(~is_canceled(col(cfg.tax.status), cfg.valid_status))
+                     .select(col(cfg.tax.key).alias(cfg.ledger.key))
+                     .filter(col(cfg.ledger.key).isNotNull()))
     return ledger.join(valid_keys, cfg.ledger.key, "left_semi")
 
 
@@ -102,7 +102,7 @@ def key_sets(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> DataFrame:
 
 
 def _prefixed(df: DataFrame, prefix: str, keep: tuple = (KEY,)) -> DataFrame:
-    return df.select(*[F.col(c).alias(c if c in keep else f"{prefix}{c}") for c in df.columns])
+    return df.select(*[col(c).alias(c if c in keep else f"{prefix}{c}") for c in df.columns])
 
 
 def compare_flags(tax_amount: Column, ledger_amount: Column, tax_nit: Column, ledger_nit: Column,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import (DECIMAL_TARGETS, DEFAULT_AUTHOR, LENGTH_LIMITS, OBS_DOLLAR, OBS_NOT_IN_LEDGER,
                       OBS_RENTAL, REGISTER_COLUMN_MAP, REQUIRED_TARGETS)
 from ..functions import text as X
-from ..functions.predicates import strip
+from ..functions.predicates import col, strip
 
 # target column -> (kind, arg)
 _RULES = {
@@ -112,9 +112,9 @@ def glosa_lookup(ledger: DataFrame, key: str = "cuf", glosa: str = "glosa",
     """One note per code. Among ledger rows with a non-null note, the
     one that came last in the source order (newest first) wins, i.e. the
     oldest by ``order``; an empty note then reads as NULL."""
-    rows = ledger.filter(F.col(key).isNotNull() & F.col(glosa).isNotNull())
-    pick = F.min_by(F.col(glosa).cast("string"), F.struct(*[F.col(c) for c in order]))
-    return (rows.groupBy(F.col(key).alias("authorization_code"))
+    rows = ledger.filter(col(key).isNotNull() & col(glosa).isNotNull())
+    pick = F.min_by(col(glosa).cast("string"), F.struct(*[col(c) for c in order]))
+    return (rows.groupBy(col(key).alias("authorization_code"))
                 .agg(F.nullif(pick, F.lit("")).alias("obs")))
 
 
@@ -187,13 +187,13 @@ def validate_register(df: DataFrame) -> DataFrame:
     rules = []
     for c in REQUIRED_TARGETS:
         if c in df.columns:
-            rules.append(("not_null", c, F.col(c).isNull()))
+            rules.append(("not_null", c, col(c).isNull()))
     for c in DECIMAL_TARGETS:
         if c in df.columns:
-            rules.append(("numeric", c, F.col(c).isNotNull() & F.col(c).cast("string").try_cast("double").isNull()))
+            rules.append(("numeric", c, col(c).isNotNull() & col(c).cast("string").try_cast("double").isNull()))
     for c, n in LENGTH_LIMITS:
         if c in df.columns:
-            rules.append(("max_length", c, F.length(F.coalesce(F.col(c).cast("string"), F.lit("None"))) > n))
+            rules.append(("max_length", c, F.length(F.coalesce(col(c).cast("string"), F.lit("None"))) > n))
     if not rules:
         return df.sparkSession.createDataFrame([], "rule string, column string, n_rows bigint")
     one = df.agg(*[F.count(F.when(cond, 1)).alias(f"__r{i}") for i, (_, _, cond) in enumerate(rules)])

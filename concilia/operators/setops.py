@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..functions.predicates import col
 
 
 def _keys(df: DataFrame, col: str, name: str = "cuf") -> DataFrame:
-    return df.select(F.col(col).alias(name)).filter(F.col(name).isNotNull())
+    return df.select(col(col).alias(name)).filter(col(name).isNotNull())
 
 
 def key_intersect(a: DataFrame, a_key: str, b: DataFrame, b_key: str, name: str = "cuf") -> DataFrame:
@@ -39,7 +40,7 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     The copy count is a partially aggregated groupBy joined back (a hot key
     costs one row per map task before the shuffle; the join-back relies on
     AQE's skew split)."""
-    counts = (df.select(key).filter(F.col(key).isNotNull())
+    counts = (df.select(key).filter(col(key).isNotNull())
                 .groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
                 .filter(F.col("copies") > 1))
     return df.join(counts, key, "inner")
@@ -48,5 +49,5 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 def numeric_order(c) -> "F.Column":
     """L4: sort key for row numbers held as text: digits numerically, any
     other value as 0."""
-    return F.when(F.col(c).cast("string").rlike("^[0-9]+$"),
-                  F.col(c).cast("string").try_cast("decimal(38,0)")).otherwise(F.lit(0))
+    return F.when(col(c).cast("string").rlike("^[0-9]+$"),
+                  col(c).cast("string").try_cast("decimal(38,0)")).otherwise(F.lit(0))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ReconConfig
-from ..functions.predicates import is_canceled, money, numeric
+from ..functions.predicates import col, is_canceled, money, numeric
 
 
 def only_tax_split(only_tax: DataFrame, cfg: ReconConfig) -> DataFrame:
     """Tax-only rows split into valid and canceled, with the valid amount."""
-    c = (is_canceled(F.col(cfg.tax.status), cfg.valid_status)
+    c = (is_canceled(col(cfg.tax.status), cfg.valid_status)
          if cfg.tax.status in only_tax.columns else F.lit(False))
     amt = money(numeric(only_tax, cfg.tax.amount))
     return only_tax.agg(

@@ -13,17 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import UPSERT_COLUMNS, UPSERT_KEEP
+from ..functions.predicates import col
 
 
 def dedup_source(source: DataFrame, key: str, order_by: str | None = None) -> DataFrame:
     """One source row per key: the last by ``order_by`` (statement order of
     a row-by-row upsert); rows with a NULL key are dropped. ``max_by`` is a
     partially aggregated groupBy, so a key with many copies stays cheap."""
-    rows = source.filter(F.col(key).isNotNull())
+    rows = source.filter(col(key).isNotNull())
     if order_by is None:
         return rows.dropDuplicates([key])
     others = [c for c in rows.columns if c != key]
-    picked = F.max_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.col(order_by))
+    picked = F.max_by(F.struct(*[F.col(f"`{c}`") for c in others]), col(order_by))
     return rows.groupBy(key).agg(picked.alias("__row")).select(key, "__row.*")
 
 
@@ -40,10 +41,10 @@ def merge_plan(target: DataFrame, source: DataFrame, key: str = "authorization_c
     now = now if now is not None else F.current_timestamp()
     src = dedup_source(source, key, order_by)
     written = [c for c in columns if c in src.columns or c in target.columns]
-    s = src.select(F.col(key).alias("__k"), F.lit(True).alias("__s"),
-                   *[(F.col(c) if c in src.columns else F.lit(None)).alias(f"__s_{c}") for c in written])
-    t = target.select(F.col(key).alias("__k"), F.lit(True).alias("__t"),
-                      *[F.col(c).alias(f"__t_{c}") for c in target.columns if c != key])
+    s = src.select(col(key).alias("__k"), F.lit(True).alias("__s"),
+                   *[(col(c) if c in src.columns else F.lit(None)).alias(f"__s_{c}") for c in written])
+    t = target.select(col(key).alias("__k"), F.lit(True).alias("__t"),
+                      *[col(c).alias(f"__t_{c}") for c in target.columns if c != key])
     j = t.join(s, "__k", "full_outer")
     in_s, in_t = F.coalesce(F.col("__s"), F.lit(False)), F.coalesce(F.col("__t"), F.lit(False))
     action = F.when(in_s & in_t, F.lit("update")).when(in_s, F.lit("insert")).otherwise(F.lit("keep"))
@@ -69,9 +70,9 @@ def merge_plan(target: DataFrame, source: DataFrame, key: str = "authorization_c
 def upsert_counts(target: DataFrame, source: DataFrame, key: str = "authorization_code") -> DataFrame:
     """Counts a row-by-row upsert reports: per key with c source copies,
     an existing key gives c updates, a new key 1 insert and c-1 updates."""
-    per_key = (source.filter(F.col(key).isNotNull()).groupBy(key)
+    per_key = (source.filter(col(key).isNotNull()).groupBy(key)
                      .agg(F.count(F.lit(1)).alias("c")))
-    exists = target.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("__e", F.lit(True))
+    exists = target.select(key).filter(col(key).isNotNull()).distinct().withColumn("__e", F.lit(True))
     j = per_key.join(exists, key, "left")
     new = ~F.coalesce(F.col("__e"), F.lit(False))
     return j.agg(F.count(F.when(new, 1)).cast("bigint").alias("inserted"),
@@ -102,7 +103,7 @@ def dry_run(target: DataFrame, source: DataFrame, key: str = "authorization_code
                .select("rows", F.col("__x.i").alias("exact_inserts"), F.col("__x.u").alias("exact_updates")))
     if sample:
         order = sample_order or key
-        head = source.orderBy(F.col(order).asc_nulls_last(), F.col(key).asc_nulls_last()).limit(sample)
+        head = source.orderBy(col(order).asc_nulls_last(), col(key).asc_nulls_last()).limit(sample)
         probe = head.join(target.select(key).distinct().withColumn("__e", F.lit(1)), key, "left")
         ratio = probe.agg(F.struct((F.count("__e") / F.count(F.lit(1))).alias("r"),
                                    F.count(F.lit(1)).alias("n")).alias("c")).scalar()

@@ -2,9 +2,13 @@
 write the report, check the gate, map and validate the register, then a
 dry run or the keyed all-or-nothing load.
 
-Only one-row results reach the driver (gate, validation verdict, counts);
-the reconciliation's tagged frames are persisted for the several outputs
-that read them (lost blocks are recomputed from lineage).
+Only one-row results reach the driver (gate, validation verdict, counts).
+Both registers are first checkpointed into the shared checkpoint folder (the
+processed register is a stage output, as the decoded export and the ledger
+snapshot were): every later plan reads them as leaves, so the decode and
+the extract are neither recomputed per output nor re-optimized inside every
+plan, and a lost executor cannot force them to be recomputed. The
+reconciliation's tagged frames are persisted for the outputs that read them.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 from ..config import REGISTER_COLUMN_MAP, ReconConfig
 from ..operators.register import map_register, transform_stats, validate_register
 from ..operators.upsert import dry_run, merge_plan, plan_counts
+from ..session import cut_lineage
 from ..sinks.report import write_report
 from ..sinks.snapshot import commit_snapshot, read_current
 from .reconciliation import reconcile
@@ -41,6 +46,7 @@ def run_period(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig | None = None
                report_root: str | None = None, force: bool = False, load: bool = False,
                order_by: str | None = None) -> PeriodResult:
     cfg = cfg or ReconConfig()
+    tax, ledger = cut_lineage(tax), cut_lineage(ledger)
     r = reconcile(tax, ledger, cfg)
     for df in (r.tax_tagged, r.ledger_tagged, r.pairs):
         df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -55,7 +61,7 @@ def run_period(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig | None = None
             return res
         mapped = map_register(tax, column_map, only_tax=r.only_tax, only_tax_key=cfg.tax.key,
                               ledger=ledger, ledger_key=cfg.ledger.key, ledger_glosa=cfg.ledger.glosa,
-                              ledger_order=cfg.ledger.order)
+                              ledger_order=cfg.ledger.order, keep=(order_by,) if order_by else ())
         res.transform = transform_stats(mapped).first().asDict()
         res.issues = [row.asDict() for row in validate_register(mapped).collect()]  # at most one row per rule
         if res.issues:

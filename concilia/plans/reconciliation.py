@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ReconConfig
-from ..functions.predicates import is_canceled, money, numeric
+from ..functions.predicates import col, is_canceled, money, numeric
 from ..operators import branches as B
 from ..operators import matching as M
 from ..operators.filters import reconcilable
@@ -68,14 +68,14 @@ class Reconciliation:
 
     def tax_branches(self) -> DataFrame:
         tc = self.cfg.tax
-        canceled = (is_canceled(F.col(tc.status), self.cfg.valid_status)
+        canceled = (is_canceled(col(tc.status), self.cfg.valid_status)
                     if tc.status in self.tax.columns else F.lit(False))
         return B.branch_breakdown(self.tax, tc.branch, tc.amount, canceled)
 
     def ledger_branches(self) -> DataFrame:
         lc = self.cfg.ledger
         lv = self.ledger_valid
-        canceled = (is_canceled(F.col(lc.status), self.cfg.valid_status) if lc.status else None)
+        canceled = (is_canceled(col(lc.status), self.cfg.valid_status) if lc.status else None)
         return B.branch_breakdown(lv, lc.branch, lc.amount, canceled)
 
     def branch_report(self) -> DataFrame:
@@ -119,20 +119,20 @@ def key_summaries(r: Reconciliation) -> DataFrame:
     """
     cfg = r.cfg
     tc, lc = cfg.tax, cfg.ledger
-    t_cancel = (is_canceled(F.col(tc.status), cfg.valid_status)
+    t_cancel = (is_canceled(col(tc.status), cfg.valid_status)
                 if tc.status in r.tax.columns else F.lit(False))
     t_amt = money(numeric(r.tax, tc.amount))
-    tk = (r.tax.select(F.col(tc.key).alias(M.KEY), t_cancel.alias("_c"), t_amt.alias("_a"))
+    tk = (r.tax.select(col(tc.key).alias(M.KEY), t_cancel.alias("_c"), t_amt.alias("_a"))
               .groupBy(M.KEY)
               .agg(F.count(F.lit(1)).alias("n_tax"),
                    F.count(F.when(~F.col("_c"), 1)).alias("n_tax_valid"),
                    F.sum(F.when(~F.col("_c"), F.col("_a"))).alias("tax_valid_amount")))
-    lk = (r.ledger.select(F.col(lc.key).alias(M.KEY), money(numeric(r.ledger, lc.amount)).alias("_a"))
+    lk = (r.ledger.select(col(lc.key).alias(M.KEY), money(numeric(r.ledger, lc.amount)).alias("_a"))
                  .groupBy(M.KEY)
                  .agg(F.count(F.lit(1)).alias("n_ledger"), F.sum("_a").alias("ledger_amount")))
     return (tk.withColumn("_tk", F.col(M.KEY)).join(lk.withColumn("_lk", F.col(M.KEY)), M.KEY, "full_outer")
               .select(F.coalesce("_tk", "_lk").alias(M.KEY),
-                      *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+                      *[F.coalesce(col(c), F.lit(0)).cast("bigint").alias(c)
                         for c in ("n_tax", "n_tax_valid", "n_ledger")],
                       "tax_valid_amount", "ledger_amount"))
 
@@ -151,7 +151,7 @@ def reconcile_stats(r: Reconciliation) -> DataFrame:
     zero = F.lit(0).cast("decimal(24,4)")
 
     def total(c, cond=None):
-        v = F.col(c) if cond is None else F.when(cond, F.col(c))
+        v = col(c) if cond is None else F.when(cond, col(c))
         return F.coalesce(F.sum(v), zero)
 
     def count_sum(v):

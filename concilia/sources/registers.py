@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.predicates import strip
+from ..functions.predicates import col, strip
 
 # A delimiter that never occurs in text: read whole lines with the CSV
 # reader (which, unlike the text reader, honours ``encoding``).
@@ -37,7 +37,7 @@ def repair_lines(lines: DataFrame, line_col: str, header: list[str], merge_at: i
     (ok / fixed / skipped), ``n_fields`` and one string column per header
     field (NULL for skipped rows)."""
     n = len(header)
-    parts = F.split(strip(F.col(line_col)), F.lit(sep), -1)
+    parts = F.split(strip(col(line_col)), F.lit(sep), -1)
     size = F.size(parts)
     extra = size - F.lit(n)
     merged = F.concat(
@@ -162,6 +162,6 @@ def latest_snapshot(files: DataFrame, name_col: str = "name", mtime_col: str = "
     (ties on time broken by name)."""
     keep: Column = F.lit(True)
     for p in exclude:
-        keep = keep & ~F.col(name_col).contains(p)
+        keep = keep & ~col(name_col).contains(p)
     cand = files.filter(keep)
-    return cand.orderBy(F.col(mtime_col).desc(), F.col(name_col).desc()).limit(1)
+    return cand.orderBy(col(mtime_col).desc(), col(name_col).desc()).limit(1)
