@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.predicates import col
 
 
-def _keys(df: DataFrame, col: str, name: str = "cuf") -> DataFrame:
-    return df.select(col(col).alias(name)).filter(col(name).isNotNull())
+def _keys(df: DataFrame, key_col: str, name: str = "cuf") -> DataFrame:
+    return df.select(col(key_col).alias(name)).filter(col(name).isNotNull())
 
 
 def key_intersect(a: DataFrame, a_key: str, b: DataFrame, b_key: str, name: str = "cuf") -> DataFrame:
