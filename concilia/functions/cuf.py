@@ -46,6 +46,10 @@ def decode_codes(df: DataFrame, code_col: str, prefix: str = "", names: str = "r
                  status_col: str = "decode_status", keep_digits: bool = False) -> DataFrame:
     """Add the 8 decoded fields ('' when undecodable) and a status column.
 
+    The decoded register is a stage output: write it (or ``checkpoint`` it
+    into the shared checkpoint folder) before several plans read it, so the
+    limb projections are computed and optimized once.
+
     ``names='reference'`` keeps the register's field names (``SUCURSAL``,
     ``TIPO EMISION`` ...); ``names='snake'`` lower-cases them.
     """
