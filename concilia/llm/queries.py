@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, exact_dedup, mixing, secrets, token_counts, token_store
+from . import byte_bpe, chat, exact_dedup, html_extract, mixing, quality, secrets, token_counts, token_store
 from .common import scratch_path, table
 
 
@@ -36,6 +36,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"'\\### Assistant: </turn> ok'"
@@ -47,5 +55,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_token_counts, op3_token_store, op4_byte_bpe, op6_exact_dedup, op7_secret_scan, op10_chat_format)}
+    op1_mix_sources, op2_token_counts, op3_token_store, op4_byte_bpe, op6_exact_dedup, op7_secret_scan,
+    op8_quality_rules, op9_html_text, op10_chat_format)}
 ORACLE: dict[str, str] = {}
