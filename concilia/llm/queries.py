@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, exact_dedup, html_extract, mixing, quality, secrets, token_counts, token_store
+from . import byte_bpe, chat, exact_dedup, html_extract, mixing, near_dup, quality, secret_scan, token_counts, token_store
 from .common import scratch_path, table
 
 
@@ -28,12 +28,16 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.similar_components(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +59,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_token_counts, op3_token_store, op4_byte_bpe, op6_exact_dedup, op7_secret_scan,
+    op1_mix_sources, op2_token_counts, op3_token_store, op4_byte_bpe, op5_near_duplicates, op6_exact_dedup, op7_secret_scan,
     op8_quality_rules, op9_html_text, op10_chat_format)}
 ORACLE: dict[str, str] = {}
