@@ -53,7 +53,7 @@ from .common import arrow_fields, body, on_workers, stored
 WIDTH = 256
 BASE = 3
 LEAF = 512
-DEPTH = 12
+DEPTH = 4
 RECALL = 0.99999
 #: Standard deviations of the sketch estimate that a pair may lie below the threshold.
 SLACK = 4.0
