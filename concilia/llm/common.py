@@ -71,6 +71,18 @@ def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
     return on_workers(df, run, schema)
 
 
+def slices(texts: list[str], chars: int = 1 << 20):
+    """``texts`` in runs of about ``chars`` code points, for work that holds all words of a run."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= chars:
+            yield texts[at:i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
 class Memo(dict):
     """A dictionary that forgets everything when it is full: bounded memory
     for work that repeats (one per worker process)."""

@@ -29,7 +29,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, body, map_rows
+from .common import Memo, body, map_rows, slices
 
 MARK = "▁"
 CHUNK = 16384
@@ -135,7 +135,8 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def make(ids, sizes, texts):
-        return ids, sizes, counter(model_path, chunk, overlap).counts(texts)
+        c = counter(model_path, chunk, overlap)
+        return ids, sizes, [n for run in slices(texts) for n in c.counts(run)]
 
     rows = docs.select(F.col(id_col), F.octet_length(body(text_col)).cast("long"), body(text_col))
     out = map_rows(rows, make, f"`{id_col}` {id_type}, n_bytes long, n_tokens long")
