@@ -18,10 +18,11 @@ on the full sets. The result is the connected components of the links.
    near copies of any size costs one check per member, not one per pair,
    and buckets whose nodes all hang together are done.
 4. **Recursion.** A bucket that still holds several components and more
-   than LEAF nodes branches on the next tokens that its path selects: one,
+   than BRANCH nodes branches on the next tokens that its path selects: one,
    and a second one for 1/s - 1 of the paths, so a linked pair stays
-   together on one branch on average at any depth. Buckets that end DEPTH
-   levels down still too large are compared chunk by chunk.
+   together on one branch on average at any depth. Buckets of LEAF to BRANCH
+   nodes, and what is still larger DEPTH levels down, are compared chunk by
+   chunk: every pair of chunks is a leaf.
 5. **Leaves.** Buckets of at most LEAF nodes are compared exhaustively, by
    sketch first (a pair at the threshold passes with probability over
    0.9999), pairs within one component left out; nodes of passing pairs
@@ -52,8 +53,9 @@ from .common import arrow_fields, body, on_workers, stored
 
 WIDTH = 256
 BASE = 3
-LEAF = 512
-DEPTH = 4
+LEAF = 1024
+BRANCH = 8 * LEAF
+DEPTH = 24
 RECALL = 0.99999
 #: Standard deviations of the sketch estimate that a pair may lie below the threshold.
 SLACK = 4.0
@@ -414,13 +416,13 @@ def _with_counts(rows: DataFrame, tag: str) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text",
-                       leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+                       leaf: int = LEAF, branch: int = BRANCH, depth: int = DEPTH) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(id_col).alias("__id"), body(text_col).alias("__text"))
     sets = stored(sets_of(rows, size), "near-sets")
     nodes = stored(sets.filter("n > 0").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
                    .withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    links = _links(rows, nodes, size, percent, leaf, depth)
+    links = _links(rows, nodes, size, percent, leaf, branch, depth)
     roots = components(links)
     placed = nodes.select("node", "h", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stored(placed, "near-placed")
@@ -432,7 +434,8 @@ def similar_components(docs: DataFrame, size: int, percent: int, id_col: str = "
                       F.col("id").eqNullSafe(comp).alias("kept"))
 
 
-def _links(rows: DataFrame, nodes: DataFrame, size: int, percent: int, leaf: int, depth: int) -> DataFrame:
+def _links(rows: DataFrame, nodes: DataFrame, size: int, percent: int, leaf: int, branch: int,
+           depth: int) -> DataFrame:
     """Confirmed links (a, b) of nodes that connect all that is linked."""
     keys = _paths(nodes, number_of_trees(percent))
     shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("pivot")).filter("c > 1"),
@@ -447,8 +450,9 @@ def _links(rows: DataFrame, nodes: DataFrame, size: int, percent: int, leaf: int
     up = components(links)
     rest = base.select("key", "node").join(up, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     rest = stored(_with_counts(rest, "near-mixed"), "near-rest")
-    leaves, small = [rest.filter(F.col("c") <= leaf)], nodes.select("node", "n", "sig")
-    rest = rest.filter(F.col("c") > leaf)
+    small = nodes.select("node", "n", "sig")
+    leaves = [_chunk_pairs(rest.filter(F.col("c") <= branch), leaf)]
+    rest = rest.filter(F.col("c") > branch)
     for _ in range(depth):
         if rest.isEmpty():
             break
@@ -456,8 +460,8 @@ def _links(rows: DataFrame, nodes: DataFrame, size: int, percent: int, leaf: int
         children = children.join(up, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
         children = stored(children, "near-children")
         rest = stored(_with_counts(children, "near-mixed"), "near-rest")
-        leaves.append(rest.filter(F.col("c") <= leaf))
-        rest = rest.filter(F.col("c") > leaf)
+        leaves.append(_chunk_pairs(rest.filter(F.col("c") <= branch), leaf))
+        rest = rest.filter(F.col("c") > branch)
     else:
         leaves.append(_chunk_pairs(rest, leaf))
     some = leaves[0]
@@ -470,8 +474,8 @@ def _links(rows: DataFrame, nodes: DataFrame, size: int, percent: int, leaf: int
 
 
 def _chunk_pairs(rest: DataFrame, leaf: int) -> DataFrame:
-    """Buckets that no further branching parts: every pair of their chunks is a leaf."""
-    m = F.expr(f"CAST(ceil(2.0 * c / {leaf}) AS INT)")
+    """Every pair of a bucket's chunks is a leaf; a bucket of at most ``leaf`` nodes is one chunk."""
+    m = F.expr(f"IF(c <= {leaf}, 1, CAST(ceil(2.0 * c / {leaf}) AS INT))")
     cut = rest.withColumn("m", m).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     pairs = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
     key = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
