@@ -26,7 +26,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, body, map_rows
+from .common import Memo, body, map_rows, slices
 
 SHIFT = 0x100
 MEMO = 500_000
@@ -129,7 +129,7 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "d
     """Per row: id, ids (binary, little-endian unsigned 32-bit)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     return map_rows(docs.select(F.col(id_col), body(text_col)),
-                    lambda keys, texts: (keys, codec(rank_path, pattern).encode(texts)),
+                    lambda keys, texts: (keys, [x for run in slices(texts) for x in codec(rank_path, pattern).encode(run)]),
                     f"`{id_col}` {id_type}, ids binary")
 
 
@@ -149,9 +149,9 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
 
     def make(keys, texts):
         c = codec(rank_path, pattern)
-        ids = c.encode(texts)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        return keys, [len(x) // 4 for x in ids], [sha(x) for x in ids], [sha(c.decode(x)) for x in ids]
+        got = [(len(x) // 4, sha(x), sha(c.decode(x))) for run in slices(texts) for x in c.encode(run)]
+        return keys, *map(list, zip(*got))
 
     return map_rows(docs.select(F.col(id_col), body(text_col)), make,
                     f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

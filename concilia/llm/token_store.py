@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Memo, arrow_fields, body, on_workers
+from .common import Memo, arrow_fields, body, on_workers, slices
 
 SAMPLE_DOCS = 512
 SAMPLE_BYTES = 16384
@@ -190,7 +190,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int, id_col
         names, arrow = fields
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for key, x in zip(keys, enc.encode(texts)):
+            for key, x in zip(keys, (x for run in slices(texts) for x in enc.encode(run))):
                 x += end
                 ids.append(key)
                 frames.append(zc.compress(x))
