@@ -18,13 +18,16 @@ from ..functions.predicates import col
 
 def dedup_source(source: DataFrame, key: str, order_by: str | None = None) -> DataFrame:
     """One source row per key: the last by ``order_by`` (statement order of
-    a row-by-row upsert); rows with a NULL key are dropped. ``max_by`` is a
-    partially aggregated groupBy, so a key with many copies stays cheap."""
+    a row-by-row upsert), ties and a missing order by the row's own values,
+    so the pick never depends on input order; rows with a NULL key are
+    dropped. The pick is a partially aggregated groupBy, so a key with many
+    copies stays cheap."""
     rows = source.filter(col(key).isNotNull())
-    if order_by is None:
-        return rows.dropDuplicates([key])
     others = [c for c in rows.columns if c != key]
-    picked = F.max_by(F.struct(*[F.col(f"`{c}`") for c in others]), col(order_by))
+    if not others:
+        return rows.distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in others])
+    picked = F.max(row) if order_by is None else F.max_by(row, F.struct(col(order_by), row))
     return rows.groupBy(key).agg(picked.alias("__row")).select(key, "__row.*")
 
 
@@ -33,32 +36,36 @@ def merge_plan(target: DataFrame, source: DataFrame, key: str = "authorization_c
                now: Column | None = None, order_by: str | None = None) -> DataFrame:
     """Next snapshot of ``target`` after upserting ``source``.
 
-    Updates take every written column from the source except ``keep``
-    (key, original author); ``created_at`` survives and ``updated_at`` is
-    ``now``. Inserts get both timestamps ``now``. Target-only rows are
-    kept unchanged. Adds an ``action`` column (insert/update/keep).
+    Updates take every written column that the source has, except ``keep``
+    (key, original author); all other target columns stay as they are, also
+    on updated rows. ``created_at`` survives and ``updated_at`` is ``now``.
+    Inserts get both timestamps ``now`` and NULL in columns that the source
+    lacks. Target-only rows are kept unchanged. Adds an ``action`` column
+    (insert/update/keep).
     """
     now = now if now is not None else F.current_timestamp()
     src = dedup_source(source, key, order_by)
-    written = [c for c in columns if c in src.columns or c in target.columns]
-    s = src.select(col(key).alias("__k"), F.lit(True).alias("__s"),
-                   *[(col(c) if c in src.columns else F.lit(None)).alias(f"__s_{c}") for c in written])
+    written = [c for c in columns if c in src.columns and c != key]
+    s = src.select(col(key).alias("__k"), F.lit(True).alias("__s"), *[col(c).alias(f"__s_{c}") for c in written])
     t = target.select(col(key).alias("__k"), F.lit(True).alias("__t"),
                       *[col(c).alias(f"__t_{c}") for c in target.columns if c != key])
     j = t.join(s, "__k", "full_outer")
     in_s, in_t = F.coalesce(F.col("__s"), F.lit(False)), F.coalesce(F.col("__t"), F.lit(False))
     action = F.when(in_s & in_t, F.lit("update")).when(in_s, F.lit("insert")).otherwise(F.lit("keep"))
     out = [F.col("__k").alias(key)]
-    for c in written:
-        if c == key:
+    stamps = ("created_at", "updated_at")
+    types = dict(target.dtypes)
+    for c in [*[c for c in columns if c in written or c in types], *[c for c in target.columns if c not in columns]]:
+        if c == key or c in stamps:
             continue
-        tcol = F.col(f"__t_{c}") if c in target.columns else F.lit(None)
-        if c in keep:
+        tcol = F.col(f"__t_{c}") if c in types else F.lit(None)
+        if c not in written:
+            val = tcol
+        elif c in keep:
             val = F.when(in_t, tcol).otherwise(F.col(f"__s_{c}"))
         else:
             val = F.when(in_s, F.col(f"__s_{c}")).otherwise(tcol)
-        tgt_type = dict(target.dtypes).get(c)
-        out.append((val.cast(tgt_type) if tgt_type else val).alias(c))
+        out.append((val.cast(types[c]) if c in types else val).alias(c))
     created = F.col("__t_created_at") if "created_at" in target.columns else F.lit(None).cast("timestamp")
     updated = F.col("__t_updated_at") if "updated_at" in target.columns else F.lit(None).cast("timestamp")
     out += [F.when(in_t, created).otherwise(now).alias("created_at"),

@@ -35,8 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, durable folder and
-    is used as is. Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    is used as is. Only when it is unset in local mode (tests) a scratch
+    folder is created and registered; elsewhere the executors would not see
+    such a folder, so a missing setting raises.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -45,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="concilia-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

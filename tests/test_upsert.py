@@ -56,3 +56,15 @@ def test_snapshot_publication_is_atomic(spark, scratch):
     p2 = commit_snapshot(plan, root)
     assert committed_versions(spark, root) == [1, 2] and p1 != p2
     assert read_current(spark, root).count() == 2
+
+
+def test_upsert_keeps_columns_that_the_source_lacks(spark):
+    target = spark.createDataFrame([(1, "a", 5.0, "seen", "x"), (2, "b", 6.0, None, "y")],
+                                   "id int, authorization_code string, subtotal double, obs string, customer_name string")
+    source = spark.createDataFrame([("a", "new", 1), ("c", "third", 1), ("c", "fourth", 1)],
+                                   "authorization_code string, customer_name string, extra int")
+    got = {r.authorization_code: r for r in merge_plan(target, source).collect()}
+    assert (got["a"].id, got["a"].subtotal, got["a"].obs, got["a"].customer_name) == (1, 5.0, "seen", "new")
+    assert (got["b"].id, got["b"].subtotal, got["b"].customer_name, got["b"].action) == (2, 6.0, "y", "keep")
+    # copies of a key without an order: the greatest row, whatever the input order
+    assert got["c"].customer_name == "third" and got["c"].id is None
