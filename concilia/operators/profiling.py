@@ -8,7 +8,7 @@ only k rows per group and task cross the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,11 +118,11 @@ def numeric_profile(df: DataFrame, cols: list[str], quartiles: bool = True,
                     accuracy: int = 100000) -> DataFrame:
     """A10: count, mean, sample std, min, max per column (exact, one pass)
     and, optionally, quartiles from Spark's bounded-memory quantile sketch
-    (rank error at most rows/accuracy). Exact quartiles would need every
-    distinct value of a column in one task, which does not scale."""
+    (rank error at most rows/accuracy; ``exact_quantiles`` has exact ones)."""
     parts = []
     for c in cols:
         x = F.col(f"`{c}`").cast("double")
+        x = F.when(~F.isnan(x), x)  # NaN counts as missing
         # mean from an exact decimal sum: the same value whatever the
         # partitioning (a floating sum depends on the order of addition)
         mean = F.sum(x.cast("decimal(38,8)")).cast("double") / F.count(x)
@@ -149,102 +149,78 @@ def numeric_profile(df: DataFrame, cols: list[str], quartiles: bool = True,
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: tuple = (0.25, 0.5, 0.75), accuracy: int = 10000,
-                    collect_limit: int = 100000) -> list[float | None]:
-    """Exact quantiles with linear interpolation between order statistics
-    (the definition used by numeric summaries), without ever holding a
-    column's values in one task.
-
-    Every needed order statistic owns an open value interval known to hold
-    it. Each round is a few distributed aggregations over all pending
-    intervals at once: their sizes; for intervals small enough
-    (``collect_limit``) their values are read back and the statistic is
-    picked; for the others a bounded-memory quantile sketch inside the
-    interval proposes a value, one counting pass gives its exact rank, and
-    the interval shrinks around the wanted rank. The driver only sees
-    scalars and bounded remainders.
-    """
-    v = F.col("v")
-    vals = df.select(F.col(f"`{col}`").cast("double").alias("v")).filter(v.isNotNull() & ~F.isnan(v))
-    n = vals.count()
-    if n == 0:
-        return [None for _ in probs]
-    ranks = sorted({r for p in probs for r in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))})
-    state = {r: (None, None, 0) for r in ranks}      # (low excl., high excl., rows <= low)
-    found: dict[int, float] = {}
-
-    def inside(lo, hi):
-        c = F.lit(True)
-        if lo is not None:
-            c = c & (v > F.lit(lo))
-        if hi is not None:
-            c = c & (v < F.lit(hi))
-        return c
-
-    while len(found) < len(ranks):
-        pending = [r for r in ranks if r not in found]
-        intervals = sorted({state[r][:2] for r in pending}, key=str)
-        sizes = vals.agg(*[F.count(F.when(inside(*iv), 1)).alias(f"s{i}") for i, iv in enumerate(intervals)]).first()
-        size_of = {iv: sizes[f"s{i}"] for i, iv in enumerate(intervals)}
-        for iv in [iv for iv in intervals if size_of[iv] <= collect_limit]:
-            values = sorted(r[0] for r in vals.filter(inside(*iv)).collect())
-            for r in pending:
-                if state[r][:2] == iv:
-                    found[r] = values[r - state[r][2]]
-        big = [r for r in pending if r not in found]
-        if not big:
-            break
-        # ask the sketch for the ranks target -/+ its error bound: the
-        # statistic then lies between the two candidates
-        qs = []
-        for r in big:
-            size = size_of[state[r][:2]]
-            err = size // accuracy + 1
-            t = r - state[r][2]
-            qs.append((max(t - err, 0) / max(size - 1, 1), min(t + err, size - 1) / max(size - 1, 1)))
-        cands = vals.agg(*[F.percentile_approx(F.when(inside(*state[r][:2]), v), list(q), accuracy).alias(f"c{i}")
-                           for i, (r, q) in enumerate(zip(big, qs))]).first()
-        conds = []
-        for i, r in enumerate(big):
-            c1, c2 = cands[f"c{i}"]
-            w = inside(*state[r][:2])
-            conds += [F.count(F.when(w & (v < F.lit(c1)), 1)).alias(f"lt1_{i}"),
-                      F.count(F.when(w & (v <= F.lit(c1)), 1)).alias(f"le1_{i}"),
-                      F.count(F.when(w & (v < F.lit(c2)), 1)).alias(f"lt2_{i}"),
-                      F.count(F.when(w & (v <= F.lit(c2)), 1)).alias(f"le2_{i}")]
-        counts = vals.agg(*conds).first()
-        for i, r in enumerate(big):
-            lo, hi, below = state[r]
-            c1, c2 = cands[f"c{i}"]
-            lt1, le1, lt2, le2 = (counts[f"{k}_{i}"] for k in ("lt1", "le1", "lt2", "le2"))
-            t = r - below
-            if lt1 <= t < le1:
-                found[r] = c1
-            elif lt2 <= t < le2:
-                found[r] = c2
-            elif t < lt1:
-                state[r] = (lo, c1, below)
-            elif t >= le2:
-                state[r] = (c2, hi, below + le2)
-            else:
-                state[r] = (c1, c2, below + le1)
-    out = []
-    for p in probs:
-        pos = p * (n - 1)
-        lo = int(pos)
-        hi = min(lo + 1, n - 1)
-        frac = pos - lo
-        out.append(found[lo] + (found[hi] - found[lo]) * frac if frac else found[lo])
-    return out
+#: Bins into which each of LEVELS rounds parts the values around a wanted rank.
+BINS, LEVELS = 4096, 2
 
 
-def numeric_summary(df: DataFrame, cols: list[str], accuracy: int = 10000) -> DataFrame:
-    """A10 with exact quartiles: the one-pass moments plus ``exact_quantiles``
-    per column, as one row per column."""
-    moments = numeric_profile(df, cols, quartiles=False)
-    rows = []
-    for c in cols:
-        q = exact_quantiles(df, c, (0.25, 0.5, 0.75), accuracy)
-        rows.append((c, *q))
-    qs = df.sparkSession.createDataFrame(rows, "column string, q25 double, q50 double, q75 double")
-    return moments.join(F.broadcast(qs), "column")  # one row per column
+def _scale(v: Column) -> Column:
+    """A monotone, bounded image of ``v`` for equal-width bins."""
+    t = F.signum(v) * F.log1p(F.abs(v))
+    return F.greatest(F.least(t, F.lit(1e3)), F.lit(-1e3))
+
+
+def _narrow(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (column, part, v, n) and ``wanted`` (column, part, at, rank
+    within the part) one level of bins further: only the bins that hold a
+    wanted rank are left, as new parts."""
+    keys = ["column", "part"]
+    t = _scale(F.col("v"))
+    span = rows.groupBy(*keys).agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
+    width = F.col("hi") - F.col("lo")
+    nth = F.when(width > 0, F.least(F.floor((t - F.col("lo")) / width * BINS), F.lit(BINS - 1))).otherwise(0)
+    binned = rows.join(span, keys).select(*keys, "v", "n", nth.cast("bigint").alias("bin"))
+    bins = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("in_bin"))
+    upto = F.sum("in_bin").over(Window.partitionBy(*keys).orderBy("bin"))
+    bins = bins.withColumn("before", upto - F.col("in_bin"))
+    hit = (wanted.join(bins, keys)
+           .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("in_bin"))))
+    part = (F.col("part") * BINS + F.col("bin")).alias("part")
+    left = binned.join(hit.select(*keys, "bin").distinct(), [*keys, "bin"], "left_semi")
+    return (left.select("column", part, "v", "n"),
+            hit.select("column", part, "at", (F.col("rank") - F.col("before")).alias("rank")))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: tuple = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Exact quantiles with linear interpolation between order statistics
+    (the definition used by numeric summaries): (column, q), one array in
+    the order of ``probs`` per column that has a value; NULL and NaN count
+    as missing.
+
+    One lazy plan for every size, nothing goes to the driver. Rows are
+    counted per value first, so a value that holds most rows is one row.
+    Each of LEVELS rounds deals the values into BINS equal-width bins
+    between the least and the greatest value, and leaves only the bins that
+    hold a wanted rank; bins, unlike a sketch's cuts, do not depend on how
+    rows are dealt to tasks, so a task that runs again agrees. A running
+    count over what is left gives the order statistics.
+    """
+    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    long = df.selectExpr(f"stack({len(cols)}, {stack}) AS (column, v)").filter("v IS NOT NULL AND NOT isnan(v)")
+    rows = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(0).cast("bigint"))
+    last = F.col("rows") - 1
+    below = [F.floor(last * p) for p in probs]
+    ranks = F.array(*[x for b in below for x in (b, F.least(b + 1, last))])
+    totals = rows.groupBy("column", "part").agg(F.sum("n").alias("rows"))
+    wanted = totals.select("column", "part", F.posexplode(ranks).alias("at", "rank"))
+    for _ in range(LEVELS):
+        rows, wanted = _narrow(rows, wanted)
+    upto = F.sum("n").over(Window.partitionBy("column", "part").orderBy("v"))
+    rows = rows.withColumn("upto", upto)
+    found = (rows.join(wanted, ["column", "part"])
+             .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))))
+    stats = found.groupBy("column").agg(*[F.max(F.when(F.col("at") == i, F.col("v"))).alias(f"v{i}")
+                                          for i in range(2 * len(probs))])
+    stats = stats.join(totals.select("column", "rows"), "column")
+    q = []
+    for i, p in enumerate(probs):
+        lo, hi, share = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}"), last * p - F.floor(last * p)
+        q.append(F.when((share == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * share))
+    return stats.select("column", F.array(*q).alias("q"))
+
+
+def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
+    """A10 with exact quartiles: the one-pass moments plus
+    ``exact_quantiles``, as one row per column."""
+    quartiles = exact_quantiles(df, cols).select(
+        "column", *[F.col("q")[i].alias(name) for i, name in enumerate(("q25", "q50", "q75"))])
+    return numeric_profile(df, cols, quartiles=False).join(quartiles, "column", "left")
