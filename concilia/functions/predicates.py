@@ -63,8 +63,9 @@ def numeric(df, name: str) -> Column:
 
 def money(c: Column) -> Column:
     """Amount as an exact decimal for sums: partition order cannot change
-    the total (floating sums would)."""
-    return c.cast("decimal(24,4)")
+    the total (floating sums would). An amount that does not fit is NULL,
+    like one that cannot be parsed."""
+    return c.try_cast("decimal(24,4)")
 
 
 def round2(c: Column) -> Column:

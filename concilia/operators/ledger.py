@@ -52,9 +52,11 @@ def ledger_filter(factura: DataFrame, start: str, end: str, lot_floor: int = LOT
 
 
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
-    """A relation reduced to one row per key (smallest value of every other
-    column), so that joining it to a picked id cannot multiply rows."""
-    return df.groupBy(key).agg(*[F.min(c).alias(c) for c in df.columns if c != key])
+    """A relation reduced to one whole row per key (the smallest, columns
+    compared in their order), so that joining it cannot multiply rows; a
+    map-side combined aggregate."""
+    others = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*others)).alias("__row")).select(key, "__row.*")
 
 
 def pick_keys(det: DataFrame, pay: DataFrame) -> DataFrame:
@@ -79,10 +81,14 @@ def extract_ledger(t: dict, start: str, end: str, lot_floor: int = LOT_FLOOR,
                    order: bool = True) -> DataFrame:
     """One ledger row per invoice of the period (32 columns).
 
-    Key-first plan: invoice-level joins give one row per invoice; the
-    detail x payment multiplication involves only three id columns; the
-    (detail, payment) pick is a hash aggregation over those ids; the wide
-    row is then assembled once per invoice.
+    Key-first plan: every relation that can hold several rows for an
+    invoice is limited to the period's invoice ids and reduced to one row
+    before the wide row is assembled: details and payments by
+    ``pick_keys``, tax records to the smallest row that has a payment
+    method and an active code, payment methods to one row per code. The
+    active codes (``siat_cuis``) only have to exist, so they are a
+    semi-join, and a picked payment is one row. Other relations are
+    joined on their primary keys.
     """
     missing = [r for r in ROLES if r not in t]
     if missing:
@@ -92,38 +98,38 @@ def extract_ledger(t: dict, start: str, end: str, lot_floor: int = LOT_FLOOR,
     dfa = t["datosfactura"].alias("df")
     ua = t["users"].alias("ua")
     tp = t["tipoPago"].alias("tp")
-    fs = t["factura_siat"].alias("fs")
     c = t["clientes"].alias("c")
-    sp = t["siat_sincro_tipo_metodo_pago"].alias("sp")
-    cuis = t["siat_cuis"].alias("cuis")
     a = t["almacenes"].alias("a")
-    inv = (f.join(dfa, col("df.idDatosFactura") == col("f.lote"))
-             .join(ua, col("ua.id") == col("f.autor"))
-             .join(tp, col("tp.id") == col("f.tipoPago"))
-             .join(fs, col("fs.factura_id") == col("f.idFactura"))
-             .join(c, col("c.idCliente") == col("f.cliente"))
-             .join(sp, col("sp.codigoClasificador") == col("fs.codigoMetodoPago"))
-             .join(cuis, (col("cuis.sucursal") == col("fs.codigoSucursal"))
-                   & (col("cuis.codigoPuntoVenta") == col("fs.codigoPuntoVenta"))
-                   & (col("cuis.active") == 1))
-             .join(a, col("a.idalmacen") == col("f.almacen")))
+    ids = ledger_filter(t["factura"], start, end, lot_floor).select("idFactura")
+
+    methods = one_per_key(t["siat_sincro_tipo_metodo_pago"].select("codigoClasificador", "descripcion"), "codigoClasificador")
+    active = t["siat_cuis"].filter(col("active") == 1).select(
+        col("sucursal").alias("codigoSucursal"), "codigoPuntoVenta")
+    siat = (t["factura_siat"].join(ids, col("factura_id") == col("idFactura"), "left_semi")
+            .join(active, ["codigoSucursal", "codigoPuntoVenta"], "left_semi")
+            .join(methods, col("codigoMetodoPago") == col("codigoClasificador")))
+    fs = one_per_key(siat, "factura_id").alias("fs")
 
     # detail rows that survive the detail-level inner joins
-    fe = t["factura_egresos"].alias("fe")
-    e = t["egresos"].alias("e")
-    tm = t["tmovimiento"].alias("t")
-    u = t["users"].alias("u")
+    fe = t["factura_egresos"].join(ids, "idFactura", "left_semi").alias("fe")
+    e, tm, u = t["egresos"].alias("e"), t["tmovimiento"].alias("t"), t["users"].alias("u")
     det = (fe.join(e, col("e.idegresos") == col("fe.idegresos"))
              .join(tm, col("e.tipomov") == col("t.id"))
              .join(u, col("u.id") == col("e.vendedor"))
              .select(col("fe.idFactura").alias("idFactura"), col("e.idegresos").alias("idegresos")))
-    det = det.join(inv.select(col("f.idFactura").alias("idFactura")), "idFactura", "left_semi")
-    pay = (t["pago_factura"].alias("pf").join(t["pago"].alias("p"), col("p.idPago") == col("pf.idPago"), "left")
+    pay = (t["pago_factura"].join(ids, "idFactura", "left_semi").alias("pf")
+           .join(t["pago"].alias("p"), col("p.idPago") == col("pf.idPago"), "left")
            .select(col("pf.idFactura").alias("idFactura"), col("p.idPago").alias("idPago")))
     pick = pick_keys(det, pay).drop("joined_rows").alias("k")
 
+    inv = (f.join(dfa, col("df.idDatosFactura") == col("f.lote"))
+             .join(ua, col("ua.id") == col("f.autor"))
+             .join(tp, col("tp.id") == col("f.tipoPago"))
+             .join(fs, col("fs.factura_id") == col("f.idFactura"))
+             .join(c, col("c.idCliente") == col("f.cliente"))
+             .join(a, col("a.idalmacen") == col("f.almacen")))
     e2, tm2, u2 = t["egresos"].alias("e"), t["tmovimiento"].alias("t"), t["users"].alias("u")
-    p2 = one_per_key(t["pago"], "idPago").alias("p")
+    p2 = one_per_key(t["pago"].select("idPago", "numPago").join(pick.select("idPago"), "idPago", "left_semi"), "idPago").alias("p")
     j = (inv.join(pick, col("k.idFactura") == col("f.idFactura"))
             .join(e2, col("e.idegresos") == col("k.idegresos"))
             .join(tm2, col("e.tipomov") == col("t.id"))
@@ -159,7 +165,7 @@ def extract_ledger(t: dict, start: str, end: str, lot_floor: int = LOT_FLOOR,
         col("fs.cuf").alias("cuf"),
         col("fs.cafc").alias("cafc"),
         col("fs.pedido").alias("pedido_siat"),
-        col("sp.descripcion").alias("metodoPago"),
+        col("fs.descripcion").alias("metodoPago"),
         col("fs.leyenda").alias("leyenda"),
         col("fs.fechaEmision").alias("fechaEmisionSiat"),
         col("a.almacen").alias("almacen"),
