@@ -1,17 +1,14 @@
 """Key matching between the tax register and the ledger
 and field comparison of matched pairs (C2-C5).
 
-Plan shape (one shuffle of each big side):
-
-* per-key counts of each side are aggregated with map-side partial
-  aggregation, so a hot key costs one row per map task, not one per row;
-* every row is tagged by a left join with the other side's key counts
-  (AQE's skew-join split handles a hot key on the big side);
-* pairs for field comparison join the two tagged frames, which are
-  already hash-partitioned on the key, so that join adds no exchange.
-
-Rows with a NULL key never enter a shuffle: they are split off first and
-only counted.
+* Per-key counts of each side are aggregated with map-side partial
+  aggregation, so a hot key costs one row per map task, not one per row.
+* Every row is tagged by a left join with the other side's key counts
+  through ``skew.join_unique``, so AQE can split a hot key's rows.
+* Pairs for field comparison join the two registers on the key; counts of
+  pairs come from reduced sides with multiplicities instead.
+
+Rows with a NULL key are filtered out before the joins.
 """
 
 from __future__ import annotations
@@ -21,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import ReconConfig
 from ..functions.predicates import clean_nit, col, is_canceled, numeric
+from .skew import join_unique
 
 KEY = "match_key"
 
@@ -51,7 +49,7 @@ def tag_tax(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> DataFrame:
     """Tax rows with a non-null key, each tagged with the number of ledger
     rows sharing its key (0 = only in tax). Duplicates are kept."""
     t = _with_key(tax, cfg.tax.key).filter(F.col(KEY).isNotNull())
-    out = t.join(ledger_key_counts(ledger, cfg), KEY, "left")
+    out = join_unique(t, ledger_key_counts(ledger, cfg), KEY)
     return out.withColumn("n_ledger", F.coalesce(F.col("n_ledger"), F.lit(0)))
 
 
@@ -59,37 +57,11 @@ def tag_ledger(ledger: DataFrame, tax: DataFrame, cfg: ReconConfig) -> DataFrame
     """Ledger rows with a non-null key tagged with the number of (valid)
     tax rows sharing the key (0 = only in ledger)."""
     lg = _with_key(ledger, cfg.ledger.key).filter(F.col(KEY).isNotNull())
-    out = lg.join(tax_key_counts(tax, cfg), KEY, "left")
+    out = join_unique(lg, tax_key_counts(tax, cfg), KEY)
     return (out.withColumn("n_tax", F.coalesce(F.col("n_tax"), F.lit(0)))
                .withColumn("n_tax_valid", F.coalesce(F.col("n_tax_valid"), F.lit(0))))
 
 
-def matched(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> DataFrame:
-    """Tax rows whose key is in the ledger (duplicates kept)."""
-    return tax.filter(col(cfg.tax.key).isNotNull()).join(
-        ledger.select(col(cfg.ledger.key).alias(cfg.tax.key)), cfg.tax.key, "left_semi")
-
-
-def only_in_tax(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> DataFrame:
-    """Tax rows whose (non-null) key is absent from the ledger."""
-    return tax.filter(col(cfg.tax.key).isNotNull()).join(
-        ledger.select(col(cfg.ledger.key).alias(cfg.tax.key)), cfg.tax.key, "left_anti")
-
-
-def only_in_ledger(ledger: DataFrame, tax: DataFrame, cfg: ReconConfig) -> DataFrame:
-    """Ledger rows whose (non-null) key is absent from the tax register."""
-    return ledger.filter(col(cfg.ledger.key).isNotNull()).join(
-        tax.select(col(cfg.tax.key).alias(cfg.ledger.key)), cfg.ledger.key, "left_anti")
-
-
-def ledger_valid_in_tax(ledger: DataFrame, tax: DataFrame, cfg: ReconConfig) -> DataFrame:
-    """Ledger rows whose key belongs to a VALIDA tax row."""
-    valid_keys = (tax.filter(~is_canceled(col(cfg.tax.status), cfg.valid_status))
-                     .select(col(cfg.tax.key).alias(cfg.ledger.key))
-                     .filter(col(cfg.ledger.key).isNotNull()))
-    return ledger.join(valid_keys, cfg.ledger.key, "left_semi")
-
-
 def key_sets(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> DataFrame:
     """O1 + J12 on distinct keys: one row per key with its side
     ('both', 'tax_only', 'ledger_only') and the copy count on each side."""
@@ -135,13 +107,7 @@ def compare_pairs(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> DataFr
     t = _prefixed(_with_key(tax, cfg.tax.key).filter(F.col(KEY).isNotNull()), "tax_")
     lg = _prefixed(_with_key(ledger, cfg.ledger.key).filter(F.col(KEY).isNotNull()), "inv_")
     pairs = t.join(lg, KEY, "inner")
-    tc, lc = cfg.tax, cfg.ledger
-    flags = compare_flags(
-        numeric(pairs, f"tax_{tc.amount}"), numeric(pairs, f"inv_{lc.amount}"),
-        F.col(f"tax_{tc.nit}"), F.col(f"inv_{lc.nit}"),
-        numeric(pairs, f"tax_{tc.invoice}"), numeric(pairs, f"inv_{lc.invoice}"),
-        numeric(pairs, f"tax_{tc.branch}"), numeric(pairs, f"inv_{lc.branch}"),
-        cfg.amount_tolerance)
+    flags = _pair_flags(pairs, cfg)
     pairs = pairs.select("*", *[v.alias(k) for k, v in flags.items()])
     types = F.array_compact(F.array(
         F.when(F.col("amount_mismatch"), F.lit("amount")),
@@ -150,6 +116,36 @@ def compare_pairs(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> DataFr
     return pairs.withColumn("mismatch_types", types)
 
 
+def _pair_flags(pairs: DataFrame, cfg: ReconConfig) -> dict[str, Column]:
+    tc, lc = cfg.tax, cfg.ledger
+    return compare_flags(
+        numeric(pairs, f"tax_{tc.amount}"), numeric(pairs, f"inv_{lc.amount}"),
+        F.col(f"tax_{tc.nit}"), F.col(f"inv_{lc.nit}"),
+        numeric(pairs, f"tax_{tc.invoice}"), numeric(pairs, f"inv_{lc.invoice}"),
+        numeric(pairs, f"tax_{tc.branch}"), numeric(pairs, f"inv_{lc.branch}"),
+        cfg.amount_tolerance)
+
+
+def _compared(df: DataFrame, cols, prefix: str, count: str) -> DataFrame:
+    """Rows with a key reduced to the distinct values that are compared,
+    and the number of rows that hold them."""
+    names = list(dict.fromkeys((cols.amount, cols.nit, cols.invoice, cols.branch)))
+    rows = df.select(col(cols.key).alias(KEY), *[col(c).alias(f"{prefix}{c}") for c in names]).filter(F.col(KEY).isNotNull())
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(count))
+
+
+def pair_counts(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> DataFrame:
+    """One row: number of pairs with each flag of ``compare_flags``.
+
+    Both sides are reduced to distinct compared values first (map-side
+    combined), and a joined row stands for n_tax * n_ledger pairs: copies
+    of a key cost one row, not a row per pair."""
+    pairs = _compared(tax, cfg.tax, "tax_", "n_tax").join(_compared(ledger, cfg.ledger, "inv_", "n_ledger"), KEY)
+    flags = _pair_flags(pairs, cfg)
+    n = F.col("n_tax") * F.col("n_ledger")
+    return pairs.agg(*[F.coalesce(F.sum(F.when(v, n)), F.lit(0)).cast("bigint").alias(k) for k, v in flags.items()])
+
+
 def mismatch_exploded(pairs: DataFrame) -> DataFrame:
     """One row per (pair, mismatch type): the per-category views."""
     return pairs.select("*", F.explode("mismatch_types").alias("mismatch_type"))

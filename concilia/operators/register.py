@@ -1,10 +1,9 @@
 """Mapping of the tax register to the typed accounting register (P2-P5,
 X3-X11, J9, J10), its validation (A16) and transform statistics (A17).
 
-Lookups that the reference kept in driver dictionaries (code -> glosa,
-set of tax-only codes) are joins here: the glosa table is deduplicated per
-code with ``min_by`` (partial aggregation, hot keys safe) and left-joined;
-the tax-only set is a distinct key list left-joined as a flag.
+The lookups by code (note, tax-only flag) are one aggregate with a row per
+code (``min_by`` and ``max``, map-side combined) and one left join, which
+AQE can split at a hot code or at the NULL codes.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from ..config import (DECIMAL_TARGETS, DEFAULT_AUTHOR, LENGTH_LIMITS, OBS_DOLLAR
                       OBS_RENTAL, REGISTER_COLUMN_MAP, REQUIRED_TARGETS)
 from ..functions import text as X
 from ..functions.predicates import col, strip
+from .skew import join_unique
 
 # target column -> (kind, arg)
 _RULES = {
@@ -118,6 +118,13 @@ def glosa_lookup(ledger: DataFrame, key: str = "cuf", glosa: str = "glosa",
                 .agg(F.nullif(pick, F.lit("")).alias("obs")))
 
 
+def _no_order(ledger: DataFrame | None, order: tuple) -> list:
+    """NULLs in place of the ledger's order columns."""
+    if ledger is None:
+        return []
+    return [F.lit(None).cast(ledger.select(col(c)).schema[0].dataType).alias(f"__o{i}") for i, c in enumerate(order)]
+
+
 def map_register(tax: DataFrame, column_map: tuple = REGISTER_COLUMN_MAP,
                  only_tax: DataFrame | None = None, only_tax_key: str | None = None,
                  ledger: DataFrame | None = None, ledger_key: str = "cuf", ledger_glosa: str = "glosa",
@@ -155,19 +162,28 @@ def map_register(tax: DataFrame, column_map: tuple = REGISTER_COLUMN_MAP,
         *[F.col(f"`{k}`") for k in keep], *cols, "__code", "__sector",
         (sum(warns[1:], warns[0]) if warns else F.lit(0)).alias("warnings"))
 
+    # one lookup row per code: the flag and the note arrive with one join
+    lookups = []
     if only_tax is not None:
         key = only_tax_key or code_src
-        flags = (only_tax.select(F.col(f"`{key}`").cast("string").alias("__code"))
-                 .filter(F.col("__code").isNotNull()).distinct()
-                 .withColumn("__only_tax", F.lit(True)))
-        base = base.join(flags, "__code", "left")
-    else:
-        base = base.withColumn("__only_tax", F.lit(None).cast("boolean"))
+        lookups.append(only_tax.select(F.col(f"`{key}`").cast("string").alias("__code"), F.lit(True).alias("__only_tax"),
+                                       F.lit(None).cast("string").alias("__note"), *_no_order(ledger, ledger_order)))
     if ledger is not None:
-        notes = glosa_lookup(ledger, ledger_key, ledger_glosa, ledger_order) \
-            .withColumnRenamed("authorization_code", "__code")
-        base = base.join(notes, "__code", "left")
-    else:
+        noted = ledger.filter(col(ledger_key).isNotNull() & col(ledger_glosa).isNotNull())
+        lookups.append(noted.select(col(ledger_key).cast("string").alias("__code"), F.lit(None).cast("boolean").alias("__only_tax"),
+                                    col(ledger_glosa).cast("string").alias("__note"),
+                                    *[col(c).alias(f"__o{i}") for i, c in enumerate(ledger_order)]))
+    if lookups:
+        rows = lookups[0] if len(lookups) == 1 else lookups[0].unionByName(lookups[1])
+        aggs = [F.max("__only_tax").alias("__only_tax")]
+        if ledger is not None:
+            order = F.when(F.col("__note").isNotNull(), F.struct(*[f"__o{i}" for i in range(len(ledger_order))]))
+            aggs.append(F.nullif(F.min_by("__note", order), F.lit("")).alias("obs"))
+        found = rows.filter(F.col("__code").isNotNull()).groupBy("__code").agg(*aggs)
+        base = join_unique(base, found, "__code")
+    if only_tax is None and "__only_tax" not in base.columns:
+        base = base.withColumn("__only_tax", F.lit(None).cast("boolean"))
+    if ledger is None:
         base = base.withColumn("obs", F.lit(None).cast("string"))
 
     debit = F.col("debit_tax") if "debit_tax" in sources else F.lit(0).cast("decimal(14,2)")

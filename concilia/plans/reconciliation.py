@@ -1,8 +1,8 @@
 """Whole reconciliation of a tax register against a ledger.
 
 ``reconcile`` returns lazy DataFrames only; nothing is collected. The
-statistics are two global aggregates - over per-key summaries of both
-registers and over the comparison pairs - each ending in one row.
+statistics are two global aggregates - over per-key summaries and over the
+distinct compared values of both registers - each ending in one row.
 """
 
 from __future__ import annotations
@@ -142,8 +142,8 @@ def reconcile_stats(r: Reconciliation) -> DataFrame:
 
     Presence counters and totals come from the per-key summaries (no row
     of either register is shuffled for them); mismatch counters come from
-    one global aggregate over the comparison pairs. Each part ends in a
-    single row; the two rows are combined at the end.
+    ``pair_counts`` over sides reduced to distinct compared values. Each
+    part ends in a single row; the two rows are combined at the end.
     """
     k = key_summaries(r)
     has_key = F.col(M.KEY).isNotNull()
@@ -170,12 +170,10 @@ def reconcile_stats(r: Reconciliation) -> DataFrame:
         total("tax_valid_amount").alias("total_tax_amount"),
         total("ledger_amount", has_key & (F.col("n_tax_valid") > 0)).alias("_inv_scoped"),
         total("ledger_amount").alias("_inv_all"))
-    pair_counts = r.pairs.agg(F.struct(
-        F.count(F.when(F.col("perfect_match"), 1)).cast("bigint").alias("matched_count"),
-        F.count(F.when(F.col("amount_mismatch"), 1)).cast("bigint").alias("amount_mismatch_count"),
-        F.count(F.when(F.col("customer_mismatch"), 1)).cast("bigint").alias("customer_mismatch_count"),
-        F.count(F.when(F.col("other_mismatch"), 1)).cast("bigint").alias("other_mismatch_count"),
-    ).alias("c")).scalar()  # one scalar subquery, evaluated once
+    pair_counts = M.pair_counts(r.tax, r.ledger, r.cfg).select(F.struct(
+        F.col("perfect_match").alias("matched_count"), F.col("amount_mismatch").alias("amount_mismatch_count"),
+        F.col("customer_mismatch").alias("customer_mismatch_count"),
+        F.col("other_mismatch").alias("other_mismatch_count")).alias("c")).scalar()  # evaluated once
     agg = (keys.select("*", pair_counts.alias("__pc"))
                .select("*", *[F.col(f"__pc.{c}").alias(c) for c in
                               ("matched_count", "amount_mismatch_count", "customer_mismatch_count",
