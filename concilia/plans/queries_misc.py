@@ -12,7 +12,7 @@ from ..fixtures.views import Tables, v_tax
 from ..operators import audit as AU
 from ..operators import profiling as P
 from ..operators.filters import period_bounds_of
-from ..operators.setops import duplicate_keys, snapshot_diff
+from ..operators.setops import duplicate_keys, snapshot_diffs
 from ..sinks.report import SUMMARY_ROWS, ROUNDING, summary_table
 from ..sources.registers import repair_lines
 from .queries_core import STATS_SQL, run
@@ -99,20 +99,35 @@ def q_top_invoices(spark, sf_dir):
     return AU.top_by_amount(tax, "importe", "nro", 10)
 
 
-@register("missing_rows", """WITH new AS (
-    SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderkey % 101 <> 0
-    UNION ALL SELECT o_orderkey + 10000000, o_orderdate, o_totalprice FROM orders WHERE o_orderkey % 997 = 0)
-  SELECT o.o_orderkey, strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o.o_totalprice,
-    'lost' AS direction FROM orders o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.o_orderkey = o.o_orderkey)
-  UNION ALL
-  SELECT n.o_orderkey, strftime(n.o_orderdate, '%Y-%m-%d %H:%M:%S'), n.o_totalprice, 'new' FROM new n
-  WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = n.o_orderkey)""")
+#: Snapshots for the diff: the new one lost some rows, repeats some under new numbers, and renumbers a few codes.
+_SNAPSHOT_SQL = """old AS (
+    SELECT CAST(o_orderkey AS VARCHAR) AS nro, 'C' || CAST(o_orderkey AS VARCHAR) AS code, o_totalprice FROM orders
+  ), new AS (
+    SELECT CASE WHEN o_orderkey % 503 = 0 THEN 'R' || CAST(o_orderkey AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END AS nro,
+      'C' || CAST(o_orderkey AS VARCHAR) AS code, o_totalprice FROM orders WHERE o_orderkey % 101 <> 0
+    UNION ALL SELECT CAST(o_orderkey + 10000000 AS VARCHAR), 'D' || CAST(o_orderkey AS VARCHAR), o_totalprice FROM orders
+    WHERE o_orderkey % 997 = 0)"""
+
+
+def _diff_sql(key: str, one: str, other: str, direction: str) -> str:
+    return f"""SELECT nro, code, o_totalprice, '{direction}' AS direction,
+    CAST(CASE WHEN regexp_full_match(nro, '[0-9]+') THEN TRY_CAST(nro AS BIGINT) ELSE 0 END AS BIGINT) AS number_order,
+    '{key}' AS key_kind FROM {one} WHERE {key} NOT IN (SELECT {key} FROM {other})"""
+
+
+@register("missing_rows", f"WITH {_SNAPSHOT_SQL} " + " UNION ALL ".join(
+    _diff_sql(k, *way) for k in ("nro", "code") for way in (("old", "new", "lost"), ("new", "old", "new"))))
 def q_missing_rows(spark, sf_dir):
-    o = Tables(spark, sf_dir)["orders"].select("o_orderkey", "o_orderdate", "o_totalprice")
-    k = F.col("o_orderkey")
-    new = o.filter(k % 101 != 0).unionByName(
-        o.filter(k % 997 == 0).withColumn("o_orderkey", k + F.lit(10000000)))
-    return present(snapshot_diff(o, new, "o_orderkey", ("o_orderdate", "o_totalprice")))
+    """Differences of two snapshots by row number and by code."""
+    k, amount = F.col("o_orderkey"), F.col("o_totalprice")
+    o = Tables(spark, sf_dir)["orders"].select(k, amount)
+    nro, code = k.cast("string").alias("nro"), F.concat(F.lit("C"), k.cast("string")).alias("code")
+    renumbered = F.when(k % 503 == 0, F.concat(F.lit("R"), k.cast("string"))).otherwise(k.cast("string")).alias("nro")
+    new = o.filter(k % 101 != 0).select(renumbered, code, amount).unionByName(
+        o.filter(k % 997 == 0).select((k + F.lit(10000000)).cast("string").alias("nro"),
+                                      F.concat(F.lit("D"), k.cast("string")).alias("code"), amount))
+    diff = snapshot_diffs(o.select(nro, code, amount), new, ("nro", "code"), ("o_totalprice",), number="nro")
+    return present(diff.withColumn("number_order", F.col("number_order").cast("bigint")))
 
 
 @register("preview", S.with_views(
