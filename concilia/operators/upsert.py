@@ -58,13 +58,13 @@ def merge_plan(target: DataFrame, source: DataFrame, key: str = "authorization_c
     for c in [*[c for c in columns if c in written or c in types], *[c for c in target.columns if c not in columns]]:
         if c == key or c in stamps:
             continue
-        tcol = F.col(f"__t_{c}") if c in types else F.lit(None)
+        tcol = F.col(f"`__t_{c}`") if c in types else F.lit(None)
         if c not in written:
             val = tcol
         elif c in keep:
-            val = F.when(in_t, tcol).otherwise(F.col(f"__s_{c}"))
+            val = F.when(in_t, tcol).otherwise(F.col(f"`__s_{c}`"))
         else:
-            val = F.when(in_s, F.col(f"__s_{c}")).otherwise(tcol)
+            val = F.when(in_s, F.col(f"`__s_{c}`")).otherwise(tcol)
         out.append((val.cast(types[c]) if c in types else val).alias(c))
     created = F.col("__t_created_at") if "created_at" in target.columns else F.lit(None).cast("timestamp")
     updated = F.col("__t_updated_at") if "updated_at" in target.columns else F.lit(None).cast("timestamp")
