@@ -3,8 +3,6 @@ A15, L2, L3, P1, P6, P7)."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +72,10 @@ def min_rows(df: DataFrame, n: int = 1) -> DataFrame:
 
 
 def clean_name(name: str) -> str:
-    """P1 rule for one header: trim, lower, space -> '_', drop non-word."""
-    s = name.strip().lower().replace(" ", "_")
-    return re.sub(r"[^\w_]", "", s)
+    """P1 rule for one header: lower case without outer blanks, inner blanks
+    as underscores, and only letters, digits and underscores kept."""
+    kept = (ch for ch in "_".join(name.strip().lower().split(" ")) if ch == "_" or ch.isalnum())
+    return "".join(kept)
 
 
 def clean_names(df: DataFrame) -> DataFrame:

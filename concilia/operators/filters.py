@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from datetime import date, timedelta
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MONTH_NAMES, ReconConfig
-from ..functions.predicates import col, is_canceled
+from ..functions.predicates import col
 
 
 def modality_filter(df: DataFrame, column: str, modality: str | None = "2") -> DataFrame:
@@ -30,49 +32,16 @@ def reconcilable(tax: DataFrame, cfg: ReconConfig) -> DataFrame:
     return sector_exclude(out, cfg.tax.sector, cfg.excluded_sector)
 
 
-def canceled_flag(df: DataFrame, status_col: str | None, valid_word: str = "VALIDA") -> Column:
-    """Canceled predicate for ``df``: chosen by an explicit parameter, not by
-    looking a name up (the ledger has a status column of another meaning)."""
-    if status_col is None:
-        return F.lit(False)
-    return is_canceled(col(status_col), valid_word)
-
-
-def non_null_key(df: DataFrame, key: str) -> DataFrame:
-    return df.filter(col(key).isNotNull())
-
-
-def period_bounds(spark: SparkSession, year: int | Column, month_name: str | Column) -> DataFrame:
-    """One row (period_start, period_end) for a year and a Spanish month name.
-
-    Unknown names give NULL bounds (callers raise on them, see
-    ``resolve_period``); matching is case-insensitive.
-    """
-    names = F.create_map(*[x for i, n in enumerate(MONTH_NAMES, 1) for x in (F.lit(n), F.lit(i))])
-    y = year if isinstance(year, Column) else F.lit(int(year))
-    m = month_name if isinstance(month_name, Column) else F.lit(month_name)
-    month_no = F.element_at(names, F.upper(F.btrim(m)))
-    start = F.make_date(y, month_no, F.lit(1))
-    return spark.range(1).select(start.alias("period_start"),
-                                 F.last_day(start).alias("period_end"))
-
-
 def resolve_period(year: int, month_name: str) -> tuple[str, str]:
-    """Driver-side resolver for building filter literals (no Spark job)."""
-    import calendar
-
-    name = month_name.strip().upper()
-    if name not in MONTH_NAMES:
-        raise ValueError(f"Invalid month name: {month_name}. Valid months: {', '.join(MONTH_NAMES)}")
-    m = MONTH_NAMES.index(name) + 1
-    last = calendar.monthrange(year, m)[1]
-    return f"{year}-{m:02d}-01", f"{year}-{m:02d}-{last:02d}"
-
-
-def in_period(df: DataFrame, date_col: str, start: str, end: str) -> DataFrame:
-    """Inclusive date range filter written as literals so it reaches the
-    parquet scan (and prunes ``period`` partitions)."""
-    return df.filter(col(date_col).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    """First and last day of a month given by its Spanish name in any case,
+    as ISO dates for filter literals (no Spark job)."""
+    wanted = month_name.strip().upper()
+    month = next((i for i, known in enumerate(MONTH_NAMES, 1) if known == wanted), None)
+    if month is None:
+        raise ValueError(f"{month_name!r} is no month; expected one of {list(MONTH_NAMES)}")
+    first = date(year, month, 1)
+    after = date(year + month // 12, month % 12 + 1, 1)
+    return first.isoformat(), (after - timedelta(days=1)).isoformat()
 
 
 def period_bounds_of(df: DataFrame, date_col: str) -> DataFrame:

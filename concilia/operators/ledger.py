@@ -29,7 +29,7 @@ ROLES = ("factura_egresos", "egresos", "factura", "pago_factura", "pago", "tmovi
 
 def currency_label(code: Column) -> Column:
     """1 -> 'BOB', 2 -> '$U$', anything else NULL."""
-    return F.when(code == 1, F.lit("BOB")).when(code == 2, F.concat(F.lit("$"), F.lit("U$")))
+    return F.when(code == 1, F.lit("BOB")).when(code == 2, F.lit("$U$"))
 
 
 def payment_label(canceled: Column, paid: Column) -> Column:

@@ -4,25 +4,26 @@ numeric; text formatting happens only in ``formatted`` views."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Summary sheet rows: display label and the statistic behind it (fixed labels).
+# Summary sheet rows: label and the statistic behind it.
 SUMMARY_ROWS = (
-    ("Total SIAT (MODALIDAD=2)", "total_tax"),
-    ("Total Inventory", "total_ledger"),
-    ("Perfect Matches", "matched_count"),
-    ("Match Rate (%)", "match_rate"),
-    ("SIAT Total Amount (Bs.) - VALID only", "total_tax_amount"),
-    ("Inventory Total Amount (Bs.)", "total_ledger_amount"),
-    ("Amount Difference (Bs.)", "amount_difference"),
-    ("Amount Difference (%)", "amount_difference_pct"),
-    ("Only in SIAT", "only_tax_count"),
-    ("Only in Inventory", "only_ledger_count"),
-    ("Amount Mismatches", "amount_mismatch_count"),
-    ("Customer Mismatches", "customer_mismatch_count"),
-    ("Other Mismatches", "other_mismatch_count"),
-    ("Total Issues", "total_issues"),
+    ("tax rows compared", "total_tax"),
+    ("ledger rows", "total_ledger"),
+    ("pairs without a difference", "matched_count"),
+    ("match rate, percent", "match_rate"),
+    ("valid tax amount", "total_tax_amount"),
+    ("ledger amount", "total_ledger_amount"),
+    ("difference of amounts", "amount_difference"),
+    ("difference of amounts, percent", "amount_difference_pct"),
+    ("rows in tax only", "only_tax_count"),
+    ("rows in ledger only", "only_ledger_count"),
+    ("pairs with another amount", "amount_mismatch_count"),
+    ("pairs with another customer", "customer_mismatch_count"),
+    ("pairs with another invoice or branch", "other_mismatch_count"),
+    ("issues in all", "total_issues"),
 )
 ROUNDING = {"match_rate": 2, "amount_difference_pct": 4, "total_tax_amount": 2, "total_ledger_amount": 2,
             "amount_difference": 2}
@@ -37,8 +38,15 @@ def summary_table(stats: DataFrame) -> DataFrame:
 
 
 def formatted_summary(summary: DataFrame) -> DataFrame:
-    """K3 text view: thousands separators and fixed decimals at the sink."""
-    return summary.withColumn("text", F.format_number(F.col("value"), 2))
+    """K3/X16 text view: thousands separators; counts without decimals,
+    amounts and the match rate with two, the difference in percent with four."""
+    places = F.lit(0)
+    for i, (_, c) in enumerate(SUMMARY_ROWS):
+        if c in ROUNDING:
+            places = F.when(F.col("position") == i, F.lit(ROUNDING[c])).otherwise(places)
+    text = F.when(places == 0, F.format_number("value", 0)).when(places == 2, F.format_number("value", 2)) \
+        .otherwise(F.format_number("value", 4))
+    return summary.withColumn("text", text)
 
 
 def sheets(recon) -> dict[str, DataFrame]:
@@ -56,20 +64,34 @@ def sheets(recon) -> dict[str, DataFrame]:
 
 
 def write_report(recon, root: str, fmt: str = "parquet", skip_empty: bool = True) -> list[str]:
-    """K3/K4: write every sheet under ``root``; returns the sheets written.
-    Emptiness is probed with ``limit(1)`` (no full count)."""
+    """K3/K4: write every sheet under ``root``; returns the sheets that have
+    rows. An empty sheet is left out, unless an earlier run left rows under
+    the same root: these are overwritten, so no old sheet is taken for a
+    new one. Emptiness is probed with ``limit(1)`` (no full count)."""
     written = []
     for name, df in sheets(recon).items():
-        if skip_empty and name != "summary" and not df.limit(1).take(1):
+        path = f"{root.rstrip('/')}/report={name}"
+        empty = skip_empty and name != "summary" and not df.limit(1).take(1)
+        if empty and not _exists(df, path):
             continue
         w = df.write.mode("overwrite")
         if fmt == "csv":
             w = w.option("header", True)
-        w.format(fmt).save(f"{root.rstrip('/')}/report={name}")
-        written.append(name)
+        w.format(fmt).save(path)
+        if not empty:
+            written.append(name)
     return written
 
 
+def _exists(df: DataFrame, path: str) -> bool:
+    """Whether an earlier run wrote to ``path``."""
+    files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True)
+    try:
+        return not files.load(path).select("path").isEmpty()
+    except AnalysisException:
+        return False
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """K1/K2: CSV with header, UTF-8 (a byte-order mark is not written)."""
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)

@@ -19,9 +19,10 @@ def _recon(spark):
 
 def test_summary_sheet_and_formatting(spark):
     s = {r["metric"]: r["value"] for r in summary_table(_recon(spark).stats()).collect()}
-    assert s["Total SIAT (MODALIDAD=2)"] == 2 and s["Only in Inventory"] == 1 and s["Perfect Matches"] == 1
+    assert s["tax rows compared"] == 2 and s["rows in ledger only"] == 1 and s["pairs without a difference"] == 1
     txt = {r["metric"]: r["text"] for r in formatted_summary(summary_table(_recon(spark).stats())).collect()}
-    assert txt["SIAT Total Amount (Bs.) - VALID only"] == "1,000.50"
+    assert txt["valid tax amount"] == "1,000.50" and txt["tax rows compared"] == "2"
+    assert txt["match rate, percent"] == "50.00" and txt["difference of amounts, percent"] == "0.0000"
 
 
 def test_write_report_skips_empty_sheets(spark, scratch):
@@ -33,3 +34,12 @@ def test_write_report_skips_empty_sheets(spark, scratch):
     write_csv(spark.read.parquet(os.path.join(root, "report=summary")), os.path.join(scratch, "csv"))
     back = spark.read.option("header", True).csv(os.path.join(scratch, "csv"))
     assert back.count() == 14 and "metric" in back.columns
+
+
+def test_second_run_leaves_no_old_rows(spark, scratch):
+    root = os.path.join(scratch, "report")
+    assert "only_in_ledger" in write_report(_recon(spark), root)
+    r = _recon(spark)
+    again = reconcile(r.tax, r.ledger.filter("k = 'A'"), r.cfg)
+    assert "only_in_ledger" not in write_report(again, root)
+    assert spark.read.schema(again.only_ledger.schema).parquet(os.path.join(root, "report=only_in_ledger")).isEmpty()
