@@ -29,16 +29,34 @@ ENCODINGS = ("utf-8", "iso-8859-1")  # JVM and Python names alike
 EXCLUDED_PREFIXES = ("inventory_", "processed_")
 
 
+def _quoted(line: Column, n: int) -> Column:
+    """The ``n`` fields of a line read with quotes and escapes, or NULL if
+    it has another number of fields that way."""
+    names = [f"f{i}" for i in range(n)]
+    schema = ", ".join(f"{c} string" for c in (*names, "broken"))
+    got = F.from_csv(line, schema, {"quote": '"', "escape": "\\", "columnNameOfCorruptRecord": "broken"})
+    # the right number of fields, so a NULL is an empty field
+    fields = F.array(*[F.coalesce(got[c], F.lit("")) for c in names])
+    return F.when(got["broken"].isNull(), fields)
+
+
 def repair_lines(lines: DataFrame, line_col: str, header: list[str], merge_at: int = 6,
                  sep: str = ",") -> DataFrame:
-    """Split each line on ``sep``; a line with too many fields has
-    its extras merged back into field ``merge_at`` (0-based, the company
-    name); a line with too few is marked 'skipped'. Adds ``repair_status``
-    (ok / fixed / skipped), ``n_fields`` and one string column per header
-    field (NULL for skipped rows)."""
+    """A line with quotes that has the right number of fields when
+    quotes and escapes are honoured is read so. Any other line is split at
+    every ``sep``; if that gives too many fields, the extras are merged back
+    into field ``merge_at`` (0-based, the company name); a line with too few
+    is marked 'skipped'. Adds ``repair_status`` (ok / fixed / skipped),
+    ``n_fields`` and one string column per header field (NULL for skipped
+    rows)."""
     n = len(header)
-    parts = F.split(strip(col(line_col)), F.lit(sep), -1)
-    size = F.size(parts)
+    text = strip(col(line_col))
+    parts = F.split(text, F.lit(sep), -1)
+    if sep == ",":
+        quoted = F.when(text.contains('"'), _quoted(text, n))
+        parts = F.coalesce(quoted, parts)
+    staged = lines.select("*", parts.alias("__p"))
+    parts, size = F.col("__p"), F.size("__p")
     extra = size - F.lit(n)
     merged = F.concat(
         F.slice(parts, 1, merge_at),
@@ -46,7 +64,7 @@ def repair_lines(lines: DataFrame, line_col: str, header: list[str], merge_at: i
         F.slice(parts, F.lit(merge_at + 2) + extra, F.lit(n)))
     fields = F.when(size == n, parts).when(size > n, merged)
     status = F.when(size == n, F.lit("ok")).when(size > n, F.lit("fixed")).otherwise(F.lit("skipped"))
-    out = lines.select("*", status.alias("repair_status"), size.alias("n_fields"), fields.alias("__f"))
+    out = staged.select(*lines.columns, status.alias("repair_status"), size.alias("n_fields"), fields.alias("__f"))
     return out.select(*lines.columns, "repair_status", "n_fields",
                       *[F.col("__f")[i].alias(h) for i, h in enumerate(header)])
 
@@ -75,7 +93,23 @@ def detect_encodings(spark: SparkSession, path: str, encodings: tuple = ENCODING
 def _read_lines(spark: SparkSession, paths, encoding: str) -> DataFrame:
     return (spark.read.option("sep", _NO_SEP).option("quote", "\u0000").option("header", False)
             .option("encoding", encoding).schema("line string").csv(paths)
-            .withColumn("path", F.col("_metadata.file_path")))
+            .select("line", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("at")))
+
+
+def _trimmed_fields(line: str) -> Column:
+    return F.array_join(F.transform(F.split(strip(F.col(line)), ","), strip), ",")
+
+
+def _one_header(first_lines: DataFrame) -> list[str]:
+    """The header that all files share, from each file's first line; files
+    with other columns, or the same in another order, raise."""
+    heads = [r["head"] for r in first_lines.select(_trimmed_fields("line").alias("head")).distinct().limit(2).collect()]
+    if not heads:
+        raise FileNotFoundError("no file with a header line")
+    if len(heads) > 1:
+        raise ValueError(f"files have different headers: {heads}")
+    return heads[0].split(",")
 
 
 def read_register(spark: SparkSession, path: str, header: list[str] | None = None, merge_at: int = 6,
@@ -83,8 +117,9 @@ def read_register(spark: SparkSession, path: str, header: list[str] | None = Non
     """Read every file under ``path`` as repaired register rows.
 
     The encoding is chosen per file; the driver only sees the list of
-    (file, encoding) pairs. The header is the first line of the files (one
-    line); header lines are then dropped by content.
+    (file, encoding) pairs. The header is the first line of every file; all
+    files must have the same one, and lines equal to it are dropped.
+    ``keep_skipped`` keeps unusable lines for ``repair_counts``.
     """
     plan = detect_encodings(spark, path, encodings)
     groups: dict[str, list[str]] = {}
@@ -96,52 +131,55 @@ def read_register(spark: SparkSession, path: str, header: list[str] | None = Non
     lines = frames[0]
     for f in frames[1:]:
         lines = lines.unionByName(f)
-    first = lines.select("line").limit(1).collect()
-    if header is None:
-        header = [h.strip() for h in first[0]["line"].strip().split(",")]
-    head_text = ",".join(header)
-    body = lines.filter(strip(F.col("line")) != F.lit(head_text)).filter(strip(F.col("line")) != "")
+    found = _one_header(lines.filter(F.col("block") == 0).groupBy("path").agg(F.min_by("line", "at").alias("line")))
+    header = header or found
+    body = lines.filter(_trimmed_fields("line") != F.lit(",".join(found))).filter(strip(F.col("line")) != "").drop("block", "at")
     out = repair_lines(body, "line", header, merge_at)
     return out if keep_skipped else out.filter(F.col("repair_status") != "skipped")
 
 
+#: Lines of an archive that are handed on at a time.
+ZIP_BLOCK = 50_000
+
+
+def _decoded(raw: bytes, encodings: tuple, path: str) -> str:
+    for enc in encodings:
+        try:
+            return raw.decode(enc)
+        except UnicodeDecodeError:
+            continue
+    raise ValueError(f"{path}: not in any of the encodings {encodings}")
+
+
 def _unzip_factory(suffix: str, encodings: tuple):
     def unzip(batches):
         for pdf in batches:
-            rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as zf:
                     members = sorted(n for n in zf.namelist() if n.lower().endswith(suffix))
                     if not members:
                         continue
-                    raw = zf.read(members[0])
-                text = None
-                for enc in encodings:
-                    try:
-                        text = raw.decode(enc)
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                for i, line in enumerate(io.StringIO(text).read().splitlines()):
-                    rows.append((path, members[0], i, line))
-            yield pd.DataFrame(rows, columns=["path", "member", "line_no", "line"])
+                    lines = _decoded(zf.read(members[0]), encodings, path).splitlines()
+                for at in range(0, len(lines), ZIP_BLOCK):
+                    part = lines[at:at + ZIP_BLOCK]
+                    yield pd.DataFrame({"path": path, "member": members[0], "line_no": range(at, at + len(part)), "line": part})
     return unzip
 
 
 def read_zip_register(spark: SparkSession, path: str, suffix: str = ".csv", merge_at: int = 6,
-                      encodings: tuple = ENCODINGS) -> DataFrame:
+                      encodings: tuple = ENCODINGS, keep_skipped: bool = False) -> DataFrame:
     """First ``suffix`` member of every ZIP under ``path``, unpacked
-    inside tasks, then repaired like plain files (header = line 0)."""
+    inside tasks one archive at a time, then repaired like plain files. Line
+    0 of each member is its header; all must agree. An archive in none of
+    the encodings raises."""
     zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("member", T.StringType()),
                            T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType())])
     lines = zips.mapInPandas(_unzip_factory(suffix.lower(), encodings), schema)
-    head = lines.filter(F.col("line_no") == 0).select("line").limit(1).collect()
-    if not head:
-        raise FileNotFoundError(path)
-    header = [h.strip() for h in head[0]["line"].strip().split(",")]
+    header = _one_header(lines.filter(F.col("line_no") == 0))
     body = lines.filter((F.col("line_no") > 0) & (strip(F.col("line")) != ""))
-    return repair_lines(body, "line", header, merge_at).filter(F.col("repair_status") != "skipped")
+    out = repair_lines(body, "line", header, merge_at)
+    return out if keep_skipped else out.filter(F.col("repair_status") != "skipped")
 
 
 def file_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import os
 import zipfile
 
-from concilia.sources.registers import file_catalog, latest_snapshot, read_register, read_zip_register, repair_lines
+import pytest
+
+from concilia.sources.registers import file_catalog, latest_snapshot, read_register, read_zip_register, repair_counts, repair_lines
 
 HEADER = "NRO,FECHA,FACTURA,CODIGO,NIT,COMPLEMENTO,NOMBRE,IMPORTE"
 LINES = [
@@ -51,3 +53,31 @@ def test_zip_and_catalog(spark, scratch):
     latest = latest_snapshot(cat).first()
     assert latest["name"] == "ventas.zip"
     assert cat.filter("usable").count() == 3
+
+
+def test_quoted_fields(spark):
+    lines = ['1,d,1,abc,100,"x, y",ACME,10.50',             # quoted field before the name
+             '2,d,2,abd,101,,"ACME, SRL",11.00',
+             '3,d,3,abe,102,,"A \\"B\\" C",12.00',          # escaped quotes
+             '4,d,4,abf,103,"",Say "so", SRL,13.00',         # right only when split and merged
+             '5,d,5,abg,104,,,14.00']
+    df = spark.createDataFrame(list(enumerate(lines, 1)), "i int, line string")
+    rows = {r["i"]: r for r in repair_lines(df, "line", HEADER.split(","), 6).collect()}
+    assert rows[1]["COMPLEMENTO"] == "x, y" and rows[1]["NOMBRE"] == "ACME" and rows[1]["IMPORTE"] == "10.50"
+    assert rows[2]["NOMBRE"] == "ACME, SRL" and rows[2]["COMPLEMENTO"] == "" and rows[2]["repair_status"] == "ok"
+    assert rows[3]["NOMBRE"] == 'A "B" C'
+    assert rows[4]["repair_status"] == "fixed" and rows[4]["IMPORTE"] == "13.00"
+    assert rows[5]["NOMBRE"] == "" and rows[5]["IMPORTE"] == "14.00"
+
+
+def test_headers_by_file(spark, scratch):
+    d = os.path.join(scratch, "heads")
+    os.makedirs(d)
+    _write(os.path.join(d, "a.csv"), HEADER.replace(",", ", ") + "\n" + LINES[0] + "\n", "utf-8")
+    _write(os.path.join(d, "b.csv"), HEADER + "\n" + LINES[1] + "\n" + LINES[3] + "\n", "utf-8")
+    rows = read_register(spark, d, keep_skipped=True)
+    assert sorted(r["NRO"] or "" for r in rows.collect()) == ["", "1", "2"]
+    assert {r["repair_status"]: r["n"] for r in repair_counts(rows).collect()} == {"ok": 1, "fixed": 1, "skipped": 1}
+    _write(os.path.join(d, "c.csv"), "NOMBRE,NRO\nx,1\n", "utf-8")
+    with pytest.raises(ValueError, match="different headers"):
+        read_register(spark, d)
