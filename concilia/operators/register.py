@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..config import (DECIMAL_TARGETS, DEFAULT_AUTHOR, LENGTH_LIMITS, OBS_DOLLAR, OBS_NOT_IN_LEDGER,
                       OBS_RENTAL, REGISTER_COLUMN_MAP, REQUIRED_TARGETS)
@@ -198,7 +199,8 @@ def map_register(tax: DataFrame, column_map: tuple = REGISTER_COLUMN_MAP,
 
 def validate_register(df: DataFrame) -> DataFrame:
     """One row per violated rule (rule, column, n_rows); empty means
-    valid. Rules: required not null, numeric decimals, length limits.
+    valid. Rules: required not null, amounts that fit their decimal, numeric
+    amounts where they come as text, length limits.
     One aggregation pass, then unpivot and filter."""
     rules = []
     for c in REQUIRED_TARGETS:
@@ -206,7 +208,10 @@ def validate_register(df: DataFrame) -> DataFrame:
             rules.append(("not_null", c, col(c).isNull()))
     for c in DECIMAL_TARGETS:
         if c in df.columns:
-            rules.append(("numeric", c, col(c).isNotNull() & col(c).cast("string").try_cast("double").isNull()))
+            # the mapping writes 0 for blank or unparsable amounts; NULL is left by one that does not fit
+            rules.append(("overflow", c, col(c).isNull()))
+            if not isinstance(df.schema[c].dataType, NumericType):
+                rules.append(("numeric", c, col(c).isNotNull() & col(c).cast("string").try_cast("double").isNull()))
     for c, n in LENGTH_LIMITS:
         if c in df.columns:
             rules.append(("max_length", c, F.length(F.coalesce(col(c).cast("string"), F.lit("None"))) > n))

@@ -3,6 +3,8 @@ queries (A9, A10, A14, L3, L4, O3, O4, P1, P6, P7, F6, X17, K3, S2, S3)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..catalog import present, register
@@ -14,7 +16,8 @@ from ..operators import profiling as P
 from ..operators.filters import period_bounds_of
 from ..operators.setops import duplicate_keys, snapshot_diffs
 from ..sinks.report import SUMMARY_ROWS, ROUNDING, summary_table
-from ..sources.registers import repair_lines
+from ..session import ensure_checkpoint_dir
+from ..sources.registers import read_register, repair_lines
 from .queries_core import STATS_SQL, run
 
 @register("profile_nulls", S.with_views(
@@ -225,3 +228,27 @@ def q_csv_repair(spark, sf_dir):
     out = repair_lines(_lines(spark, sf_dir), "line", HEADER, merge_at=6)
     return out.select("line_no", "repair_status", F.col("n_fields").cast("bigint"), "NRO", "CODIGO",
                       "COMPLEMENTO", "NOMBRE", "IMPORTE")
+
+
+@register("quoted_export", """SELECT CAST(c_custkey AS VARCHAR) AS NRO, CAST(c_custkey AS VARCHAR) || ', x' AS COMPLEMENTO,
+    CASE c_custkey % 7 WHEN 1 THEN c_name || ', SRL' WHEN 2 THEN c_name || ',A,B' WHEN 3 THEN 'La "' || c_name || '"'
+      ELSE c_name END AS NOMBRE, CAST(CAST(c_acctbal AS DECIMAL(14,2)) AS VARCHAR) AS IMPORTE, 'ok' AS repair_status
+  FROM customer WHERE c_custkey % 41 <> 0 AND c_custkey % 7 <> 2
+  UNION ALL SELECT CAST(c_custkey AS VARCHAR), '', c_name || ',A,B', CAST(CAST(c_acctbal AS DECIMAL(14,2)) AS VARCHAR), 'fixed'
+  FROM customer WHERE c_custkey % 41 <> 0 AND c_custkey % 7 = 2""")
+def q_quoted_export(spark, sf_dir):
+    """Customers written as an export with quotes, escapes and surplus commas, and read back."""
+    c = Tables(spark, sf_dir)["customer"]
+    k, name, nro = F.col("c_custkey"), F.col("c_name"), F.col("c_custkey").cast("string")
+    shown = (F.when(k % 7 == 1, F.concat(F.lit('"'), name, F.lit(', SRL"')))
+              .when(k % 7 == 2, F.concat(name, F.lit(",A,B")))
+              .when(k % 7 == 3, F.concat(F.lit('"La \\"'), name, F.lit('\\""'))).otherwise(name))
+    extra = F.when(k % 7 == 2, F.lit("")).otherwise(F.concat(F.lit('"'), nro, F.lit(', x"')))
+    full = F.concat_ws(",", nro, F.lit("2025-01-01"), nro, F.lit("X"), nro, extra, shown,
+                       F.col("c_acctbal").cast("decimal(14,2)").cast("string"))
+    line = F.when(k % 41 == 0, F.concat_ws(",", nro, F.lit("2025-01-01"))).otherwise(full)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/{uuid.uuid4().hex}"
+    # one header line per file: the head of a one-column table, written without quoting
+    lines = c.select(line.alias(",".join(HEADER)))
+    lines.write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    return read_register(spark, path).select("NRO", "COMPLEMENTO", "NOMBRE", "IMPORTE", "repair_status")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import REGISTER_COLUMN_MAP
-from ..operators.register import map_register
+from ..operators.register import map_register, validate_register
 from ..operators.upsert import merge_plan
 from ..sinks.snapshot import commit_snapshot, read_current
 from ..sources.registers import _NO_SEP, repair_lines
@@ -44,6 +44,9 @@ def load_stream(spark: SparkSession, source_dir: str, target_root: str, header:
         if not batch.limit(1).take(1):
             return
         mapped = map_register(batch, column_map)
+        issues = validate_register(mapped).collect()  # at most one row per rule
+        if issues:
+            raise ValueError(f"batch {batch_id} is not loaded: {issues}")
         current = read_current(spark, target_root)
         if current is None:
             current = mapped.limit(0).withColumn("created_at", F.current_timestamp()) \

@@ -68,3 +68,11 @@ def test_upsert_keeps_columns_that_the_source_lacks(spark):
     assert (got["b"].id, got["b"].subtotal, got["b"].customer_name, got["b"].action) == (2, 6.0, "y", "keep")
     # copies of a key without an order: the greatest row, whatever the input order
     assert got["c"].customer_name == "third" and got["c"].id is None
+
+
+def test_amount_that_does_not_fit_is_an_issue(spark):
+    from concilia.operators.register import map_register, validate_register
+
+    rows = spark.createDataFrame([("a", "9999999999999.99"), ("b", "12.5"), ("c", "x"), ("d", None)], "code string, tax string")
+    mapped = map_register(rows, (("code", "authorization_code"), ("tax", "debit_tax")))
+    assert [tuple(r) for r in validate_register(mapped).collect()] == [("overflow", "debit_tax", 1)]
