@@ -11,16 +11,19 @@ on the full sets. The result is the connected components of the links.
 2. **Trees.** In each of a number of independent trees a node follows a
    path of chosen minwise tokens: first BASE of them, enough to part texts
    that merely share a phrase. Nodes that share a path form a bucket. Two
-   linked nodes share a tree's path with probability s**BASE; ``RECALL`` of
-   a pair at the very threshold fixes the number of trees.
+   linked nodes share a tree's path with probability s**BASE and stay
+   together below it as in 4; ``RECALL`` of a pair at the very threshold,
+   with trees taken as independent, fixes the number of trees.
 3. **Contraction.** Each node's most similar bucket minimum (by sketch) is
    checked on the full sets; confirmed links are contracted. A group of
    near copies of any size costs one check per member, not one per pair,
    and buckets whose nodes all hang together are done.
 4. **Recursion.** A bucket that still holds several components and more
-   than BRANCH nodes branches on the next tokens that its path selects: one,
-   and a second one for 1/s - 1 of the paths, so a linked pair stays
-   together on one branch on average at any depth. Buckets of LEAF to BRANCH
+   than BRANCH nodes branches on the next tokens that its path selects: ROOTS
+   of them at the base, below it one (more if s is small), and a further one for so many paths
+   that a linked pair stays together on GROWTH > 1 branches on average. So
+   it survives to any depth with a probability that ``number_of_trees``
+   counts in, and only rows that branch pay for it. Buckets of LEAF to BRANCH
    nodes, and what is still larger DEPTH levels down, are compared chunk by
    chunk: every pair of chunks is a leaf.
 5. **Leaves.** Buckets of at most LEAF nodes are compared exhaustively, by
@@ -56,6 +59,9 @@ BASE = 3
 LEAF = 1024
 BRANCH = 8 * LEAF
 DEPTH = 24
+#: Branches at the base, and the mean number of branches below it that keep a pair at the threshold together.
+ROOTS = 10
+GROWTH = 1.1
 RECALL = 0.99999
 #: Standard deviations of the sketch estimate that a pair may lie below the threshold.
 SLACK = 4.0
@@ -140,8 +146,24 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
     return on_workers(docs.select("__id", "__text"), run, f"id {id_type}, n long, h binary, sig binary")
 
 
+def _branches(percent: int) -> tuple[int, float]:
+    """Tokens that every path follows, and the share of paths that follow one more."""
+    n = GROWTH * 100 / percent
+    return int(n), n - int(n)
+
+
+def survival(percent: int) -> float:
+    """Least probability, at any depth, that a pair at the threshold which
+    shares a base path still shares a bucket."""
+    s, (every, some), p = percent / 100, _branches(percent), 1.0
+    for _ in range(1000):  # one path below the base, level by level
+        p = 1 - (1 - s * p) ** every * (1 - some * s * p)
+    return 1 - (1 - s * p) ** ROOTS
+
+
 def number_of_trees(percent: int) -> int:
-    return math.ceil(math.log(1 - RECALL) / math.log(1 - (percent / 100) ** BASE))
+    found = (percent / 100) ** BASE * survival(percent)
+    return 1 if found >= 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - found))
 
 
 def _paths(nodes: DataFrame, trees: int) -> DataFrame:
@@ -176,9 +198,10 @@ def _step(key, token):
     return key ^ (key >> np.uint64(29))
 
 
-def _branch(rows: DataFrame, percent: int) -> DataFrame:
+def _branch(rows: DataFrame, percent: int, base: bool) -> DataFrame:
     """(key, node) one level down: (key, node, sig) on the tokens that the path selects."""
     names, _ = arrow_fields("key long, node long")
+    every, more = _branches(percent)
 
     def run(batches):
         import numpy as np
@@ -190,11 +213,14 @@ def _branch(rows: DataFrame, percent: int) -> DataFrame:
             sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, WIDTH)
             pick = _step(key, np.uint64(1))
             first = (pick % np.uint64(WIDTH)).astype(np.int64)
-            second = (first + 1 + ((pick >> np.uint64(16)) % np.uint64(WIDTH - 1)).astype(np.int64)) % WIDTH
-            twice = (pick >> np.uint64(40)) % np.uint64(1000) < np.uint64(round(1000 * (100 / percent - 1)))
+            # an odd stride: the coordinates of a path's branches differ
+            stride = ((pick >> np.uint64(16)) % np.uint64(WIDTH // 2)).astype(np.int64) * 2 + 1
             at = np.arange(len(key))
-            for branch, coord, some in ((2, first, at), (3, second, at[twice])):
-                got = _step(_step(key[some], np.uint64(branch)), sig[some, coord[some]].astype(np.uint64))
+            further = (pick >> np.uint64(40)) % np.uint64(1000) < np.uint64(math.ceil(1000 * more))
+            for branch in range(ROOTS if base else every + 1):
+                some = at if base or branch < every else at[further]
+                coord = (first[some] + branch * stride[some]) % WIDTH
+                got = _step(_step(key[some], np.uint64(branch + 2)), sig[some, coord].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(node[some])], names=names)
 
     return on_workers(rows.select("key", "node", "sig"), run, "key long, node long")
@@ -453,10 +479,10 @@ def _links(rows: DataFrame, nodes: DataFrame, size: int, percent: int, leaf: int
     small = nodes.select("node", "n", "sig")
     leaves = [_chunk_pairs(rest.filter(F.col("c") <= branch), leaf)]
     rest = rest.filter(F.col("c") > branch)
-    for _ in range(depth):
+    for level in range(depth):
         if rest.isEmpty():
             break
-        children = _branch(rest.select("key", "node").join(small, "node").select("key", "node", "sig"), percent)
+        children = _branch(rest.select("key", "node").join(small, "node").select("key", "node", "sig"), percent, level == 0)
         children = children.join(up, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
         children = stored(children, "near-children")
         rest = stored(_with_counts(children, "near-mixed"), "near-rest")

@@ -108,6 +108,32 @@ def test_near_duplicates_empty(empty):
     assert near_dup.similar_components(empty, 3, 85).count() == 0
 
 
+def _together(spark, branch, percent, levels, pairs=600):
+    """Share of threshold pairs (nodes 2k, 2k + 1) that start in one bucket and still share one some levels down."""
+    rng = np.random.default_rng(11)
+    one = rng.integers(0, 1 << 16, (pairs, near_dup.WIDTH), np.uint16)
+    two = np.where(rng.random(one.shape) < percent / 100, one, rng.integers(0, 1 << 16, one.shape, np.uint16))
+    sig = {2 * k + x: t[k].tobytes() for x, t in enumerate((one, two)) for k in range(pairs)}
+    rows = [(7, n) for n in sig]
+    for level in range(levels):
+        df = spark.createDataFrame([(k, n, sig[n]) for k, n in rows], "key long, node long, sig binary")
+        got = {(r.key, r.node) for r in branch(df, percent, level).collect()}
+        rows = [(k, n) for k, n in got if (k, n ^ 1) in got]
+    return len({n // 2 for _, n in rows}) / pairs
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_pairs_survive_branching(spark, percent):
+    branch = lambda df, percent, level: near_dup._branch(df, percent, level == 0)
+    assert _together(spark, branch, percent, 10) >= 0.95
+
+
+def test_near_duplicates_number_of_trees():
+    for percent in (30, 80, 85, 100):
+        found = (percent / 100) ** near_dup.BASE * near_dup.survival(percent)
+        assert near_dup.survival(percent) > 0.5 and (1 - found) ** near_dup.number_of_trees(percent) <= 1 - near_dup.RECALL
+
+
 def test_token_counts(docs, rows, empty):
     import sentencepiece
 
