@@ -142,16 +142,17 @@ def decode_ids(encoded: DataFrame, rank_path: str, pattern: str, id_col: str = "
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256: each text encoded
-    and its ids decoded again in one pass."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+               text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, the columns ``carry``, n_tokens, ids_sha256,
+    decoded_sha256: each text encoded and its ids decoded again in one pass."""
+    kept = [id_col, *carry]
 
-    def make(keys, texts):
+    def make(*columns):
         c = codec(rank_path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        got = [(len(x) // 4, sha(x), sha(c.decode(x))) for run in slices(texts) for x in c.encode(run)]
-        return keys, *map(list, zip(*got))
+        got = [(len(x) // 4, sha(x), sha(c.decode(x))) for run in slices(columns[-1]) for x in c.encode(run)]
+        return *columns[:-1], *map(list, zip(*got))
 
-    return map_rows(docs.select(F.col(id_col), body(text_col)), make,
-                    f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    types = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in kept)
+    return map_rows(docs.select(*kept, body(text_col)), make,
+                    f"{types}n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,21 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_file_order(df: DataFrame, name: str) -> DataFrame:
+    """``df``, read from Parquet, with each row's position (0, 1, ...) in the
+    order of the part files and of the rows in them: the order in which it was
+    written. A scan itself packs files by size. One count per file is collected."""
+    at = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    counts = {r["__file"]: r["count"] for r in at.groupBy("__file").count().collect()}
+    number = lambda f: int((re.findall(r"part-(\d+)", f) or [0])[-1])
+    before, n = [], 0
+    for f in sorted(counts, key=lambda f: (number(f), f)):
+        before.append((f, n))
+        n += counts[f]
+    files = df.sparkSession.createDataFrame(before, "__file string, __before long")
+    return at.join(F.broadcast(files), "__file").select(*df.columns, (F.col("__before") + F.col("__at")).alias(name))
+
+
 def body(text_col: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))

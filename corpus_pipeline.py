@@ -3,7 +3,9 @@
 Quality rules, exact dedup, near dedup (five-word shingles, similarity 0.8),
 mixing to target weights, and byte-level BPE. All but the last stage return
 the columns of ``documents``; the first three drop rows, mixing puts the
-rows in mixture order, encoding returns one row of token digests each.
+rows in mixture order, encoding returns one row of token digests each with
+its ``position`` in the mixture: the order in which the mixed rows lie in
+their files, which a scan does not keep.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from concilia.llm import byte_bpe, exact_dedup, mixing, near_dup, quality
-from concilia.llm.common import stored, table
+from concilia.llm.common import in_file_order, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(in_file_order(docs, "position"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                               public_tokenizers.PATTERN, carry=("position",))
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("near_dedup", near), ("mix_sources", mix),

@@ -14,7 +14,7 @@ import pytest
 
 from concilia.llm import (byte_bpe, chat, exact_dedup, html_extract, mixing, near_dup, quality, secret_scan, token_counts,
                           token_store)
-from concilia.llm.common import scratch_path
+from concilia.llm.common import scratch_path, stored
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -322,3 +322,19 @@ def test_pipeline(spark):
     good = {r.doc_id for r in quality.judge(docs).filter("kept").collect()}
     last = {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
     assert last <= good <= ids and last
+
+
+def test_pipeline_returns_the_mixture_order(spark):
+    import corpus_pipeline
+
+    many = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', CAST(3000 - id AS INT) % 97) AS text", "'en' AS lang",
+                                        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 7) END AS source")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = stored(corpus_pipeline.mix(spark, many, ""), "test-mix")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(mixed.inputFiles()) > 1
+    got = sorted(corpus_pipeline.encode(spark, mixed, "").collect(), key=lambda r: r.position)
+    want = sorted(mixing.mix(many).collect(), key=lambda r: (r.slot, r.block_row))
+    assert [r.position for r in got] == list(range(3000)) and [r.doc_id for r in got] == [r.doc_id for r in want]
