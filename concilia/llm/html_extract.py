@@ -11,6 +11,15 @@ cost: a lone block that the classifier gets wrong goes with its
 neighbours unless its own evidence outweighs them. Blocks on the source
 side, in page order, are the text.
 
+Boilerplate marks have levels. Forms and class words that speak of layout or
+mix content and boilerplate (``with-sidebar``, ``main-search``) are WEAK: a
+content word below resets them. Other class words are MARKED: an article
+resets those of wrappers, as it does weak ones. Navigation, comments, related
+items and advertisements are FIRM: only main or an articleBody below resets
+them. What is not displayed is HIDDEN for good. Negated words
+(``no-comments``) and taxonomy (``category-ads``) say nothing. All but hidden
+blocks can be overruled by their text and neighbours.
+
 Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by a newline; scripts, styles, other
 non-text elements, comments and markup go. ``<br>`` is white space inside
@@ -36,7 +45,10 @@ from .common import body, map_rows
 #: Capacities of the smoothness edges.
 ADJACENT, SIBLING, ACROSS = 1.0, 1.0, 0.25
 #: Classifier weights (log-odds).
-INSIDE, OUTSIDE, LINK, WORDS, SENTENCE, BIAS, HEADING = 6.0, -14.0, -5.0, 1.1, 1.0, -1.5, 1.0
+INSIDE, LINK, WORDS, SENTENCE, BIAS, HEADING = 6.0, -5.0, 1.1, 1.0, -1.5, 1.0
+#: Levels of boilerplate marks, and their weights.
+NONE, WEAK, MARKED, FIRM, HIDDEN = range(5)
+OUTSIDE = (0.0, -2.0, -5.0, -5.0, -14.0)
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -57,6 +69,13 @@ OUT_WORDS = frozenset(
     "cookies copyright dialog disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice "
     "notices notification overlay pager pagination popup promo promoted promotion related reply replies respond search "
     "share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: Those that an article does not reset: articles inside them are comments, teasers or advertisements.
+FIRM_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising comment comments disqus promo promoted promotion related reply "
+    "replies respond sponsor sponsored".split())
+#: Words that say, beside a mark, that it is absent, a taxonomy, or a matter of layout.
+VOID_WORDS = frozenset("no without not non category tag type format status".split())
+LAYOUT_WORDS = frozenset("with has layout wrapper container page site".split())
 IN_WORDS = frozenset("article articlebody content entry main post story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag of the key ends open elements of the value, up to the limits.
@@ -67,7 +86,8 @@ LIMITS = frozenset("ul ol dl table select menu".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
                   r"""|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|/[^>]*(?:>|\Z))""", re.S)
-_ATTR = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTRS = frozenset("class id role itemprop style hidden aria-hidden".split())
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"[ \t-\r]+")
 
@@ -77,34 +97,55 @@ class _Element:
 
     def __init__(self, tag, parent, number, attrs):
         self.tag, self.number = tag, number
-        self.out = bool(parent and parent.out) or tag in OUT_TAGS
         self.inside = bool(parent and parent.inside) or tag in IN_TAGS
         self.link = bool(parent and parent.link) or tag == "a"
         self.skip = bool(parent and parent.skip) or tag in SKIP_TAGS
         self.block = number if parent is None or tag in BLOCK_TAGS and tag not in LEAF_TAGS else parent.block
-        if tag == "header" and not self.inside:
-            self.out = True
+        # marks of wrappers up to this level end here
+        resets = FIRM if tag == "main" else MARKED if tag == "article" else NONE
+        own = WEAK if tag == "form" else FIRM if tag in OUT_TAGS else MARKED if tag == "header" and not self.inside else NONE
         if attrs and tag not in ("html", "body"):
-            self.read(attrs)
-
-    def read(self, attrs):
+            own, resets = self.read(attrs, own, resets)
+        # what an element is, its own layout words do not change
+        if resets and own <= WEAK:
+            own = NONE
+        out = parent.out if parent else NONE
+        self.out = max(own, out if out > resets else NONE)
+
+    def read(self, attrs, own, resets):
+        """Level of the element's own marks, and of the wrappers' marks that it resets."""
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
+            if name not in _ATTRS:
+                continue
             if name in ("class", "id"):
-                words = _WORD.findall(value)
-                if not OUT_WORDS.isdisjoint(words) or "header" in words and not self.inside:
-                    self.out = True
-                elif not IN_WORDS.isdisjoint(words):
-                    self.inside = True
+                for token in value.split():
+                    words = _WORD.findall(token)
+                    found = OUT_WORDS.intersection(words)
+                    if "header" in words and not self.inside:
+                        found |= {"header"}
+                    if found and VOID_WORDS.isdisjoint(words):
+                        if not LAYOUT_WORDS.isdisjoint(words) or not IN_WORDS.isdisjoint(words):
+                            own = max(own, WEAK)
+                        else:
+                            own = max(own, MARKED if FIRM_WORDS.isdisjoint(found) else FIRM)
+                    elif not found and not IN_WORDS.isdisjoint(words):
+                        self.inside, resets = True, max(resets, WEAK)
             elif name == "role":
-                self.out = self.out or value in OUT_ROLES
-                self.inside = self.inside or value in ("main", "article")
+                if value in OUT_ROLES:
+                    own = max(own, MARKED if value in ("form", "search") else FIRM)
+                elif value in ("main", "article"):
+                    self.inside, resets = True, max(resets, FIRM if value == "main" else MARKED)
             elif name == "itemprop":
-                self.inside = self.inside or value == "articlebody"
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
-                self.out = self.out or name != "hidden" or value != "false"
+                if value == "articlebody":
+                    self.inside, resets = True, FIRM
+            elif name == "hidden" and value != "false":
+                own = HIDDEN
+            elif name == "aria-hidden" and value == "true":
+                own = max(own, FIRM)
             elif name == "style" and "display:none" in value.replace(" ", ""):
-                self.out = True
+                own = HIDDEN
+        return own, resets
 
 
 class Block:
@@ -202,7 +243,7 @@ def score(b: Block) -> float:
     if b.heading:
         s += HEADING
     if b.out:
-        return OUTSIDE + min(4.0, max(-4.0, s))
+        return OUTSIDE[b.out] + min(4.0, max(-4.0, s))
     return (INSIDE if b.inside else 0.0) + min(4.0, max(-4.0, s))
 
 
@@ -253,7 +294,7 @@ def extract(page: str) -> str:
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            same = found[i - 1].out == b.out and found[i - 1].inside == b.inside
+            same = (found[i - 1].out > 0) == (b.out > 0) and found[i - 1].inside == b.inside
             edges.append((i - 1, i, ADJACENT if same else ACROSS))
         if b.parent in last:
             edges.append((last[b.parent], i, SIBLING))

@@ -299,6 +299,28 @@ def test_html(spark):
     assert got[1].n_chars == len(got[1].text) and (got[2].text, got[2].n_chars) == ("", 0)
 
 
+@pytest.mark.parametrize("around", [
+    '<div class="content with-sidebar">{}</div>', '<div id="main-search"><article>{}</article></div>',
+    '<div class="post no-comments">{}</div>', '<form id="aspnetForm"><div class="content">{}</div></form>', "<form>{}</form>",
+    '<article data-title="The hidden valley">{}</article>', '<article data-id="comment">{}</article>',
+    '<div class="widget"><article class="post category-ads">{}</article></div>', '<aside><main>{}</main></aside>',
+    '<div class="sidebar-page-container"><div itemprop="articleBody">{}</div></div>'])
+def test_html_keeps_articles_under_wrappers(around):
+    text = ["The valley lies between two mountains and is known for its rivers, its old bridges and its long winters.",
+            "People have lived there for many hundred years, and most of them worked in the woods or on small farms."]
+    page = ('<body><nav><a href="/">Home</a></nav>' + around.format("".join(f"<p>{t}</p>" for t in text))
+            + '<div class="comments"><article><p>I was there last year and liked it a lot.</p></article></div>'
+            '<div hidden><p>This text is not displayed at all, however long it may be, and so it is no text.</p></div>'
+            '<footer><p>All rights reserved.</p></footer></body>')
+    assert html_extract.extract(page) == "\n".join(text)
+
+
+def test_html_neighbours_overrule_a_mark():
+    said = "This long paragraph of the article has a class that looks like a mark of boilerplate, but it is none."
+    page = f'<div><p>{said}</p><p class="notice">{said}</p><p>{said}</p></div>'
+    assert html_extract.extract(page).count("\n") == 2
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(2)
     for _ in range(200):
