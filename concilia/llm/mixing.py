@@ -1,28 +1,32 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Every source has an integer quota k out of the period Q = sum of quotas,
-so its weight is exactly k/Q. Its documents are cut into blocks of
-``block_rows`` rows. Block j of a period is released at floor(j*Q/k) and
-due at ceil((j+1)*Q/k); one block runs per slot, earliest deadline first
-among the released ones (ties: first source by name). On one processor
-with total weight 1 that meets every window, so after t slots a source has
-had more than t*k/Q - 1 and fewer than t*k/Q + 1 blocks. The schedule
-repeats every Q slots, so one period is computed (a fold over Q slots) and
-every block finds its slot by a join on (source, block mod k): no global
-sort, no sequential pass over data. A source that has run out leaves its
-slots empty; the others keep their windows and so their proportions, and
-no row is dropped or repeated.
+so its weight is k/Q. Its documents are cut into blocks of ``block_rows``
+rows. Block j of a period is released at floor(j*Q/k) and due at
+ceil((j+1)*Q/k); one block runs per slot, earliest deadline first among the
+released ones (ties: first source by name). On one processor with total
+weight 1 that meets every window, so after t slots a source has had more
+than t*k/Q - 1 and fewer than t*k/Q + 1 blocks. The schedule repeats every
+Q slots, so one period is computed, on the driver with a heap of sources,
+and every block finds its slot by a join on the source and block mod k: no
+global sort, no sequential pass over data. A source that has fewer blocks
+than its quota enters the period with these only, so the work is at most
+min(Q, blocks) steps, however fine the quotas are. A source that has run out
+leaves its slots empty; the others keep their windows and so their
+proportions, and no row is dropped or repeated.
 
 Rows within a source follow a fixed pseudo-random order (MD5 of the id).
 Ranking a source that holds a third of all rows would be one task; so rows
 are ranked inside ``buckets`` of the hash and the buckets' counts are
 summed ahead (at most sources x buckets small rows).
 
-Quotas: given as {source: weight}, or by default the square root of each
-source's row count, rounded to ``resolution`` parts, at least one each.
-The number of sources is bounded (``max_sources``, else ValueError), so
-the period table that is broadcast has at most resolution + max_sources
-rows. Sources missing from given weights raise too: no row is left out.
+Weights: given as {source: weight}, or by default the square root of each
+source's row count. k/Q is within the relative ``TOLERANCE`` of the target
+weight of every source: the resolution follows from the smallest weight, for
+any number of sources (one row each is collected, and the slots of a period
+are broadcast). With a given ``resolution`` quotas are rounded to so many
+parts, at least one each. Sources missing from given weights raise, and so
+do more than ``max_sources``, where that is given: no row is left out.
 
 Defined cases: a null source is the source "" ; null ids are allowed;
 equal ids share an order key and get different positions; empty input
@@ -31,58 +35,61 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-MAX_SOURCES = 4096
-RESOLUTION = 1000
+MAX_SOURCES = None
+RESOLUTION = None
+#: Largest relative deviation of k/Q from the target weight.
+TOLERANCE = 0.01
 BLOCK_ROWS = 32
 BUCKETS = 4096
 
 
-def quotas(sizes: DataFrame, weights: dict[str, float] | None = None, resolution: int = RESOLUTION,
-           max_sources: int = MAX_SOURCES) -> DataFrame:
-    """(source, k) from (source, rows)."""
-    n = sizes.count()
-    if n > max_sources:
-        raise ValueError(f"{n} sources; map them to at most {max_sources} mixture groups first")
-    if weights is None:
-        w = sizes.select("source", F.sqrt(F.col("rows").cast("double")).alias("w"))
-    else:
-        given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-        w = sizes.select("source", F.try_element_at(given, F.col("source")).cast("double").alias("w"))
-        if missing := w.filter("w IS NULL OR w <= 0").count():
-            raise ValueError(f"{missing} sources have no positive weight")
-    total = W.partitionBy()
-    return w.select("source", F.greatest(F.lit(1), F.round(F.col("w") / F.sum("w").over(total) * resolution)
-                                         .cast("int")).alias("k"))
-
-
-def period(quota: DataFrame) -> DataFrame:
-    """(source, j, slot, k, q): slot of block j of each source in a period."""
-    one = quota.agg(F.array_sort(F.collect_list(F.struct("source", "k"))).alias("s")).selectExpr(
-        "s", "CAST(aggregate(s, 0, (a, x) -> a + x.k) AS INT) AS q")
-    # next[i]: blocks that source i has had; a slot goes to the released source with the earliest deadline
-    pick = """array_min(filter(transform(acc.next, (n, i) -> IF(
-        n < s[i].k AND CAST(floor(CAST(n AS BIGINT) * q / s[i].k) AS INT) <= t,
-        named_struct('due', CAST(ceil((CAST(n AS BIGINT) + 1) * q / s[i].k) AS INT), 'i', i), NULL)),
-        x -> x IS NOT NULL)).i"""
-    # each pick is computed once a slot and bound to p by a one-element transform
-    step = f"""aggregate(sequence(0, q - 1),
-        named_struct('next', transform(s, x -> 0), 'picks', cast(array() AS array<int>)),
-        (acc, t) -> transform(array({pick}), p -> named_struct(
-            'next', transform(acc.next, (n, i) -> IF(i = p, n + 1, n)),
-            'picks', concat(acc.picks, array(p))))[0],
-        acc -> acc.picks)"""
-    slots = one.where("q > 0").selectExpr("s", "q", f"posexplode({step}) AS (slot, i)")
-    return slots.selectExpr("s[i].source AS source", "s[i].k AS k", "q", "slot",
-                            "row_number() OVER (PARTITION BY i ORDER BY slot) - 1 AS j")
+def quotas(sizes: dict[str, int], weights: dict[str, float] | None = None, resolution: int | None = RESOLUTION,
+           max_sources: int | None = MAX_SOURCES) -> dict[str, int]:
+    """{source: k} from {source: rows}."""
+    if max_sources is not None and len(sizes) > max_sources:
+        raise ValueError(f"{len(sizes)} sources; map them to at most {max_sources} mixture groups first")
+    if not sizes:
+        return {}
+    w = {s: math.sqrt(n) if weights is None else weights.get(s) or 0 for s, n in sizes.items()}
+    if missing := sum(not x > 0 for x in w.values()):
+        raise ValueError(f"{missing} sources have no positive weight")
+    total = math.fsum(w.values())
+    # rounding changes a quota by at most 1/2, their sum by at most the same share: together below TOLERANCE
+    parts = resolution or math.ceil(0.5 + 1 / TOLERANCE) * total / min(w.values())
+    k = {s: max(1, round(x / total * parts)) for s, x in w.items()}
+    common = 1 if resolution else math.gcd(*k.values())
+    return {s: x // common for s, x in k.items()}
+
+
+def period(quota: dict[str, int], blocks: dict[str, int]) -> dict[str, list[int]]:
+    """{source: slots of its blocks in a period}, at most as many as it has."""
+    q, names = sum(quota.values()), sorted(quota)
+    slots: dict[str, list[int]] = {s: [] for s in names}
+    coming, ready, t = [(0, s) for s in names], [], 0  # next blocks by release, and released ones by deadline
+    while coming or ready:
+        if not ready:
+            t = max(t, coming[0][0])
+        while coming and coming[0][0] <= t:
+            s = heapq.heappop(coming)[1]
+            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * q // quota[s]), s))
+        s = heapq.heappop(ready)[1]
+        slots[s].append(t)
+        t += 1
+        if (n := len(slots[s])) < min(quota[s], blocks[s]):
+            heapq.heappush(coming, (n * q // quota[s], s))
+    return slots
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
-        block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, buckets: int = BUCKETS,
-        max_sources: int = MAX_SOURCES) -> DataFrame:
+        block_rows: int = BLOCK_ROWS, resolution: int | None = RESOLUTION, buckets: int = BUCKETS,
+        max_sources: int | None = MAX_SOURCES) -> DataFrame:
     """(id, source, block, block_row, slot) for every row; reading by
     (slot, block_row) gives the mixture."""
     return _mix(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__src")),
@@ -100,23 +107,27 @@ def mixed_rows(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
 
 
 def _mix(rows, weights, block_rows, resolution, buckets, max_sources) -> DataFrame:
+    import pyarrow as pa
+
     h = F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("")))
     rows = rows.withColumn("__source", F.coalesce(F.col("__src").cast("string"), F.lit(""))).withColumn("__h", h)
     rows = rows.withColumn("__b", (F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") % buckets).cast("int"))
     counts = rows.groupBy("__source", "__b").agg(F.count(F.lit(1)).alias("__c"))
     before = counts.select("__source", "__b", (F.sum("__c").over(
         W.partitionBy("__source").orderBy("__b")) - F.col("__c")).alias("__before"))
-    sizes = counts.groupBy(F.col("__source").alias("source")).agg(F.sum("__c").alias("rows"))
-    plan = period(quotas(sizes, weights, resolution, max_sources))
+    # one row per source
+    sizes = {r["__source"]: r["n"] for r in counts.groupBy("__source").agg(F.sum("__c").alias("n")).collect()}
+    quota = quotas(sizes, weights, resolution, max_sources)
+    slots = period(quota, {s: -(-n // block_rows) for s, n in sizes.items()})
+    plan = rows.sparkSession.createDataFrame(pa.table(
+        [pa.array(quota, pa.string()), pa.array(quota.values(), pa.int64()), pa.array([sum(quota.values())] * len(quota), pa.int64()),
+         pa.array([slots[s] for s in quota], pa.list_(pa.int64()))], names=["source", "k", "q", "slots"]))
     at = F.row_number().over(W.partitionBy("__source", "__b").orderBy("__h", "__id")) - 1
     ranked = rows.withColumn("__at", at).join(
         before.withColumnsRenamed({"__source": "__s2", "__b": "__b2"}),
         (F.col("__source") == F.col("__s2")) & (F.col("__b") == F.col("__b2")))
     ranked = ranked.withColumn("__pos", F.col("__at") + F.col("__before"))
     ranked = ranked.withColumn("block", F.expr(f"__pos DIV {block_rows}"))
-    # bounded: at most resolution + max_sources rows
-    plan = F.broadcast(plan.groupBy("source", "k", "q").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "slot"))), lambda x: x["slot"]).alias("slots")))
-    out = ranked.join(plan, F.col("__source") == F.col("source"))
+    out = ranked.join(F.broadcast(plan), F.col("__source") == F.col("source"))
     slot = F.expr("(block DIV k) * q + slots[CAST(block % k AS INT)]").cast("long")
     return out.withColumn("slot", slot).withColumn("block_row", (F.col("__pos") % block_rows).cast("int"))

@@ -266,6 +266,27 @@ def test_mixing_deviates_by_less_than_a_block(spark):
             assert abs(had - min(k[s] * t / q, last[s])) < 1
 
 
+@pytest.mark.parametrize("n", [3000, 5000])
+def test_mixing_reaches_the_target_weights_of_many_sources(spark, n):
+    many = spark.range(2000 + n).selectExpr("id AS doc_id", "IF(id < 2000, 'hot', concat('s', id)) AS source")
+    weights = {"hot": 0.5, **{f"s{i}": 0.5 / n for i in range(2000, 2000 + n)}}
+    got = mixing.mix(many, weights=weights, block_rows=1).collect()
+    assert len(got) == len({r.slot for r in got}) == 2000 + n
+    hot = sorted(r.slot for r in got if r.source == "hot")
+    assert all(abs(np.searchsorted(hot, t) - 0.5 * t) < 1 for t in range(hot[-1] + 1))
+    assert all(0 <= r.slot < 2 * n for r in got if r.source != "hot")
+
+
+def test_mixing_quotas_are_near_the_target_weights():
+    rng = random.Random(8)
+    for sizes in ({"a": 100, "b": 900_000_000, **{f"s{i}": 100 for i in range(3000)}}, {f"s{i}": rng.randint(1, 10**9) for i in range(6000)}):
+        k, w = mixing.quotas(sizes), {s: n ** 0.5 for s, n in sizes.items()}
+        q, total = sum(k.values()), sum(w.values())
+        assert all(abs(k[s] / q / (w[s] / total) - 1) <= mixing.TOLERANCE for s in sizes)
+    k = mixing.quotas({"a": 1, "b": 1}, {"a": 0.0001, "b": 0.9999})
+    assert k == {"a": 1, "b": 9999}
+
+
 def test_chat(spark):
     said = "\\### Assistant: </turn> ok"
     data = [(1, 0, "system", "s"), (1, 1, "user", "<turn>\\l"), (1, 2, "assistant", said), (1, 3, None, None),
