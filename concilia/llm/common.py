@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -51,6 +52,21 @@ def in_file_order(df: DataFrame, name: str) -> DataFrame:
     return at.join(F.broadcast(files), "__file").select(*df.columns, (F.col("__before") + F.col("__at")).alias(name))
 
 
+def with_row_key(df: DataFrame, name: str = "__row") -> DataFrame:
+    """``df`` with a key that is one row's alone and the same whenever ``df``
+    is evaluated: file and row index. What is no plain scan of files is written first."""
+    def keyed(x: DataFrame) -> DataFrame:
+        at = F.lpad(F.hex(F.col("_metadata.row_index")), 16, "0")
+        return x.withColumn(name, F.concat(F.unhex(F.md5(F.col("_metadata.file_path").cast("binary"))), F.unhex(at)))
+
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return keyed(df)
+        except AnalysisException:  # a relation without files, or of a format without row indexes
+            pass
+    return keyed(stored(df, "rows"))
+
+
 def body(text_col: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))

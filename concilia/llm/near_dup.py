@@ -52,7 +52,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_fields, body, on_workers, stored
+from .common import arrow_fields, body, on_workers, stored, with_row_key
 
 WIDTH = 256
 BASE = 3
@@ -510,6 +510,10 @@ def _chunk_pairs(rest: DataFrame, leaf: int) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, with all their columns."""
-    kept = similar_components(docs, size, percent, id_col, text_col).filter("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi")
+    """The rows of ``docs`` that stay, one of each component (the smallest id,
+    null ids last, then the first row), with all their columns."""
+    rows = with_row_key(docs)
+    placed = similar_components(rows, size, percent, "__row", text_col).select("__row", "component_id")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    first = placed.join(rows.select(F.col("__row"), order.alias("o")), "__row").groupBy("component_id").agg(F.min("o").alias("o"))
+    return rows.join(first.select(F.col("o.row").alias("__row")), "__row", "left_semi").select(*docs.columns)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import arrow_fields, body, on_workers, stored
+from .common import arrow_fields, body, on_workers, stored, with_row_key
 
 MIN_WORDS = 10
 MAX_REPEAT = 20
@@ -262,6 +262,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   group_cols: tuple = ("lang", "source")) -> DataFrame:
-    """The rows of ``docs`` whose id is kept, with all their columns."""
-    kept = judge(docs, id_col, text_col, group_cols).filter("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi")
+    """The rows of ``docs`` that are kept, each by its own verdict, with all their columns."""
+    rows = with_row_key(docs)
+    kept = judge(rows, "__row", text_col, group_cols).filter("kept").select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)

@@ -72,6 +72,42 @@ def test_exact_dedup_survives_hash_collisions(docs, rows):
     assert {tuple(r) for r in weak.collect()} == {tuple(r) for r in exact_dedup.exact_duplicates(docs).collect()}
 
 
+def _overlapping():
+    """Repeated and null ids: equal rows, other texts under one id, rejected and copied ones beside kept ones."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    a, b, c, d, e = (say(90) for _ in range(5))
+    near = " ".join(["changed", *c.split()[1:]])
+    rows = [(1, a), (1, a), (1, "too short"), (2, b), (1, b + " "), (None, c), (None, "short"), (None, c), (3, near), (3, d),
+            (4, d), (4, d + "\n"), (5, e), (5, e), (5, near), (None, None)]
+    return [(i, t, "en", "s", str(n)) for n, (i, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("as_file", [False, True])
+def test_filters_decide_by_row(spark, as_file):
+    rows = _overlapping()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n string").coalesce(1)
+    docs = stored(docs, "test-rows") if as_file else docs
+    good = {r[4] for r in rows if len((r[1] or "").split()) >= 10}
+    assert {r.n for r in quality.drop_rejected(docs).collect()} == good
+
+    groups = defaultdict(list)
+    for i, t, _, _, n in rows:
+        groups[WS.sub("", t or "")].append((-len(t or ""), i is None, i or 0, int(n)))
+    kept = {str(min(g)[3]) for g in groups.values()}
+    assert sorted(r.n for r in exact_dedup.drop_exact_duplicates(docs).collect()) == sorted(kept)
+    verdicts = exact_dedup.exact_duplicates(docs).collect()
+    assert len(verdicts) == len(rows) and sum(r.kept for r in verdicts) == len(kept)
+
+    by_row = [(int(n), t) for _, t, _, _, n in rows]
+    comps = defaultdict(list)
+    for n, (_, root) in _components(by_row, 5, 80).items():
+        comps[root].append((rows[n][0] is None, rows[n][0] or 0, n))
+    got = near_dup.drop_near_duplicates(docs).collect()
+    assert sorted(r.n for r in got) == sorted(str(min(g)[2]) for g in comps.values())
+    assert got[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n"}
+
+
 def _shingles(t, size):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
