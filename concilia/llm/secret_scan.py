@@ -8,8 +8,8 @@ Base findings, leftmost and non-overlapping per kind:
 
 Credentials come in parts: an access identifier, a secret and an endpoint
 near each other. Two weak kinds are searched as well, ``secret`` (a bare
-token of 40 to 64 base64 characters with an upper-case letter, a
-lower-case letter and a digit) and ``endpoint`` (a URL). Alone they are no
+token of 40 or more base64 characters, with its padding, that has an
+upper-case letter, a lower-case letter and a digit) and ``endpoint`` (a URL). Alone they are no
 finding; they are reported only when complementary parts lie within
 ``scope`` code points:
 
@@ -48,7 +48,7 @@ BASE = (
     ("hex", r"[0-9a-f]{24,}"),
 )
 WEAK = (
-    ("secret", r"[A-Za-z0-9+/]{40,}"),
+    ("secret", r"[A-Za-z0-9+/]{40,}={0,2}"),
     ("endpoint", r"""https?://[^\x20\x09-\x0D"'<>]+"""),
 )
 KINDS = tuple(k for k, _ in BASE + WEAK)
@@ -63,7 +63,7 @@ def _matches(kind: str, pattern: str):
         "assign": lambda m: F.length(m) >= 6,
         "access": lambda m: F.length(m) >= 20,
         "hex": lambda m: F.lit(True),
-        "secret": lambda m: (F.length(m) <= 64) & m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]"),
+        "secret": lambda m: m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]"),
         "endpoint": lambda m: F.lit(True),
     }[kind]
     rows = F.transform(

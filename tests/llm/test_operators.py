@@ -234,6 +234,15 @@ def test_secrets(spark):
     assert got[6].spans == "access:0:20,secret:21:61,endpoint:62:85"
 
 
+def test_secrets_of_any_length(spark):
+    long = "aB3" + "xY+/" * 21
+    key = "AKIA" + "ABCDEFGHIJKLMNOP"
+    texts = [f"{key} {long[:86]}== https://a.example.com/x", f"{'aB3' * 40} https://a.example.com/x", f"{long[:86]}=="]
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "access:0:20,secret:21:109,endpoint:110:133", 1: "secret:0:120", 2: ""}
+
+
 def test_quality(docs, rows, empty):
     def brute(t):
         t = t or ""
