@@ -12,13 +12,12 @@ byte strings; any id sequence decodes, whole or not.
 
 Null text is empty; null and repeated ids keep one row per input row;
 other columns are ignored. Map only: no shuffle, one Arrow batch in
-memory, one memo of bounded size per worker.
+memory, one memo of bounded size per worker that encodes.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import struct
 from array import array
 from functools import lru_cache
@@ -86,7 +85,6 @@ class Codec:
 
         self.ranks = read_ranks(rank_path)
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
-        self.tokens = {r: t for t, r in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.memo = Memo(MEMO)
 
@@ -114,45 +112,49 @@ class Codec:
                 del memo[w]
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        get = self.tokens.__getitem__
-        return b"".join(map(get, memoryview(ids).cast("I")))
-
 
 @lru_cache(maxsize=4)
 def codec(rank_path: str, pattern: str) -> Codec:
     return Codec(rank_path, pattern)
 
 
-def encode_texts(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """Per row: id, ids (binary, little-endian unsigned 32-bit)."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(F.col(id_col), body(text_col)),
-                    lambda keys, texts: (keys, [x for run in slices(texts) for x in codec(rank_path, pattern).encode(run)]),
-                    f"`{id_col}` {id_type}, ids binary")
+@lru_cache(maxsize=4)
+def tokens(rank_path: str) -> dict[int, bytes]:
+    return {r: t for t, r in read_ranks(rank_path).items()}
 
 
-def decode_ids(encoded: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """Per row: id, text_bytes (binary)."""
-    id_type = encoded.schema[id_col].dataType.simpleString()
-    return map_rows(encoded.select(id_col, "ids"),
-                    lambda keys, ids: (keys, [codec(rank_path, pattern).decode(x) for x in ids]),
-                    f"`{id_col}` {id_type}, text_bytes binary")
+def decode(ids: bytes, rank_path: str) -> bytes:
+    return b"".join(map(tokens(rank_path).__getitem__, memoryview(ids).cast("I")))
 
 
-def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
-               text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, the columns ``carry``, n_tokens, ids_sha256,
-    decoded_sha256: each text encoded and its ids decoded again in one pass."""
+def _types(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def encode_texts(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
+                 text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, the columns ``carry``, ids (binary, little-endian unsigned 32-bit)."""
+    kept = [id_col, *carry]
+    return map_rows(docs.select(*kept, body(text_col)),
+                    lambda *cols: (*cols[:-1], [x for run in slices(cols[-1]) for x in codec(rank_path, pattern).encode(run)]),
+                    f"{_types(docs, kept)}, ids binary")
+
+
+def decode_ids(encoded: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
+               carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, the columns ``carry``, text_bytes (binary)."""
     kept = [id_col, *carry]
+    return map_rows(encoded.select(*kept, F.col("ids").alias("__ids")),
+                    lambda *cols: (*cols[:-1], [decode(x, rank_path) for x in cols[-1]]),
+                    f"{_types(encoded, kept)}, text_bytes binary")
 
-    def make(*columns):
-        c = codec(rank_path, pattern)
-        sha = lambda b: hashlib.sha256(b).hexdigest()
-        got = [(len(x) // 4, sha(x), sha(c.decode(x))) for run in slices(columns[-1]) for x in c.encode(run)]
-        return *columns[:-1], *map(list, zip(*got))
 
-    types = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in kept)
-    return map_rows(docs.select(*kept, body(text_col)), make,
-                    f"{types}n_tokens long, ids_sha256 string, decoded_sha256 string")
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
+               text_col: str = "text", carry: tuple[str, ...] = (), ids: bool = False) -> DataFrame:
+    """Per row: id, the columns ``carry``, n_tokens, ids_sha256,
+    decoded_sha256, and ids if wanted: what ``encode_texts`` gives, and the
+    digest of what ``decode_ids`` makes of it."""
+    encoded = encode_texts(docs, rank_path, pattern, id_col, text_col, carry)
+    both = decode_ids(encoded, rank_path, pattern, id_col, (*carry, "ids"))
+    return both.select(id_col, *carry, F.expr("octet_length(ids) DIV 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("text_bytes", 256).alias("decoded_sha256"), *["ids"] * ids)

@@ -3,8 +3,8 @@
 Quality rules, exact dedup, near dedup (five-word shingles, similarity 0.8),
 mixing to target weights, and byte-level BPE. All but the last stage return
 the columns of ``documents``; the first three drop rows, mixing puts the
-rows in mixture order, encoding returns one row of token digests each with
-its ``position`` in the mixture: the order in which the mixed rows lie in
+rows in mixture order, encoding returns one row each with its token ids,
+their digests and its ``position`` in the mixture: the order in which the mixed rows lie in
 their files, which a scan does not keep.
 """
 
@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(in_file_order(docs, "position"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
-                               public_tokenizers.PATTERN, carry=("position",))
+                               public_tokenizers.PATTERN, carry=("position",), ids=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("near_dedup", near), ("mix_sources", mix),

@@ -426,3 +426,16 @@ def test_pipeline_returns_the_mixture_order(spark):
     got = sorted(corpus_pipeline.encode(spark, mixed, "").collect(), key=lambda r: r.position)
     want = sorted(mixing.mix(many).collect(), key=lambda r: (r.slot, r.block_row))
     assert [r.position for r in got] == list(range(3000)) and [r.doc_id for r in got] == [r.doc_id for r in want]
+
+
+def test_pipeline_returns_token_ids(spark, docs, rows):
+    import corpus_pipeline
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    got = {r.doc_id: r for r in corpus_pipeline.encode(spark, stored(docs.select("doc_id", "text"), "test-encode"), "").collect()}
+    codec = byte_bpe.codec(path, P.PATTERN)
+    for i, t, *_ in rows:
+        ids = codec.encode([t or ""])[0]
+        r = got[i]
+        assert (bytes(r.ids), r.n_tokens, r.ids_sha256) == (ids, len(ids) // 4, hashlib.sha256(ids).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
