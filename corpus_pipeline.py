@@ -41,7 +41,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("near_dedup", near), ("mix_sources", mix),
           ("byte_bpe", encode)]
 
-#: Robust covariances, sketches and merges are no SQL; tests compare with brute force.
+#: Robust covariances, sketches and merges are no SQL; a test compares the stages with brute force on a
+#: small table, where quality is decided by the base rules alone.
 ORACLE_SQL = None
 
 

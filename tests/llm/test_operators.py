@@ -439,3 +439,32 @@ def test_pipeline_returns_token_ids(spark, docs, rows):
         r = got[i]
         assert (bytes(r.ids), r.n_tokens, r.ids_sha256) == (ids, len(ids) // 4, hashlib.sha256(ids).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_pipeline_by_brute_force(spark):
+    import corpus_pipeline
+
+    rows = [(i, t, lang, f"s{int(n) % 2}", n) for i, t, lang, _, n in _overlapping()]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n string").coalesce(1), "test-docs")
+    last = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, last = last, stored(stage(spark, last, ""), f"test-{name}")
+    got = corpus_pipeline.STAGES[-1][1](spark, last, "").collect()
+
+    order = lambda r: (r[0] is None, r[0] or 0, int(r[4]))
+    left = [r for r in rows if len((r[1] or "").split()) >= 10]
+    groups = defaultdict(list)
+    for r in left:
+        groups[WS.sub("", r[1] or "")].append(r)
+    left = [min(g, key=lambda r: (-len(r[1]), order(r))) for g in groups.values()]
+    roots = _components([(int(r[4]), r[1]) for r in left], 5, 80)
+    comps = defaultdict(list)
+    for r in left:
+        comps[roots[int(r[4])][1]].append(r)
+    want = [min(g, key=order) for g in comps.values()]
+    assert 0 < len(want) < len(left) < len(rows)
+    assert sorted(map(tuple, before.collect()), key=order) == sorted(map(tuple, last.collect()), key=order) == sorted(want, key=order)
+    codec = byte_bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert sorted(bytes(r.ids) for r in got) == sorted(codec.encode([r[1] for r in want]))
+    mixed = sorted(mixing.mix(before).collect(), key=lambda r: (r.slot, r.block_row))
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == [r.doc_id for r in mixed]
