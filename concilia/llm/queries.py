@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (byte_bpe, chat, conv_repair, exact_dedup, html_extract, mixing, near_dup, periodic, quality,
+from . import (byte_bpe, chat, conv_repair, exact_dedup, html_extract, mixing, near_dup, periodic, pu_quality, quality,
                secret_scan, token_counts, token_store)
 from .common import scratch_path, table
 
@@ -67,7 +67,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv_repair.repair(conv_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_token_counts, op3_token_store, op4_byte_bpe, op5_near_duplicates, op6_exact_dedup, op7_secret_scan,
-    op8_quality_rules, op9_html_text, op10_chat_format, op11_periodic_runs, op12_conversation_repair)}
+    op8_quality_rules, op9_html_text, op10_chat_format, op11_periodic_runs, op12_conversation_repair,
+    op13_quality_classifier)}
 ORACLE: dict[str, str] = {}
