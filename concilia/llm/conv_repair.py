@@ -24,8 +24,8 @@ text) and a conversation is cut into segments of at most ``SEGMENT`` rows. A
 segment is aligned on its own for every pair of states of the grammar (Z
 nothing yet, S after s, A after u, U after a) before and behind it, and a
 conversation's segments are folded over these states in order. So no task
-holds a conversation's texts, and the table of a segment has bounded size.
-Equal rows are counted before they are dealt, and duplicates are found by an
+holds a conversation's texts, and the table of a segment has bounded size. A
+conversation that surely is one segment is finished where it is found. Equal rows are counted before they are dealt, and duplicates are found by an
 aggregate, not by a set in one task. The digest of a conversation reads its
 repaired segments one after another.
 
@@ -43,7 +43,6 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import WS, WS_CLASS, arrow_fields, on_workers, stored
 
@@ -232,67 +231,128 @@ def _marked(rows: DataFrame) -> DataFrame:
         "conv", "turn", "role", "text", "n", F.coalesce(seen, F.lit(False)).alias("again"))
 
 
-_SEGMENT = ("conv {conv}, seg bigint, first_turn {turn}, last_turn {turn}, n_turns bigint, first_role string, last_role string, "
-            "n_rows bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, "
-            "steps array<struct<before:string,behind:string,cost:bigint,audit:string>>, lines array<struct<role:string,text:string>>")
+_STATS = "gaps:bigint,blank:bigint,duplicate:bigint,truncated:bigint,illegal:bigint,cost:bigint,audit:string"
+_FIELDS = ("seg bigint, first_turn {turn}, last_turn {turn}, n_turns bigint, first_role string, last_role string, n_rows bigint, "
+           "blank bigint, duplicate bigint, truncated bigint, illegal bigint, "
+           "steps array<struct<before:string,behind:string,cost:bigint,audit:string>>, lines array<struct<role:string,text:string>>")
 LEGAL = {"su", "ua", "au"}
 
 
-def segments(rows: DataFrame, size: int = SEGMENT) -> DataFrame:
+def _segment(conv, seg: int, rows: list[tuple]) -> dict:
+    """What holds for the rows (turn, role, text, kind) of one segment."""
+    kinds, initials = [r[3] for r in rows], [r[1][:1] for r in rows]
+    turns = [r[0] for r in rows if r[0] is not None]
+    return {"conv": conv, "seg": seg, "first_turn": min(turns, default=None), "last_turn": max(turns, default=None),
+            "n_turns": len(set(turns)), "first_role": initials[0] if rows else None, "last_role": initials[-1] if rows else None,
+            "n_rows": len(rows), "blank": kinds.count(BLANK), "duplicate": kinds.count(DUPLICATE), "truncated": kinds.count(TRUNCATED),
+            "illegal": sum(a + b not in LEGAL for a, b in zip(initials, initials[1:])),
+            "steps": [{"before": a, "behind": b, "cost": c, "audit": s}
+                      for (a, b), (c, s) in transitions(tuple(zip(initials, kinds))).items()],
+            "lines": [{"role": r[1], "text": r[2]} for r in rows]}
+
+
+def _folded(segs: list[dict]) -> tuple[dict, list[tuple[str, str]]]:
+    """What holds for a conversation of these segments; the state before each segment and its part of the audit."""
+    best: dict = {"Z": (0, "", None)}  # by state: cost, audit, and the parts as a linked list
+    total = dict.fromkeys(("gaps", "blank", "duplicate", "truncated", "illegal"), 0)
+    lo = hi = role = None
+    n_turns = 0
+    for s in segs:
+        after: dict = {}
+        for t in s["steps"]:
+            if t["before"] in best:
+                cost, audit, way = best[t["before"]]
+                new = cost + t["cost"], audit + t["audit"]
+                if t["behind"] not in after or new < after[t["behind"]][:2]:
+                    after[t["behind"]] = *new, (t["before"], t["audit"], way)
+        best = after
+        for k in ("blank", "duplicate", "truncated", "illegal"):
+            total[k] += s[k]
+        if s["n_rows"]:
+            total["illegal"] += role is not None and role + s["first_role"] not in LEGAL
+            role = s["last_role"]
+        if s["n_turns"]:
+            n_turns += s["n_turns"] - (hi == s["first_turn"])
+            lo, hi = s["first_turn"] if lo is None else lo, s["last_turn"]
+    if n_turns:
+        total["gaps"] = hi - lo + 1 - n_turns
+    total["cost"], total["audit"], way = min(best[s] for s in ("Z", "U") if s in best)
+    parts = []
+    while way:
+        parts.append(way[:2])
+        way = way[2]
+    return total, parts[::-1]
+
+
+class Digest:
+    """SHA-256 of the repaired lines of segments that come one after another."""
+
+    def __init__(self):
+        self.sha, self.lines = hashlib.sha256(), 0
+
+    def add(self, lines: list[dict], audit: str, state: str) -> "Digest":
+        for role, text in repaired_rows([(x["role"], x["text"]) for x in lines], audit, state):
+            self.sha.update(f"{chr(10) * (self.lines > 0)}{role}:{text}".encode())
+            self.lines += 1
+        return self
+
+    def hex(self) -> str:
+        return self.sha.hexdigest()
+
+
+def segments(rows: DataFrame, size: int = SEGMENT, finish: bool = False) -> DataFrame:
     """Segments of at most ``size`` rows, numbered in the order of
     conversations and rows: counts, what their borders need, the alignment
-    for every pair of states, and the rows."""
-    conv, turn = rows.schema["conv"].dataType, rows.schema["turn"].dataType
-    schema = _SEGMENT.format(conv=conv.simpleString(), turn=turn.simpleString())
+    for every pair of states, and the rows. With ``finish``, a conversation
+    that is one segment and neither the first nor the last of its task, where
+    it could go on, comes with its ``result`` and without steps and rows."""
+    conv, turn = rows.schema["conv"].dataType.simpleString(), rows.schema["turn"].dataType.simpleString()
+    schema = f"conv {conv}, {_FIELDS.format(turn=turn)}, result struct<{_STATS},repaired_sha256:string>"
     names, types = arrow_fields(schema)
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, done, bulk = TaskContext.get().partitionId() << 40, 0, 0
-        here, ready, old = [], [], None
+        part, done, bulk, begun = TaskContext.get().partitionId() << 40, 0, 0, 0
+        here, ready, old = [], [], None  # begun: segments done when the conversation began; old: (conversation,)
 
-        def close(conv):
+        def close(complete: bool) -> None:
             nonlocal done, bulk
-            kinds = [r[3] for r in here]
-            initials = [r[1][:1] for r in here]
-            turns = [r[0] for r in here if r[0] is not None]
-            steps = transitions(tuple(zip(initials, kinds)))
-            ready.append([conv, part + done, min(turns, default=None), max(turns, default=None), len(set(turns)),
-                          here[0][1][:1] if here else None, here[-1][1][:1] if here else None, len(here),
-                          *(kinds.count(k) for k in (BLANK, DUPLICATE, TRUNCATED)),
-                          sum(a + b not in LEGAL for a, b in zip(initials, initials[1:])),
-                          [{"before": a, "behind": b, "cost": c, "audit": s} for (a, b), (c, s) in steps.items()],
-                          [{"role": r[1], "text": r[2]} for r in here]])
-            bulk += sum(len(r[2]) for r in here)
+            s = _segment(old[0], part + done, here) | {"result": None}
+            if complete and finish:
+                total, [(state, audit)] = _folded([s])
+                s["result"] = total | {"repaired_sha256": Digest().add(s["lines"], audit, state).hex()}
+                s["steps"] = s["lines"] = None
+            else:
+                bulk += sum(len(r[2]) for r in here)
+            ready.append(s)
             done += 1
             here.clear()
 
         def flush():
             nonlocal bulk
-            out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*ready), types)], names=names)
+            out = pa.RecordBatch.from_arrays([pa.array([s[n] for s in ready], t) for n, t in zip(names, types)], names=names)
             ready.clear()
             bulk = 0
             return out
 
         for b in batches:
             for conv, turn, role, text, n, again in zip(*(c.to_pylist() for c in b.columns)):
-                if old is not None and old != (conv,):
-                    close(old[0])
-                old = (conv,)
+                if old != (conv,):
+                    if old is not None:
+                        close(0 < begun == done)
+                    old, begun = (conv,), done
                 solid = text.rstrip(WS)
                 kind = BLANK if not solid else DUPLICATE if again else FINE if solid[-1] in ".!?" else TRUNCATED
                 for copy in range(n):
                     if len(here) == size:
-                        close(conv)
-                        if len(ready) >= 512 or bulk >= 1 << 22:
-                            yield flush()
+                        close(False)
+                    if len(ready) >= 512 or bulk >= 1 << 22:
+                        yield flush()
                     here.append((turn, role, text, kind if not copy or kind == BLANK else DUPLICATE))
-                if len(ready) >= 512 or bulk >= 1 << 22:
-                    yield flush()
         if old is not None:
-            close(old[0])
+            close(False)
             yield flush()
 
     keys = [F.col("conv"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
@@ -300,79 +360,52 @@ def segments(rows: DataFrame, size: int = SEGMENT) -> DataFrame:
     return on_workers(dealt.select("conv", "turn", "role", "text", "n", "again"), run, schema)
 
 
-_CHOSEN = "seg bigint, state string, audit string, whole struct<gaps:bigint,blank:bigint,duplicate:bigint,truncated:bigint,illegal:bigint,cost:bigint,audit:string>"
+_CHOSEN = f"seg bigint, state string, audit string, whole struct<{_STATS}>"
 
 
 def _fold(found: DataFrame) -> DataFrame:
     """For every segment the state before it and its part of the audit; the first of a conversation also has what holds for it as a whole."""
     names, types = arrow_fields(_CHOSEN)
 
-    def whole(segs):
-        # by state: cost, audit, and the segments' (state, audit) as a linked list
-        best = {"Z": (0, "", None)}
-        gaps = blank = duplicate = truncated = illegal = n_turns = 0
-        lo = hi = role = None
-        for s in segs:
-            after: dict = {}
-            for t in s["steps"]:
-                if t["before"] in best:
-                    cost, audit, way = best[t["before"]]
-                    new = cost + t["cost"], audit + t["audit"]
-                    if t["behind"] not in after or new < after[t["behind"]][:2]:
-                        after[t["behind"]] = *new, (t["before"], t["audit"], way)
-            best = after
-            blank, duplicate, truncated = blank + s["blank"], duplicate + s["duplicate"], truncated + s["truncated"]
-            illegal += s["illegal"]
-            if s["n_rows"]:
-                illegal += role is not None and role + s["first_role"] not in LEGAL
-                role = s["last_role"]
-            if s["n_turns"]:
-                n_turns += s["n_turns"] - (hi == s["first_turn"])
-                lo, hi = s["first_turn"] if lo is None else lo, s["last_turn"]
-        if n_turns:
-            gaps = hi - lo + 1 - n_turns
-        cost, audit, way = min(best[s] for s in ("Z", "U") if s in best)
-        parts = []
-        while way:
-            parts.append(way[:2])
-            way = way[2]
-        stats = dict(gaps=gaps, blank=blank, duplicate=duplicate, truncated=truncated, illegal=illegal, cost=cost, audit=audit)
-        return [[s["seg"], state, piece, None if k else stats] for k, (s, (state, piece)) in enumerate(zip(segs, reversed(parts)))]
-
     def run(batches):
         import pyarrow as pa
 
-        ready, segs, old = [], [], None
+        ready, segs = [], []
+
+        def close():
+            total, parts = _folded(segs)
+            ready.extend([s["seg"], *part, None if k else total] for k, (s, part) in enumerate(zip(segs, parts)))
+            segs.clear()
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*ready), types)], names=names)
+            ready.clear()
+            return out
+
         for b in batches:
             for s in b.to_pylist():
-                if old is not None and old != (s["conv"],):
-                    ready += whole(segs)
-                    segs = []
+                if segs and segs[0]["conv"] != s["conv"]:
+                    close()
                     if len(ready) >= 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*ready), types)], names=names)
-                        ready = []
-                old = (s["conv"],)
+                        yield flush()
                 segs.append(s)
         if segs:
-            ready += whole(segs)
-        if ready:
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*ready), types)], names=names)
+            close()
+            yield flush()
 
-    narrow = found.drop("lines").repartition("conv").sortWithinPartitions("conv", "seg")
+    narrow = found.drop("lines", "result").repartition("conv").sortWithinPartitions("conv", "seg")
     return on_workers(narrow, run, _CHOSEN)
 
 
-def repaired_segments(rows: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """(conv, seg, state, audit, whole, lines): what was chosen for every
-    segment of ``intact`` or ``damaged`` rows, beside its rows."""
-    found = stored(segments(_marked(rows), size), "segments")
+def _chosen(found: DataFrame) -> DataFrame:
+    """(conv, seg, state, audit, whole, lines): what was chosen for every segment, beside its rows."""
     chosen = _fold(found).withColumnRenamed("seg", "seg2")
     return found.select("conv", "seg", "lines").join(chosen, F.col("seg") == F.col("seg2")).drop("seg2")
 
 
 def repaired_turns(rows: DataFrame, size: int = SEGMENT) -> DataFrame:
     """(conv, seg, at, role, text): the turns of the repaired conversations; read by (seg, at)."""
-    parts = repaired_segments(rows, size)
+    parts = _chosen(stored(segments(_marked(rows), size), "segments"))
     schema = f"conv {rows.schema['conv'].dataType.simpleString()}, seg bigint, at bigint, role string, text string"
     names, types = arrow_fields(schema)
 
@@ -392,32 +425,28 @@ def repair(rows: DataFrame, size: int = SEGMENT, id_name: str = "conv_id") -> Da
     """Per conversation of ``intact`` or ``damaged`` rows: gaps in the turns,
     rows by first fault, illegal neighbours, cost, audit, and the SHA-256 of
     the repaired ``role:text`` lines."""
-    conv = rows.schema["conv"].dataType
-    stats = "gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string"
-    schema = f"`{id_name}` {conv.simpleString()}, {stats}, repaired_sha256 string"
+    schema = f"`{id_name}` {rows.schema['conv'].dataType.simpleString()}, {_STATS.replace(':', ' ')}, repaired_sha256 string"
     names, types = arrow_fields(schema)
-    kind = to_arrow_type(conv)
 
     def run(batches):
         import pyarrow as pa
 
-        old, sha, lines, whole, ready = None, None, 0, None, []
+        old, digest, whole, ready = None, None, None, []
         for b in batches:
             for r in b.to_pylist():
-                if old is None or old != (r["conv"],):
+                if old != (r["conv"],):
                     if old is not None:
-                        ready.append([old[0], *whole, sha.hexdigest()])
-                    old, sha, lines, whole = (r["conv"],), hashlib.sha256(), 0, r["whole"].values()
-                for role, text in repaired_rows([(x["role"], x["text"]) for x in r["lines"]], r["audit"], r["state"]):
-                    sha.update(f"{chr(10) * (lines > 0)}{role}:{text}".encode())
-                    lines += 1
+                        ready.append([old[0], *whole, digest.hex()])
+                    old, digest, whole = (r["conv"],), Digest(), r["whole"].values()
+                digest.add(r["lines"], r["audit"], r["state"])
             if len(ready) >= 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*ready), types)], names=names)
                 ready = []
         if old is not None:
-            ready.append([old[0], *whole, sha.hexdigest()])
+            ready.append([old[0], *whole, digest.hex()])
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*ready), types)], names=names)
 
-    assert types[0] == kind
-    parts = repaired_segments(rows, size).repartition("conv").sortWithinPartitions("conv", "seg")
-    return on_workers(parts.select("conv", "state", "audit", "whole", "lines"), run, schema)
+    found = stored(segments(_marked(rows), size, finish=True), "segments")
+    parts = _chosen(found.filter("result IS NULL")).repartition("conv").sortWithinPartitions("conv", "seg")
+    cut = on_workers(parts.select("conv", "state", "audit", "whole", "lines"), run, schema)
+    return found.filter("result IS NOT NULL").select(F.col("conv").alias(id_name), "result.*").unionByName(cut)
