@@ -17,7 +17,7 @@ from ..operators.filters import period_bounds_of
 from ..operators.setops import duplicate_keys, snapshot_diffs
 from ..sinks.report import SUMMARY_ROWS, ROUNDING, summary_table
 from ..session import ensure_checkpoint_dir
-from ..sources.registers import read_register, repair_lines
+from ..sources.registers import load_register, read_register, repair_lines
 from .queries_core import STATS_SQL, run
 
 @register("profile_nulls", S.with_views(
@@ -230,25 +230,48 @@ def q_csv_repair(spark, sf_dir):
                       "COMPLEMENTO", "NOMBRE", "IMPORTE")
 
 
-@register("quoted_export", """SELECT CAST(c_custkey AS VARCHAR) AS NRO, CAST(c_custkey AS VARCHAR) || ', x' AS COMPLEMENTO,
-    CASE c_custkey % 7 WHEN 1 THEN c_name || ', SRL' WHEN 2 THEN c_name || ',A,B' WHEN 3 THEN 'La "' || c_name || '"'
-      ELSE c_name END AS NOMBRE, CAST(CAST(c_acctbal AS DECIMAL(14,2)) AS VARCHAR) AS IMPORTE, 'ok' AS repair_status
+_EXPORT_SQL = """SELECT CAST(c_custkey AS VARCHAR) AS NRO, CAST(c_custkey AS VARCHAR) || ', x' AS COMPLEMENTO,
+    CASE c_custkey % 7 WHEN 1 THEN c_name || ', SRL' WHEN 3 THEN 'La "' || c_name || '"' WHEN 4 THEN c_name || chr(10) || chr(10) || 'Branch, 2'
+      WHEN 5 THEN c_name || ', SA' ELSE c_name END AS NOMBRE,
+    CAST(CAST(c_acctbal AS DECIMAL(14,2)) AS VARCHAR) AS IMPORTE, 'ok' AS repair_status
   FROM customer WHERE c_custkey % 41 <> 0 AND c_custkey % 7 <> 2
   UNION ALL SELECT CAST(c_custkey AS VARCHAR), '', c_name || ',A,B', CAST(CAST(c_acctbal AS DECIMAL(14,2)) AS VARCHAR), 'fixed'
-  FROM customer WHERE c_custkey % 41 <> 0 AND c_custkey % 7 = 2""")
-def q_quoted_export(spark, sf_dir):
-    """Customers written as an export with quotes, escapes and surplus commas, and read back."""
+  FROM customer WHERE c_custkey % 41 <> 0 AND c_custkey % 7 = 2"""
+EXPORT_FILES = 4
+
+
+def _export(spark, sf_dir) -> str:
+    """Customers written as export files, a header line first, with quoted
+    line breaks, escapes in quotes and outside, and surplus commas."""
     c = Tables(spark, sf_dir)["customer"]
     k, name, nro = F.col("c_custkey"), F.col("c_name"), F.col("c_custkey").cast("string")
     shown = (F.when(k % 7 == 1, F.concat(F.lit('"'), name, F.lit(', SRL"')))
               .when(k % 7 == 2, F.concat(name, F.lit(",A,B")))
-              .when(k % 7 == 3, F.concat(F.lit('"La \\"'), name, F.lit('\\""'))).otherwise(name))
+              .when(k % 7 == 3, F.concat(F.lit('"La \\"'), name, F.lit('\\""')))
+              .when(k % 7 == 4, F.concat(F.lit('"'), name, F.lit('\n\nBranch, 2"')))
+              .when(k % 7 == 5, F.concat(name, F.lit("\\, SA"))).otherwise(name))
     extra = F.when(k % 7 == 2, F.lit("")).otherwise(F.concat(F.lit('"'), nro, F.lit(', x"')))
     full = F.concat_ws(",", nro, F.lit("2025-01-01"), nro, F.lit("X"), nro, extra, shown,
                        F.col("c_acctbal").cast("decimal(14,2)").cast("string"))
     line = F.when(k % 41 == 0, F.concat_ws(",", nro, F.lit("2025-01-01"))).otherwise(full)
+    rows = c.select(F.pmod(k, F.lit(EXPORT_FILES)).cast("int").alias("file"), k.cast("bigint").alias("nth"), line.alias("line"))
+    heads = spark.range(EXPORT_FILES).select(F.col("id").cast("int").alias("file"), F.lit(-1).cast("bigint").alias("nth"),
+                                             F.lit(",".join(HEADER)).alias("line"))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/{uuid.uuid4().hex}"
-    # one header line per file: the head of a one-column table, written without quoting
-    lines = c.select(line.alias(",".join(HEADER)))
-    lines.write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
-    return read_register(spark, path).select("NRO", "COMPLEMENTO", "NOMBRE", "IMPORTE", "repair_status")
+    dealt = rows.unionByName(heads).repartitionById(EXPORT_FILES, "file").sortWithinPartitions("nth")
+    dealt.select("line").write.text(path)
+    return path
+
+
+@register("quoted_export", _EXPORT_SQL)
+def q_quoted_export(spark, sf_dir):
+    """An export with quotes, escapes and line breaks in its fields, read back."""
+    return read_register(spark, _export(spark, sf_dir)).select("NRO", "COMPLEMENTO", "NOMBRE", "IMPORTE", "repair_status")
+
+
+@register("load_counts", f"""SELECT repair_status, count(*) AS n FROM ({_EXPORT_SQL}) GROUP BY 1
+  UNION ALL SELECT 'skipped', count(*) FROM customer WHERE c_custkey % 41 = 0 HAVING count(*) > 0""")
+def q_load_counts(spark, sf_dir):
+    """Lines that loading the same export took as they are, repaired and skipped."""
+    _, counts = load_register(spark, _export(spark, sf_dir))
+    return counts.groupBy("repair_status").agg(F.sum("n").cast("bigint").alias("n"))

@@ -61,6 +61,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def on_workers(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package on the Python workers' path (the
+    same path as here; elsewhere it is shipped with --py-files)."""
+    env = df.sparkSession.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    return df.mapInArrow(run, schema)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin an input that arrives in fewer splits than the session's
     parallelism (e.g. one Parquet row group), so per-row work uses every

@@ -2,7 +2,7 @@
 
 The reference runs one batch per month; nothing in it is streaming. For a
 continuous feed of export files, each micro-batch goes through the same
-batch operators: repair the lines, map to the typed register, merge into
+batch operators: read and repair the new files, map to the typed register, merge into
 the current snapshot and publish a new version. ``merge_plan`` is
 idempotent, so a micro-batch replayed after a failure gives the same
 snapshot, and the stream's checkpoint (in the shared checkpoint folder)
@@ -19,13 +19,13 @@ from ..config import REGISTER_COLUMN_MAP
 from ..operators.register import map_register, validate_register
 from ..operators.upsert import merge_plan
 from ..sinks.snapshot import commit_snapshot, read_current
-from ..sources.registers import _NO_SEP, repair_lines
+from ..sources.registers import read_register
 
 
-def _lines_stream(spark: SparkSession, source_dir: str, encoding: str = "utf-8") -> DataFrame:
-    return (spark.readStream.option("sep", _NO_SEP).option("quote", "\u0000").option("header", False)
-            .option("encoding", encoding).schema("line string").csv(source_dir)
-            .withColumn("path", F.col("_metadata.file_path")))
+def _files_stream(spark: SparkSession, source_dir: str) -> DataFrame:
+    """New files, by name; their contents are not read here."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).load(source_dir).select("path")
 
 
 def load_stream(spark: SparkSession, source_dir: str, target_root: str, header: list[str],
@@ -36,14 +36,13 @@ def load_stream(spark: SparkSession, source_dir: str, target_root: str, header:
     into the versioned register at ``target_root``. The stream's progress
     (files consumed) is kept with the target, under ``_checkpoints/``, on
     the same shared storage."""
-    head_text = ",".join(header)
-    lines = _lines_stream(spark, source_dir).filter(F.btrim("line") != F.lit(head_text))
-    rows = repair_lines(lines, "line", header, merge_at).filter(F.col("repair_status") != "skipped")
+    files = _files_stream(spark, source_dir)
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
         if not batch.limit(1).take(1):
             return
-        mapped = map_register(batch, column_map)
+        paths = [r["path"] for r in batch.select("path").distinct().toLocalIterator()]  # the files of one trigger
+        mapped = map_register(read_register(spark, paths, header, merge_at), column_map)
         issues = validate_register(mapped).collect()  # at most one row per rule
         if issues:
             raise ValueError(f"batch {batch_id} is not loaded: {issues}")
@@ -55,6 +54,6 @@ def load_stream(spark: SparkSession, source_dir: str, target_root: str, header:
         commit_snapshot(plan, target_root)
 
     ckpt = checkpoint_location or f"{target_root.rstrip('/')}/_checkpoints/{name}"
-    writer = rows.writeStream.foreachBatch(apply_batch).option("checkpointLocation", ckpt).queryName(name)
+    writer = files.writeStream.foreachBatch(apply_batch).option("checkpointLocation", ckpt).queryName(name)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
