@@ -136,48 +136,60 @@ def numeric_profile(df: DataFrame, cols: list[str], quartiles: bool = True,
     for i, (_, aggs) in enumerate(parts):
         flat.extend(a.alias(f"__{i}_{j}") for j, a in enumerate(aggs))
     one = df.agg(*flat)
+    names = ["count", "mean", "std", "min", "max"]
     rows = []
-    for i, (c, aggs) in enumerate(parts):
-        sel = [F.lit(c).alias("column"), F.col(f"__{i}_0").alias("count"), F.col(f"__{i}_1").alias("mean"),
-               F.col(f"__{i}_2").alias("std"), F.col(f"__{i}_3").alias("min"), F.col(f"__{i}_4").alias("max")]
+    for i, (c, _) in enumerate(parts):
+        sel = [F.lit(c).alias("column"), *[F.col(f"__{i}_{j}").alias(n) for j, n in enumerate(names)]]
         if quartiles:
             sel += [F.col(f"__{i}_5")[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))]
-        rows.append(one.select(*sel))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-#: Bins into which each of LEVELS rounds parts the values around a wanted rank.
-BINS, LEVELS = 4096, 2
-
-
-def _scale(v: Column) -> Column:
-    """A monotone, bounded image of ``v`` for equal-width bins."""
-    t = F.signum(v) * F.log1p(F.abs(v))
-    return F.greatest(F.least(t, F.lit(1e3)), F.lit(-1e3))
-
-
-def _narrow(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` (column, part, v, n) and ``wanted`` (column, part, at, rank
-    within the part) one level of bins further: only the bins that hold a
-    wanted rank are left, as new parts."""
-    keys = ["column", "part"]
-    t = _scale(F.col("v"))
-    span = rows.groupBy(*keys).agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
-    width = F.col("hi") - F.col("lo")
-    nth = F.when(width > 0, F.least(F.floor((t - F.col("lo")) / width * BINS), F.lit(BINS - 1))).otherwise(0)
-    binned = rows.join(span, keys).select(*keys, "v", "n", nth.cast("bigint").alias("bin"))
-    bins = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("in_bin"))
-    upto = F.sum("in_bin").over(Window.partitionBy(*keys).orderBy("bin"))
-    bins = bins.withColumn("before", upto - F.col("in_bin"))
-    hit = (wanted.join(bins, keys)
-           .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("in_bin"))))
-    part = (F.col("part") * BINS + F.col("bin")).alias("part")
-    left = binned.join(hit.select(*keys, "bin").distinct(), [*keys, "bin"], "left_semi")
-    return (left.select("column", part, "v", "n"),
-            hit.select("column", part, "at", (F.col("rank") - F.col("before")).alias("rank")))
+        rows.append(F.struct(*sel))
+    return one.select(F.inline(F.array(*rows)))
+
+
+#: Bits of a value that a pass tells apart, and passes.
+RADIX, PASSES = 16, 4
+#: A key of a pass is a value's leading bits times this, and the column's number.
+COLUMNS = 1 << 15
+
+
+def _images(df: DataFrame, xs: list[Column]) -> DataFrame:
+    """Columns s0, s1, ...: integers that order as the doubles ``xs`` do:
+    their IEEE 754 bits, negated for negative numbers. NULL for NULL and NaN;
+    -0.0 counts as 0.0.
+
+    The bits are calculated: with a = m * 2**(e - 52) and 2**52 <= m < 2**53,
+    they are (e + 1023) * 2**52 + m - 2**52. Scaling by powers of two is
+    exact, in two steps so that it neither overflows nor underflows, and
+    ``log2`` may miss e by one, which m shows. Step by step, so that nothing
+    is calculated twice."""
+    n = range(len(xs))
+    each = lambda f: [c for i in n for c in f(i)]
+    x, a, e, m = (lambda p: lambda i: F.col(f"{p}{i}"))("x"), (lambda i: F.abs(F.col(f"x{i}"))), \
+        (lambda i: F.col(f"e{i}")), (lambda i: F.col(f"m{i}"))
+    df = df.select(*[F.when(~F.isnan(c), c).alias(f"x{i}") for i, c in enumerate(xs)])
+    df = df.select(*each(lambda i: (x(i), F.least(F.greatest(F.floor(F.log2(a(i))), F.lit(-1022)), F.lit(1023)).cast("int").alias(f"e{i}"))))
+    half = lambda i: F.shiftright(52 - e(i), 1)
+    df = df.select(*each(lambda i: (x(i), e(i), (a(i) * F.pow(F.lit(2.0), half(i)) * F.pow(F.lit(2.0), 52 - e(i) - half(i))).alias(f"m{i}"))))
+    low, high = F.lit(float(1 << 52)), F.lit(float(1 << 53))
+    over, under = (lambda i: m(i) >= high), (lambda i: (m(i) < low) & (e(i) > -1022))
+    # below 2**-1022 there is no leading one, and the exponent field is zero
+    bits = lambda i: F.when(a(i) == 0, F.lit(0).cast("long")).when(a(i) == float("inf"), F.lit(0x7FF << 52)).otherwise(
+        (e(i) + F.when(over(i), 1).when(under(i), -1).otherwise(0) + 1022) * F.lit(1 << 52)
+        + F.when(over(i), m(i) / 2).when(under(i), m(i) * 2).otherwise(m(i)).cast("long"))
+    df = df.select(*each(lambda i: (x(i), bits(i).alias(f"b{i}"))))
+    return df.select(*[F.when(x(i) < 0, -F.col(f"b{i}")).otherwise(F.col(f"b{i}")).alias(f"s{i}") for i in n])
+
+
+def _value_of(s: Column) -> Column:
+    """The double whose image is ``s``."""
+    bits = F.abs(s)
+    e, m = F.shiftright(bits, 52).cast("long"), bits.bitwiseAND(F.lit((1 << 52) - 1))
+    power = lambda k: F.pow(F.lit(2.0), k)
+    full = (m + F.lit(1 << 52)).cast("double")
+    k = e - 1075
+    a = F.when(e == 0x7FF, F.lit(float("inf"))).when(e == 0, m.cast("double") * F.lit(2.0 ** -537) * F.lit(2.0 ** -537)) \
+        .otherwise(full * power(F.floor(k / 2)) * power(k - F.floor(k / 2)))
+    return F.when(s < 0, -a).otherwise(a)
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: tuple = (0.25, 0.5, 0.75)) -> DataFrame:
@@ -186,36 +198,59 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: tuple = (0.25, 0.5, 0
     the order of ``probs`` per column that has a value; NULL and NaN count
     as missing.
 
-    One lazy plan for every size, nothing goes to the driver. Rows are
-    counted per value first, so a value that holds most rows is one row.
-    Each of LEVELS rounds deals the values into BINS equal-width bins
-    between the least and the greatest value, and leaves only the bins that
-    hold a wanted rank; bins, unlike a sketch's cuts, do not depend on how
-    rows are dealt to tasks, so a task that runs again agrees. A running
-    count over what is left gives the order statistics.
+    Radix selection, all columns at once: a value's image is an integer of 64
+    bits in the order of the values. Each of PASSES scans counts the values
+    per RADIX further leading bits, but only of values that share the leading
+    bits found so far with a wanted rank; a running count over the bins then
+    tells the next bits of every wanted rank. A count combines on the map
+    side, so a scan shuffles at most 2**RADIX narrow rows per task, column
+    and wanted prefix, however the values are spread; the ranks found, at
+    most two per column and probability, reach the next scan as a scalar
+    subquery. Nothing is joined with the data, nothing goes to the driver,
+    and no job runs before the result is asked for.
     """
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    long = df.selectExpr(f"stack({len(cols)}, {stack}) AS (column, v)").filter("v IS NOT NULL AND NOT isnan(v)")
-    rows = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(0).cast("bigint"))
-    last = F.col("rows") - 1
-    below = [F.floor(last * p) for p in probs]
-    ranks = F.array(*[x for b in below for x in (b, F.least(b + 1, last))])
-    totals = rows.groupBy("column", "part").agg(F.sum("n").alias("rows"))
-    wanted = totals.select("column", "part", F.posexplode(ranks).alias("at", "rank"))
-    for _ in range(LEVELS):
-        rows, wanted = _narrow(rows, wanted)
-    upto = F.sum("n").over(Window.partitionBy("column", "part").orderBy("v"))
-    rows = rows.withColumn("upto", upto)
-    found = (rows.join(wanted, ["column", "part"])
-             .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))))
-    stats = found.groupBy("column").agg(*[F.max(F.when(F.col("at") == i, F.col("v"))).alias(f"v{i}")
-                                          for i in range(2 * len(probs))])
-    stats = stats.join(totals.select("column", "rows"), "column")
+    if len(cols) > COLUMNS:
+        raise ValueError(f"at most {COLUMNS} columns at a time")
+    images = _images(df, [F.col(f"`{c}`").cast("double") for c in cols])
+    stack = ", ".join(f"{i}, s{i}" for i in range(len(cols)))
+    long = images.selectExpr(f"stack({len(cols)}, {stack}) AS (c, s)").filter("s IS NOT NULL")
+    rank = "array<struct<at:int,rank:bigint,share:double>>"
+    found = None
+    for k in range(1, PASSES + 1):
+        rows = long.select("c", F.shiftright("s", 64 - RADIX * k).alias("bits"))
+        if found is None:
+            counts = rows.groupBy("c", "bits").agg(F.count(F.lit(1)).alias("n"))
+            all_of = Window.partitionBy("c")
+            last = F.sum("n").over(all_of) - 1
+            wanted = [F.struct(F.lit(2 * i + j).alias("at"),
+                               F.least(F.floor(last * p).cast("bigint") + j, last).alias("rank"),
+                               (last * p - F.floor(last * p)).alias("share")) for i, p in enumerate(probs) for j in (0, 1)]
+            counts = counts.withColumn("ranks", F.array(*wanted).cast(rank))
+        else:
+            key = F.shiftright("bits", RADIX) * COLUMNS + F.col("c")
+            # a generator, not a filter and a projection: the subquery stands in the plan once
+            match = F.filter(F.array(F.try_element_at(F.col("found"), key)), lambda r: r.isNotNull())
+            rows = rows.select("c", "bits", found.alias("found")).select("c", "bits", F.explode(match).alias("ranks"))
+            counts = rows.groupBy("c", "bits", "ranks").agg(F.count(F.lit(1)).alias("n"))
+        order = Window.partitionBy("c", F.shiftright("bits", RADIX)).orderBy("bits") if k > 1 else Window.partitionBy("c").orderBy("bits")
+        counts = counts.withColumn("before", F.sum("n").over(order) - F.col("n"))
+        here = F.filter("ranks", lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("n")))
+        left = F.transform(here, lambda r: F.struct(r["at"].alias("at"), (r["rank"] - F.col("before")).alias("rank"),
+                                                    r["share"].alias("share"))).cast(rank)
+        hits = counts.select("c", "bits", left.alias("ranks")).filter("size(ranks) > 0")
+        if k < PASSES:
+            entry = F.struct((F.col("bits") * COLUMNS + F.col("c")).alias("key"), "ranks")
+            found = hits.agg(F.map_from_entries(F.collect_list(entry)).alias("found")).scalar()
+    at = hits.select("c", "bits", F.explode("ranks").alias("r")).select("c", _value_of(F.col("bits")).alias("v"), "r.at", "r.share")
+    by_rank = [F.max(F.when(F.col("at") == i, F.col("v"))).alias(f"v{i}") for i in range(2 * len(probs))]
+    shares = [F.max(F.when(F.col("at") == 2 * i, F.col("share"))).alias(f"share{i}") for i in range(len(probs))]
+    stats = at.groupBy("c").agg(*by_rank, *shares)
     q = []
-    for i, p in enumerate(probs):
-        lo, hi, share = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}"), last * p - F.floor(last * p)
+    for i in range(len(probs)):
+        lo, hi, share = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}"), F.col(f"share{i}")
         q.append(F.when((share == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * share))
-    return stats.select("column", F.array(*q).alias("q"))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), (F.col("c") + 1).cast("int"))
+    return stats.select(name.alias("column"), F.array(*q).alias("q"))
 
 
 def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
