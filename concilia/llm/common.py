@@ -40,21 +40,33 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 def in_file_order(df: DataFrame, name: str) -> DataFrame:
     """``df``, read from Parquet, with each row's position (0, 1, ...) in the
     order of the part files and of the rows in them: the order in which it was
-    written. A scan itself packs files by size. One count per file is collected."""
-    at = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    counts = {r["__file"]: r["count"] for r in at.groupBy("__file").count().collect()}
+    written. A scan itself packs files by size. One count per file is
+    collected. A column of that name is replaced."""
+    columns = [c for c in df.columns if c != name]
+    file, row, before_file = (free_name(df, c) for c in ("__file", "__at", "__before"))
+    at = df.select(*[F.col(f"`{c}`") for c in columns], F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    counts = {r[0]: r[1] for r in at.groupBy(file).agg(F.count(F.lit(1))).collect()}
     number = lambda f: int((re.findall(r"part-(\d+)", f) or [0])[-1])
     before, n = [], 0
     for f in sorted(counts, key=lambda f: (number(f), f)):
         before.append((f, n))
         n += counts[f]
-    files = df.sparkSession.createDataFrame(before, "__file string, __before long")
-    return at.join(F.broadcast(files), "__file").select(*df.columns, (F.col("__before") + F.col("__at")).alias(name))
+    files = df.sparkSession.createDataFrame(before, f"{file} string, {before_file} long")
+    return at.join(files, file).select(*[F.col(f"`{c}`") for c in columns], (F.col(before_file) + F.col(row)).alias(name))
 
 
-def with_row_key(df: DataFrame, name: str = "__row") -> DataFrame:
-    """``df`` with a key that is one row's alone and the same whenever ``df``
-    is evaluated: file and row index. What is no plain scan of files is written first."""
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``df`` has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a key, in a new column of that (free) name, that is one
+    row's alone and the same whenever ``df`` is evaluated: file and row index.
+    What is no plain scan of files is written first."""
     def keyed(x: DataFrame) -> DataFrame:
         at = F.lpad(F.hex(F.col("_metadata.row_index")), 16, "0")
         return x.withColumn(name, F.concat(F.unhex(F.md5(F.col("_metadata.file_path").cast("binary"))), F.unhex(at)))

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, body, stored, with_row_key
+from .common import WS_CLASS, body, free_name, stored, with_row_key
 
 
 def normalised(text: Column) -> Column:
@@ -33,8 +33,8 @@ def normalised(text: Column) -> Column:
 
 
 def _best() -> Column:
-    """Most code points first, then the smallest id; null ids last."""
-    return F.max(F.struct("__len", (-F.col("__id")).alias("neg"))).alias("__best")
+    """Most code points first, then the smallest id, of any type that has an order; null ids last."""
+    return F.min(F.struct((-F.col("__len")).alias("neg"), F.col("__id").isNull().alias("none"), F.col("__id").alias("id"))).alias("__best")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -73,8 +73,8 @@ def _verdicts(docs: DataFrame, row: Column, id_col: str, text_col: str, content_
     cols = ["__row", "__id", "__len", "__h", "__other", "__n", "__best", "__sha"]
     both = good.withColumn("__other", F.lit(None).cast("string")).select(*cols).unionByName(
         bad.select("b.__row", "b.__id", "b.__len", "b.__h", "b.__other", "r.__n", "r.__best", "b.__sha"))
-    keep = -F.col("__best.neg")
-    both = both.withColumn("__top", F.col("__id").eqNullSafe(keep) & (F.col("__len") == F.col("__best.__len")))
+    keep = F.col("__best.id")
+    both = both.withColumn("__top", F.col("__id").eqNullSafe(keep) & (F.col("__len") == -F.col("__best.neg")))
     # rows that repeat the kept id and length: all but the first go
     tied = both.filter("__top").groupBy("__h", "__other").agg(F.min("__row").alias("first"), F.max("__row").alias("last"))
     tied = tied.filter("first < last").withColumnsRenamed({"__h": "h", "__other": "other"})
@@ -87,6 +87,7 @@ def _verdicts(docs: DataFrame, row: Column, id_col: str, text_col: str, content_
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
-    rows = with_row_key(docs)
-    kept = _verdicts(rows, F.col("__row"), id_col, text_col, F.md5).filter("kept").select("__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    key = free_name(docs, "__row")
+    rows = with_row_key(docs, key)
+    kept = _verdicts(rows, F.col(key), id_col, text_col, F.md5).filter("kept").select(F.col("__row").alias(key))
+    return rows.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -42,6 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import free_name, stored, with_row_key
+
 MAX_SOURCES = None
 RESOLUTION = None
 #: Largest relative deviation of k/Q from the target weight.
@@ -100,10 +102,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
 def mixed_rows(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id",
                source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, all columns, range-partitioned and sorted in mixture order."""
-    row = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__src"), F.struct("*").alias("__row"))
+    spark = docs.sparkSession
     opts = {"block_rows": BLOCK_ROWS, "resolution": RESOLUTION, "buckets": BUCKETS, "max_sources": MAX_SOURCES} | options
-    placed = _mix(row, weights, **opts).repartitionByRange("slot", "block_row").sortWithinPartitions("slot", "block_row")
-    return placed.select("__row.*")
+    key, at, slot, row = (free_name(docs, c) for c in ("__row", "__at", "__slot", "__block_row"))
+    rows = with_row_key(docs, key)
+    # keys and sources alone are ranked and dealt to ranges of slots; the rows follow by their keys
+    narrow = _mix(rows.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__src"), F.col(key).alias("__row")), weights, **opts)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = narrow.select("__row", "slot", "block_row").repartitionByRange(parts, "slot", "block_row")
+    placed = stored(dealt.select(F.col("__row").alias(key), F.spark_partition_id().alias(at), F.col("slot").alias(slot),
+                                 F.col("block_row").alias(row)), "mix-placed")
+    last = placed.agg(F.max(at)).first()[0]
+    out = rows.join(placed, key).repartitionById((last or 0) + 1, at).sortWithinPartitions(slot, row)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _mix(rows, weights, block_rows, resolution, buckets, max_sources) -> DataFrame:

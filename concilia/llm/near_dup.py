@@ -52,7 +52,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_fields, body, on_workers, stored, with_row_key
+from .common import arrow_fields, body, free_name, on_workers, stored, with_row_key
 
 WIDTH = 256
 BASE = 3
@@ -65,7 +65,8 @@ GROWTH = 1.1
 RECALL = 0.99999
 #: Standard deviations of the sketch estimate that a pair may lie below the threshold.
 SLACK = 4.0
-MEMO = 1_000_000
+#: Words whose hashes a task remembers; none outlive it.
+MEMO = 500_000
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -125,9 +126,10 @@ def sketch(codes, multipliers) -> bytes:
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, h: hash of the set, sig: sketch) per row of (__id, __text)."""
-    id_type = docs.schema["__id"].dataType.simpleString()
-    names, types = arrow_fields(f"id {id_type}, n long, h binary, sig binary")
+    """(row, id, n, h: hash of the set, sig: sketch) per row of (__row, __id, __text)."""
+    row_type, id_type = (docs.schema[c].dataType.simpleString() for c in ("__row", "__id"))
+    schema = f"row {row_type}, id {id_type}, n long, h binary, sig binary"
+    names, types = arrow_fields(schema)
 
     def run(batches):
         import pyarrow as pa
@@ -135,15 +137,16 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
         m = _multipliers()
         for b in batches:
             n, h, sig = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 codes = shingles(t, size)
                 n.append(len(codes))
                 h.append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest())
                 sig.append(sketch(codes, m) if len(codes) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(types[0]), *[pa.array(v, t) for v, t in zip(
-                (n, h, sig), types[1:])]], names=names)
+            yield pa.RecordBatch.from_arrays([*[b.column(i).cast(types[i]) for i in range(2)], *[pa.array(v, t) for v, t in zip(
+                (n, h, sig), types[2:])]], names=names)
+        _words.clear()
 
-    return on_workers(docs.select("__id", "__text"), run, f"id {id_type}, n long, h binary, sig binary")
+    return on_workers(docs.select("__row", "__id", "__text"), run, schema)
 
 
 def _branches(percent: int) -> tuple[int, float]:
@@ -263,8 +266,8 @@ def _between(links: DataFrame, up: DataFrame) -> DataFrame:
 def _full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, codes): the full sets of some nodes, from their texts."""
     names, types = arrow_fields("node long, codes binary")
-    need = nodes.select("rep", "node", "h")
-    rows = docs.join(need, docs["__id"].eqNullSafe(need["rep"])).select("node", "h", "__text")
+    need = nodes.select("row", "node", "h")
+    rows = docs.join(need, docs["__row"] == need["row"]).select("node", "h", "__text")
 
     def run(batches):
         import pyarrow as pa
@@ -273,11 +276,12 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             node, codes = [], []
             for k, h, t in zip(*[c.to_pylist() for c in b.columns]):
                 raw = shingles(t, size).tobytes()
-                # an id may have further rows with other texts
-                if hashlib.blake2b(raw, digest_size=16).digest() == h:
-                    node.append(k)
-                    codes.append(raw)
+                if hashlib.blake2b(raw, digest_size=16).digest() != h:
+                    raise ValueError("a row's text has changed since its set was hashed")
+                node.append(k)
+                codes.append(raw)
             yield pa.RecordBatch.from_arrays([pa.array(node, types[0]), pa.array(codes, types[1])], names=names)
+        _words.clear()
 
     return on_workers(rows, run, "node long, codes binary")
 
@@ -442,11 +446,16 @@ def _with_counts(rows: DataFrame, tag: str) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text",
-                       leaf: int = LEAF, branch: int = BRANCH, depth: int = DEPTH) -> DataFrame:
-    """Per row: id, n_shingles, component_id, kept."""
-    rows = docs.select(F.col(id_col).alias("__id"), body(text_col).alias("__text"))
+                       leaf: int = LEAF, branch: int = BRANCH, depth: int = DEPTH, row_col: str | None = None) -> DataFrame:
+    """Per row: id, n_shingles, component_id, kept. ``row_col``: a column
+    that is every row's alone, where ``docs`` has one."""
+    if row_col is None:
+        row_col = free_name(docs, "__row")
+        docs = with_row_key(docs, row_col)
+    rows = docs.select(F.col(row_col).alias("__row"), F.col(id_col).alias("__id"), body(text_col).alias("__text"))
     sets = stored(sets_of(rows, size), "near-sets")
-    nodes = stored(sets.filter("n > 0").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = stored(sets.filter("n > 0").groupBy("h").agg(F.min("id").alias("rep"), F.min("row").alias("row"), F.first("n").alias("n"),
+                                                         F.first("sig").alias("sig"))
                    .withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     links = _links(rows, nodes, size, percent, leaf, branch, depth)
     roots = components(links)
@@ -512,8 +521,10 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
                          text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each component (the smallest id,
     null ids last, then the first row), with all their columns."""
-    rows = with_row_key(docs)
-    placed = similar_components(rows, size, percent, "__row", text_col).select("__row", "component_id")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    first = placed.join(rows.select(F.col("__row"), order.alias("o")), "__row").groupBy("component_id").agg(F.min("o").alias("o"))
-    return rows.join(first.select(F.col("o.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    key = free_name(docs, "__row")
+    rows = with_row_key(docs, key)
+    placed = similar_components(rows, size, percent, key, text_col, row_col=key).select(F.col(key).alias("placed"), "component_id")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("row")).alias("o")
+    first = placed.join(rows.select(F.col(key).alias("row"), order), F.col("placed") == F.col("row")).groupBy("component_id").agg(
+        F.min("o").alias("o"))
+    return rows.join(first.select(F.col("o.row").alias(key)), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import arrow_fields, body, on_workers, stored, with_row_key
+from .common import arrow_fields, body, free_name, on_workers, stored, with_row_key
 
 MIN_WORDS = 10
 MAX_REPEAT = 20
@@ -263,6 +263,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   group_cols: tuple = ("lang", "source")) -> DataFrame:
     """The rows of ``docs`` that are kept, each by its own verdict, with all their columns."""
-    rows = with_row_key(docs)
-    kept = judge(rows, "__row", text_col, group_cols).filter("kept").select("__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    key = free_name(docs, "__row")
+    rows = with_row_key(docs, key)
+    kept = judge(rows, key, text_col, group_cols).filter("kept").select(key)
+    return rows.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
