@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(in_file_order(docs, "position"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+    return byte_bpe.round_trip(in_file_order(docs.select("doc_id", "text"), "position"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                                public_tokenizers.PATTERN, carry=("position",), ids=True)
 
 
