@@ -18,6 +18,7 @@ memory, one memo of bounded size per worker that encodes.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from array import array
 from functools import lru_cache
@@ -25,7 +26,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, body, map_rows, slices
+from .common import Memo, arrow_fields, body, map_rows, on_workers, slices
 
 SHIFT = 0x100
 MEMO = 500_000
@@ -152,9 +153,23 @@ def decode_ids(encoded: DataFrame, rank_path: str, pattern: str, id_col: str = "
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
                text_col: str = "text", carry: tuple[str, ...] = (), ids: bool = False) -> DataFrame:
     """Per row: id, the columns ``carry``, n_tokens, ids_sha256,
-    decoded_sha256, and ids if wanted: what ``encode_texts`` gives, and the
-    digest of what ``decode_ids`` makes of it."""
-    encoded = encode_texts(docs, rank_path, pattern, id_col, text_col, carry)
-    both = decode_ids(encoded, rank_path, pattern, id_col, (*carry, "ids"))
-    return both.select(id_col, *carry, F.expr("octet_length(ids) DIV 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                       F.sha2("text_bytes", 256).alias("decoded_sha256"), *["ids"] * ids)
+    decoded_sha256, and ids if wanted. Texts are encoded and the ids decoded
+    in one pass over a batch, some texts at a time."""
+    kept = [id_col, *carry]
+    schema = f"{_types(docs, kept)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
+    names, types = arrow_fields(schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at = 0
+            for texts in slices(b.column(len(kept)).to_pylist()):
+                codes = codec(rank_path, pattern).encode(texts)
+                cols = [b.column(i).slice(at, len(texts)).cast(types[i]) for i in range(len(kept))]
+                cols += [pa.array([len(x) // 4 for x in codes], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in codes]),
+                         pa.array([hashlib.sha256(decode(x, rank_path)).hexdigest() for x in codes])]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(codes, pa.binary())] * ids, names=names)
+                at += len(texts)
+
+    return on_workers(docs.select(*kept, body(text_col)), run, schema)
