@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import present, register
-from ..config import OBS_DOLLAR, OBS_NOT_IN_LEDGER, OBS_RENTAL
+from ..config import DECIMAL_TARGETS, OBS_DOLLAR, OBS_NOT_IN_LEDGER, OBS_RENTAL, REGISTER_COLUMN_MAP
 from ..fixtures import sql as S
 from ..fixtures.views import FIXTURE_REGISTER_MAP, Tables, v_ledger, v_tax
 from ..functions import text as X
@@ -245,3 +245,74 @@ def q_register_validate(spark, sf_dir):
     "CAST(coalesce(sum(warnings), 0) AS BIGINT) AS warnings FROM mapped", "v_tax", ctes=(MAPPED_SQL,)))
 def q_transform_stats(spark, sf_dir):
     return R.transform_stats(mapped(spark, sf_dir, with_lookups=False))
+
+
+# ---- all amounts of the export (P2, A16): blank, unparsable, too large, padded, three decimals ----
+AMOUNTS = tuple((header, target) for header, target in REGISTER_COLUMN_MAP if target in DECIMAL_TARGETS)
+#: v_tax column behind the export headers that the wide register also has.
+WIDE = (("fecha_txt", "FECHA DE LA FACTURA"), ("cuf", "CODIGO DE AUTORIZACIÓN"), ("nit", "NIT / CI CLIENTE"),
+        ("nombre", "NOMBRE O RAZON SOCIAL"), ("num_factura", "NUM FACTURA"))
+TOO_LARGE = "99999999999999.99"
+
+
+def _amount_text(j: int):
+    k = F.col("nro")
+    plain = F.concat((k * j % 99991).cast("string"), F.lit("."), F.lpad((k * (j + 3) % 1000).cast("string"), 3, "0"))
+    return (F.when(k % (60 + j) == 0, "").when(k % (70 + j) == 0, "n/a").when(k % (200 + j) == 0, TOO_LARGE)
+             .when(k % (80 + j) == 0, F.concat(F.lit(" "), plain, F.lit(" "))).otherwise(plain))
+
+
+def _amount_sql(j: int) -> str:
+    plain = f"CAST(nro * {j} % 99991 AS VARCHAR) || '.' || lpad(CAST(nro * {j + 3} % 1000 AS VARCHAR), 3, '0')"
+    return (f"CASE WHEN nro % {60 + j} = 0 THEN '' WHEN nro % {70 + j} = 0 THEN 'n/a' WHEN nro % {200 + j} = 0 THEN '{TOO_LARGE}' "
+            f"WHEN nro % {80 + j} = 0 THEN ' ' || {plain} || ' ' ELSE {plain} END")
+
+
+def wide_tax(spark, sf_dir):
+    """The tax register under its export headers, with all thirteen amounts as text."""
+    tax = v_tax(Tables(spark, sf_dir))
+    return tax.select("nro", *[F.col(c).alias(h) for c, h in WIDE],
+                      *[_amount_text(j).alias(h) for j, (h, _) in enumerate(AMOUNTS, 1)])
+
+
+WIDE_SQL = "wide AS (SELECT nro, fecha_txt, cuf, nit, nombre, num_factura, " + ", ".join(
+    f"{_amount_sql(j)} AS t_{t}" for j, (_, t) in enumerate(AMOUNTS, 1)) + " FROM v_tax)"
+WIDE_MAPPED_SQL = f"""wide_mapped AS (SELECT nro, {sql_date('fecha_txt')} AS invoice_date, {sql_trunc('cuf', 64)} AS authorization_code,
+  {sql_nit('nit')} AS customer_nit, {sql_trunc('nombre', 240)} AS customer_name, {sql_invoice('num_factura')} AS invoice_number,
+  {', '.join(f"{sql_decimal(f't_{t}')} AS {t}" for _, t in AMOUNTS)},
+  {' + '.join(_i(w) for w in (
+      f"(NOT {blank('fecha_txt')} AND ({sql_date('fecha_txt')}) IS NULL)", sql_trunc_warn('cuf', 64), sql_nit_warn('nit'),
+      sql_trunc_warn('nombre', 240), sql_invoice_warn('num_factura'), *[sql_decimal_warn(f't_{t}') for _, t in AMOUNTS]))} AS warnings
+FROM wide)"""
+
+
+@register("register_amounts", S.with_views(
+    f"""SELECT nro, {', '.join(f'CAST(round({t}, 2) AS DOUBLE) AS {t}' for _, t in AMOUNTS)},
+      CASE WHEN debit_tax > 0 THEN 1 ELSE 0 END AS right_to_tax_credit, warnings FROM wide_mapped""",
+    "v_tax", ctes=(WIDE_SQL, WIDE_MAPPED_SQL)))
+def q_register_amounts(spark, sf_dir):
+    """All amounts of the map, read under the export's own headers."""
+    m = R.map_register(wide_tax(spark, sf_dir), keep=("nro",))
+    return present(m.select("nro", *[t for _, t in AMOUNTS], "right_to_tax_credit", "warnings"))
+
+
+def _validate_amounts_sql() -> str:
+    rules = [("not_null", c, f"{c} IS NULL") for c in ("invoice_date", "invoice_number", "authorization_code", "customer_nit",
+                                                       "customer_name", "total_sale_amount")]
+    rules += [("overflow", t, f"{t} IS NULL") for _, t in AMOUNTS]
+    rules += [("max_length", c, f"length(coalesce(CAST({c} AS VARCHAR), 'None')) > {n}") for c, n in
+              (("authorization_code", 64), ("customer_nit", 15), ("customer_name", 240), ("invoice_number", 15))]
+    parts = [f"SELECT 'mapped' AS stage, '{r}' AS rule, '{c}' AS column, count(*) FILTER (WHERE {cond}) AS n_rows FROM wide_mapped"
+             for r, c, cond in rules]
+    parts += [f"SELECT 'text', 'numeric', '{t}', count(*) FILTER (WHERE try_cast(trim(t_{t}) AS DOUBLE) IS NULL) FROM wide"
+              for _, t in AMOUNTS]
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE n_rows > 0"
+
+
+@register("register_validate_amounts", S.with_views(_validate_amounts_sql(), "v_tax", ctes=(WIDE_SQL, WIDE_MAPPED_SQL)))
+def q_register_validate_amounts(spark, sf_dir):
+    """Rules broken by amounts that do not fit, after the mapping, and by amounts that are no numbers, before it."""
+    wide = wide_tax(spark, sf_dir)
+    text = wide.select(*[F.col(f"`{h}`").alias(t) for h, t in AMOUNTS])
+    issues = lambda df, stage: R.validate_register(df).select(F.lit(stage).alias("stage"), "rule", "column", "n_rows")
+    return issues(R.map_register(wide, keep=("nro",)), "mapped").unionByName(issues(text, "text"))

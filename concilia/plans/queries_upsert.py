@@ -3,6 +3,8 @@ accounting register (S8, S9, F7, A15, L2)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..catalog import present, register
@@ -10,6 +12,8 @@ from ..config import OBS_NOT_IN_LEDGER
 from ..fixtures import sql as S
 from ..fixtures.views import Tables, v_accounting
 from ..operators import upsert as U
+from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sinks.snapshot import commit_load, commit_snapshot, read_current
 from .queries_core import LK, TAX_TAG
 from .queries_register import GLOSA_SQL, MAPPED_SQL, mapped
 
@@ -163,3 +167,55 @@ def q_latest_observed(spark, sf_dir):
     df = loaded(spark, sf_dir).filter(F.col("observations") == OBS_NOT_IN_LEDGER)
     return present(latest(df, ["invoice_date", "authorization_code"], 10)
                    .select("authorization_code", "invoice_date", "invoice_number"))
+
+
+# ---- a load into the stored register, buckets, every column read back (K5) ----
+LOAD_EVERY, LOAD_BUCKETS = 7, 16
+#: Register columns that the derived tax rows have; the key, ``author`` and the stamps follow rules of their own.
+WRITTEN = ("invoice_date", "invoice_number", "customer_nit", "complement", "customer_name", "total_sale_amount", "debit_tax", "status",
+           "control_code", "sale_type", "right_to_tax_credit", "consolidation_status", "branch_office", "modality", "emission_type",
+           "invoice_type", "sector", "observations")
+
+
+def stored_target(spark, sf_dir):
+    """The existing register with an ``id`` and a note, which no load writes."""
+    code = F.col("authorization_code")
+    return target(spark, sf_dir).drop("warnings").withColumn("id", F.conv(F.substring(code, 1, 8), 16, 10).cast("bigint")).withColumn(
+        "obs", F.when(F.substring(code, 1, 1) < "8", F.concat(F.lit("note "), F.substring(code, 1, 4))))
+
+
+_STORED_SQL = f"""credit AS (SELECT *, CASE WHEN debit_tax > 0 THEN 1 ELSE 0 END AS right_to_tax_credit,
+    CASE WHEN sector_raw = '02' THEN 'Factura de alquiler' WHEN sector_raw = '35' THEN 'Factura en dólares - SIAT desktop' END AS observations
+  FROM mapped WHERE authorization_code IS NOT NULL
+), old AS (SELECT DISTINCT ON (nro) * REPLACE (total_sale_amount - 1 AS total_sale_amount), 'manual' AS author,
+    CAST('0x' || substr(authorization_code, 1, 8) AS BIGINT) AS id,
+    CASE WHEN substr(authorization_code, 1, 1) < '8' THEN 'note ' || substr(authorization_code, 1, 4) END AS obs
+  FROM credit WHERE nro % 3 = 0
+), new AS (SELECT DISTINCT ON (nro) * FROM credit WHERE nro % {LOAD_EVERY} = 0)"""
+
+
+def _written_sql(c: str) -> str:
+    value = f"CASE WHEN s.authorization_code IS NOT NULL THEN s.{c} ELSE t.{c} END"
+    if c == "invoice_date":
+        value = f"strftime({value}, '%Y-%m-%d')"
+    if c in ("total_sale_amount", "debit_tax"):
+        value = f"CAST(round({value}, 2) AS DOUBLE)"
+    return f"{value} AS {c}"
+
+
+@register("load_register", S.with_views(
+    f"""SELECT coalesce(t.authorization_code, s.authorization_code) AS authorization_code, {', '.join(map(_written_sql, WRITTEN))},
+      t.id, t.obs, CASE WHEN t.authorization_code IS NOT NULL THEN t.author ELSE 'concilia' END AS author,
+      CASE WHEN t.authorization_code IS NOT NULL THEN '2020-01-01 00:00:00' ELSE '{NOW}' END AS created_at,
+      CASE WHEN s.authorization_code IS NOT NULL THEN '{NOW}' ELSE '2020-01-01 00:00:00' END AS updated_at
+    FROM old t FULL OUTER JOIN new s ON t.authorization_code = s.authorization_code""",
+    "v_tax", ctes=(MAPPED_SQL, _STORED_SQL)))
+def q_load_register(spark, sf_dir):
+    """The register after a load of every seventh row, all columns, read back from its buckets."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registers/{uuid.uuid4().hex}"
+    commit_snapshot(stored_target(spark, sf_dir), root, key="authorization_code", buckets=LOAD_BUCKETS)
+    rows = cut_lineage(source(spark, sf_dir).filter(F.col("nro") % LOAD_EVERY == 0))
+    merge = lambda old, new: U.merge_plan(old, new, now=F.lit(NOW).cast("timestamp"), order_by="nro").drop("action")
+    commit_load(rows, root, "authorization_code", merge)
+    return present(read_current(spark, root).select(
+        "authorization_code", *WRITTEN, "id", "obs", "author", "created_at", "updated_at"))
