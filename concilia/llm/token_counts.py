@@ -10,11 +10,14 @@ the whole text, whatever else the text holds.
 * A text longer than ``chunk`` code points is encoded in chunks that
   overlap, with offsets. Neighbouring chunks are spliced at a boundary that
   both encodings have inside the overlap and that is proven stable. If
-  there is none, the overlap doubles, up to joining both chunks.
+  there is none, the overlap doubles, up to joining both chunks; a chunk
+  that was joined takes as much again next time, so a text without any
+  stable boundary is encoded in linear time, too.
 * A shorter text is cut before its spaces, when the vocabulary proves all
   positions between a non-space and a space stable (checked once per
   model), and each distinct segment is encoded by the library once per
-  worker. With any other vocabulary it is encoded whole.
+  worker. With any other vocabulary, or if the text itself holds U+2581
+  (which is a space to the model), it is encoded whole.
 
 No special tokens are added; null text is empty (0 tokens); null and
 repeated ids keep one row per input row; other columns are ignored. Map
@@ -73,7 +76,8 @@ class Counter:
             while True:
                 begin = max(at, to - overlap)
                 if begin == at:  # widened over the whole chunk before: one larger chunk
-                    have, to = self.starts(text, at, after), after
+                    to = min(len(text), max(after, at + 2 * (to - at)))
+                    have = self.starts(text, at, to)
                     break
                 new = self.starts(text, begin, after)
                 common = sorted({p for p in have if max(begin, cut) < p < to}.intersection(new),
@@ -94,7 +98,7 @@ class Counter:
         for i, t in enumerate(texts):
             if len(t) > self.chunk:
                 out[i] = self.spliced(t)
-            elif not self.spaces_are_stable:
+            elif not self.spaces_are_stable or MARK in t:
                 whole.append(i)
             elif t:
                 # the library puts one space before what it encodes, as it does before the text

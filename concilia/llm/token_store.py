@@ -16,15 +16,21 @@ The global token offset of a document is parts + shard + the counts before
 it in its shard; no step numbers all documents in one task. Texts are
 dealt by id range (one shuffle of the texts); a task holds one shard.
 
-The dictionary is fitted on a bounded sample: the SAMPLE_DOCS documents
-with the smallest hash of their id, at most SAMPLE_BYTES of ids each. All
-else covers every document.
+The dictionary is fitted on a bounded sample: the SAMPLE_DOCS rows with the
+smallest hash of their id, one text of each id, at most SAMPLE_BYTES of ids
+each. All else covers every document.
 
 Ids are encoded by the tokenizers library. White space separates this
 vocabulary's pre-tokens and is dropped, so each distinct white-space
-delimited word is encoded once per worker, many in one call with a
-one-token separator between; a text in which a special string could be
-seen or the separator occurs is encoded as a whole.
+delimited word is encoded once per worker, many in one call. A word of
+letters is one pre-token, and so is the punctuation behind it: these parts
+are encoded apart and many letter words are told from each other by the
+mark that ends a pre-token's last piece; all other words have a one-token
+separator between them. ASCII letters are lower-cased before words are
+looked up, as the vocabulary's normalisation does, unless the text has
+combining marks, which could compose otherwise. A text in which, after
+that, a special string could be seen, or the separator occurs, is encoded
+as a whole.
 
 Null text is empty (just the end id); null ids sort first; rows that
 repeat an id are stored in order of their texts; other columns are ignored.
@@ -33,6 +39,7 @@ repeat an id are stored in order of their texts; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from functools import lru_cache
 
@@ -52,6 +59,8 @@ LEVEL = 3
 MEMO = 600_000
 LONG = 48
 SEPARATOR = "\x01"
+#: Letters (ASCII, Latin-1, Latin Extended-A and -B, but U+0130, whose lower case has a mark), and ASCII punctuation but the apostrophe behind them.
+_PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
 
 
 class Encoder:
@@ -68,7 +77,7 @@ class Encoder:
         self.np, self.tk = np, Tokenizer.from_file(path)
         with open(path) as f:
             spec = json.load(f)
-        self.special = tuple(t["content"] for t in spec["added_tokens"])
+        self.special = tuple(t["content"].encode().lower() for t in spec["added_tokens"])
         self.width = 2 if self.tk.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         sep = self.ids(SEPARATOR)
@@ -77,6 +86,13 @@ class Encoder:
         apart = self.ids("don't") + sep + self.ids("3é.") + sep + self.ids("a")
         self.by_word = len(sep) == 1 and probe == apart
         self.sep = sep[0] if sep else None
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix")
+        self.ends = np.zeros(max(self.tk.get_vocab(with_added_tokens=True).values()) + 1, bool)
+        if suffix:
+            for piece, i in self.tk.get_vocab(with_added_tokens=False).items():
+                self.ends[i] = piece.endswith(suffix)
+        # parts may be encoded apart only if letters and punctuation are pre-tokens of their own
+        self.by_part = self.by_word and bool(suffix) and self.ids("don,...") == self.ids("don") + self.ids(",...")
         self.memo = Memo(MEMO)
 
     def ids(self, text: str) -> list[int]:
@@ -86,7 +102,49 @@ class Encoder:
         return self.np.asarray(self.ids(text), self.dtype).tobytes()
 
     def learn(self, words: list[bytes]) -> None:
-        """Encodes the words, some hundred in one call."""
+        """Encodes the words, by their parts where they are letters with punctuation behind."""
+        memo, other, letters, tailed = self.memo, [], {}, []
+        for w in words:
+            parts = self.by_part and _PARTS.fullmatch(w.decode())
+            if not parts:
+                other.append(w)
+            elif not parts[2]:
+                letters[w] = None
+            else:
+                core, tail = parts[1].encode(), parts[2].encode()
+                tailed.append((w, core, tail))
+                if core not in memo:
+                    letters[core] = None
+                if tail not in memo:
+                    memo[tail] = self.whole(parts[2])
+        other += self.learn_letters(list(letters))
+        self.learn_apart(other)
+        for w, core, tail in tailed:
+            memo[w] = memo[core] + memo[tail]
+        asked = set(words)
+        for _, *parts in tailed:
+            for part in parts:
+                if len(part) > LONG and part not in asked:
+                    memo.pop(part, None)
+
+    def learn_letters(self, words: list[bytes]) -> list[bytes]:
+        """Encodes words of one pre-token each, a thousand in one call; returns those of calls in which one had more."""
+        np, step, left = self.np, 1024, []
+        groups = [words[i:i + step] for i in range(0, len(words), step)]
+        for g, e in zip(groups, self.tk.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.asarray(e.ids, np.int64)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(g) or len(ids) != cuts[-1]:
+                left += g
+                continue
+            raw, at = ids.astype(self.dtype).tobytes(), 0
+            for w, cut in zip(g, cuts.tolist()):
+                self.memo[w] = raw[at * self.width:cut * self.width]
+                at = cut
+        return left
+
+    def learn_apart(self, words: list[bytes]) -> None:
+        """Encodes the words, some hundred in one call, with a separator between them."""
         np, step, join = self.np, 256, f" {SEPARATOR} ".encode()
         groups = [words[i:i + step] for i in range(0, len(words), step)]
         sent = self.tk.encode_batch_fast([join.join(g).decode() for g in groups], add_special_tokens=False)
@@ -104,11 +162,13 @@ class Encoder:
         out: list = [None] * len(texts)
         cut: dict[int, list[bytes]] = {}
         for i, t in enumerate(texts):
-            if not self.by_word or SEPARATOR in t or any(s in t for s in self.special):
+            raw = t.encode()
+            low = raw.lower()
+            if not self.by_word or SEPARATOR in t or any(s in low for s in self.special):
                 out[i] = self.whole(t)
             else:
-                # lower-casing ASCII is this vocabulary's own normalisation, done early; other letters are left to it
-                cut[i] = t.encode().lower().split()
+                # U+0300 to U+036F start with these bytes
+                cut[i] = (raw if b"\xcc" in raw or b"\xcd" in raw else low).split()
         memo = self.memo
         new = {w for words in cut.values() for w in words if w not in memo}
         memo.room(len(new))
@@ -122,6 +182,8 @@ class Encoder:
         for w in new:
             if len(w) > LONG:
                 del memo[w]
+        if len(memo) > MEMO:
+            memo.clear()
         return out
 
 
@@ -135,8 +197,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[byte
     import numpy as np
     import zstandard
 
+    # ids are chosen first, so that no texts but the chosen ones meet in a task; an id may have many rows
     key = F.xxhash64(F.col("__id").cast("string"))
-    sample = docs.orderBy(key, "__id").limit(SAMPLE_DOCS).select("__text")
+    chosen = docs.select("__id").orderBy(key, "__id").limit(SAMPLE_DOCS).distinct().withColumnRenamed("__id", "__chosen")
+    sample = docs.join(chosen, F.col("__id").eqNullSafe(F.col("__chosen"))).groupBy("__id").agg(F.min("__text").alias("__text")).select(
+        F.col("__text"))
 
     def run(batches):
         import pyarrow as pa

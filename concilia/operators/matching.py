@@ -21,6 +21,8 @@ from ..functions.predicates import clean_nit, col, is_canceled, numeric
 from .skew import join_unique
 
 KEY = "match_key"
+#: Set on rows of an outer comparison that have a partner.
+PARTNER = "has_partner"
 
 
 def _with_key(df: DataFrame, key: str) -> DataFrame:
@@ -104,22 +106,37 @@ def compare_flags(tax_amount: Column, ledger_amount: Column, tax_nit: Column, le
     }
 
 
-def compare_pairs(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> DataFrame:
+def _sides(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> tuple[DataFrame, DataFrame]:
+    return (_prefixed(_with_key(tax, cfg.tax.key).filter(F.col(KEY).isNotNull()), "tax_"),
+            _prefixed(_with_key(ledger, cfg.ledger.key).filter(F.col(KEY).isNotNull()), "inv_"))
+
+
+def unpaired_ledger(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> DataFrame:
+    """J3 with the columns of ``compare_pairs``: ledger rows whose key the tax register lacks."""
+    t, lg = _sides(tax, ledger, cfg)
+    return lg.join(t.select(KEY), KEY, "left_anti")
+
+
+def compare_pairs(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig, how: str = "inner") -> DataFrame:
     """J4 + C2-C5: every (tax row, ledger row) pair sharing a non-null key,
     with the comparison flags: an inner equi-join (one shuffle of each
     side; AQE splits a skewed key's partition). Tax columns are prefixed
     ``tax_``, ledger ones ``inv_`` (the two registers share
-    case-insensitive names)."""
-    t = _prefixed(_with_key(tax, cfg.tax.key).filter(F.col(KEY).isNotNull()), "tax_")
-    lg = _prefixed(_with_key(ledger, cfg.ledger.key).filter(F.col(KEY).isNotNull()), "inv_")
-    pairs = t.join(lg, KEY, "inner")
+    case-insensitive names). With ``how="left"`` also the tax rows without a
+    partner: ``PARTNER`` is NULL on these, and so are the flags."""
+    t, lg = _sides(tax, ledger, cfg)
+    if how == "left":
+        lg = lg.withColumn(PARTNER, F.lit(True))
+    pairs = t.join(lg, KEY, how)
     flags = _pair_flags(pairs, cfg)
+    if how == "left":
+        flags = {k: F.when(F.col(PARTNER), v) for k, v in flags.items()}
     pairs = pairs.select("*", *[v.alias(k) for k, v in flags.items()])
     types = F.array_compact(F.array(
         F.when(F.col("amount_mismatch"), F.lit("amount")),
         F.when(F.col("customer_mismatch"), F.lit("customer")),
         F.when(F.col("other_mismatch"), F.lit("other"))))
-    return pairs.withColumn("mismatch_types", types)
+    return pairs.withColumn("mismatch_types", types if how == "inner" else F.when(F.col(PARTNER), types))
 
 
 def _pair_flags(pairs: DataFrame, cfg: ReconConfig) -> dict[str, Column]:

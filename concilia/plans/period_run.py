@@ -7,24 +7,24 @@ Both registers are first checkpointed into the shared checkpoint folder (the
 processed register is a stage output, as the decoded export and the ledger
 snapshot were): every later plan reads them as leaves, so the decode and
 the extract are neither recomputed per output nor re-optimized inside every
-plan, and a lost executor cannot force them to be recomputed. The
-reconciliation's tagged frames are persisted for the outputs that read them.
+plan, and a lost executor cannot force them to be recomputed. The statistics
+and the branch report are computed once; the row sheets are one pass; the
+counts of a load are observed while its rows are written.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import REGISTER_COLUMN_MAP, ReconConfig
 from ..operators.register import map_register, transform_stats, validate_register
-from ..operators.upsert import dry_run, merge_plan, plan_counts
+from ..operators.upsert import dry_run, merge_plan
 from ..session import cut_lineage
 from ..sinks.report import write_report
-from ..sinks.snapshot import commit_snapshot, read_current
+from ..sinks.snapshot import commit_load, read_current
 from .reconciliation import reconcile
 
 
@@ -44,42 +44,39 @@ class PeriodResult:
 def run_period(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig | None = None,
                column_map: tuple = REGISTER_COLUMN_MAP, target_root: str | None = None,
                report_root: str | None = None, force: bool = False, load: bool = False,
-               order_by: str | None = None) -> PeriodResult:
+               order_by: str | None = None, buckets: int = 256) -> PeriodResult:
     cfg = cfg or ReconConfig()
     tax, ledger = cut_lineage(tax), cut_lineage(ledger)
     r = reconcile(tax, ledger, cfg)
-    for df in (r.tax_tagged, r.ledger_tagged, r.pairs):
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        stats = r.stats().first().asDict()
-        status = r.status().first().asDict()
-        gate = r.gate(force).first()
-        res = PeriodResult(stats=stats, status=status, passed=bool(gate["passed"]))
-        if report_root:
-            res.report_sheets = write_report(r, report_root)
-        if not gate["should_sync"]:
-            return res
-        mapped = map_register(tax, column_map, only_tax=r.only_tax, only_tax_key=cfg.tax.key,
-                              ledger=ledger, ledger_key=cfg.ledger.key, ledger_glosa=cfg.ledger.glosa,
-                              ledger_order=cfg.ledger.order, keep=(order_by,) if order_by else ())
-        res.transform = transform_stats(mapped).first().asDict()
-        res.issues = [row.asDict() for row in validate_register(mapped).collect()]  # at most one row per rule
-        if res.issues:
-            return res
-        current = read_current(tax.sparkSession, target_root) if target_root else None
-        if current is None:
-            current = (mapped.limit(0).withColumn("created_at", F.current_timestamp())
-                       .withColumn("updated_at", F.current_timestamp()))
-        if not load:
-            res.load = dry_run(current, mapped, "authorization_code").first().asDict()
-            return res
-        if target_root is None:
-            raise ValueError("loading needs a target_root")
-        plan = merge_plan(current, mapped, "authorization_code", order_by=order_by)
-        res.load = plan_counts(plan).first().asDict()
-        res.snapshot = commit_snapshot(plan.drop("action"), target_root)
-        res.synced = True
+    # statistics and branch report are computed once, as small tables that gate, status and report read
+    known, branches = cut_lineage(r.stats()), cut_lineage(r.branch_report())
+    stats = known.first().asDict()
+    status = r.status(known, branches).first().asDict()
+    gate = r.gate(force, known).first()
+    res = PeriodResult(stats=stats, status=status, passed=bool(gate["passed"]))
+    if report_root:
+        res.report_sheets = write_report(r, report_root, stats=known, branches=branches)
+    if not gate["should_sync"]:
         return res
-    finally:
-        for df in (r.tax_tagged, r.ledger_tagged, r.pairs):
-            df.unpersist()
+    mapped = cut_lineage(map_register(
+        tax, column_map, only_tax=r.only_tax, only_tax_key=cfg.tax.key, ledger=ledger, ledger_key=cfg.ledger.key,
+        ledger_glosa=cfg.ledger.glosa, ledger_order=cfg.ledger.order, keep=(order_by,) if order_by else ()))
+    res.transform = transform_stats(mapped).first().asDict()
+    res.issues = [row.asDict() for row in validate_register(mapped).collect()]  # at most one row per rule
+    if res.issues:
+        return res
+    current = read_current(tax.sparkSession, target_root) if target_root else None
+    empty = None
+    if current is None:
+        current = empty = (mapped.limit(0).withColumn("created_at", F.current_timestamp())
+                           .withColumn("updated_at", F.current_timestamp()))
+    if not load:
+        res.load = dry_run(current, mapped, "authorization_code").first().asDict()
+        return res
+    if target_root is None:
+        raise ValueError("loading needs a target_root")
+    res.snapshot = commit_load(mapped, target_root, "authorization_code",
+                               lambda old, new: merge_plan(old, new, "authorization_code", order_by=order_by),
+                               buckets=buckets, empty=empty, counts=res.load)
+    res.synced = True
+    return res

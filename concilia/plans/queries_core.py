@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..catalog import present, register
 from ..fixtures import sql as S
 from ..fixtures.views import FIXTURE_CONFIG, Tables, v_ledger, v_tax
+from ..session import ensure_checkpoint_dir
+from ..sinks.report import PAIR_SHEETS, ROUNDING, ROW_SHEETS, SHEET, SUMMARY_ROWS, formatted_summary, summary_table, write_report
 from .reconciliation import reconcile
 
 CFG = FIXTURE_CONFIG
@@ -360,3 +364,40 @@ def q_validity_split(spark, sf_dir):
     tax = v_tax(Tables(spark, sf_dir))
     return (tax.groupBy(is_canceled(F.col("estado")).alias("canceled"))
                .agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---- K3: the six row sheets, written in one pass and read back ---------------
+def _row_sheet(name: str, flag: str) -> str:
+    return (f"SELECT '{name}' AS report, cuf AS match_key, CAST(nro AS BIGINT) AS nro, CAST(id_factura AS BIGINT) AS id_factura, "
+            f"{_r2(_dec('importe'))} AS tax_amount, {_r2(_dec('total'))} AS inv_amount, "
+            "concat_ws('+', CASE WHEN amount_mismatch THEN 'amount' END, CASE WHEN customer_mismatch THEN 'customer' END, "
+            f"CASE WHEN other_mismatch THEN 'other' END) AS mismatch_types FROM pairs_f WHERE {flag}")
+
+
+@register("report_rows", S.with_views(" UNION ALL ".join([
+    *(_row_sheet(name, flag) for name, flag in PAIR_SHEETS),
+    f"SELECT 'only_in_tax', cuf, CAST(nro AS BIGINT), NULL, {_r2(_dec('importe'))}, NULL, NULL FROM tax_tag WHERE n_ledger = 0",
+    f"SELECT 'only_in_ledger', cuf, NULL, CAST(id_factura AS BIGINT), NULL, {_r2(_dec('total'))}, NULL FROM led_scope "
+    "WHERE cuf IS NOT NULL AND n_tax = 0"]), "tax_f", "v_ledger", ctes=(TK, LK, PAIRS, LEDGER_SCOPE, TAX_TAG)))
+def q_report_rows(spark, sf_dir):
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reports/{uuid.uuid4().hex}"
+    written = write_report(run(spark, sf_dir), root)
+    rows = spark.read.option("basePath", root).option("mergeSchema", True).parquet(
+        *[f"{root}/{SHEET}={n}" for n in ROW_SHEETS if n in written])
+    money = lambda c: F.round(F.col(c).cast("decimal(24,4)"), 2).cast("double")
+    return rows.select("report", "match_key", F.col("tax_nro").cast("bigint").alias("nro"),
+                       F.col("inv_id_factura").cast("bigint").alias("id_factura"), money("tax_importe").alias("tax_amount"),
+                       money("inv_total").alias("inv_amount"), F.array_join("mismatch_types", "+").alias("mismatch_types"))
+
+
+_PLACED = " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS position, '{label}' AS metric, round(CAST({c} AS DOUBLE), {ROUNDING.get(c, 0)}) AS value, "
+    f"{ROUNDING.get(c, 0)} AS places FROM stats" for i, (label, c) in enumerate(SUMMARY_ROWS))
+
+
+@register("report_text", S.with_views(
+    "SELECT position, metric, value, CASE places WHEN 0 THEN format('{:,.0f}', value) WHEN 2 THEN format('{:,.2f}', value) "
+    f"ELSE format('{{:,.4f}}', value) END AS text FROM ({_PLACED})", ctes=(f"stats AS ({STATS_SQL})",)))
+def q_report_text(spark, sf_dir):
+    """The summary sheet as text: thousands separators, places per statistic."""
+    return present(formatted_summary(summary_table(run(spark, sf_dir).stats())))

@@ -82,12 +82,14 @@ class Reconciliation:
         return B.compare_branches(self.tax_branches(), self.ledger_branches(),
                                   self.cfg.threshold_pct, dict(self.cfg.branch_names))
 
-    def gate(self, force: bool = False) -> DataFrame:
-        return gate(self.stats(), self.cfg, force)
-
-    def status(self) -> DataFrame:
-        return status(self.stats(), B.branch_issue_count(self.branch_report(), self.cfg.threshold_pct),
-                      self.cfg)
+    def gate(self, force: bool = False, stats: DataFrame | None = None) -> DataFrame:
+        """``stats``: the statistics, where they are known already."""
+        return gate(self.stats() if stats is None else stats, self.cfg, force)
+
+    def status(self, stats: DataFrame | None = None, branches: DataFrame | None = None) -> DataFrame:
+        """``stats`` and ``branches``: the statistics and the branch report, where they are known already."""
+        branches = self.branch_report() if branches is None else branches
+        return status(self.stats() if stats is None else stats, B.branch_issue_count(branches, self.cfg.threshold_pct), self.cfg)
 
 
 def reconcile(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig | None = None) -> Reconciliation:

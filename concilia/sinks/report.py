@@ -5,9 +5,11 @@ numeric; text formatting happens only in ``formatted`` views."""
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..operators import matching as M
+
 # Summary sheet rows: label and the statistic behind it.
 SUMMARY_ROWS = (
     ("tax rows compared", "total_tax"),
@@ -49,38 +51,74 @@ def formatted_summary(summary: DataFrame) -> DataFrame:
     return summary.withColumn("text", text)
 
 
+#: Sheets of register rows and the flag of a pair that puts it there; a row of one register alone has no pair.
+PAIR_SHEETS = (("perfect_matches", "perfect_match"), ("amount_mismatches", "amount_mismatch"),
+               ("customer_mismatches", "customer_mismatch"), ("other_mismatches", "other_mismatch"))
+ROW_SHEETS = ("only_in_tax", "only_in_ledger", *(name for name, _ in PAIR_SHEETS))
+SHEET = "report"
+
+
+def sheet_rows(recon) -> DataFrame:
+    """Every row of the six row sheets, with its sheet in ``report``: columns
+    of the tax register (``tax_``) and of the ledger (``inv_``), NULL where a
+    row has no partner, and the flags of a pair. A pair with two kinds of
+    mismatch is in two sheets.
+
+    One left join of the tax register with the ledger gives pairs and tax rows
+    without a partner, one anti join the ledger rows without one; AQE splits a
+    hot code in both, and the ledger's exchange serves both."""
+    flags = [F.when(F.col(flag), F.lit(name)) for name, flag in PAIR_SHEETS]
+    both = M.compare_pairs(recon.tax, recon.ledger, recon.cfg, how="left")
+    alone = F.col(M.PARTNER).isNull()
+    both = both.withColumn(SHEET, F.when(alone, F.array(F.lit("only_in_tax"))).otherwise(F.array_compact(F.array(*flags))))
+    ledger = M.unpaired_ledger(recon.tax, recon.ledger, recon.cfg).withColumn(SHEET, F.array(F.lit("only_in_ledger")))
+    rows = both.drop(M.PARTNER).unionByName(ledger, allowMissingColumns=True)
+    return rows.withColumn(SHEET, F.explode(SHEET))
+
+
 def sheets(recon) -> dict[str, DataFrame]:
     """All report sheets; empty ones are dropped at write time."""
-    return {
-        "summary": summary_table(recon.stats()),
-        "branch_breakdown": recon.branch_report(),
-        "perfect_matches": recon.perfect,
-        "only_in_tax": recon.only_tax,
-        "only_in_ledger": recon.only_ledger,
-        "amount_mismatches": recon.amount_mismatches,
-        "customer_mismatches": recon.customer_mismatches,
-        "other_mismatches": recon.other_mismatches,
-    }
-
-
-def write_report(recon, root: str, fmt: str = "parquet", skip_empty: bool = True) -> list[str]:
+    return {"summary": summary_table(recon.stats()), "branch_breakdown": recon.branch_report()} | {
+        name: sheet_rows(recon).filter(F.col(SHEET) == name).drop(SHEET) for name in ROW_SHEETS}
+
+
+def write_report(recon, root: str, fmt: str = "parquet", skip_empty: bool = True, stats: DataFrame | None = None,
+                 branches: DataFrame | None = None) -> list[str]:
     """K3/K4: write every sheet under ``root``; returns the sheets that have
-    rows. An empty sheet is left out, unless an earlier run left rows under
-    the same root: these are overwritten, so no old sheet is taken for a
-    new one. Emptiness is probed with ``limit(1)`` (no full count)."""
-    written = []
-    for name, df in sheets(recon).items():
-        path = f"{root.rstrip('/')}/report={name}"
-        empty = skip_empty and name != "summary" and not df.limit(1).take(1)
-        if empty and not _exists(df, path):
-            continue
-        w = df.write.mode("overwrite")
-        if fmt == "csv":
-            w = w.option("header", True)
-        w.format(fmt).save(path)
-        if not empty:
+    rows. The row sheets are one frame, written in one pass with a folder per
+    sheet; how many rows each has is observed while they are written, in the
+    stage that writes, so a task that runs again does not count twice. A sheet
+    without rows is left out, unless an earlier run left some under the same
+    root: these are overwritten, so no old sheet is taken for a new one.
+    ``stats`` and ``branches``: the statistics and the branch report, where
+    they are known already."""
+    root = root.rstrip("/")
+    seen = Observation()
+    rows = sheet_rows(recon)
+    counted = rows.observe(seen, *[F.count(F.when(F.col(SHEET) == n, 1)).alias(n) for n in ROW_SHEETS])
+    if fmt == "csv":
+        counted = counted.withColumn("mismatch_types", F.array_join("mismatch_types", "+"))
+    _writer(counted, fmt).partitionBy(SHEET).option("partitionOverwriteMode", "dynamic").save(root)
+    found = seen.get
+    written = [n for n in ROW_SHEETS if found[n]]
+    for name in ROW_SHEETS:
+        path = f"{root}/{SHEET}={name}"
+        if not found[name] and (not skip_empty or _exists(rows, path)):
+            _writer(rows.filter(F.lit(False)).drop(SHEET), fmt).save(path)
+            written += [] if skip_empty else [name]
+    small = {"summary": summary_table(recon.stats() if stats is None else stats),
+             "branch_breakdown": recon.branch_report() if branches is None else branches}
+    for name, df in small.items():
+        seen = Observation()
+        _writer(df.observe(seen, F.count(F.lit(1)).alias("n")), fmt).save(f"{root}/{SHEET}={name}")
+        if seen.get["n"] or not skip_empty:
             written.append(name)
-    return written
+    return [n for n in ("summary", "branch_breakdown", *ROW_SHEETS) if n in written]
+
+
+def _writer(df: DataFrame, fmt: str):
+    w = df.write.mode("overwrite").format(fmt)
+    return w.option("header", True) if fmt == "csv" else w
 
 
 def _exists(df: DataFrame, path: str) -> bool:

@@ -25,11 +25,13 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BUCKET = "__bucket"
+#: What a merge says of a row, and its values.
+ACTION, ACTIONS = "action", ("insert", "update", "keep")
 
 
 class Conflict(RuntimeError):
@@ -124,13 +126,19 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
 
 
-def _write_buckets(df: DataFrame, root: str, key: str | None, buckets: int) -> dict[str, list[str]]:
-    """Writes the rows dealt by bucket; {bucket: folders, relative to the root}."""
+def _write_buckets(df: DataFrame, root: str, key: str | None, buckets: int, seen: Observation | None = None) -> dict[str, list[str]]:
+    """Writes the rows dealt by bucket; {bucket: folders, relative to the
+    root}. ``seen`` observes how many rows have which ``action``, in the stage
+    that writes: there a task that runs again is counted once. The column is
+    not written."""
     load = f"data/{uuid.uuid4().hex}"
     at = bucket_of(F.col(f"`{key}`"), buckets) if key else F.lit(0)
     # a salt lets a bucket be written by several tasks; AQE joins small ones
     dealt = df.withColumn(BUCKET, at).withColumn("__salt", F.pmod(F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in df.columns])), F.lit(16)))
     dealt = dealt.repartition(BUCKET, "__salt") if key else dealt
+    if seen is not None:
+        counts = [F.count(F.when(F.col(ACTION) == a, 1)).alias(a) for a in ACTIONS]
+        dealt = dealt.observe(seen, *counts, F.count(F.lit(1)).alias("rows_written")).drop(ACTION)
     dealt.drop("__salt").write.partitionBy(BUCKET).parquet(f"{_root(root)}/{load}")
     names = _names(df.sparkSession, f"{_root(root)}/{load}")
     return {n.split("=")[1]: [f"{load}/{n}"] for n in names if n.startswith(f"{BUCKET}=")}
@@ -168,14 +176,16 @@ def commit_snapshot(df: DataFrame, root: str, base: int | None = None, key: str
 
 
 def commit_load(source: DataFrame, root: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame],
-                buckets: int = 256, base: int | None = None, empty: DataFrame | None = None) -> str:
+                buckets: int = 256, base: int | None = None, empty: DataFrame | None = None,
+                counts: dict | None = None) -> str:
     """Publishes the version in which ``merge(target rows, source)`` stands in
     for the buckets that keys of ``source`` fall into. All other buckets'
     files are taken over untouched and not read. ``source`` should be stored:
     it is read for its buckets, and again by the merge. ``empty``: rows
     without content of the target's schema, for a first load, which also
     fixes the number of buckets; it follows the size of the register, as a
-    load rewrites a bucket at a time."""
+    load rewrites a bucket at a time. ``counts`` is filled with the rows per
+    ``action`` of the merge (which then has that column) and those written."""
     spark = source.sparkSession
     base = _latest(spark, root) if base is None else base
     m = manifest(spark, root, base) if base else None
@@ -191,11 +201,16 @@ def commit_load(source: DataFrame, root: str, key: str, merge: Callable[[DataFra
             bucket_of(F.col(f"`{key}`"), buckets).alias(BUCKET)).distinct().toLocalIterator())  # at most as many as buckets
         target = _read(spark, root, m, touched) if m else empty.limit(0)
         plan, taken = merge(target, source), {b: f for b, f in (m["files"] if m else {}).items() if int(b) not in set(touched)}
-    if m and set(plan.columns) != set(StructType.fromJson(m["schema"]).names) and taken:
+    kept = [c for c in plan.columns if counts is None or c != ACTION]
+    if m and set(kept) != set(StructType.fromJson(m["schema"]).names) and taken:
         raise ValueError("a load that adds or drops columns has to rewrite the whole register: use commit_snapshot")
-    files = _write_buckets(plan, root, key, buckets)
-    return _commit(spark, root, {"version": base + 1, "base": base, "key": key, "buckets": buckets,
-                                 "schema": plan.schema.jsonValue(), "files": taken | files})
+    seen = None if counts is None else Observation()
+    files = _write_buckets(plan, root, key, buckets, seen)
+    path = _commit(spark, root, {"version": base + 1, "base": base, "key": key, "buckets": buckets,
+                                 "schema": plan.select(*[F.col(f"`{c}`") for c in kept]).schema.jsonValue(), "files": taken | files})
+    if counts is not None:
+        counts.update(seen.get)
+    return path
 
 
 def orphans(spark: SparkSession, root: str) -> list[str]:

@@ -18,7 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import REGISTER_COLUMN_MAP
 from ..operators.register import map_register, validate_register
 from ..operators.upsert import merge_plan
-from ..sinks.snapshot import commit_snapshot, read_current
+from ..session import cut_lineage
+from ..sinks.snapshot import commit_load
 from ..sources.registers import read_register
 
 
@@ -46,12 +47,8 @@ def load_stream(spark: SparkSession, source_dir: str, target_root: str, header:
         issues = validate_register(mapped).collect()  # at most one row per rule
         if issues:
             raise ValueError(f"batch {batch_id} is not loaded: {issues}")
-        current = read_current(spark, target_root)
-        if current is None:
-            current = mapped.limit(0).withColumn("created_at", F.current_timestamp()) \
-                            .withColumn("updated_at", F.current_timestamp())
-        plan = merge_plan(current, mapped, key).drop("action")
-        commit_snapshot(plan, target_root)
+        empty = mapped.limit(0).withColumn("created_at", F.current_timestamp()).withColumn("updated_at", F.current_timestamp())
+        commit_load(cut_lineage(mapped), target_root, key, lambda old, new: merge_plan(old, new, key).drop("action"), empty=empty)
 
     ckpt = checkpoint_location or f"{target_root.rstrip('/')}/_checkpoints/{name}"
     writer = files.writeStream.foreachBatch(apply_batch).option("checkpointLocation", ckpt).queryName(name)
