@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from ..catalog import present, register
 from ..config import MONTH_NAMES
 from ..fixtures import sql as S
-from ..fixtures.views import Tables, v_tax
+from ..fixtures.files import write_files
+from ..fixtures.views import Tables, v_ledger, v_tax
 from ..operators import audit as AU
 from ..operators import profiling as P
 from ..operators.filters import period_bounds_of
 from ..operators.setops import duplicate_keys, snapshot_diffs
 from ..sinks.report import SUMMARY_ROWS, ROUNDING, summary_table
 from ..session import ensure_checkpoint_dir
-from ..sources.registers import load_register, read_register, repair_lines
+from ..sinks.periods import newest, read_periods, save_snapshot, write_periods
+from ..sources.registers import (file_catalog, latest_snapshot, load_register, read_register, read_zip_register,
+                                 repair_lines)
 from .queries_core import STATS_SQL, run
 
 @register("profile_nulls", S.with_views(
@@ -240,9 +243,10 @@ _EXPORT_SQL = """SELECT CAST(c_custkey AS VARCHAR) AS NRO, CAST(c_custkey AS VAR
 EXPORT_FILES = 4
 
 
-def _export(spark, sf_dir) -> str:
-    """Customers written as export files, a header line first, with quoted
-    line breaks, escapes in quotes and outside, and surplus commas."""
+def _export_lines(spark, sf_dir):
+    """(file, nth, line): customers as lines of export files, a header line
+    first, with quoted line breaks, escapes in quotes and outside, and surplus
+    commas; a file's lines lie in order in one partition."""
     c = Tables(spark, sf_dir)["customer"]
     k, name, nro = F.col("c_custkey"), F.col("c_name"), F.col("c_custkey").cast("string")
     shown = (F.when(k % 7 == 1, F.concat(F.lit('"'), name, F.lit(', SRL"')))
@@ -257,9 +261,16 @@ def _export(spark, sf_dir) -> str:
     rows = c.select(F.pmod(k, F.lit(EXPORT_FILES)).cast("int").alias("file"), k.cast("bigint").alias("nth"), line.alias("line"))
     heads = spark.range(EXPORT_FILES).select(F.col("id").cast("int").alias("file"), F.lit(-1).cast("bigint").alias("nth"),
                                              F.lit(",".join(HEADER)).alias("line"))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/{uuid.uuid4().hex}"
-    dealt = rows.unionByName(heads).repartitionById(EXPORT_FILES, "file").sortWithinPartitions("nth")
-    dealt.select("line").write.text(path)
+    return rows.unionByName(heads).repartitionById(EXPORT_FILES, "file").sortWithinPartitions("nth")
+
+
+def _scratch(spark, kind: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+def _export(spark, sf_dir) -> str:
+    path = _scratch(spark, "exports")
+    _export_lines(spark, sf_dir).select("line").write.text(path)
     return path
 
 
@@ -275,3 +286,89 @@ def q_load_counts(spark, sf_dir):
     """Lines that loading the same export took as they are, repaired and skipped."""
     _, counts = load_register(spark, _export(spark, sf_dir))
     return counts.groupBy("repair_status").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+@register("archive_register", _EXPORT_SQL)
+def q_archive_register(spark, sf_dir):
+    """The same export inside ZIP archives, streamed back."""
+    root = _scratch(spark, "archives")
+    lines = _export_lines(spark, sf_dir).select(F.format_string("ventas-%02d.zip", "file").alias("name"), "line")
+    write_files(lines, root, archive=True)
+    return read_zip_register(spark, root).select("NRO", "COMPLEMENTO", "NOMBRE", "IMPORTE", "repair_status")
+
+
+# ---- S5, S6: metadata of files that a query has written, times set from the data ----
+def _written_files(spark, sf_dir) -> str:
+    """A file per nation of one line per supplier; its time follows the nation's key."""
+    t = Tables(spark, sf_dir)
+    name = F.concat(F.when(F.col("n_nationkey") % 5 == 0, "inventory_").when(F.col("n_nationkey") % 5 == 1, "processed_").otherwise(""),
+                    F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lit(".csv"))
+    s = t["supplier"].select("s_nationkey", "s_suppkey", "s_name")
+    lines = t["nation"].join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left").select(
+        "n_nationkey", "s_suppkey", name.alias("name"), F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name").alias("text"))
+    lines = lines.select("*", F.when(F.col("s_suppkey").isNotNull(), F.col("text")).alias("line"))
+    root = _scratch(spark, "files")
+    write_files(lines.repartition("name").sortWithinPartitions("name", "s_suppkey"), root)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in lines.select("n_nationkey", "name").distinct().toLocalIterator():  # one per nation
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{r['name']}"), 1_577_836_800_000 + 86_400_000 * (r["n_nationkey"] * 7 % 25), -1)
+    return root
+
+
+_FILES_SQL = """files AS (SELECT CASE n_nationkey % 5 WHEN 0 THEN 'inventory_' WHEN 1 THEN 'processed_' ELSE '' END
+    || lower(replace(n_name, ' ', '_')) || '.csv' AS name,
+    CAST(coalesce(sum(strlen(CAST(s_suppkey AS VARCHAR) || ',' || s_name) + 1), 0) AS BIGINT) AS size_bytes,
+    TIMESTAMP '2020-01-01 00:00:00' + to_days(CAST(n_nationkey * 7 % 25 AS INTEGER)) AS modified
+  FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_nationkey, n_name)"""
+
+
+@register("file_catalog", f"""WITH {_FILES_SQL} SELECT name, size_bytes, round(size_bytes / 1048576, 2) AS size_mb,
+    strftime(modified, '%Y-%m-%d %H:%M:%S') AS modified, size_bytes > 0 AS usable FROM files""")
+def q_file_catalog(spark, sf_dir):
+    return present(file_catalog(spark, _written_files(spark, sf_dir)).drop("path"))
+
+
+@register("latest_file", f"""WITH {_FILES_SQL} SELECT name, size_bytes, strftime(modified, '%Y-%m-%d %H:%M:%S') AS modified FROM files
+  WHERE name NOT LIKE '%inventory\\_%' ESCAPE '\\' AND name NOT LIKE '%processed\\_%' ESCAPE '\\'
+  ORDER BY files.modified DESC, name DESC LIMIT 1""")
+def q_latest_file(spark, sf_dir):
+    return present(latest_snapshot(file_catalog(spark, _written_files(spark, sf_dir))).select("name", "size_bytes", "modified"))
+
+
+# ---- K2, S5: ledger rows stored by period, one period written again ----------
+PERIODS = [(1997, 3), (1997, 4)]
+
+
+def _of_periods(spark, sf_dir):
+    led = v_ledger(Tables(spark, sf_dir)).select("id_factura", "cuf", "fecha_fac", "numero_factura")
+    return led.filter((F.col("fecha_fac") >= "1997-03-01") & (F.col("fecha_fac") < "1997-05-01"))
+
+
+_STORED_PERIODS_SQL = S.with_views("""SELECT CAST(id_factura AS BIGINT) AS id_factura, cuf,
+    CAST(CASE WHEN month(fecha_fac) = 4 THEN -numero_factura ELSE numero_factura END AS BIGINT) AS numero_factura,
+    CAST(year(fecha_fac) AS BIGINT) AS year, CAST(month(fecha_fac) AS BIGINT) AS month
+  FROM v_ledger WHERE fecha_fac >= DATE '1997-03-01' AND fecha_fac < DATE '1997-05-01'
+    AND NOT (month(fecha_fac) = 4 AND numero_factura % 2 = 0)""", "v_ledger")
+
+
+def _april_again(rows):
+    return rows.filter((F.month("fecha_fac") == 4) & (F.col("numero_factura") % 2 != 0)).withColumn("numero_factura", -F.col("numero_factura"))
+
+
+@register("period_store", _STORED_PERIODS_SQL)
+def q_period_store(spark, sf_dir):
+    """Two periods written, one of them again with other rows, both read back through pruned folders."""
+    root, rows = _scratch(spark, "periods"), _of_periods(spark, sf_dir)
+    write_periods(rows, root, "fecha_fac")
+    write_periods(_april_again(rows), root, "fecha_fac")
+    return present(read_periods(spark, root, PERIODS).drop("fecha_fac"))
+
+
+@register("period_snapshots", _STORED_PERIODS_SQL.replace("AS month\n", "AS month, CAST(CASE WHEN month(fecha_fac) = 4 THEN 2 ELSE 1 END AS BIGINT) AS snapshot\n"))
+def q_period_snapshots(spark, sf_dir):
+    """The newest snapshot of each of two periods, one of which was saved twice."""
+    root, rows = _scratch(spark, "snapshots"), _of_periods(spark, sf_dir)
+    for year, month in PERIODS:
+        save_snapshot(rows.filter((F.year("fecha_fac") == year) & (F.month("fecha_fac") == month)), root, year, month)
+    save_snapshot(_april_again(rows), root, 1997, 4)
+    return present(newest(spark, root, PERIODS).drop("fecha_fac"))

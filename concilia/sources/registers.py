@@ -5,24 +5,19 @@
 * ``read_register``: files -> lines (encoding chosen per file) -> records
   (``records``: quoted fields may hold line breaks) -> header removed ->
   repaired rows with an all-string schema; ``load_register`` also counts.
-* ``read_zip_register``: ZIP archives unpacked inside tasks
-  (``mapInPandas``; an archive cannot be split anyway), many in parallel.
+* ``read_zip_register``: ZIP archives as a data source, one task each, streamed.
 * ``file_catalog`` / ``latest_snapshot``: file metadata without reading
   file contents.
 """
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.predicates import col, strip
 from ..session import cut_lineage
+from .archives import read_archives
 from .records import ESCAPE, QUOTE, has_mark, parsed, records
 
 ENCODINGS = ("utf-8", "iso-8859-1")
@@ -202,47 +197,24 @@ def load_register(spark: SparkSession, path: str, **options) -> tuple[DataFrame,
     return rows.filter(F.col("repair_status") != "skipped"), counts
 
 
-#: Lines of an archive that are handed on at a time.
-ZIP_BLOCK = 50_000
-
-
-def _decoded(raw: bytes, encodings: tuple, path: str) -> str:
-    for enc in encodings:
-        try:
-            return raw.decode(enc)
-        except UnicodeDecodeError:
-            continue
-    raise ValueError(f"{path}: not in any of the encodings {encodings}")
-
-
-def _unzip_factory(suffix: str, encodings: tuple):
-    def unzip(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                    members = sorted(n for n in zf.namelist() if n.lower().endswith(suffix))
-                    if not members:
-                        continue
-                    lines = _decoded(zf.read(members[0]), encodings, path).splitlines()
-                for at in range(0, len(lines), ZIP_BLOCK):
-                    part = lines[at:at + ZIP_BLOCK]
-                    yield pd.DataFrame({"path": path, "member": members[0], "line_no": range(at, at + len(part)), "line": part})
-    return unzip
-
-
 def read_zip_register(spark: SparkSession, path: str, suffix: str = ".csv", merge_at: int = 6,
                       encodings: tuple = ENCODINGS, keep_skipped: bool = False) -> DataFrame:
-    """First ``suffix`` member of every ZIP under ``path``, unpacked
-    inside tasks one archive at a time, then repaired like plain files. Line
-    0 of each member is its header; all must agree. An archive in none of
-    the encodings raises."""
-    zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("member", T.StringType()),
-                           T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType())])
-    lines = zips.mapInPandas(_unzip_factory(suffix.lower(), encodings), schema)
-    header = _one_header(lines.filter(F.col("line_no") == 0))
-    body = lines.filter((F.col("line_no") > 0) & (strip(F.col("line")) != ""))
-    out = repair_lines(body, "line", header, merge_at)
+    """First ``suffix`` member of every ZIP under ``path`` (by name), one
+    task per archive, streamed (``archives``), then repaired like plain files.
+    Line 0 of each member is its header; all must agree. An archive in none of
+    the encodings raises. The driver lists the archives' names, like files'."""
+    zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    paths = sorted(r["path"] for r in zips.toLocalIterator())
+    if not paths:
+        raise FileNotFoundError(f"no archive under {path}")
+    lines = read_archives(spark, paths, suffix, encodings).select("path", F.lit(0).cast("bigint").alias("block"),
+                                                                  F.col("line_no").alias("at"), "line")
+    blocks = cut_lineage(lines.groupBy("path", "block").agg(
+        F.min("at").alias("first"), F.max("at").alias("last"), F.max(has_mark(F.col("line"))).alias("marked"),
+        F.min_by("line", "at").alias("line")))
+    header = _one_header(blocks.select("line"))
+    out = repair_records(records(lines, blocks.drop("line")), header, merge_at)
+    out = out.filter(_trimmed_fields("line") != F.lit(",".join(header)))
     return out if keep_skipped else out.filter(F.col("repair_status") != "skipped")
 
 

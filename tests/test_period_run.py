@@ -38,3 +38,18 @@ def test_gate_blocks_load(spark, scratch):
     tax, led = _frames(spark, amounts=(130.0, 50.0))
     res = run_period(tax, led, CFG, MAP, target_root=f"{scratch}/reg", load=True)
     assert not res.passed and not res.synced and res.status["status"] == "CRITICAL"
+
+
+def test_statistics_are_computed_once(spark, scratch, monkeypatch):
+    from concilia.plans import reconciliation as R
+
+    calls = []
+    original = R.reconcile_stats
+    monkeypatch.setattr(R, "reconcile_stats", lambda r: calls.append(1) or original(r))
+    tax, led = _frames(spark)
+    res = run_period(tax, led, CFG, MAP, target_root=f"{scratch}/reg", report_root=f"{scratch}/rep", load=True)
+    assert len(calls) == 1 and res.load == {"insert": 2, "update": 0, "keep": 0, "rows_written": 2}
+    res = run_period(tax, led, CFG, MAP, target_root=f"{scratch}/reg", load=True)
+    assert res.load == {"insert": 0, "update": 2, "keep": 0, "rows_written": 2}
+    want = R.reconcile(tax, led, CFG).stats().first().asDict()
+    assert res.stats == want

@@ -43,3 +43,19 @@ def test_second_run_leaves_no_old_rows(spark, scratch):
     again = reconcile(r.tax, r.ledger.filter("k = 'A'"), r.cfg)
     assert "only_in_ledger" not in write_report(again, root)
     assert spark.read.schema(again.only_ledger.schema).parquet(os.path.join(root, "report=only_in_ledger")).isEmpty()
+
+
+def test_row_sheets(spark):
+    from concilia.sinks.report import sheet_rows
+
+    got = sorted((x.report, x.match_key) for x in sheet_rows(_recon(spark)).collect())
+    assert got == [("only_in_ledger", "C"), ("only_in_tax", "B"), ("perfect_matches", "A")]
+
+
+def test_counts_of_sheets_are_observed(spark, scratch):
+    root = os.path.join(scratch, "counted")
+    written = write_report(_recon(spark), root)
+    assert written == ["summary", "branch_breakdown", "only_in_tax", "only_in_ledger", "perfect_matches"]
+    assert "tax_n" in spark.read.parquet(os.path.join(root, "report=only_in_tax")).columns
+    written = write_report(_recon(spark), os.path.join(scratch, "as_csv"), fmt="csv")
+    assert spark.read.option("header", True).csv(os.path.join(scratch, "as_csv", "report=only_in_ledger")).first()["inv_k"] == "C"
