@@ -20,7 +20,8 @@ the whole text, whatever else the text holds.
   (which is a space to the model), it is encoded whole.
 
 No special tokens are added; null text is empty (0 tokens); null and
-repeated ids keep one row per input row; other columns are ignored. Map
+repeated ids keep one row per input row; an empty table gives no rows; other
+columns are ignored. Map
 only: no shuffle, one Arrow batch in memory, one memo of bounded size.
 """
 
