@@ -10,8 +10,8 @@ piece that the format requires). A pre-token that is itself in the
 vocabulary is its own id, as in rank-file encoders. Decoding maps ids back to their
 byte strings; any id sequence decodes, whole or not.
 
-Null text is empty; null and repeated ids keep one row per input row;
-other columns are ignored. Map only: no shuffle, one Arrow batch in
+Null text is empty; null and repeated ids keep one row per input row; an
+empty table gives no rows; other columns are ignored. Map only: no shuffle, one Arrow batch in
 memory, one memo of bounded size per worker that encodes.
 """
 

@@ -15,8 +15,10 @@ and the target out.
 
 Rows are ordered by turn (null first), ties by role and text; null role
 and text are empty; rows that repeat are kept; a null conv_id is a
-conversation of its own; other columns are ignored. One conversation is
-one string and thus one row, as its digest asks; one shuffle by conv_id.
+conversation of its own; other columns are ignored; an empty table gives no
+rows. One conversation is one string and thus one row, as its digest asks;
+one shuffle by conv_id, and one more of the replies where the exploded
+examples are gathered.
 """
 
 from __future__ import annotations
@@ -90,6 +92,17 @@ def read_back(convs: DataFrame) -> DataFrame:
     return convs.select("conv_id", "formatted", turns.alias("turns"), targets.alias("targets"))
 
 
+def expanded(convs: DataFrame) -> DataFrame:
+    """``read_back`` with targets from the exploded examples: every assistant
+    turn is a row of its own, and a conversation's replies are gathered from
+    these rows again, in order."""
+    rows = materialised(convs).groupBy(F.col("conv_id").alias("of")).agg(
+        F.array_sort(F.collect_list(F.struct("example", "target"))).alias("examples"))
+    back = read_back(convs).drop("targets").join(rows, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    targets = F.coalesce(F.transform("examples", lambda e: unescape(e["target"])), F.array().cast("array<string>"))
+    return back.select("conv_id", "formatted", "turns", targets.alias("targets"))
+
+
 def digests(back: DataFrame) -> DataFrame:
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("targets", "")

@@ -27,7 +27,7 @@ its block. Nothing is capped: a page of any length is labelled whole, a
 broken page is read as far as it goes (open elements end with the page).
 
 Null html is empty (text ""); null urls and ids are kept; repeated rows
-keep one result each; other columns are ignored. Map only, no shuffle.
+keep one result each; an empty table gives no rows; other columns are ignored. Map only, no shuffle.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,7 +159,12 @@ def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order."""
     stack = [_Element("", None, 0, "")]
     found, parts, links, number, at, n = [], [], 0, 0, 0, len(page)
-    first = None
+    first, paragraphs = None, 0  # paragraphs: open <p> elements
+
+    def end(i):
+        nonlocal paragraphs
+        paragraphs -= sum(e.tag == "p" for e in stack[i:])
+        del stack[i:]
 
     def text(s):
         nonlocal first, links
@@ -197,7 +201,7 @@ def blocks(page: str) -> list[Block]:
                 flush()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    end(i)
                     break
                 # an inline or paragraph end tag does not end the sections around it
                 if stack[i].tag in BLOCK_TAGS and tag not in BLOCK_TAGS:
@@ -208,28 +212,29 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:
             flush()
-            if any(e.tag == "p" for e in stack[-8:]):
+            if paragraphs:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == "p":
-                        del stack[i:]
+                        end(i)
                         break
                     if stack[i].tag in BLOCK_TAGS:
                         break
             if tag in CLOSES:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in CLOSES[tag]:
-                        del stack[i:]
+                        end(i)
                     elif stack[i].tag in LIMITS:
                         break
         if tag in VOID_TAGS:
             continue
         number += 1
         if tag == "body":  # an unclosed head ends here
-            del stack[1:]
+            end(1)
         stack.append(_Element(tag, stack[-1], number, attrs))
+        paragraphs += tag == "p"
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = end.start() if end else n
+            close = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
+            at = close.start() if close else n
     flush()
     return found
 
@@ -248,8 +253,11 @@ def score(b: Block) -> float:
 
 
 def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """True for nodes on the source side of a minimum cut (shortest
-    augmenting paths); nodes that no cut decides go to the sink."""
+    """True for nodes on the source side of a minimum cut; nodes that no cut
+    decides go to the sink. Maximum flow by levels (Dinic): a search from all
+    nodes with source capacity left gives levels, and all shortest paths are
+    filled in one pass before the next search. Edges join near neighbours and
+    carry little, so few searches are needed."""
     n = len(scores)
     spare = [abs(s) for s in scores]
     near: list[list[list]] = [[] for _ in range(n)]  # [to, capacity left, reverse entry]
@@ -258,34 +266,53 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
         a[2], b[2] = b, a
         near[i].append(a)
         near[j].append(b)
+    least = 1e-9
     while True:
-        came: list = [None] * n
-        seen = [s > 0 and c > 1e-9 for s, c in zip(scores, spare)]
-        queue = deque(i for i in range(n) if seen[i])
-        end = -1
-        while queue and end < 0:
-            i = queue.popleft()
-            for e in near[i]:
-                j = e[0]
-                if e[1] > 1e-9 and not seen[j]:
-                    seen[j], came[j] = True, e
-                    if scores[j] < 0 and spare[j] > 1e-9:
-                        end = j
+        level = [0 if s > 0 and c > least else -1 for s, c in zip(scores, spare)]
+        front, ends, depth = [i for i in range(n) if level[i] == 0], False, 0
+        while front and not ends:
+            depth += 1
+            after = []
+            for i in front:
+                for e in near[i]:
+                    j = e[0]
+                    if e[1] > least and level[j] < 0:
+                        level[j] = depth
+                        ends = ends or (scores[j] < 0 and spare[j] > least)
+                        after.append(j)
+            front = after
+        if not ends:
+            return [x >= 0 for x in level]
+        at = [0] * n  # edges of each node that are used up in this pass
+        for start in range(n):
+            path: list[list] = []
+            while level[start] == 0 and scores[start] > 0 and spare[start] > least:
+                i = path[-1][0] if path else start
+                if path and scores[i] < 0 and spare[i] > least:
+                    flow = min(spare[start], spare[i], min(e[1] for e in path))
+                    spare[start] -= flow
+                    spare[i] -= flow
+                    for e in path:
+                        e[1] -= flow
+                        e[2][1] += flow
+                    full = next((k for k, e in enumerate(path) if e[1] <= least), len(path))
+                    if full == len(path):  # the end node is full
+                        at[i] = len(near[i])
+                        full -= 1
+                    del path[full:]
+                    continue
+                while at[i] < len(near[i]):
+                    e = near[i][at[i]]
+                    if e[1] > least and level[e[0]] == level[i] + 1:
                         break
-                    queue.append(j)
-        if end < 0:
-            return seen
-        flow, j = spare[end], end
-        while came[j] is not None:
-            flow, j = min(flow, came[j][1]), came[j][2][0]
-        flow = min(flow, spare[j])
-        spare[j] -= flow
-        spare[end] -= flow
-        j = end
-        while came[j] is not None:
-            came[j][1] -= flow
-            came[j][2][1] += flow
-            j = came[j][2][0]
+                    at[i] += 1
+                if at[i] < len(near[i]):
+                    path.append(near[i][at[i]])
+                elif path:
+                    path.pop()
+                    at[path[-1][0] if path else start] += 1
+                else:
+                    break
 
 
 def extract(page: str) -> str:

@@ -56,7 +56,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"inline(array(struct(-7L, 0L, 'user', {said}), struct(-7L, 1L, 'assistant', {said}))) AS (conv_id, turn, role, text)")
     path = scratch_path(spark, "chat")
     chat.format_conversations(rows.unionByName(planted)).write.parquet(path)
-    return chat.digests(chat.read_back(spark.read.parquet(path)))
+    return chat.digests(chat.expanded(spark.read.parquet(path)))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ of the matches before it: ``split`` and ``regexp_extract_all`` with one
 pattern give both lists. Texts without a match of a kind skip them.
 
 Null text is empty; null or repeated ids keep one result row per input
-row (rows are tracked by a row number of the scan); other columns are
+row (rows are tracked by a row number of the scan); an empty table gives no
+rows; other columns are
 ignored. All of it is Spark SQL; the only shuffle carries the findings and
 one small row per document, by row number.
 """
