@@ -33,7 +33,8 @@ that, a special string could be seen, or the separator occurs, is encoded
 as a whole.
 
 Null text is empty (just the end id); null ids sort first; rows that
-repeat an id are stored in order of their texts; other columns are ignored.
+repeat an id are stored in order of their texts; an empty table gives a store
+without documents; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,8 +60,10 @@ LEVEL = 3
 MEMO = 600_000
 LONG = 48
 SEPARATOR = "\x01"
-#: Letters (ASCII, Latin-1, Latin Extended-A and -B, but U+0130, whose lower case has a mark), and ASCII punctuation but the apostrophe behind them.
-_PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+#: Letters: ASCII, Latin-1, Latin Extended-A and -B, but U+0130, whose lower case has a mark.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+#: ASCII punctuation but the apostrophe.
+_PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 class Encoder:
@@ -105,18 +108,19 @@ class Encoder:
         """Encodes the words, by their parts where they are letters with punctuation behind."""
         memo, other, letters, tailed = self.memo, [], {}, []
         for w in words:
-            parts = self.by_part and _PARTS.fullmatch(w.decode())
-            if not parts:
+            core = w.rstrip(_PUNCTUATION)
+            # isalpha of bytes: ASCII letters
+            if not (core.isalpha() or _LETTERS.fullmatch(core.decode())) or not self.by_part:
                 other.append(w)
-            elif not parts[2]:
+            elif len(core) == len(w):
                 letters[w] = None
             else:
-                core, tail = parts[1].encode(), parts[2].encode()
+                tail = w[len(core):]
                 tailed.append((w, core, tail))
                 if core not in memo:
                     letters[core] = None
                 if tail not in memo:
-                    memo[tail] = self.whole(parts[2])
+                    memo[tail] = self.whole(tail.decode())
         other += self.learn_letters(list(letters))
         self.learn_apart(other)
         for w, core, tail in tailed:
@@ -170,10 +174,12 @@ class Encoder:
                 # U+0300 to U+036F start with these bytes
                 cut[i] = (raw if b"\xcc" in raw or b"\xcd" in raw else low).split()
         memo = self.memo
-        new = {w for words in cut.values() for w in words if w not in memo}
-        memo.room(len(new))
-        if not memo:
-            new = {w for words in cut.values() for w in words}
+        asked = set().union(*cut.values())
+        new = asked.difference(memo)
+        if len(memo) + len(new) > memo.limit:  # the words of this run stay: the frequent ones are among them
+            kept = {w: memo[w] for w in asked if w in memo}
+            memo.clear()
+            memo.update(kept)
         new = list(new)
         self.learn(new)
         get = memo.__getitem__
@@ -182,8 +188,6 @@ class Encoder:
         for w in new:
             if len(w) > LONG:
                 del memo[w]
-        if len(memo) > MEMO:
-            memo.clear()
         return out
 
 
