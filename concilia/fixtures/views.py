@@ -7,11 +7,14 @@ random function. ``k`` is ``orders.o_orderkey``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import LedgerColumns, ReconConfig, TaxColumns
 from ..session import ensure_checkpoint_dir, spread
+from ..sources.stored import StoredRegisters, store_registers
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
@@ -201,6 +204,19 @@ def build_v_ledger(t: Tables) -> DataFrame:
                         k * 2 + F.col("__v"))
 
 
+#: Buckets of the derived registers, and the rows of a code above which it is kept apart.
+BUCKETS, HOT_ROWS = 16, 100_000
+
+
+def stored_registers(t: Tables) -> StoredRegisters:
+    """Both registers stored by code (written once per application)."""
+    cache = Tables._shared.setdefault("__stored__", {})
+    if t._key not in cache:
+        root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/concilia-registers/{uuid.uuid4().hex}"
+        cache[t._key] = store_registers(v_tax(t), v_ledger(t), FIXTURE_CONFIG, root, BUCKETS, HOT_ROWS)
+    return cache[t._key]
+
+
 def v_accounting(t: Tables) -> DataFrame:
     """Existing accounting register (materialized once per application)."""
     return materialized(t, "v_accounting", build_v_accounting)
@@ -229,4 +245,5 @@ def warm(spark: SparkSession, sf_dir: str) -> None:
     v_tax(t)
     v_ledger(t)
     v_accounting(t)
+    stored_registers(t)
     star(t)

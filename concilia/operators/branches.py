@@ -35,6 +35,26 @@ def branch_breakdown(df: DataFrame, branch_col: str, amount_col: str,
                    F.count(F.when(F.col("_c"), 1)).alias("canceled_count")))
 
 
+def scoped_breakdown(df: DataFrame, branch_col: str, amount_col: str, scoped: str, everything: Column,
+                     canceled: Column | None = None) -> DataFrame:
+    """``branch_breakdown`` of the rows marked by ``scoped``, or of all rows
+    where the scalar ``everything`` is true: one aggregation either way."""
+    c = canceled if canceled is not None else F.lit(False)
+    rows = df.select(branch_key(df, branch_col).alias("branch_code"), c.alias("_c"), money(numeric(df, amount_col)).alias("_a"),
+                     F.col(scoped).alias("_s")).filter(F.col("branch_code").isNotNull())
+    zero = F.lit(0).cast("decimal(24,4)")
+
+    def of(name: str, rows_of: Column) -> Column:
+        valid = rows_of & ~F.col("_c")
+        return F.struct(F.count(F.when(rows_of, 1)).alias("rows"), F.count(F.when(valid, 1)).alias("count"),
+                        F.coalesce(F.sum(F.when(valid, F.col("_a"))), zero).alias("amount"),
+                        F.count(F.when(rows_of & F.col("_c"), 1)).alias("canceled_count")).alias(name)
+
+    both = rows.groupBy("branch_code").agg(of("_all", F.lit(True)), of("_in", F.col("_s")))
+    chosen = both.select("branch_code", F.when(everything, F.col("_all")).otherwise(F.col("_in")).alias("_r"))
+    return chosen.filter("_r.rows > 0").select("branch_code", "_r.count", "_r.amount", "_r.canceled_count")
+
+
 def branch_names(names: dict | None = None) -> Column:
     m = names or BRANCH_NAMES
     lookup = F.create_map(*[x for k, v in sorted(m.items()) for x in (F.lit(k), F.lit(v))])

@@ -47,19 +47,24 @@ def ledger_key_counts(ledger: DataFrame, cfg: ReconConfig) -> DataFrame:
                   .groupBy(KEY).agg(F.count(F.lit(1)).alias("n_ledger")))
 
 
-def tag_tax(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig) -> DataFrame:
+def _tagged(rows: DataFrame, counts: DataFrame, stored: bool) -> DataFrame:
+    """``stored``: both registers are bucketed by the key and hold no hot one, so a plain join moves no rows."""
+    return rows.join(counts, KEY, "left") if stored else join_unique(rows, counts, KEY)
+
+
+def tag_tax(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig, stored: bool = False) -> DataFrame:
     """Tax rows with a non-null key, each tagged with the number of ledger
     rows sharing its key (0 = only in tax). Duplicates are kept."""
     t = _with_key(tax, cfg.tax.key).filter(F.col(KEY).isNotNull())
-    out = join_unique(t, ledger_key_counts(ledger, cfg), KEY)
+    out = _tagged(t, ledger_key_counts(ledger, cfg), stored)
     return out.withColumn("n_ledger", F.coalesce(F.col("n_ledger"), F.lit(0)))
 
 
-def tag_ledger(ledger: DataFrame, tax: DataFrame, cfg: ReconConfig) -> DataFrame:
+def tag_ledger(ledger: DataFrame, tax: DataFrame, cfg: ReconConfig, stored: bool = False) -> DataFrame:
     """Ledger rows with a non-null key tagged with the number of (valid)
     tax rows sharing the key (0 = only in ledger)."""
     lg = _with_key(ledger, cfg.ledger.key).filter(F.col(KEY).isNotNull())
-    out = join_unique(lg, tax_key_counts(tax, cfg), KEY)
+    out = _tagged(lg, tax_key_counts(tax, cfg), stored)
     return (out.withColumn("n_tax", F.coalesce(F.col("n_tax"), F.lit(0)))
                .withColumn("n_tax_valid", F.coalesce(F.col("n_tax_valid"), F.lit(0))))
 

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 
 from ..catalog import present, register
 from ..fixtures import sql as S
-from ..fixtures.views import FIXTURE_CONFIG, Tables, v_ledger, v_tax
+from ..fixtures.views import FIXTURE_CONFIG, Tables, stored_registers, v_ledger, v_tax
 from ..session import ensure_checkpoint_dir
 from ..sinks.report import PAIR_SHEETS, ROUNDING, ROW_SHEETS, SHEET, SUMMARY_ROWS, formatted_summary, summary_table, write_report
-from .reconciliation import reconcile
+from .reconciliation import reconcile_stored
 
 CFG = FIXTURE_CONFIG
 
 
 def run(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return reconcile(v_tax(t), v_ledger(t), CFG)
+    """Reconciliation of the derived registers, stored by code once per application like these."""
+    return reconcile_stored(stored_registers(Tables(spark, sf_dir)), CFG)
 
 
 # ---- SQL building blocks shared by the oracle texts ------------------------

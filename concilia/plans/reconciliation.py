@@ -8,8 +8,9 @@ distinct compared values of both registers - each ending in one row.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ReconConfig
@@ -17,6 +18,7 @@ from ..functions.predicates import col, is_canceled, money, numeric
 from ..operators import branches as B
 from ..operators import matching as M
 from ..operators.filters import reconcilable
+from ..sources.stored import StoredRegisters
 
 
 @dataclass
@@ -27,6 +29,9 @@ class Reconciliation:
     tax_tagged: DataFrame      # non-null-key tax rows + n_ledger
     ledger_tagged: DataFrame   # non-null-key ledger rows + n_tax, n_tax_valid, in_scope
     pairs: DataFrame           # matched pairs + comparison flags
+    tax_empty: Column = None   # whether no tax row takes part (a scalar subquery)
+    parts: tuple = ()          # of stored registers: reconciliations of disjoint codes, whose rows are these
+    keyless: bool = False      # a part without codes
 
     # ---- row sets (reference result tables) --------------------------------
     @property
@@ -73,10 +78,15 @@ class Reconciliation:
         return B.branch_breakdown(self.tax, tc.branch, tc.amount, canceled)
 
     def ledger_branches(self) -> DataFrame:
+        """Rows in scope per branch; T14: with an empty tax register all
+        ledger rows count, those without a code too. Both are aggregated, and
+        the one that holds is chosen per branch."""
         lc = self.cfg.ledger
-        lv = self.ledger_valid
-        canceled = (is_canceled(col(lc.status), self.cfg.valid_status) if lc.status else None)
-        return B.branch_breakdown(lv, lc.branch, lc.amount, canceled)
+        canceled = is_canceled(col(lc.status), self.cfg.valid_status) if lc.status else None
+        columns = [c for c in dict.fromkeys((lc.branch, lc.amount, lc.status)) if c]
+        tagged = self.ledger_tagged.select(*map(col, columns), (F.col("n_tax_valid") > 0).alias("_scoped"))
+        loose = self.ledger.filter(col(lc.key).isNull()).select(*map(col, columns), F.lit(False).alias("_scoped"))
+        return B.scoped_breakdown(tagged.unionByName(loose), lc.branch, lc.amount, "_scoped", self.tax_empty, canceled)
 
     def branch_report(self) -> DataFrame:
         return B.compare_branches(self.tax_branches(), self.ledger_branches(),
@@ -101,14 +111,39 @@ def reconcile(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig | None = None)
     if cfg.ledger.key not in ledger.columns:
         raise ValueError(f"ledger missing column: {cfg.ledger.key}")
     tax_f = reconcilable(tax, cfg)
-    tax_tagged = M.tag_tax(tax_f, ledger, cfg)
-    ledger_tagged = M.tag_ledger(ledger, tax_f, cfg)
     # With an empty side the ledger total is not restricted to keys
     # valid in tax; the emptiness test is a scalar subquery (run once)
-    tax_empty = tax_f.agg((F.count(F.lit(1)) == 0).alias("_tax_empty")).scalar()
+    return _part(tax_f, ledger, cfg, _empty(tax_f))
+
+
+def _empty(df: DataFrame) -> Column:
+    return df.limit(1).agg((F.count(F.lit(1)) == 0).alias("_empty")).scalar()
+
+
+def _part(tax_f: DataFrame, ledger: DataFrame, cfg: ReconConfig, tax_empty: Column, stored: bool = False) -> Reconciliation:
+    ledger_tagged = M.tag_ledger(ledger, tax_f, cfg, stored)
     ledger_tagged = ledger_tagged.withColumn("in_scope", (F.col("n_tax_valid") > 0) | tax_empty)
-    pairs = M.compare_pairs(tax_f, ledger, cfg)
-    return Reconciliation(cfg, tax_f, ledger, tax_tagged, ledger_tagged, pairs)
+    return Reconciliation(cfg, tax_f, ledger, M.tag_tax(tax_f, ledger, cfg, stored), ledger_tagged,
+                          M.compare_pairs(tax_f, ledger, cfg), tax_empty)
+
+
+def reconcile_stored(registers: StoredRegisters, cfg: ReconConfig | None = None) -> Reconciliation:
+    """The same over stored registers: buckets of codes without an exchange,
+    hot codes by the operators that shuffle and split, rows without a code in
+    totals only. Counters and sums of the parts add up, as no code is in two."""
+    cfg = cfg or ReconConfig()
+    groups = [registers.main, registers.hot, registers.keyless]
+    taxes = [reconcilable(g[0], cfg) if g else None for g in groups]
+    ledgers = [g[1] if g else None for g in groups]
+    all_of = lambda frames: reduce(DataFrame.unionByName, [f for f in frames if f is not None])
+    tax, ledger = all_of(taxes), all_of(ledgers)
+    tax_empty = _empty(tax)
+    parts = [_part(taxes[0], ledgers[0], cfg, tax_empty, stored=True)]
+    if registers.hot:
+        parts.append(_part(taxes[1], ledgers[1], cfg, tax_empty))
+    rows = lambda name: all_of([getattr(p, name) for p in parts])
+    keyless = Reconciliation(cfg, taxes[2], ledgers[2], None, None, None, tax_empty, keyless=True)
+    return Reconciliation(cfg, tax, ledger, rows("tax_tagged"), rows("ledger_tagged"), rows("pairs"), tax_empty, (*parts, keyless))
 
 
 def key_summaries(r: Reconciliation) -> DataFrame:
@@ -139,14 +174,21 @@ def key_summaries(r: Reconciliation) -> DataFrame:
                       "tax_valid_amount", "ledger_amount"))
 
 
-def reconcile_stats(r: Reconciliation) -> DataFrame:
-    """One row of counts, totals, differences, match rate.
+COUNTERS = ("total_tax", "total_ledger", "merged_count", "only_tax_count", "only_ledger_count", "only_tax_valid_count",
+            "only_tax_canceled_count")
+AMOUNTS = ("only_tax_valid_amount", "total_tax_amount", "_inv_scoped", "_inv_all")
+PAIR_COUNTERS = {"matched_count": "perfect_match", "amount_mismatch_count": "amount_mismatch",
+                 "customer_mismatch_count": "customer_mismatch", "other_mismatch_count": "other_mismatch"}
+
+
+def _counters(r: Reconciliation) -> DataFrame:
+    """One row: what adds up over parts of the registers that share no key.
 
     Presence counters and totals come from the per-key summaries (no row
     of either register is shuffled for them); mismatch counters come from
-    ``pair_counts`` over sides reduced to distinct compared values. Each
-    part ends in a single row; the two rows are combined at the end.
-    """
+    ``pair_counts`` over sides reduced to distinct compared values."""
+    if r.keyless:
+        return _keyless_counters(r)
     k = key_summaries(r)
     has_key = F.col(M.KEY).isNotNull()
     only_tax = has_key & (F.col("n_tax") > 0) & (F.col("n_ledger") == 0)
@@ -154,7 +196,7 @@ def reconcile_stats(r: Reconciliation) -> DataFrame:
 
     def total(c, cond=None):
         v = col(c) if cond is None else F.when(cond, col(c))
-        return F.coalesce(F.sum(v), zero)
+        return F.coalesce(F.sum(v), zero).cast("decimal(38,4)")
 
     def count_sum(v):
         return F.coalesce(F.sum(v), F.lit(0)).cast("bigint")
@@ -173,14 +215,35 @@ def reconcile_stats(r: Reconciliation) -> DataFrame:
         total("ledger_amount", has_key & (F.col("n_tax_valid") > 0)).alias("_inv_scoped"),
         total("ledger_amount").alias("_inv_all"))
     pair_counts = M.pair_counts(r.tax, r.ledger, r.cfg).select(F.struct(
-        F.col("perfect_match").alias("matched_count"), F.col("amount_mismatch").alias("amount_mismatch_count"),
-        F.col("customer_mismatch").alias("customer_mismatch_count"),
-        F.col("other_mismatch").alias("other_mismatch_count")).alias("c")).scalar()  # evaluated once
-    agg = (keys.select("*", pair_counts.alias("__pc"))
-               .select("*", *[F.col(f"__pc.{c}").alias(c) for c in
-                              ("matched_count", "amount_mismatch_count", "customer_mismatch_count",
-                               "other_mismatch_count")])
-               .drop("__pc"))
+        *[F.col(flag).alias(c) for c, flag in PAIR_COUNTERS.items()]).alias("c")).scalar()  # evaluated once
+    return (keys.select("*", pair_counts.alias("__pc"))
+                .select(*COUNTERS, *AMOUNTS, *[F.col(f"__pc.{c}").alias(c) for c in PAIR_COUNTERS]))
+
+
+def _keyless_counters(r: Reconciliation) -> DataFrame:
+    """Rows without a key: they count in totals and match nothing."""
+    tc, lc = r.cfg.tax, r.cfg.ledger
+    canceled = is_canceled(col(tc.status), r.cfg.valid_status) if tc.status in r.tax.columns else F.lit(False)
+    none, nothing = F.lit(0).cast("bigint"), F.lit(0).cast("decimal(38,4)")
+    amount = lambda v: F.coalesce(F.sum(v), nothing).cast("decimal(38,4)")
+    tax = r.tax.agg(F.struct(F.count(F.lit(1)).alias("n"), amount(F.when(~canceled, money(numeric(r.tax, tc.amount)))).alias("a")).alias("t"))
+    led = r.ledger.agg(F.struct(F.count(F.lit(1)).alias("n"), amount(money(numeric(r.ledger, lc.amount))).alias("a")).alias("l")).scalar()
+    known = {"total_tax": F.col("t.n"), "total_ledger": F.col("l.n"), "total_tax_amount": F.col("t.a"), "_inv_all": F.col("l.a")}
+    return tax.select("t", led.alias("l")).select(
+        *[known.get(c, none).alias(c) for c in COUNTERS], *[known.get(c, nothing).alias(c) for c in AMOUNTS],
+        *[none.alias(c) for c in PAIR_COUNTERS])
+
+
+def reconcile_stats(r: Reconciliation) -> DataFrame:
+    """One row of counts, totals, differences, match rate.
+
+    Every part of the registers (one, unless they are stored) gives one row
+    of counters and sums; these rows are added up."""
+    names = (*COUNTERS, *AMOUNTS, *PAIR_COUNTERS)
+    rows = [_counters(p) for p in r.parts or (r,)]
+    agg = rows[0]
+    if len(rows) > 1:
+        agg = reduce(DataFrame.unionByName, rows).agg(*[F.sum(c).cast(dict(rows[0].dtypes)[c]).alias(c) for c in names])
     # With an empty side the ledger total is not restricted to keys
     # valid in the tax register
     inv = F.when((F.col("total_tax") == 0) | (F.col("total_ledger") == 0), F.col("_inv_all")) \
