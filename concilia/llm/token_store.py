@@ -96,6 +96,12 @@ class Encoder:
                 self.ends[i] = piece.endswith(suffix)
         # parts may be encoded apart only if letters and punctuation are pre-tokens of their own
         self.by_part = self.by_word and bool(suffix) and self.ids("don,...") == self.ids("don") + self.ids(",...")
+        # to lower-case ASCII letters the vocabulary's normaliser does nothing: they skip it, where it is made of these steps
+        steps = lambda part: [s["type"] for s in (part or {}).get("normalizers") or (part or {}).get("pretokenizers") or ()]
+        self.lean = self.tk
+        if steps(spec.get("normalizer")) == ["NFC", "Replace", "Lowercase"] and steps(spec.get("pre_tokenizer")) == ["Split", "ByteLevel"]:
+            self.lean = Tokenizer.from_str(json.dumps(
+                spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         self.memo = Memo(MEMO)
 
     def ids(self, text: str) -> list[int]:
@@ -106,22 +112,25 @@ class Encoder:
 
     def learn(self, words: list[bytes]) -> None:
         """Encodes the words, by their parts where they are letters with punctuation behind."""
-        memo, other, letters, tailed = self.memo, [], {}, []
+        memo, other, plain, letters, tailed = self.memo, [], {}, {}, []
         for w in words:
             core = w.rstrip(_PUNCTUATION)
             # isalpha of bytes: ASCII letters
-            if not (core.isalpha() or _LETTERS.fullmatch(core.decode())) or not self.by_part:
+            ascii_letters = core.isalpha()
+            if not (ascii_letters or _LETTERS.fullmatch(core.decode())) or not self.by_part:
                 other.append(w)
-            elif len(core) == len(w):
-                letters[w] = None
+                continue
+            kind = plain if ascii_letters and core.islower() else letters
+            if len(core) == len(w):
+                kind[w] = None
             else:
                 tail = w[len(core):]
                 tailed.append((w, core, tail))
                 if core not in memo:
-                    letters[core] = None
+                    kind[core] = None
                 if tail not in memo:
                     memo[tail] = self.whole(tail.decode())
-        other += self.learn_letters(list(letters))
+        other += self.learn_letters(list(plain), self.lean) + self.learn_letters(list(letters), self.tk)
         self.learn_apart(other)
         for w, core, tail in tailed:
             memo[w] = memo[core] + memo[tail]
@@ -131,11 +140,11 @@ class Encoder:
                 if len(part) > LONG and part not in asked:
                     memo.pop(part, None)
 
-    def learn_letters(self, words: list[bytes]) -> list[bytes]:
+    def learn_letters(self, words: list[bytes], tokenizer) -> list[bytes]:
         """Encodes words of one pre-token each, a thousand in one call; returns those of calls in which one had more."""
         np, step, left = self.np, 1024, []
         groups = [words[i:i + step] for i in range(0, len(words), step)]
-        for g, e in zip(groups, self.tk.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+        for g, e in zip(groups, tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
             ids = np.asarray(e.ids, np.int64)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(g) or len(ids) != cuts[-1]:
@@ -173,16 +182,17 @@ class Encoder:
             else:
                 # U+0300 to U+036F start with these bytes
                 cut[i] = (raw if b"\xcc" in raw or b"\xcd" in raw else low).split()
-        memo = self.memo
-        asked = set().union(*cut.values())
-        new = asked.difference(memo)
+        # the words of this run by themselves: a small table that stays in the processor's cache
+        memo, asked = self.memo, set().union(*cut.values())
+        here = dict(zip(asked, map(memo.get, asked)))
+        new = [w for w, ids in here.items() if ids is None]
         if len(memo) + len(new) > memo.limit:  # the words of this run stay: the frequent ones are among them
-            kept = {w: memo[w] for w in asked if w in memo}
             memo.clear()
-            memo.update(kept)
-        new = list(new)
+            memo.update((w, ids) for w, ids in here.items() if ids is not None)
         self.learn(new)
         get = memo.__getitem__
+        here.update(zip(new, map(get, new)))
+        get = here.__getitem__
         for i, words in cut.items():
             out[i] = b"".join(map(get, words))
         for w in new:
