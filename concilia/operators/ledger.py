@@ -59,22 +59,51 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(F.struct(*others)).alias("__row")).select(key, "__row.*")
 
 
-def pick_keys(det: DataFrame, pay: DataFrame) -> DataFrame:
-    """Per invoice, the (detail id, payment id) the grouped source query
-    keeps: the smallest detail id and, for the left-joined payments, the
-    smallest payment id with NULL first (NULL when the invoice has no
-    payment link or a link without payment). The two sides are reduced
-    separately with fixed-width hash aggregations, so the detail x payment
-    product of an invoice is never formed. Also returns how many rows that
-    product would have had (``joined_rows``)."""
-    d = det.groupBy("idFactura").agg(F.min("idegresos").alias("idegresos"),
-                                     F.count(F.lit(1)).alias("__nd"))
-    p = pay.groupBy("idFactura").agg(F.max(F.when(F.col("idPago").isNull(), 1).otherwise(0)).alias("__null"),
-                                     F.min("idPago").alias("__min"), F.count(F.lit(1)).alias("__np"))
-    j = d.join(p, "idFactura", "left")
-    pid = F.when(F.coalesce(F.col("__null"), F.lit(1)) == 1, F.lit(None).cast("bigint")).otherwise(F.col("__min"))
-    return j.select("idFactura", "idegresos", pid.alias("idPago"),
-                    (F.col("__nd") * F.coalesce(F.col("__np"), F.lit(1))).cast("bigint").alias("joined_rows"))
+#: What a picked detail row brings along: the seller, the movement's sign, the customer's order.
+DETAIL = ("sigla", "first_name", "last_name", "clientePedido")
+
+
+def _links(t: dict, ids: DataFrame | None) -> DataFrame:
+    """(idFactura, is_detail, idegresos, idPago): the detail and the payment
+    links of the invoices ``ids`` (of all, without), in one frame, so that
+    the ids are joined once."""
+    none = F.lit(None)
+    det = t["factura_egresos"].select("idFactura", F.lit(True).alias("is_detail"), "idegresos", none.cast("bigint").alias("idPago"))
+    pay = t["pago_factura"].select("idFactura", F.lit(False).alias("is_detail"), none.cast("bigint").alias("idegresos"),
+                                   F.col("idPago").cast("bigint").alias("idPago"))
+    rows = det.unionByName(pay)
+    return rows if ids is None else rows.join(ids, "idFactura", "left_semi")
+
+
+def picks(t: dict, ids: DataFrame | None = None) -> DataFrame:
+    """Per invoice, the detail row and the payment that the grouped source
+    query keeps: the smallest detail id among those whose movement and seller
+    exist, with what the extract shows of it (``DETAIL``), and for the
+    left-joined payments the smallest payment id with NULL first (NULL when
+    the invoice has no payment link or a link without payment). Both in one
+    map-side combined aggregate over the union of the links, so the detail x
+    payment product of an invoice is never formed, and nothing is looked up
+    again for the picked rows. Also returns how many rows that product would
+    have had (``joined_rows``)."""
+    col = F.col
+    users = t["users"].select(col("id").alias("__seller"), "first_name", "last_name")
+    kinds = t["tmovimiento"].select(col("id").alias("__kind"), "sigla")
+    moves = t["egresos"].select(col("idegresos").alias("__e"), "tipomov", "vendedor", "clientePedido")
+    moves = moves.join(kinds, col("tipomov") == col("__kind")).join(users, col("vendedor") == col("__seller"))
+    paid = t["pago"].select(col("idPago").cast("bigint").alias("__p"), "numPago")
+    rows = (_links(t, ids).join(moves.select("__e", *DETAIL), col("idegresos") == col("__e"), "left")
+            .join(paid, col("idPago") == col("__p"), "left"))
+    detail = col("is_detail") & col("__e").isNotNull()
+    pay = ~col("is_detail")
+    got = rows.groupBy("idFactura").agg(
+        F.count(F.when(detail, 1)).alias("__nd"), F.count(F.when(pay, 1)).alias("__np"),
+        F.count(F.when(pay & col("__p").isNull(), 1)).alias("__null"),
+        F.min(F.when(detail, F.struct(col("__e").alias("idegresos"), *DETAIL))).alias("__d"),
+        F.min(F.when(pay & col("__p").isNotNull(), F.struct(col("__p").alias("idPago"), "numPago"))).alias("__pay"))
+    paid = F.when(col("__null") == 0, col("__pay"))
+    return got.filter("__nd > 0").select(
+        "idFactura", "__d.*", paid["idPago"].alias("idPago"), paid["numPago"].alias("numPago"),
+        (col("__nd") * F.greatest(col("__np"), F.lit(1))).cast("bigint").alias("joined_rows"))
 
 
 def extract_ledger(t: dict, start: str, end: str, lot_floor: int = LOT_FLOOR,
@@ -84,11 +113,12 @@ def extract_ledger(t: dict, start: str, end: str, lot_floor: int = LOT_FLOOR,
     Key-first plan: every relation that can hold several rows for an
     invoice is limited to the period's invoice ids and reduced to one row
     before the wide row is assembled: details and payments by
-    ``pick_keys``, tax records to the smallest row that has a payment
+    ``picks``, tax records to the smallest row that has a payment
     method and an active code, payment methods to one row per code. The
     active codes (``siat_cuis``) only have to exist, so they are a
-    semi-join, and a picked payment is one row. Other relations are
-    joined on their primary keys.
+    semi-join. Other relations are joined on their primary keys. No relation
+    is read twice but the invoices (rows, and ids for the two semi-joins) and
+    the users (seller, issuer).
     """
     missing = [r for r in ROLES if r not in t]
     if missing:
@@ -110,17 +140,7 @@ def extract_ledger(t: dict, start: str, end: str, lot_floor: int = LOT_FLOOR,
             .join(methods, col("codigoMetodoPago") == col("codigoClasificador")))
     fs = one_per_key(siat, "factura_id").alias("fs")
 
-    # detail rows that survive the detail-level inner joins
-    fe = t["factura_egresos"].join(ids, "idFactura", "left_semi").alias("fe")
-    e, tm, u = t["egresos"].alias("e"), t["tmovimiento"].alias("t"), t["users"].alias("u")
-    det = (fe.join(e, col("e.idegresos") == col("fe.idegresos"))
-             .join(tm, col("e.tipomov") == col("t.id"))
-             .join(u, col("u.id") == col("e.vendedor"))
-             .select(col("fe.idFactura").alias("idFactura"), col("e.idegresos").alias("idegresos")))
-    pay = (t["pago_factura"].join(ids, "idFactura", "left_semi").alias("pf")
-           .join(t["pago"].alias("p"), col("p.idPago") == col("pf.idPago"), "left")
-           .select(col("pf.idFactura").alias("idFactura"), col("p.idPago").alias("idPago")))
-    pick = pick_keys(det, pay).drop("joined_rows").alias("k")
+    k = picks(t, ids).drop("joined_rows").alias("k")
 
     inv = (f.join(dfa, col("df.idDatosFactura") == col("f.lote"))
              .join(ua, col("ua.id") == col("f.autor"))
@@ -128,13 +148,7 @@ def extract_ledger(t: dict, start: str, end: str, lot_floor: int = LOT_FLOOR,
              .join(fs, col("fs.factura_id") == col("f.idFactura"))
              .join(c, col("c.idCliente") == col("f.cliente"))
              .join(a, col("a.idalmacen") == col("f.almacen")))
-    e2, tm2, u2 = t["egresos"].alias("e"), t["tmovimiento"].alias("t"), t["users"].alias("u")
-    p2 = one_per_key(t["pago"].select("idPago", "numPago").join(pick.select("idPago"), "idPago", "left_semi"), "idPago").alias("p")
-    j = (inv.join(pick, col("k.idFactura") == col("f.idFactura"))
-            .join(e2, col("e.idegresos") == col("k.idegresos"))
-            .join(tm2, col("e.tipomov") == col("t.id"))
-            .join(u2, col("u.id") == col("e.vendedor"))
-            .join(p2, col("p.idPago") == col("k.idPago"), "left"))
+    j = inv.join(k, col("k.idFactura") == col("f.idFactura"))
     out = j.select(
         col("fs.codigoSucursal").alias("codigoSucursal"),
         col("fs.codigoPuntoVenta").alias("codigoPuntoVenta"),
@@ -146,17 +160,17 @@ def extract_ledger(t: dict, start: str, end: str, lot_floor: int = LOT_FLOOR,
         col("f.ClienteNit").alias("ClienteNit"),
         col("c.email").alias("emailCliente"),
         col("f.ClienteFactura").alias("ClienteFactura"),
-        col("t.sigla").alias("sigla"),
+        col("k.sigla").alias("sigla"),
         col("f.total").alias("total"),
-        full_name(col("u.first_name"), col("u.last_name")).alias("vendedor"),
+        full_name(col("k.first_name"), col("k.last_name")).alias("vendedor"),
         col("f.anulada").alias("estado"),
         col("f.fecha").alias("fecha"),
         col("f.glosa").alias("glosa"),
-        col("p.idPago").alias("idPago"),
-        col("p.numPago").alias("numPago"),
+        col("k.idPago").alias("idPago"),
+        col("k.numPago").alias("numPago"),
         col("f.pagada").alias("pagada"),
         col("f.almacen").alias("idAlmacen"),
-        col("e.clientePedido").alias("pedido_cliente"),
+        col("k.clientePedido").alias("pedido_cliente"),
         currency_label(col("f.moneda")).alias("moneda"),
         payment_label(col("f.anulada"), col("f.pagada")).alias("pagadaF"),
         full_name(col("ua.first_name"), col("ua.last_name")).alias("emisor"),
@@ -178,9 +192,4 @@ def extract_ledger(t: dict, start: str, end: str, lot_floor: int = LOT_FLOOR,
 def pick_one_per_invoice(t: dict) -> DataFrame:
     """A6 on its own: per invoice, how many detail x payment rows the joins
     produce and which (detail, payment) the extract keeps (the smallest)."""
-    col = F.col
-    det = (t["factura_egresos"].alias("fe").join(t["egresos"].alias("e"), col("e.idegresos") == col("fe.idegresos"))
-           .select(col("fe.idFactura").alias("idFactura"), col("e.idegresos").alias("idegresos")))
-    pay = (t["pago_factura"].alias("pf").join(t["pago"].alias("p"), col("p.idPago") == col("pf.idPago"), "left")
-           .select(col("pf.idFactura").alias("idFactura"), col("p.idPago").alias("idPago")))
-    return pick_keys(det, pay).select("idFactura", "joined_rows", "idegresos", "idPago")
+    return picks(t).select("idFactura", "joined_rows", "idegresos", "idPago")
