@@ -38,8 +38,6 @@ class Tables(dict):
     def __missing__(self, name: str) -> DataFrame:
         cache = Tables._shared.setdefault(self._key, {})
         if name not in cache:
-            # inputs that arrive as one split would stream every broadcast
-            # join and per-row expression through a single task
             cache[name] = spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
         self[name] = cache[name]
         return cache[name]

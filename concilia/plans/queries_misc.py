@@ -4,7 +4,9 @@ queries (A9, A10, A14, L3, L4, O3, O4, P1, P6, P7, F6, X17, K3, S2, S3)."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import present, register
@@ -16,13 +18,16 @@ from ..operators import audit as AU
 from ..operators import profiling as P
 from ..operators.filters import period_bounds_of
 from ..operators.setops import duplicate_keys, snapshot_diffs
-from ..sinks.report import SUMMARY_ROWS, ROUNDING, summary_table
+from ..sinks.report import SUMMARY_ROWS, ROUNDING, summary_table, write_csv
 from ..session import ensure_checkpoint_dir
 from ..sinks.periods import newest, read_periods, save_snapshot, write_periods
 from ..sources.registers import (file_catalog, latest_snapshot, load_register, read_register, read_zip_register,
                                  repair_lines)
 from .queries_core import STATS_SQL, run
 
+SCHEMA_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
 @register("profile_nulls", S.with_views(
     " UNION ALL ".join(
         f"SELECT '{c}' AS column, '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) AS null_count, "
@@ -297,6 +302,22 @@ def q_archive_register(spark, sf_dir):
     return read_zip_register(spark, root).select("NRO", "COMPLEMENTO", "NOMBRE", "IMPORTE", "repair_status")
 
 
+@register("table_profile", " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, row_number() OVER () - 1 AS position, column_name AS column,
+      CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+        ELSE lower(column_type) END AS dtype, CAST(count AS BIGINT) AS rows, round(CAST(null_percentage AS DOUBLE), 1) AS null_pct
+    FROM (SUMMARIZE {t})""" for t in SCHEMA_TABLES))
+def q_table_profile(spark, sf_dir):
+    """Columns and types of the source tables, with their rows and the share of missing values."""
+    t = Tables(spark, sf_dir)
+    parts = []
+    for name in SCHEMA_TABLES:
+        schema, nulls = AU.table_schema(t[name]), P.profile_nulls(t[name])
+        parts.append(schema.join(nulls.select("column", "rows", F.round("null_pct", 1).alias("null_pct")), "column").select(
+            F.lit(name).alias("table_name"), F.col("position").cast("bigint"), "column", "dtype", "rows", "null_pct"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- S5, S6: metadata of files that a query has written, times set from the data ----
 def _written_files(spark, sf_dir) -> str:
     """A file per nation of one line per supplier; its time follows the nation's key."""
@@ -372,3 +393,14 @@ def q_period_snapshots(spark, sf_dir):
         save_snapshot(rows.filter((F.year("fecha_fac") == year) & (F.month("fecha_fac") == month)), root, year, month)
     save_snapshot(_april_again(rows), root, 1997, 4)
     return present(newest(spark, root, PERIODS).drop("fecha_fac"))
+
+
+# ---- K1: the processed register as CSV, read back ----
+@register("csv_sink", S.with_views("SELECT CAST(nro AS BIGINT) AS nro, cuf, strftime(fecha, '%Y-%m-%d') AS fecha, importe_txt, nombre, estado FROM v_tax",
+                                   "v_tax"))
+def q_csv_sink(spark, sf_dir):
+    """Missing values, empty texts and texts with spaces survive the CSV that is written."""
+    path = _scratch(spark, "csv")
+    write_csv(v_tax(Tables(spark, sf_dir)).select("nro", "cuf", "fecha", "importe_txt", "nombre", "estado"), path)
+    return spark.read.option("header", True).schema(
+        "nro bigint, cuf string, fecha string, importe_txt string, nombre string, estado string").csv(path)

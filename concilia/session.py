@@ -26,6 +26,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", os.environ.get("CONCILIA_DRIVER_MEM", "8g"))
     )
     spark = builder.getOrCreate()
+    spark.conf.set(INPUT_PARTITIONS, str(spark.sparkContext.defaultParallelism))
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
@@ -71,13 +72,12 @@ def on_workers(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin an input that arrives in fewer splits than the session's
-    parallelism (e.g. one Parquet row group), so per-row work uses every
-    core. Inputs with enough splits - any large table - are returned as is,
-    so at scale this adds no shuffle. Filters and column pruning still reach
-    the scan below the repartition."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
+#: Partitions into which the supplied tables are dealt where a session asks for it (tests and benches on tables of one
+#: row group); clusters leave it unset and read the splits of their files.
+INPUT_PARTITIONS = "spark.concilia.inputPartitions"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to as many partitions as the session asks for, whatever its size; as it is where it asks for none."""
+    want = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(want)) if want else df

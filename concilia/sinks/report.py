@@ -56,6 +56,8 @@ PAIR_SHEETS = (("perfect_matches", "perfect_match"), ("amount_mismatches", "amou
                ("customer_mismatches", "customer_mismatch"), ("other_mismatches", "other_mismatch"))
 ROW_SHEETS = ("only_in_tax", "only_in_ledger", *(name for name, _ in PAIR_SHEETS))
 SHEET = "report"
+#: How CSV is written: values as they are.
+CSV = {"header": True, "encoding": "UTF-8", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def sheet_rows(recon) -> DataFrame:
@@ -118,7 +120,7 @@ def write_report(recon, root: str, fmt: str = "parquet", skip_empty: bool = True
 
 def _writer(df: DataFrame, fmt: str):
     w = df.write.mode("overwrite").format(fmt)
-    return w.option("header", True) if fmt == "csv" else w
+    return w.options(**CSV) if fmt == "csv" else w
 
 
 def _exists(df: DataFrame, path: str) -> bool:
@@ -131,5 +133,7 @@ def _exists(df: DataFrame, path: str) -> bool:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """K1/K2: CSV with header, UTF-8 (a byte-order mark is not written)."""
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    """K1/K2: CSV with header, UTF-8 (a byte-order mark is not written);
+    values keep the white space around them, and empty texts stay apart from
+    missing values."""
+    df.write.mode("overwrite").options(**CSV).csv(path)
