@@ -23,8 +23,8 @@ summed ahead (at most sources x buckets small rows).
 Weights: given as {source: weight}, or by default the square root of each
 source's row count. k/Q is within the relative ``TOLERANCE`` of the target
 weight of every source: the resolution follows from the smallest weight, for
-any number of sources (one row each is collected, and the slots of a period
-are broadcast). With a given ``resolution`` quotas are rounded to so many
+any number of sources (one row each is collected; the slots of a period are a
+table, which Spark broadcasts while its size is below the threshold). With a given ``resolution`` quotas are rounded to so many
 parts, at least one each. Sources missing from given weights raise, and so
 do more than ``max_sources``, where that is given: no row is left out.
 
@@ -139,6 +139,6 @@ def _mix(rows, weights, block_rows, resolution, buckets, max_sources) -> DataFra
         (F.col("__source") == F.col("__s2")) & (F.col("__b") == F.col("__b2")))
     ranked = ranked.withColumn("__pos", F.col("__at") + F.col("__before"))
     ranked = ranked.withColumn("block", F.expr(f"__pos DIV {block_rows}"))
-    out = ranked.join(F.broadcast(plan), F.col("__source") == F.col("source"))
+    out = ranked.join(plan, F.col("__source") == F.col("source"))  # broadcast by Spark if its size allows that
     slot = F.expr("(block DIV k) * q + slots[CAST(block % k AS INT)]").cast("long")
     return out.withColumn("slot", slot).withColumn("block_row", (F.col("__pos") % block_rows).cast("int"))

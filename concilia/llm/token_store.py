@@ -341,7 +341,7 @@ def read_tokens(spark: SparkSession, root: str, id_col: str = "doc_id") -> DataF
     id_arrow = to_arrow_type(shards.schema["first_id"].dataType)
     docs = on_workers(shards.select("part", "dict_hash", "base", "doc_ids", "offsets", "frames"),
                       run, f"part int, id {id_type}, at long, n_tokens long, ids binary, ids_crc32 long")
-    parts = F.broadcast(spark.read.parquet(f"{root}/parts"))  # one row per write task
+    parts = spark.read.parquet(f"{root}/parts")  # one row per write task
     return docs.join(parts, "part").select(F.col("id").alias(id_col), (F.col("before") + F.col("at")).alias("start"),
                                            "n_tokens", "ids", "ids_crc32")
 
