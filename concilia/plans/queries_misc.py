@@ -18,7 +18,7 @@ from ..operators import audit as AU
 from ..operators import profiling as P
 from ..operators.filters import period_bounds_of
 from ..operators.setops import duplicate_keys, snapshot_diffs
-from ..sinks.report import SUMMARY_ROWS, ROUNDING, summary_table, write_csv
+from ..sinks.report import SUMMARY_ROWS, ROUNDING, read_csv, summary_table, write_csv
 from ..session import ensure_checkpoint_dir
 from ..sinks.periods import newest, read_periods, save_snapshot, write_periods
 from ..sources.registers import (file_catalog, latest_snapshot, load_register, read_register, read_zip_register,
@@ -402,5 +402,4 @@ def q_csv_sink(spark, sf_dir):
     """Missing values, empty texts and texts with spaces survive the CSV that is written."""
     path = _scratch(spark, "csv")
     write_csv(v_tax(Tables(spark, sf_dir)).select("nro", "cuf", "fecha", "importe_txt", "nombre", "estado"), path)
-    return spark.read.option("header", True).schema(
-        "nro bigint, cuf string, fecha string, importe_txt string, nombre string, estado string").csv(path)
+    return read_csv(spark, path, "nro bigint, cuf string, fecha string, importe_txt string, nombre string, estado string")

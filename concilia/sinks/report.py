@@ -5,7 +5,7 @@ numeric; text formatting happens only in ``formatted`` views."""
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matching as M
@@ -137,3 +137,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     values keep the white space around them, and empty texts stay apart from
     missing values."""
     df.write.mode("overwrite").options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_csv`` wrote: a field without anything is missing, one of
+    two quotes an empty text (Spark takes both for missing unless the text for
+    missing values is another one)."""
+    return spark.read.options(**CSV).option("nullValue", "\u0001").schema(schema).csv(path)
