@@ -5,7 +5,8 @@ scores each block (log-odds of being content) from its surroundings and
 its text; the score becomes its terminal capacity: a positive one joins
 the block to the source (content), a negative one to the sink
 (boilerplate). Blocks next to each other are joined by an adjacency edge,
-blocks under one parent element by a DOM proximity edge. The maximum flow
+blocks under one parent element by a DOM proximity edge; both are weak
+between a block of links and one of text. The maximum flow
 from source to sink gives the minimum cut, the labelling of least total
 cost: a lone block that the classifier gets wrong goes with its
 neighbours unless its own evidence outweighs them. Blocks on the source
@@ -319,12 +320,14 @@ def extract(page: str) -> str:
     """The main text of one page."""
     found = blocks(page)
     edges, last = [], {}
+    # blocks of one kind hold together, those of different kinds hardly
+    kinds = [(b.out > 0, b.inside, 2 * b.linked > len(b.text)) for b in found]
     for i, b in enumerate(found):
         if i:
-            same = (found[i - 1].out > 0) == (b.out > 0) and found[i - 1].inside == b.inside
-            edges.append((i - 1, i, ADJACENT if same else ACROSS))
+            edges.append((i - 1, i, ADJACENT if kinds[i - 1] == kinds[i] else ACROSS))
         if b.parent in last:
-            edges.append((last[b.parent], i, SIBLING))
+            j = last[b.parent]
+            edges.append((j, i, SIBLING if kinds[j][2] == kinds[i][2] else ACROSS))
         last[b.parent] = i
     keep = min_cut([score(b) for b in found], edges)
     return "\n".join(b.text for b, k in zip(found, keep) if k)
