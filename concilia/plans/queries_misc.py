@@ -332,7 +332,8 @@ def _written_files(spark, sf_dir) -> str:
     write_files(lines.repartition("name").sortWithinPartitions("name", "s_suppkey"), root)
     fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     for r in lines.select("n_nationkey", "name").distinct().toLocalIterator():  # one per nation
-        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{r['name']}"), 1_577_836_800_000 + 86_400_000 * (r["n_nationkey"] * 7 % 25), -1)
+        days = r["n_nationkey"] * 7 % 25
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{r['name']}"), 1_577_836_800_000 + 86_400_000 * days, -1)
     return root
 
 

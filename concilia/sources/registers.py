@@ -218,15 +218,31 @@ def read_zip_register(spark: SparkSession, path: str, suffix: str = ".csv", merg
     return out if keep_skipped else out.filter(F.col("repair_status") != "skipped")
 
 
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, length, modification time in ms) of the files under a path or
+    pattern, empty ones too, which Spark's scans leave out; hidden ones are
+    not listed. Metadata only, on the driver, as Spark lists inputs."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for top in fs.globStatus(at) or ():
+        files = fs.listFiles(top.getPath(), True)
+        while files.hasNext():
+            f = files.next()
+            if not f.getPath().getName().startswith(("_", ".")):
+                out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return out
+
+
 def file_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Name, size, size in MB (2 places), modification time and the
     exists-and-non-empty check; file contents are never read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    files = spark.createDataFrame(_listed(spark, path), "path string, length bigint, ms bigint")
     return files.select(
         "path", F.element_at(F.split("path", "/"), -1).alias("name"),
         F.col("length").alias("size_bytes"),
         F.round(F.col("length") / F.lit(1048576), 2).alias("size_mb"),
-        F.col("modificationTime").alias("modified"),
+        F.timestamp_millis("ms").alias("modified"),
         (F.col("length") > 0).alias("usable"))
 
 

@@ -81,3 +81,14 @@ def test_headers_by_file(spark, scratch):
     _write(os.path.join(d, "c.csv"), "NOMBRE,NRO\nx,1\n", "utf-8")
     with pytest.raises(ValueError, match="different headers"):
         read_register(spark, d)
+
+
+def test_catalog_lists_empty_files(spark, scratch):
+    d = os.path.join(scratch, "empties")
+    os.makedirs(os.path.join(d, "deep"))
+    _write(os.path.join(d, "a.csv"), "", "utf-8")
+    _write(os.path.join(d, "deep", "b.csv"), "x", "utf-8")
+    _write(os.path.join(d, "_hidden"), "x", "utf-8")
+    got = {r["name"]: (r["size_bytes"], r["usable"]) for r in file_catalog(spark, d).collect()}
+    assert got == {"a.csv": (0, False), "b.csv": (1, True)}
+    assert file_catalog(spark, os.path.join(scratch, "nowhere")).count() == 0
