@@ -44,7 +44,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CLASS, arrow_fields, on_workers, stored
+from .common import WS, arrow_fields, on_workers, stored
 
 KEEP, RENAME, DELETE, INSERT, CUT_OFF = 0, 3, 4, 3, 3
 SEGMENT = 64

@@ -50,7 +50,8 @@ PRIOR = 20.0
 WINDOW = 5
 #: Standardised statistics are cut here.
 REACH = 6.0
-RIDGE = 1e-4
+#: Weight of the squared weights: RIDGE, and RIDGE_ROWS by the number of positives, as few rows say little.
+RIDGE, RIDGE_ROWS = 1e-2, 5.0
 FIRST_PRIOR = 0.5
 ROUNDS = 2
 STEPS = 8
@@ -186,7 +187,7 @@ def _terms(rows: DataFrame, scale, weights):
     return (u[0], u[1:1 + d], u[1 + d:].reshape(d, d)), (p[0], p[1], p[2:2 + d], p[2 + d:])
 
 
-def _fit(rows: DataFrame, scale, weights, prior: float):
+def _fit(rows: DataFrame, scale, weights, prior: float, ridge: float):
     """Weights of the least non-negative risk that the steps meet."""
     import numpy as np
 
@@ -194,14 +195,14 @@ def _fit(rows: DataFrame, scale, weights, prior: float):
     for _ in range(STEPS):
         (loss_u, grad_u, curve), (loss_p, loss_not_p, grad_not_p, mean_p) = _terms(rows, scale, weights)
         junk = loss_u - prior * loss_not_p
-        risk = prior * loss_p + max(0.0, junk) + RIDGE / 2 * weights @ weights
+        risk = prior * loss_p + max(0.0, junk) + ridge / 2 * weights @ weights
         if best is None or risk < best:
             best, found = risk, weights
         if junk < 0:  # back up: the estimated risk on junk has to grow
             grad = -(grad_u - prior * grad_not_p)
         else:
-            grad = grad_u - prior * mean_p + RIDGE * weights
-        step = np.linalg.solve(curve + RIDGE * np.eye(len(weights)), grad)
+            grad = grad_u - prior * mean_p + ridge * weights
+        step = np.linalg.solve(curve + ridge * np.eye(len(weights)), grad)
         size = np.abs(step).max()
         weights = weights - step * min(1.0, STRIDE / max(size, 1e-12))
         if size < SETTLED:
@@ -247,12 +248,14 @@ def learn(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label
     rows = side.select(F.lit(False).alias("positive"), "x").unionByName(stored(trusted, "trusted"))
     scale = _scale(rows)
     weights, prior = np.zeros(len(NAMES) + 1), FIRST_PRIOR
-    if not _vector(_summed(rows, lambda positive, _: np.array([positive.sum()], float)), 1)[0]:
+    positives = _vector(_summed(rows, lambda positive, _: np.array([positive.sum()], float)), 1)[0]
+    if not positives:
         return Model(scale, weights, prior)
-    weights = _fit(rows, scale, weights, prior)
+    ridge = RIDGE + RIDGE_ROWS / positives
+    weights = _fit(rows, scale, weights, prior, ridge)
     for _ in range(ROUNDS):
         prior = _prior(rows, scale, weights)
-        weights = _fit(rows, scale, weights, prior)
+        weights = _fit(rows, scale, weights, prior, ridge)
     return Model(scale, weights, prior)
 
 

@@ -95,7 +95,7 @@ def test_a_prior_that_is_too_large_backs_up(spark, tables):
     flagged = described.selectExpr("false AS positive", "x").unionByName(
         described.join(good, described.id == good.good).selectExpr("true AS positive", "x"))
     scale = Q._scale(flagged)
-    found = Q._fit(flagged, scale, np.zeros(len(Q.NAMES) + 1), 0.97)
+    found = Q._fit(flagged, scale, np.zeros(len(Q.NAMES) + 1), 0.97, Q.RIDGE)
     (loss_u, *_), (loss_p, loss_not_p, *_) = Q._terms(flagged, scale, found)
     risk = 0.97 * loss_p + max(0, loss_u - 0.97 * loss_not_p)
     assert risk <= np.log(2) + 1e-9 and np.isfinite(found).all()
