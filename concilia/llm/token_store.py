@@ -112,22 +112,26 @@ class Encoder:
 
     def learn(self, words: list[bytes]) -> None:
         """Encodes the words, by their parts where they are letters with punctuation behind."""
-        memo, other, plain, letters, tailed = self.memo, [], {}, {}, []
+        memo, other, plain, letters, tailed = self.memo, [], set(), set(), []
+        if not self.by_part:
+            return self.learn_apart(words)
+        punctuation, fullmatch = _PUNCTUATION, _LETTERS.fullmatch
         for w in words:
-            core = w.rstrip(_PUNCTUATION)
-            # isalpha of bytes: ASCII letters
-            ascii_letters = core.isalpha()
-            if not (ascii_letters or _LETTERS.fullmatch(core.decode())) or not self.by_part:
+            core = w.rstrip(punctuation)
+            if core.isalpha() and core.islower():  # of bytes: ASCII letters
+                kind = plain
+            elif fullmatch(core.decode()):
+                kind = letters
+            else:
                 other.append(w)
                 continue
-            kind = plain if ascii_letters and core.islower() else letters
-            if len(core) == len(w):
-                kind[w] = None
+            if core == w:
+                kind.add(w)
             else:
                 tail = w[len(core):]
                 tailed.append((w, core, tail))
                 if core not in memo:
-                    kind[core] = None
+                    kind.add(core)
                 if tail not in memo:
                     memo[tail] = self.whole(tail.decode())
         other += self.learn_letters(list(plain), self.lean) + self.learn_letters(list(letters), self.tk)
@@ -150,10 +154,8 @@ class Encoder:
             if len(cuts) != len(g) or len(ids) != cuts[-1]:
                 left += g
                 continue
-            raw, at = ids.astype(self.dtype).tobytes(), 0
-            for w, cut in zip(g, cuts.tolist()):
-                self.memo[w] = raw[at * self.width:cut * self.width]
-                at = cut
+            raw, to = ids.astype(self.dtype).tobytes(), (cuts * self.width).tolist()
+            self.memo.update(zip(g, [raw[a:b] for a, b in zip([0, *to], to)]))
         return left
 
     def learn_apart(self, words: list[bytes]) -> None:
@@ -182,19 +184,24 @@ class Encoder:
             else:
                 # U+0300 to U+036F start with these bytes
                 cut[i] = (raw if b"\xcc" in raw or b"\xcd" in raw else low).split()
-        # the words of this run by themselves: a small table that stays in the processor's cache
-        memo, asked = self.memo, set().union(*cut.values())
-        here = dict(zip(asked, map(memo.get, asked)))
-        new = [w for w, ids in here.items() if ids is None]
+        memo = self.memo
+        get = memo.get
+        known = {i: list(map(get, words)) for i, words in cut.items()}
+        gaps = {i: [k for k, ids in enumerate(found) if ids is None] for i, found in known.items()}
+        new = {cut[i][k] for i, at in gaps.items() for k in at}
         if len(memo) + len(new) > memo.limit:  # the words of this run stay: the frequent ones are among them
+            kept: dict = {}
+            for i, words in cut.items():
+                kept.update(zip(words, known[i]))
             memo.clear()
-            memo.update((w, ids) for w, ids in here.items() if ids is not None)
+            memo.update((w, ids) for w, ids in kept.items() if ids is not None)
+        new = list(new)
         self.learn(new)
-        get = memo.__getitem__
-        here.update(zip(new, map(get, new)))
-        get = here.__getitem__
         for i, words in cut.items():
-            out[i] = b"".join(map(get, words))
+            found = known[i]
+            for k in gaps[i]:
+                found[k] = memo[words[k]]
+            out[i] = b"".join(found)
         for w in new:
             if len(w) > LONG:
                 del memo[w]
