@@ -62,13 +62,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def on_workers(df: DataFrame, run, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package on the Python workers' path (the
-    same path as here; elsewhere it is shipped with --py-files)."""
-    env = df.sparkSession.sparkContext.environment
+def package_on_workers(spark: SparkSession) -> None:
+    """This package on the Python workers' path (the same path as here;
+    elsewhere it is shipped with --py-files)."""
+    env = spark.sparkContext.environment
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
+def on_workers(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package on the Python workers' path."""
+    package_on_workers(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

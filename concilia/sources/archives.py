@@ -19,6 +19,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import package_on_workers
+
 SCHEMA = "path string, member string, line_no bigint, line string"
 #: Bytes that are decoded, and characters of lines that are handed on, at a time.
 BLOCK = 1 << 20
@@ -108,6 +110,7 @@ class ArchiveLines(DataSource):
 
 def read_archives(spark: SparkSession, paths: list[str], suffix: str = ".csv", encodings: tuple = ("utf-8", "iso-8859-1")) -> DataFrame:
     """(path, member, line_no, line) of the archives."""
+    package_on_workers(spark)
     spark.dataSource.register(ArchiveLines)
     reader = spark.read.format("archive_lines").option("paths", json.dumps(list(paths)))
     return reader.option("suffix", suffix).option("encodings", json.dumps(list(encodings))).load()
