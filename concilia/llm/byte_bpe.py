@@ -12,7 +12,7 @@ byte strings; any id sequence decodes, whole or not.
 
 Null text is empty; null and repeated ids keep one row per input row; an
 empty table gives no rows; other columns are ignored. Map only: no shuffle, one Arrow batch in
-memory, one memo of bounded size per worker that encodes.
+memory, one memo of bounded size per task that encodes.
 """
 
 from __future__ import annotations
@@ -171,5 +171,6 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
                          pa.array([hashlib.sha256(decode(x, rank_path)).hexdigest() for x in codes])]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(codes, pa.binary())] * ids, names=names)
                 at += len(texts)
+        codec(rank_path, pattern).memo.clear()  # idle workers live on beside those of later stages
 
     return on_workers(docs.select(*kept, body(text_col)), run, schema)
