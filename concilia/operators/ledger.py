@@ -63,16 +63,9 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
 DETAIL = ("sigla", "first_name", "last_name", "clientePedido")
 
 
-def _links(t: dict, ids: DataFrame | None) -> DataFrame:
-    """(idFactura, is_detail, idegresos, idPago): the detail and the payment
-    links of the invoices ``ids`` (of all, without), in one frame, so that
-    the ids are joined once."""
-    none = F.lit(None)
-    det = t["factura_egresos"].select("idFactura", F.lit(True).alias("is_detail"), "idegresos", none.cast("bigint").alias("idPago"))
-    pay = t["pago_factura"].select("idFactura", F.lit(False).alias("is_detail"), none.cast("bigint").alias("idegresos"),
-                                   F.col("idPago").cast("bigint").alias("idPago"))
-    rows = det.unionByName(pay)
-    return rows if ids is None else rows.join(ids, "idFactura", "left_semi")
+def _of(links: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """The links of the invoices ``ids`` (of all, without)."""
+    return links if ids is None else links.join(ids, "idFactura", "left_semi")
 
 
 def picks(t: dict, ids: DataFrame | None = None) -> DataFrame:
@@ -80,29 +73,37 @@ def picks(t: dict, ids: DataFrame | None = None) -> DataFrame:
     query keeps: the smallest detail id among those whose movement and seller
     exist, with what the extract shows of it (``DETAIL``), and for the
     left-joined payments the smallest payment id with NULL first (NULL when
-    the invoice has no payment link or a link without payment). Both in one
-    map-side combined aggregate over the union of the links, so the detail x
-    payment product of an invoice is never formed, and nothing is looked up
-    again for the picked rows. Also returns how many rows that product would
-    have had (``joined_rows``)."""
+    the invoice has no payment link or a link without payment). Details and
+    payments are each looked up in their own relation and meet in one map-side
+    combined aggregate over the union of the links, so the detail x payment
+    product of an invoice is never formed, and no join is asked for the NULL
+    ids that a detail has for a payment. Only ids go through that aggregate;
+    the picked detail's columns are looked up afterwards. Also returns how
+    many rows that product would have had (``joined_rows``)."""
     col = F.col
     users = t["users"].select(col("id").alias("__seller"), "first_name", "last_name")
     kinds = t["tmovimiento"].select(col("id").alias("__kind"), "sigla")
     moves = t["egresos"].select(col("idegresos").alias("__e"), "tipomov", "vendedor", "clientePedido")
     moves = moves.join(kinds, col("tipomov") == col("__kind")).join(users, col("vendedor") == col("__seller"))
     paid = t["pago"].select(col("idPago").cast("bigint").alias("__p"), "numPago")
-    rows = (_links(t, ids).join(moves.select("__e", *DETAIL), col("idegresos") == col("__e"), "left")
-            .join(paid, col("idPago") == col("__p"), "left"))
-    detail = col("is_detail") & col("__e").isNotNull()
-    pay = ~col("is_detail")
+
+    def none(df: DataFrame, name: str) -> Column:
+        return F.lit(None).cast(df.schema[name].dataType).alias(name)
+
+    det = _of(t["factura_egresos"].select("idFactura", "idegresos"), ids).join(moves.select("__e"), col("idegresos") == col("__e"))
+    pay = _of(t["pago_factura"].select("idFactura", col("idPago").cast("bigint").alias("idPago")), ids) \
+        .join(paid, col("idPago") == col("__p"), "left")
+    rows = det.select("idFactura", F.lit(True).alias("is_detail"), "__e", none(paid, "__p"), none(paid, "numPago")).unionByName(
+        pay.select("idFactura", F.lit(False).alias("is_detail"), none(moves, "__e"), "__p", "numPago"))
+    link = ~col("is_detail")
     got = rows.groupBy("idFactura").agg(
-        F.count(F.when(detail, 1)).alias("__nd"), F.count(F.when(pay, 1)).alias("__np"),
-        F.count(F.when(pay & col("__p").isNull(), 1)).alias("__null"),
-        F.min(F.when(detail, F.struct(col("__e").alias("idegresos"), *DETAIL))).alias("__d"),
-        F.min(F.when(pay & col("__p").isNotNull(), F.struct(col("__p").alias("idPago"), "numPago"))).alias("__pay"))
+        F.count(F.when(col("is_detail"), 1)).alias("__nd"), F.count(F.when(link, 1)).alias("__np"),
+        F.count(F.when(link & col("__p").isNull(), 1)).alias("__null"), F.min("__e").alias("idegresos"),
+        F.min(F.when(col("__p").isNotNull(), F.struct(col("__p").alias("idPago"), "numPago"))).alias("__pay"))
     paid = F.when(col("__null") == 0, col("__pay"))
-    return got.filter("__nd > 0").select(
-        "idFactura", "__d.*", paid["idPago"].alias("idPago"), paid["numPago"].alias("numPago"),
+    shown = one_per_key(moves.select("__e", *DETAIL), "__e")
+    return got.filter("__nd > 0").join(shown, col("idegresos") == col("__e")).select(
+        "idFactura", "idegresos", *DETAIL, paid["idPago"].alias("idPago"), paid["numPago"].alias("numPago"),
         (col("__nd") * F.greatest(col("__np"), F.lit(1))).cast("bigint").alias("joined_rows"))
 
 
@@ -117,8 +118,8 @@ def extract_ledger(t: dict, start: str, end: str, lot_floor: int = LOT_FLOOR,
     method and an active code, payment methods to one row per code. The
     active codes (``siat_cuis``) only have to exist, so they are a
     semi-join. Other relations are joined on their primary keys. No relation
-    is read twice but the invoices (rows, and ids for the two semi-joins) and
-    the users (seller, issuer).
+    is read twice but the invoices (rows, and ids for the semi-joins), the
+    users (seller, issuer) and what is shown of a picked detail.
     """
     missing = [r for r in ROLES if r not in t]
     if missing:
