@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import LedgerColumns, ReconConfig, TaxColumns
 from ..session import ensure_checkpoint_dir, spread
-from ..sources.stored import StoredRegisters, store_registers
+from ..sources.stored import StoredRegisters, bucket_count, store_registers
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
@@ -49,7 +49,8 @@ def materialized(t: Tables, name: str, build) -> DataFrame:
 
     Registers are stored tables in production; materializing the derived
     ones keeps fixture derivation (joins, hashing) out of every query plan
-    that reads them several times, and gives the scans many splits.
+    that reads them several times. The rows are written by the tasks that
+    make them, without a shuffle of their own.
     """
     key = (t._key, name)
     cache = Tables._shared.setdefault("__materialized__", {})
@@ -59,7 +60,7 @@ def materialized(t: Tables, name: str, build) -> DataFrame:
         tag = abs(hash(t.sf_dir)) % (10 ** 12)
         path = f"{root}/concilia-fixtures/{spark.sparkContext.applicationId}/{tag}/{name}"
         df = build(t)
-        df.repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path)
         cache[key] = spark.read.schema(df.schema).parquet(path)
     return cache[key]
 
@@ -202,7 +203,7 @@ def build_v_ledger(t: Tables) -> DataFrame:
                         k * 2 + F.col("__v"))
 
 
-#: Buckets of the derived registers, and the rows of a code above which it is kept apart.
+#: Buckets of the derived registers (at least), and the rows of a code above which it is kept apart.
 BUCKETS, HOT_ROWS = 16, 100_000
 
 
@@ -211,7 +212,8 @@ def stored_registers(t: Tables) -> StoredRegisters:
     cache = Tables._shared.setdefault("__stored__", {})
     if t._key not in cache:
         root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/concilia-registers/{uuid.uuid4().hex}"
-        cache[t._key] = store_registers(v_tax(t), v_ledger(t), FIXTURE_CONFIG, root, BUCKETS, HOT_ROWS)
+        tax, ledger = v_tax(t), v_ledger(t)
+        cache[t._key] = store_registers(tax, ledger, FIXTURE_CONFIG, root, bucket_count(tax, ledger, BUCKETS), HOT_ROWS)
     return cache[t._key]
 
 

@@ -29,6 +29,8 @@ from ..functions.predicates import col
 from ..session import cut_lineage
 
 HOT_ROWS = 1_000_000
+#: Rows of both registers that a bucket holds on average: what a task sorts and aggregates.
+BUCKET_ROWS = 250_000
 
 
 @dataclass
@@ -40,10 +42,17 @@ class StoredRegisters:
     hot: tuple[DataFrame, DataFrame] | None
 
 
+def bucket_count(tax: DataFrame, ledger: DataFrame, least: int = 1, rows: int = BUCKET_ROWS) -> int:
+    """Buckets for two registers: as many as leave about ``rows`` rows in each,
+    so that more rows mean more buckets, not larger ones. Counts both, which
+    takes only the footers of Parquet files."""
+    return max(least, -(-(tax.count() + ledger.count()) // rows))
+
+
 def store_registers(tax: DataFrame, ledger: DataFrame, cfg: ReconConfig, root: str, buckets: int,
                     hot_rows: int = HOT_ROWS) -> StoredRegisters:
     """Writes both registers under ``root`` and returns their parts. A bucket
-    should fit a task: about ``bytes of the register / 256 MB`` buckets."""
+    should fit a task (see ``bucket_count``)."""
     spark = tax.sparkSession
     sides = ((tax, cfg.tax.key), (ledger, cfg.ledger.key))
     code = "__code"

@@ -8,7 +8,7 @@ import pytest
 
 from concilia.config import LedgerColumns, ReconConfig, TaxColumns
 from concilia.plans.reconciliation import reconcile, reconcile_stored
-from concilia.sources.stored import store_registers
+from concilia.sources.stored import bucket_count, store_registers
 
 TAX = TaxColumns(key="k", amount="a", nit="n", status="st", modality="m", sector="s", branch="b", invoice="i")
 LED = LedgerColumns(key="k", amount="a", nit="n", branch="b", invoice="i", order=("i",))
@@ -63,3 +63,25 @@ def test_no_exchange_of_a_register(spark, scratch):
         assert set(exchanges(r.status())) == {"branch_code"} and len(exchanges(r.status())) <= 4
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_buckets_grow_with_the_registers(spark, monkeypatch):
+    from concilia.fixtures import views
+
+    few, many = spark.range(30), spark.range(1000)
+    assert [bucket_count(a, b, 16, 100) for a, b in ((few, few), (many, many), (many, few))] == [16, 20, 16]
+    assert bucket_count(many, many, rows=30) == 67
+    monkeypatch.setattr(views, "bucket_count", lambda tax, ledger, least: bucket_count(tax, ledger, least, 150))
+    t = views.Tables(spark, "/root/testdata/sf0.001/.")  # a path that no other test keeps registers of
+    kept = views.stored_registers(t)
+    want = -(-(views.v_tax(t).count() + views.v_ledger(t).count()) // 150)
+    assert want > views.BUCKETS
+    for df in kept.main:
+        assert len(df.inputFiles()) == want  # a file a bucket
+
+
+def test_derived_tables_are_written_where_they_are_made(spark):
+    from concilia.fixtures.views import Tables, materialized
+
+    got = materialized(Tables(spark, "/root/testdata/sf0.001/."), "probe", lambda t: spark.range(0, 90, 1, 3))
+    assert got.count() == 90 and len(got.inputFiles()) == 3
