@@ -4,6 +4,8 @@ numeric; text formatting happens only in ``formatted`` views."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -68,14 +70,21 @@ def sheet_rows(recon) -> DataFrame:
 
     One left join of the tax register with the ledger gives pairs and tax rows
     without a partner, one anti join the ledger rows without one; AQE splits a
-    hot code in both, and the ledger's exchange serves both."""
+    hot code in both, and the ledger's exchange serves both. Stored registers
+    are joined part by part, so that bucketed rows are not moved; rows without
+    a code are in no sheet."""
+    parts = [p for p in recon.parts if not p.keyless] or [recon]
+    return reduce(DataFrame.unionByName, map(_part_rows, parts)).withColumn(SHEET, F.explode(SHEET))
+
+
+def _part_rows(recon) -> DataFrame:
+    """The rows of ``sheet_rows`` for registers of one part, each with the array of its sheets."""
     flags = [F.when(F.col(flag), F.lit(name)) for name, flag in PAIR_SHEETS]
     both = M.compare_pairs(recon.tax, recon.ledger, recon.cfg, how="left")
     alone = F.col(M.PARTNER).isNull()
     both = both.withColumn(SHEET, F.when(alone, F.array(F.lit("only_in_tax"))).otherwise(F.array_compact(F.array(*flags))))
     ledger = M.unpaired_ledger(recon.tax, recon.ledger, recon.cfg).withColumn(SHEET, F.array(F.lit("only_in_ledger")))
-    rows = both.drop(M.PARTNER).unionByName(ledger, allowMissingColumns=True)
-    return rows.withColumn(SHEET, F.explode(SHEET))
+    return both.drop(M.PARTNER).unionByName(ledger, allowMissingColumns=True)
 
 
 def sheets(recon) -> dict[str, DataFrame]:

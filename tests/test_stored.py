@@ -8,6 +8,7 @@ import pytest
 
 from concilia.config import LedgerColumns, ReconConfig, TaxColumns
 from concilia.plans.reconciliation import reconcile, reconcile_stored
+from concilia.sinks.report import sheet_rows
 from concilia.sources.stored import bucket_count, store_registers
 
 TAX = TaxColumns(key="k", amount="a", nit="n", status="st", modality="m", sector="s", branch="b", invoice="i")
@@ -85,3 +86,17 @@ def test_derived_tables_are_written_where_they_are_made(spark):
 
     got = materialized(Tables(spark, "/root/testdata/sf0.001/."), "probe", lambda t: spark.range(0, 90, 1, 3))
     assert got.count() == 90 and len(got.inputFiles()) == 3
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_sheets_of_stored_registers(spark, scratch, hot):
+    tax, led = _registers(spark, 11, hot)
+    kept = store_registers(tax, led, CFG, os.path.join(scratch, "sheets"), buckets=5, hot_rows=20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = sheet_rows(reconcile_stored(kept, CFG))
+        assert _rows(rows) == _rows(sheet_rows(reconcile(tax, led, CFG))) and not rows.isEmpty()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert hot or "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
