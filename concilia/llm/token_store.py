@@ -21,14 +21,14 @@ smallest hash of their id, one text of each id, at most SAMPLE_BYTES of ids
 each. All else covers every document.
 
 Ids are encoded by the tokenizers library. White space separates this
-vocabulary's pre-tokens and is dropped, so each distinct white-space
-delimited word is encoded once per worker, many in one call. A word of
-letters is one pre-token, and so is the punctuation behind it: these parts
-are encoded apart and many letter words are told from each other by the
-mark that ends a pre-token's last piece; all other words have a one-token
-separator between them. ASCII letters are lower-cased before words are
-looked up, as the vocabulary's normalisation does, unless the text has
-combining marks, which could compose otherwise. A text in which, after
+vocabulary's pre-tokens and is dropped; so are letters, punctuation and single
+digits pre-tokens of their own, as long as no apostrophe or character of another
+kind stands beside them. Texts are cut at these places, many at a time, and each
+distinct piece is encoded once per worker, many in one call: pieces of letters
+are told from each other by the mark that ends a pre-token's last token; all
+others have a one-token separator between them. ASCII letters are lower-cased
+before pieces are looked up, as the vocabulary's normalisation does, unless the
+text has combining marks, which could compose otherwise. A text in which, after
 that, a special string could be seen, or the separator occurs, is encoded
 as a whole.
 
@@ -41,6 +41,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import zlib
 from functools import lru_cache
 
@@ -58,12 +59,17 @@ SHARD_DOCS = 64
 SHARD_BYTES = 1 << 20
 LEVEL = 3
 MEMO = 600_000
+SLICE = 2 << 20
 LONG = 48
 SEPARATOR = "\x01"
 #: Letters: ASCII, Latin-1, Latin Extended-A and -B, but U+0130, whose lower case has a mark.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 #: ASCII punctuation but the apostrophe.
 _PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Kinds of bytes; pieces are cut between two kinds where neither is _OTHER, and at each digit.
+_SPACE, _LETTER, _MARK, _DIGIT, _OTHER = range(5)
+#: First bytes of the two-byte letters of _LETTERS, and the code point after the last that they begin.
+_LATIN, _LATIN_END = (0xC3, 0xC9), 0x280
 
 
 class Encoder:
@@ -76,6 +82,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread per task
         import numpy as np
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.np, self.tk = np, Tokenizer.from_file(path)
         with open(path) as f:
@@ -94,14 +101,31 @@ class Encoder:
         if suffix:
             for piece, i in self.tk.get_vocab(with_added_tokens=False).items():
                 self.ends[i] = piece.endswith(suffix)
-        # parts may be encoded apart only if letters and punctuation are pre-tokens of their own
-        self.by_part = self.by_word and bool(suffix) and self.ids("don,...") == self.ids("don") + self.ids(",...")
-        # to lower-case ASCII letters the vocabulary's normaliser does nothing: they skip it, where it is made of these steps
+        # parts may be encoded apart only if letters, punctuation and digits are pre-tokens of their own
+        parts = ["don", ",.", "1", "2", "é", ".", "3", "a"]
+        self.by_part = self.by_word and bool(suffix) and self.ids("".join(parts)) == [i for p in parts for i in self.ids(p)]
+        kinds = bytearray([_OTHER]) * 256
+        for chars, kind in ((string.ascii_letters.encode(), _LETTER), (_PUNCTUATION, _MARK), (string.digits.encode(), _DIGIT)):
+            for c in chars if self.by_part else b"":
+                kinds[c] = kind
+        for c in b" \t\n\x0b\x0c\r":
+            kinds[c] = _SPACE
+        self.kinds = bytes(kinds)
+        self.latin = np.array([bool(_LETTERS.fullmatch(chr(c))) for c in range(_LATIN_END)])
+        # begins[8 * kind before + kind]: a piece begins here
+        self.begins = bytes(k != _SPACE and (b == _SPACE or _OTHER not in (b, k) and (b != k or k == _DIGIT))
+                            for b in range(32) for k in range(8))
+        # letters need no more of the vocabulary's normaliser and pre-tokeniser than a table, where these are made of such steps
         steps = lambda part: [s["type"] for s in (part or {}).get("normalizers") or (part or {}).get("pretokenizers") or ()]
-        self.lean = self.tk
+        self.lean = self.table = None
         if steps(spec.get("normalizer")) == ["NFC", "Replace", "Lowercase"] and steps(spec.get("pre_tokenizer")) == ["Split", "ByteLevel"]:
-            self.lean = Tokenizer.from_str(json.dumps(
+            lean = Tokenizer.from_str(json.dumps(
                 spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            letters = [chr(c) for c in range(_LATIN_END) if _LETTERS.fullmatch(chr(c))]
+            level = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            table = {ord(c): level(c.lower())[0][0] for c in letters}
+            if lean.encode(" ".join(letters).translate(table), add_special_tokens=False).ids == self.ids(" ".join(letters)):
+                self.lean, self.table = lean, table
         self.memo = Memo(MEMO)
 
     def ids(self, text: str) -> list[int]:
@@ -110,52 +134,33 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self.np.asarray(self.ids(text), self.dtype).tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encodes the words, by their parts where they are letters with punctuation behind."""
-        memo, other, plain, letters, tailed = self.memo, [], set(), set(), []
-        if not self.by_part:
-            return self.learn_apart(words)
-        punctuation, fullmatch = _PUNCTUATION, _LETTERS.fullmatch
-        for w in words:
-            core = w.rstrip(punctuation)
-            if core.isalpha() and core.islower():  # of bytes: ASCII letters
-                kind = plain
-            elif fullmatch(core.decode()):
-                kind = letters
+    def learn(self, pieces: list[bytes]) -> None:
+        """Encodes the pieces, those of letters in longer calls."""
+        plain, letters, other = [], [], []
+        fullmatch = _LETTERS.fullmatch
+        for w in pieces:
+            if w.isascii():
+                (plain if self.by_part and w.isalpha() else other).append(w)  # of bytes: ASCII letters
             else:
-                other.append(w)
-                continue
-            if core == w:
-                kind.add(w)
-            else:
-                tail = w[len(core):]
-                tailed.append((w, core, tail))
-                if core not in memo:
-                    kind.add(core)
-                if tail not in memo:
-                    memo[tail] = self.whole(tail.decode())
-        other += self.learn_letters(list(plain), self.lean) + self.learn_letters(list(letters), self.tk)
-        self.learn_apart(other)
-        for w, core, tail in tailed:
-            memo[w] = memo[core] + memo[tail]
-        asked = set(words)
-        for _, *parts in tailed:
-            for part in parts:
-                if len(part) > LONG and part not in asked:
-                    memo.pop(part, None)
-
-    def learn_letters(self, words: list[bytes], tokenizer) -> list[bytes]:
-        """Encodes words of one pre-token each, a thousand in one call; returns those of calls in which one had more."""
-        np, step, left = self.np, 1024, []
-        groups = [words[i:i + step] for i in range(0, len(words), step)]
-        for g, e in zip(groups, tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
-            ids = np.asarray(e.ids, np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(g) or len(ids) != cuts[-1]:
-                left += g
-                continue
-            raw, to = ids.astype(self.dtype).tobytes(), (cuts * self.width).tolist()
-            self.memo.update(zip(g, [raw[a:b] for a, b in zip([0, *to], to)]))
+                (letters if self.by_part and fullmatch(w.decode()) else other).append(w)
+        self.learn_apart(other + self.learn_letters(plain) + self.learn_letters(letters))
+
+    def learn_letters(self, words: list[bytes]) -> list[bytes]:
+        """Encodes words of one pre-token each, many in one call; returns those of texts in which one had more."""
+        np, step, left = self.np, 128, []
+        for at in range(0, len(words), 32 * step):
+            groups = [words[i:i + step] for i in range(at, min(at + 32 * step, len(words)), step)]
+            texts = [b" ".join(g).decode() for g in groups]
+            if self.lean is not None:
+                texts = [t.lower() if t.isascii() else t.translate(self.table) for t in texts]
+            for g, e in zip(groups, (self.lean or self.tk).encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.asarray(e.ids, np.int64)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) != len(g) or len(ids) != cuts[-1]:
+                    left += g
+                    continue
+                raw, to = ids.astype(self.dtype).tobytes(), (cuts * self.width).tolist()
+                self.memo.update(zip(g, [raw[a:b] for a, b in zip([0, *to], to)]))
         return left
 
     def learn_apart(self, words: list[bytes]) -> None:
@@ -173,40 +178,71 @@ class Encoder:
                 self.memo[w] = raw[at * self.width:cut * self.width]
                 at = cut + 1
 
+    def cut(self, texts: list[bytes]):
+        """The pieces of the texts in order (an Arrow array) and the number of pieces before each text and in all."""
+        import pyarrow as pa
+
+        np = self.np
+        joined = b"\n".join([*texts, b""])
+        data, kind = np.frombuffer(joined, np.uint8), np.frombuffer(bytearray(joined.translate(self.kinds)), np.uint8)
+        if self.by_part:
+            first = np.flatnonzero((data >= _LATIN[0]) & (data <= _LATIN[1]))
+            first = first[self.latin[(data[first] & 0x1F).astype(np.int64) << 6 | data[first + 1] & 0x3F]]
+            kind[first] = kind[first + 1] = _LETTER
+        before = np.empty_like(kind)
+        before[0], before[1:] = _SPACE, kind[:-1] << 3
+        begins = np.frombuffer((before | kind).tobytes().translate(self.begins), bool)
+        starts = np.cumsum([0, *map(len, texts[:-1])]) + np.arange(len(texts))
+        counts = np.add.reduceat(begins, starts, dtype=np.int64)
+        shown = kind != _SPACE
+        body = data[shown]
+        offsets = np.append(np.flatnonzero(begins[shown]), len(body)).astype(np.int64)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(body)]
+        return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers), np.append(0, np.cumsum(counts))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        cut: dict[int, list[bytes]] = {}
+        out: list = [b""] * len(texts)
+        at, cut = [], []
         for i, t in enumerate(texts):
             raw = t.encode()
             low = raw.lower()
             if not self.by_word or SEPARATOR in t or any(s in low for s in self.special):
                 out[i] = self.whole(t)
             else:
+                at.append(i)
                 # U+0300 to U+036F start with these bytes
-                cut[i] = (raw if b"\xcc" in raw or b"\xcd" in raw else low).split()
-        memo = self.memo
-        get = memo.get
-        known = {i: list(map(get, words)) for i, words in cut.items()}
-        gaps = {i: [k for k, ids in enumerate(found) if ids is None] for i, found in known.items()}
-        new = {cut[i][k] for i, at in gaps.items() for k in at}
-        if len(memo) + len(new) > memo.limit:  # the words of this run stay: the frequent ones are among them
-            kept: dict = {}
-            for i, words in cut.items():
-                kept.update(zip(words, known[i]))
-            memo.clear()
-            memo.update((w, ids) for w, ids in kept.items() if ids is not None)
-        new = list(new)
-        self.learn(new)
-        for i, words in cut.items():
-            found = known[i]
-            for k in gaps[i]:
-                found[k] = memo[words[k]]
-            out[i] = b"".join(found)
-        for w in new:
-            if len(w) > LONG:
-                del memo[w]
+                cut.append(raw if b"\xcc" in raw or b"\xcd" in raw else low)
+        if cut:
+            for i, ids in zip(at, self.encode_cut(cut)):
+                out[i] = ids
         return out
 
+    def encode_cut(self, texts: list[bytes]) -> list[bytes]:
+        import pyarrow as pa
+
+        pieces, ends = self.cut(texts)
+        if not len(pieces):
+            return [b""] * len(texts)
+        coded, memo = pieces.dictionary_encode(), self.memo
+        _, offsets, raw = coded.dictionary.buffers()
+        raw, to = raw.to_pybytes(), self.np.frombuffer(offsets, self.np.int64, len(coded.dictionary) + 1).tolist()
+        words = [raw[a:b] for a, b in zip(to, to[1:])]
+        found = list(map(memo.get, words))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        if len(memo) + len(gaps) > memo.limit:  # the pieces of this run stay: the frequent ones are among them
+            memo.clear()
+            memo.update((w, ids) for w, ids in zip(words, found) if ids is not None)
+        self.learn([words[k] for k in gaps])
+        for k in gaps:
+            found[k] = memo[words[k]]
+            if len(words[k]) > LONG:
+                del memo[words[k]]
+        got = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, offsets, ids = got.buffers()
+        to = self.np.frombuffer(offsets, self.np.int64)[got.offset + ends].tolist()
+        ids = memoryview(ids or b"")
+        return [bytes(ids[a:b]) for a, b in zip(to, to[1:])]
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
@@ -230,7 +266,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[byte
         enc = encoder(tokenizer)
         end = np.asarray([end_id], enc.dtype).tobytes()
         for b in batches:
-            got = [(x + end)[:SAMPLE_BYTES] for x in enc.encode(b.column(0).to_pylist())]
+            got = [(x + end)[:SAMPLE_BYTES] for run in slices(b.column(0).to_pylist(), SLICE) for x in enc.encode(run)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], names=["ids"])
 
     got = [bytes(r.ids) for r in on_workers(sample, run, "ids binary").collect()]
@@ -276,7 +312,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int, id_col
         names, arrow = fields
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for key, x in zip(keys, (x for run in slices(texts) for x in enc.encode(run))):
+            for key, x in zip(keys, (x for run in slices(texts, SLICE) for x in enc.encode(run))):
                 x += end
                 ids.append(key)
                 frames.append(zc.compress(x))

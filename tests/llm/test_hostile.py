@@ -66,6 +66,39 @@ def test_token_store_ids_equal_the_library(alphabet):
             assert np.frombuffer(ids, encoder.dtype).tolist() == tk.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("alphabet", [
+    ["don", "'", "'s", "'T", "LL", ",", ".", "3", "é", "É", " ", "\t"],
+    ["a", "E", "\u0301", "\u0338", "=", "<", "'", "12", " ", "Å", "\u20e3"],
+    ["İ", "ß", "Ǆ", "ǅ", "Ⱥ", "ɏ", "ɐ", "×", "÷", "µ", "ª", "x", "-", "_", "7", " ", "\n"],
+    ["Σ", "ς", "Ж", "中", "\u212b", "ﬁ", "a", ".", "9", "٣", "½", "\x00", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", " "],
+    ["<|", "endoftext", "|>", "ENDOFTEXT", "<|endoftext|>", "\x01", "a", "1", ".", " "]])
+def test_token_store_pieces_equal_the_library(alphabet):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tk, encoder = Tokenizer.from_file(path), token_store.Encoder(path)
+    assert encoder.by_part and encoder.lean is not None
+    texts = _texts(alphabet, 4000, 7, longest=12)
+    for i in range(0, len(texts), 400):
+        got = encoder.encode(texts[i:i + 400])
+        for t, ids in zip(texts[i:i + 400], got):
+            assert np.frombuffer(ids, encoder.dtype).tolist() == tk.encode(t, add_special_tokens=False).ids, t
+
+
+def test_token_store_learns_pieces_not_words(monkeypatch):
+    encoder, asked = token_store.Encoder(P.path("word_bpe_49k.json")), []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda pieces: (asked.extend(pieces), learn(pieces)))
+    words, tails = [f"{a}{b}{c}" for a in "abcd" for b in "éaou" for c in "lmnr"], [".", ",", "!!", ")"]
+    texts = [f"({w}{t} {w}/{words[i - 1]}{t} {i} {i * 7919} {w}=3{t}" for i, w in enumerate(words) for t in tails]
+    assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
+    # 64 words, ten digits, and marks: not one entry per word, mark behind it and number
+    assert len(asked) == len(set(asked)) <= 64 + 10 + 10 and len(encoder.memo) == len(asked)
+    before = len(asked)
+    encoder.encode([f"{b}!!{a}=({i}" for i, (a, b) in enumerate(zip(words, words[7:]))])
+    assert asked[before:] == [b"=("]
+
+
 def test_token_store_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(token_store, "MEMO", 50)
     encoder = token_store.Encoder(P.path("word_bpe_49k.json"))
